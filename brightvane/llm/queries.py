@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, quality_fm, sharding, wacz
+from . import exact_dedup, language_id, packing, quality_fm, sharding, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score_quality(docs, quality_fm.train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_sharding, op5_exact_dedup, op7_warc, op8_quality)}
+    return {f.__name__: f for f in (op1_language_id, op4_sharding, op5_exact_dedup, op7_warc, op8_quality, op9_packing)}
 
 
 OP5_SQL = r"""
