@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .sampling import unit_hash
 from .storage import materialise, ranked
-from .textkernel import _SYMBOL, blocks, span_hashes, word_spans
+from .textkernel import _SYMBOL, SpanCache, blocks, span_hashes, word_spans
 
 CAPACITY = 2048
 #: Entries kept by a worker's segment cache before it starts afresh.
@@ -49,13 +49,7 @@ class SegmentTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._most = Tokenizer.from_file(path), most
-        self._reset()
-
-    def _reset(self) -> None:
-        self._key = np.zeros(0, dtype=np.uint64)
-        self._start, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        self._ids = np.zeros(0, dtype=np.uint16)
+        self._tokenizer, self._cache = Tokenizer.from_file(path), SpanCache(most, np.uint16)
 
     @staticmethod
     def _segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,30 +84,13 @@ class SegmentTokenizer:
         first, last, keys, before = self._segments(raw, at)
         if len(keys) == 0:
             return np.zeros(0, dtype=np.uint16), np.zeros(len(at), dtype=np.int64)
-        uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self._key) + len(uniq) > self._most:
-            self._reset()
-        spot = np.searchsorted(self._key, uniq)
-        known = np.zeros(len(uniq), dtype=bool)
-        inside = spot < len(self._key)
-        known[inside] = self._key[spot[inside]] == uniq[inside]
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            data = raw.tobytes()
-            words = [data[a:b].decode() for a, b in zip(first[where[fresh]].tolist(), last[where[fresh]].tolist(), strict=True)]
-            found = [x.ids for x in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.array([len(x) for x in found], dtype=np.int64)
-            start = np.cumsum(size) - size + len(self._ids)
-            self._ids = np.concatenate([self._ids, np.array([i for x in found for i in x], dtype=np.uint16)])
-            key = np.concatenate([self._key, uniq[fresh]])
-            order = np.argsort(key)
-            self._key, self._start, self._size = key[order], np.concatenate([self._start, start])[order], np.concatenate([self._size, size])[order]
-            spot = np.searchsorted(self._key, uniq)
-        place = spot[back]
-        size = self._size[place]
-        total = np.zeros(len(size) + 1, dtype=np.int64)
-        np.cumsum(size, out=total[1:])
-        ids = self._ids[np.arange(total[-1]) + np.repeat(self._start[place] - total[:-1], size)]
+        data = raw.tobytes()
+
+        def fetch(spans: np.ndarray) -> list[list[int]]:
+            words = [data[a:b].decode() for a, b in zip(first[spans].tolist(), last[spans].tolist(), strict=True)]
+            return [x.ids for x in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+        ids, total = self._cache.lookup(keys, fetch)
         return ids, total[before]
 
 

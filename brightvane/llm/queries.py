@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, packing, quality_fm, sharding, wacz
+from . import bpe_transducer, exact_dedup, language_id, packing, quality_fm, sharding, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_transducer.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -42,7 +48,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_sharding, op5_exact_dedup, op7_warc, op8_quality, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing)}
 
 
 OP5_SQL = r"""

@@ -158,3 +158,41 @@ def shingle_hashes(words: np.ndarray, before: np.ndarray, size: int = 5) -> tupl
     total = np.zeros(len(value) + 1, dtype=np.int64)
     np.cumsum(keep, out=total[1:])
     return value[keep], total[cut]
+
+
+class SpanCache:
+    """Integer ids of spans by their hash, kept between blocks of a worker up to `most` spans, then begun afresh."""
+
+    def __init__(self, most: int, dtype: type):
+        self._most, self._dtype = most, dtype
+        self._reset()
+
+    def _reset(self) -> None:
+        self._key = np.zeros(0, dtype=np.uint64)
+        self._start, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._ids = np.zeros(0, dtype=self._dtype)
+
+    def lookup(self, keys: np.ndarray, fetch) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all spans end to end, and ids before each span; fetch(positions) gives the id lists of unseen ones."""
+        uniq, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self._key) + len(uniq) > self._most:
+            self._reset()
+        spot = np.searchsorted(self._key, uniq)
+        known = np.zeros(len(uniq), dtype=bool)
+        inside = spot < len(self._key)
+        known[inside] = self._key[spot[inside]] == uniq[inside]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            found = fetch(where[fresh])
+            size = np.array([len(x) for x in found], dtype=np.int64)
+            start = np.cumsum(size) - size + len(self._ids)
+            self._ids = np.concatenate([self._ids, np.array([i for x in found for i in x], dtype=self._dtype)])
+            key = np.concatenate([self._key, uniq[fresh]])
+            order = np.argsort(key)
+            self._key, self._start, self._size = key[order], np.concatenate([self._start, start])[order], np.concatenate([self._size, size])[order]
+            spot = np.searchsorted(self._key, uniq)
+        place = spot[back]
+        size = self._size[place]
+        total = np.zeros(len(size) + 1, dtype=np.int64)
+        np.cumsum(size, out=total[1:])
+        return self._ids[np.arange(total[-1]) + np.repeat(self._start[place] - total[:-1], size)], total
