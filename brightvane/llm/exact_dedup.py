@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, without
 
 #: Counters of the summary, and so the most winners that are ever broadcast.
 COUNTERS = 4096
@@ -53,5 +53,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns. The ids of the others decide; texts are moved at most once."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id")
+    return without(docs, id_col, gone)

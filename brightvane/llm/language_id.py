@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .sampling import fold, stratified
 from .textkernel import blocks
@@ -228,3 +229,16 @@ def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, net: ByteConvNet | None, minimum: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose language is known: not `und`, and of a probability of `minimum` or more."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"), docs[text_col].alias("whole"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, raw, at in blocks(batches, "whole"):
+            keep = np.asarray(block.column(1).to_numpy(zero_copy_only=False), dtype=bool)
+            keep = keep & (net.score(raw, at)[1] >= minimum) if net is not None else keep & False
+            yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(keep))], ["row"])
+
+    return rows.mapInArrow(choose, StructType([StructField("row", docs.schema)])).select("row.*")

@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .sampling import fold, stratified
-from .textkernel import blocks, span_hashes, word_hashes, word_spans, _SYMBOL
+from .textkernel import _SYMBOL, blocks, span_hashes, word_hashes, word_spans
 
 BUCKET_BITS, RANK = 16, 8
 #: Bound of the training sample: labelled texts of each label.
@@ -232,3 +233,19 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine | None, id_col:
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, machine: FactorisationMachine | None, text_col: str = "text", length_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score `threshold` or more; all of them without a model."""
+    if machine is None:
+        return docs
+    length = docs[length_col] if length_col in docs.columns else F.length(docs[text_col])
+    rows = docs.select(F.struct("*").alias("row"), length.cast("double").alias("length"), docs[text_col].alias("whole"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, raw, at in blocks(batches, "whole"):
+            buckets, before = word_buckets(raw, at)
+            score = machine.score(buckets, before, statistics(raw, at, _lengths(block.column(1)), buckets))
+            yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(score >= threshold))], ["row"])
+
+    return rows.mapInArrow(choose, StructType([StructField("row", docs.schema)])).select("row.*")

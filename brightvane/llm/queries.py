@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, exact_dedup, language_id, packing, quality_fm, sharding, wacz
+from . import bpe_transducer, exact_dedup, language_id, ngram_join, packing, quality_fm, sharding, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing, op10_ngram_join)}
 
 
 OP5_SQL = r"""

@@ -38,6 +38,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is not in the first column of gone. Rows with a null id stay."""
+    ids = gone.select(gone[gone.columns[0]].alias("id to drop")).distinct().hint("shuffle_hash")
+    return docs.join(ids, docs[id_col] == ids["id to drop"], "left_anti")
+
+
 def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: int, out: str, total: str | None = None, per_bucket: int = 20_000) -> DataFrame:
     """Adds `out`, the position from 0 within `group` by (order, ties), without one task per group; `total` names a column for the group's size.
 
