@@ -231,7 +231,7 @@ def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", t
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, net: ByteConvNet | None, minimum: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, net: ByteConvNet | None, minimum: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose language is known: not `und`, and of a probability of `minimum` or more."""
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"), docs[text_col].alias("whole"))
 
