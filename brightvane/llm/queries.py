@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, exact_dedup, language_id, lattice_hash, ngram_join, packing, quality_fm, sharding, wacz
+from . import bpe_transducer, ef_trie_lm, exact_dedup, language_id, lattice_hash, ngram_join, packing, quality_fm, sharding, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train_language_model(docs))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ef_trie_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_hash.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -56,7 +60,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_lattice_dedup, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_lattice_dedup, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing, op10_ngram_join)}
 
 
 OP5_SQL = r"""
