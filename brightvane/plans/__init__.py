@@ -5,3 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     """Imports every module that registers queries."""
+    from . import content, ranking, relational, textual  # noqa: F401
