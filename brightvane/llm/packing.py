@@ -26,7 +26,7 @@ from .textkernel import _SYMBOL, SpanCache, blocks, span_hashes, word_spans
 
 CAPACITY = 2048
 #: Entries kept by a worker's segment cache before it starts afresh.
-CACHE_SEGMENTS = 500_000
+CACHE_SEGMENTS = 1_500_000
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True

@@ -240,10 +240,11 @@ def keep_good(docs: DataFrame, machine: FactorisationMachine | None, text_col: s
     if machine is None:
         return docs
     length = docs[length_col] if length_col in docs.columns else F.length(docs[text_col])
-    rows = docs.select(F.struct("*").alias("row"), length.cast("double").alias("length"), docs[text_col].alias("whole"))
+    rows = docs.select(F.struct("*").alias("row"), length.cast("double").alias("length"))
+    at_text = docs.columns.index(text_col)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, raw, at in blocks(batches, "whole"):
+        for block, raw, at in blocks(batches, lambda b: b.column(0).field(at_text)):
             buckets, before = word_buckets(raw, at)
             score = machine.score(buckets, before, statistics(raw, at, _lengths(block.column(1)), buckets))
             yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(score >= threshold))], ["row"])

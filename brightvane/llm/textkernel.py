@@ -7,7 +7,8 @@ never depend on how rows were batched. Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,20 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
 
+
+def _return_memory() -> None:
+    """Makes freed arrays go back to the system at once, so that a worker's memory does not grow from stage to stage.
+
+    Sets glibc's M_MMAP_THRESHOLD (-3), which else rises with use; nothing is done elsewhere.
+    """
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt is not None:
+        mallopt(-3, 1 << 19)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_return_memory()
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,12 +95,12 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts batches into runs of whole rows of about `most` bytes; a longer text is a block of its own."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str | Callable[[pa.RecordBatch], pa.Array] = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Cuts batches into runs of whole rows of about `most` bytes; a longer text is a block of its own. `text` names the column, or takes it from a batch."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        raw, at = text_arrays(batch.column(batch.schema.get_field_index(text)))
+        raw, at = text_arrays(text(batch) if callable(text) else batch.column(batch.schema.get_field_index(text)))
         row = 0
         while row < batch.num_rows:
             stop = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
@@ -169,7 +184,7 @@ class SpanCache:
 
     def _reset(self) -> None:
         self._key = np.zeros(0, dtype=np.uint64)
-        self._start, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self._start, self._size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self._ids = np.zeros(0, dtype=self._dtype)
 
     def lookup(self, keys: np.ndarray, fetch) -> tuple[np.ndarray, np.ndarray]:
@@ -184,15 +199,14 @@ class SpanCache:
         fresh = np.flatnonzero(~known)
         if len(fresh):
             found = fetch(where[fresh])
-            size = np.array([len(x) for x in found], dtype=np.int64)
-            start = np.cumsum(size) - size + len(self._ids)
+            size = np.array([len(x) for x in found], dtype=np.int32)
+            start = np.cumsum(size, dtype=np.int64) - size + len(self._ids)
             self._ids = np.concatenate([self._ids, np.array([i for x in found for i in x], dtype=self._dtype)])
-            key = np.concatenate([self._key, uniq[fresh]])
-            order = np.argsort(key)
-            self._key, self._start, self._size = key[order], np.concatenate([self._start, start])[order], np.concatenate([self._size, size])[order]
+            into = spot[fresh]
+            self._key, self._start, self._size = np.insert(self._key, into, uniq[fresh]), np.insert(self._start, into, start), np.insert(self._size, into, size)
             spot = np.searchsorted(self._key, uniq)
         place = spot[back]
-        size = self._size[place]
+        size = self._size[place].astype(np.int64)
         total = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
         return self._ids[np.arange(total[-1]) + np.repeat(self._start[place] - total[:-1], size)], total
