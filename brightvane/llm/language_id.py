@@ -25,6 +25,8 @@ WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
 #: Bound of the training sample: windows of each language.
 WINDOWS_PER_LANGUAGE = 2400
 CLASSES = 128
+#: Small samples are gone through again until the training has so many steps.
+LEAST_STEPS = 300
 
 
 def _byte_classes() -> np.ndarray:
@@ -75,7 +77,7 @@ class ByteConvNet:
         rng = np.random.default_rng(seed)
         params = self._params()
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(windows))))):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]

@@ -23,6 +23,8 @@ BUCKET_BITS, RANK = 16, 8
 #: Bound of the training sample: labelled texts of each label.
 TEXTS_PER_LABEL = 2500
 THRESHOLD = 0.7
+#: Small samples are gone through again until the training has so many steps.
+LEAST_STEPS = 300
 #: Interaction and word weights meet means, which are small; this scales them up.
 _WORD_SCALE = 8.0
 
@@ -121,7 +123,7 @@ class FactorisationMachine:
         rng = np.random.default_rng(seed)
         word_sum, dense_sum, bias_sum = np.full(len(self.word), 1e-3, dtype=np.float32), np.full(self.dense.shape, 1e-3), 1e-3
         distinct = [np.unique(b, return_counts=True) for b in buckets]
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(labels))))):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
