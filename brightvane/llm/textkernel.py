@@ -15,6 +15,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
+#: Texts of a block at most, however short: their numbers within a few blocks fit in 16 bits.
+BLOCK_ROWS = 16_384
 
 
 def _return_memory() -> None:
@@ -104,7 +106,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str | Callable[[pa.RecordBat
         row = 0
         while row < batch.num_rows:
             stop = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
-            stop = min(stop, batch.num_rows)
+            stop = min(stop, batch.num_rows, row + BLOCK_ROWS)
             yield batch.slice(row, stop - row), raw[at[row] : at[stop]], at[row : stop + 1] - at[row]
             row = stop
 
