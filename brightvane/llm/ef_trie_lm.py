@@ -115,12 +115,15 @@ class EliasFano:
         at = self._before(np.minimum(high, self._buckets))
         stop = np.where(high < self._buckets, self._before(np.minimum(high + 1, self._buckets)), at)
         want = values & np.uint64((1 << self._bits) - 1)
-        while True:
-            open_ = np.flatnonzero(at < stop)
-            open_ = open_[self._lows(at[open_]) < want[open_]]
-            if len(open_) == 0:
-                break
-            at[open_] += 1
+        # within a high bucket low bits ascend: halve the range until it is empty
+        end = stop.copy()
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            middle = (at[open_] + end[open_]) >> 1
+            below = self._lows(middle) < want[open_]
+            at[open_[below]] = middle[below] + 1
+            end[open_[~below]] = middle[~below]
+            open_ = open_[at[open_] < end[open_]]
         found = at < stop
         found[found] = self._lows(at[found]) == want[found]
         return at, found
