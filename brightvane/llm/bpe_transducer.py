@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .textkernel import SpanCache, blocks, mix, span_hashes
 
 #: Transducer states, pair checks, and pieces kept by a worker before it starts afresh.
-STATES, PAIRS, PIECES = 150_000, 500_000, 500_000
+STATES, PAIRS, PIECES = 150_000, 500_000, 2_500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,9 +45,11 @@ def merge(piece: bytes, ranks: dict[bytes, int], but: int = -1) -> list[int]:
 
 
 class _State:
+    """Bytes read since the last emitted token; the last token, and where it starts, of each of their prefixes; live places with their trie nodes."""
+
     __slots__ = ("back", "last", "live", "next", "pending")
 
-    def __init__(self, pending: bytes, last: tuple[int, ...], back: tuple[int, ...], live: tuple[int, ...]):
+    def __init__(self, pending: bytes, last: tuple[int, ...], back: tuple[int, ...], live: tuple[tuple[int, int], ...]):
         self.pending, self.last, self.back, self.live = pending, last, back, live
         self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
 
@@ -60,23 +63,39 @@ class Transducer:
         made = {r: merge(t, ranks, but=r) for t, r in ranks.items() if len(t) > 1}
         self._halves = {r: (x[0], x[1]) for r, x in made.items() if len(x) == 2}
         self._bytes = {r: t for t, r in ranks.items()}
-        self._usable = {t: r for t, r in ranks.items() if len(t) == 1 or r in self._halves}
-        self._prefixes = {t[:i] for t in self._usable for i in range(1, len(t))}
+        self._child: dict[int, int] = {}
+        self._token, self._inner = [-1], [True]
+        for token, rank in ranks.items():
+            if len(token) == 1 or rank in self._halves:
+                self._add(token, rank)
+        self._bytes = {r: t for t, r in ranks.items()}
         self._reset()
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+
+    def _add(self, token: bytes, rank: int) -> None:
+        """Puts a token in the trie: children by (node, byte), and which nodes have any."""
+        node = 0
+        for byte in token:
+            self._inner[node] = True
+            key = node << 8 | byte
+            child = self._child.get(key)
+            if child is None:
+                child = self._child[key] = len(self._token)
+                self._token.append(-1)
+                self._inner.append(False)
+            node = child
+        self._token[node] = rank
 
     def _reset(self) -> None:
-        self._start = _State(b"", (-1,), (-1,), (0,))
+        self._start = _State(b"", (-1,), (-1,), ((0, 0),))
         self._states: dict[tuple[int, bytes], _State] = {(-1, b""): self._start}
 
     def _follows(self, left: int, right: int) -> bool:
-        if left < 0:
-            return True
-        got = self._pairs.get((left, right))
+        got = self._pairs.get(left << 24 | right)
         if got is None:
             if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
-            got = self._pairs[left, right] = self._stable(left, right)
+            got = self._pairs[left << 24 | right] = self._stable(left, right)
         return got
 
     def _stable(self, left: int, right: int) -> bool:
@@ -108,32 +127,44 @@ class Transducer:
         return out[::-1]
 
     def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
-        data = state.pending + bytes((byte,))
-        n = len(data)
-        last, back, live = [*state.last, -1], [*state.back, -1], [n]
+        child_of, token_of, inner = self._child, self._token, self._inner
+        n = len(state.pending) + 1
+        last, token, start = state.last, -1, 0
+        live = []
         # only from live places can a token reach here, or one reach on
-        for j in state.live:
-            rest = data[j:]
-            if back[n] < 0:
-                token = self._usable.get(rest)
-                if token is not None and self._follows(last[j], token):
-                    last[n], back[n] = token, j
-            if rest in self._prefixes:
-                live.append(j)
-        still = tuple(sorted(live))
-        while len(live) > 1:
-            top = max(live)
-            live.remove(top)
-            if back[top] not in live:
-                live.append(back[top])
-        (common,) = live
-        emitted = tuple(self._path(last, back, common))
-        key = (last[common], data[common:])
+        for j, node in state.live:
+            child = child_of.get(node << 8 | byte)
+            if child is not None:
+                if token < 0:
+                    own = token_of[child]
+                    if own >= 0 and (last[j] < 0 or self._follows(last[j], own)):
+                        token, start = own, j
+                if inner[child]:
+                    live.append((j, child))
+        live.append((n, 0))
+        back = (*state.back, start)
+        last = (*last, token)
+        if len(live) == 1:
+            common = n
+        else:
+            meet = [j for j, _ in live]
+            while len(meet) > 1:
+                origin = back[meet.pop()]
+                if origin not in meet:
+                    insort(meet, origin)
+            common = meet[0]
+        data = state.pending + bytes((byte,))
+        emitted: tuple[int, ...] = ()
+        if common:
+            emitted = tuple(self._path(last, back, common))
+            data, last, back = data[common:], last[common:], tuple([b - common for b in back[common:]])
+            live = [(j - common, node) for j, node in live]
+        key = (last[0], data)
         found = self._states.get(key)
         if found is None:
             if len(self._states) >= STATES:
                 self._reset()
-            found = self._states[key] = _State(data[common:], tuple(last[common:]), tuple([b - common for b in back[common:]]), tuple([j - common for j in still]))
+            found = self._states[key] = _State(data, last, back, tuple(live))
         state.next[byte] = found, emitted
         return found, emitted
 
