@@ -12,7 +12,8 @@ FULL_DAYS, ZERO_DAYS, UNKNOWN_DATE = 7, 120, 4.0
 
 
 def clamp10(c: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(10.0), c.cast("double"))), F.lit(0.0))
+    # least and greatest pass over nulls, so a missing score is made 0 first
+    return F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce(c.cast("double"), F.lit(0.0))))
 
 
 def freshness(published: Column, as_of: Column, full: int = FULL_DAYS, zero: int = ZERO_DAYS, unknown: float = UNKNOWN_DATE) -> Column:
