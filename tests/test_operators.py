@@ -1,5 +1,7 @@
 """Operators on small tables: the properties that results must have."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +52,43 @@ def test_title_and_body_duplicates(spark):
     assert sorted((r.source_id, r.method) for r in both) == [(2, "title"), (3, "content_hash")]
 
 
+def test_ratio_is_that_of_the_longest_common_subsequence():
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return 200.0 * row[-1] / (len(a) + len(b))
+
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(draw.choices("abc é", k=draw.randint(1, 70))) for _ in "ab")
+        assert dedupe._ratio(a, b) == slow(a, b)
+
+
+def test_titles_are_found_as_by_brute_force(spark):
+    """Contained titles with rarer words on either side, titles with a typo in every word, equal and unrelated ones."""
+    draw = random.Random(7)
+    vocabulary = ["".join(draw.choices("etaoinshr", k=draw.randint(2, 11))) for _ in range(60)]
+    titles = ["alpha bravo charlie delta", "alpha bravo charlie delta xray yankee zulu", "xray one two three", "yankee four five six", "zulu seven eight nine", "alpha bravo charlie delta mike november oscar papa"]
+    titles += ["internationalised communications acknowledgement straightforwardly", "internationalizsed communicationns acknowledgementt straightforwardlyy"]
+    for _ in range(120):
+        one = draw.choices(vocabulary[:12] if draw.random() < 0.5 else vocabulary, k=draw.randint(4, 10))
+        titles += [" ".join(one), " ".join(one + draw.choices(vocabulary, k=draw.randint(1, 4)))]
+        titles.append(" ".join(w[:-1] + draw.choice("xyz") if draw.random() < 0.3 else w for w in one))
+    rows = [(i, f"https://{'ab'[i % 7 == 0]}.com/{i}", t) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "source_id long, source_url string, title string")
+    for block in ("domain", "none"):
+        want = {}
+        for i, u, x in rows:
+            near = [(-dedupe.token_set_ratio(x, y), j) for j, v, y in rows[:i] if block == "none" or u[8] == v[8]]
+            if near and -min(near)[0] >= 92:
+                want[i] = (min(near)[1], -min(near)[0] / 100)
+        got = {r.source_id: (r.matched_id, r.score) for r in dedupe.title_duplicates(df, block).collect()}
+        assert got == want and (block == "domain" or {1, 7} <= set(got))
+
+
 def test_greedy_keeps_what_only_resembles_the_dropped(spark):
     pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "source_id long, matched_id long")
     ids = spark.createDataFrame([(i,) for i in range(1, 6)], "source_id long")
