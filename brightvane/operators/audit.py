@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,26 @@ def _tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z']{4,})"), 1))
 
 
+def _units(drafts: DataFrame, compose: bool) -> DataFrame:
+    units = drafts.select("draft_id", F.posexplode(auditable_units(F.col("draft_text"), compose)).alias("at", "sentence"))
+    low = F.lower(F.trim("sentence"))
+    units = units.withColumn("low", low).where(F.size(words(F.col("low"))) >= 4)
+    units = units.withColumn("head", F.left(F.regexp_replace("low", "^[\"“”' ]+|[\"“”' ]+$", ""), F.lit(60)))
+    stop = F.array(*map(F.lit, lists.AUDIT_STOPWORDS))
+    return units.withColumn("tokens", F.array_except(_tokens(F.col("low")), stop))
+
+
+def _judged(rows: DataFrame, found: Column, joint: Column) -> DataFrame:
+    future = F.lit(False)
+    for m in lists.FUTURE:
+        future = future | F.col("low").startswith(m) | F.contains("low", F.lit(" " + m))
+    status = (
+        F.when((F.col("head") != "") & found, "supported").when(any_of(F.col("low"), lists.OPINION), "opinion").when(future & ~F.contains("low", F.lit("?")), "unverifiable")
+        .when(F.size("tokens") == 0, F.lit(None)).when(F.col("overlap") >= 0.6, "supported").when(F.col("overlap") >= 0.35, "partially_supported").when(joint >= 0.75, "partially_supported").otherwise("unsupported")
+    )
+    return rows.select("draft_id", "at", "sentence", status.alias("status"), F.round("overlap", 2).alias("overlap"), "best_passage").where("status is not null")
+
+
 def audit_sentences(drafts: DataFrame, passages: DataFrame, compose: bool = True) -> DataFrame:
     """K-20: a row per claim of drafts(draft_id, draft_text) with its status against passages(draft_id, passage_id, passage).
 
@@ -29,27 +51,47 @@ def audit_sentences(drafts: DataFrame, passages: DataFrame, compose: bool = True
     best passage (0.6 supported, 0.35 partly), or 0.75 in all of them (partly). A
     draft's claims meet only its own passages.
     """
-    units = drafts.select("draft_id", F.posexplode(auditable_units(F.col("draft_text"), compose)).alias("at", "sentence"))
-    low = F.lower(F.trim("sentence"))
-    units = units.withColumn("low", low).where(F.size(words(F.col("low"))) >= 4)
-    units = units.withColumn("head", F.left(F.regexp_replace("low", "^[\"“”' ]+|[\"“”' ]+$", ""), F.lit(60)))
-    stop = F.array(*map(F.lit, lists.AUDIT_STOPWORDS))
-    units = units.withColumn("tokens", F.array_except(_tokens(F.col("low")), stop))
+    units = _units(drafts, compose)
     proof = passages.select("draft_id", "passage_id", F.lower("passage").alias("p"), _tokens(F.col("passage")).alias("pt"))
     corpus = proof.groupBy("draft_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", "p"))), lambda x: x["p"]), " ").alias("corpus"), F.array_distinct(F.flatten(F.collect_set("pt"))).alias("ct"))
     share = F.size(F.array_intersect("tokens", "pt")) / F.greatest(F.size("tokens"), F.lit(1))
     best = units.select("draft_id", "at", "tokens").join(proof.select("draft_id", "passage_id", "pt"), "draft_id").withColumn("share", share)
     best = best.groupBy("draft_id", "at").agg(F.max("share").alias("overlap"), F.max_by("passage_id", F.struct("share", -F.col("passage_id"))).alias("best_passage"))
     rows = units.join(corpus, "draft_id", "left").join(best, ["draft_id", "at"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
-    future = F.lit(False)
-    for m in lists.FUTURE:
-        future = future | F.col("low").startswith(m) | F.contains("low", F.lit(" " + m))
     joint = F.size(F.array_intersect("tokens", F.coalesce("ct", F.array().cast("array<string>")))) / F.greatest(F.size("tokens"), F.lit(1))
-    status = (
-        F.when((F.col("head") != "") & F.contains(F.coalesce("corpus", F.lit("")), F.col("head")), "supported").when(any_of(F.col("low"), lists.OPINION), "opinion").when(future & ~F.contains("low", F.lit("?")), "unverifiable")
-        .when(F.size("tokens") == 0, F.lit(None)).when(F.col("overlap") >= 0.6, "supported").when(F.col("overlap") >= 0.35, "partially_supported").when(joint >= 0.75, "partially_supported").otherwise("unsupported")
-    )
-    return rows.select("draft_id", "at", "sentence", status.alias("status"), F.round("overlap", 2).alias("overlap"), "best_passage").where("status is not null")
+    return _judged(rows, F.contains(F.coalesce("corpus", F.lit("")), F.col("head")), joint)
+
+
+def audit_shared(drafts: DataFrame, items: DataFrame, compose: bool = True) -> DataFrame:
+    """K-20 where every draft has all passages of items(passage_id, passage) as evidence.
+
+    The rows of audit_sentences with each passage given to each draft. The passages
+    are few and go to the workers whole, as an index from content word to passages.
+    """
+    proof = items.select("passage_id", F.lower("passage").alias("p"), _tokens(F.col("passage")).alias("pt")).orderBy("passage_id").collect()
+    ids, corpus = [r["passage_id"] for r in proof], " ".join(r["p"] for r in proof if r["p"] is not None)
+    index: dict[str, list[int]] = {}
+    for i, r in enumerate(proof):
+        for w in r["pt"] or ():
+            index.setdefault(w, []).append(i)
+    places = {w: np.array(x) for w, x in index.items()}
+
+    @F.pandas_udf("found boolean, overlap double, best_passage long, joint double")
+    def against(tokens: pd.Series, head: pd.Series) -> pd.DataFrame:
+        rows = []
+        for words_, h in zip(tokens, head, strict=True):
+            n, hit = np.zeros(len(ids), dtype=np.int32), 0
+            for w in words_:
+                at = places.get(w)
+                if at is not None:
+                    n[at] += 1
+                    hit += 1
+            size, best = max(len(words_), 1), int(n.argmax()) if ids else 0
+            rows.append((h in corpus, n[best] / size if ids else 0.0, ids[best] if ids else None, hit / size))
+        return pd.DataFrame(rows, columns=["found", "overlap", "best_passage", "joint"])
+
+    rows = _units(drafts, compose).withColumn("_e", against("tokens", "head")).withColumns({"overlap": F.col("_e.overlap"), "best_passage": F.col("_e.best_passage")})
+    return _judged(rows, F.col("_e.found"), F.col("_e.joint"))
 
 
 def audit_scores(audited: DataFrame) -> DataFrame:
@@ -60,17 +102,34 @@ def audit_scores(audited: DataFrame) -> DataFrame:
     return out.withColumn("evidence_score", F.when(facts > 0, F.round((F.col("supported") + 0.5 * F.col("partially_supported")) / facts * 100, 1)).otherwise(0.0))
 
 
-def fabrications(drafts: DataFrame, passages: DataFrame) -> DataFrame:
-    """K-21: per draft the numbers and quotes that its evidence lacks, and banned phrases."""
-    corpus = passages.groupBy("draft_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", F.lower("passage").alias("p")))), lambda x: x["p"]), " ").alias("corpus"))
-    rows = drafts.select("draft_id", "draft_text").join(corpus, "draft_id", "left").withColumn("corpus", F.coalesce("corpus", F.lit("")))
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"(\b\d[\d,.]*%?\b)"), 1)
-    new = F.filter(F.array_except(numbers(F.col("draft_text")), numbers(F.col("corpus"))), lambda x: ~F.replace(x, F.lit(",")).rlike(r"^(19|20)\d{2}$") & (F.length(F.replace(x, F.lit("%"))) > 1))
+def _numbers(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"(\b\d[\d,.]*%?\b)"), 1)
+
+
+def _joined() -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", F.lower("passage").alias("p")))), lambda x: x["p"]), " ").alias("corpus")
+
+
+def _fabricated(rows: DataFrame, known: Column) -> DataFrame:
+    new = F.filter(F.array_except(_numbers(F.col("draft_text")), known), lambda x: ~F.replace(x, F.lit(",")).rlike(r"^(19|20)\d{2}$") & (F.length(F.replace(x, F.lit("%"))) > 1))
     quotes = F.filter(F.regexp_extract_all("draft_text", F.lit(r"[“\"]([^”\"]{20,})[”\"]"), 1), lambda q: ~F.contains(F.col("corpus"), F.left(F.lower(q), F.lit(60))))
     banned = F.filter(F.array(*[F.when(F.contains(F.lower("draft_text"), F.lit(p)), F.lit(p)) for p in lists.BANNED]), lambda x: x.isNotNull())
     return rows.select("draft_id", F.array_sort(new).alias("invented_numbers"), quotes.alias("invented_quotes"), banned.alias("banned_phrases"))
 
 
+def fabrications(drafts: DataFrame, passages: DataFrame) -> DataFrame:
+    """K-21: per draft the numbers and quotes that its evidence lacks, and banned phrases."""
+    corpus = passages.groupBy("draft_id").agg(_joined())
+    rows = drafts.select("draft_id", "draft_text").join(corpus, "draft_id", "left").withColumn("corpus", F.coalesce("corpus", F.lit("")))
+    return _fabricated(rows, _numbers(F.col("corpus")))
+
+
+def fabrications_shared(drafts: DataFrame, items: DataFrame) -> DataFrame:
+    """K-21 where every draft has all passages of items(passage_id, passage) as evidence; they are joined once, to a single row."""
+    corpus = items.agg(_joined()).select("corpus", _numbers(F.col("corpus")).alias("known"))
+    return _fabricated(drafts.select("draft_id", "draft_text").crossJoin(F.broadcast(corpus)), F.col("known"))
+
+
 def upper_median(values: Column) -> Column:
     """The middle value, the upper of two."""
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))

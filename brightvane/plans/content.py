@@ -121,20 +121,19 @@ def k17_retired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    drafts = view(spark, sf_dir, "m_drafts").select("draft_id", "draft_text")
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    passages = drafts.select("draft_id", F.pmod("draft_id", F.lit(8)).alias("_m")).join(bench.withColumn("_m", F.pmod("item_id", F.lit(8))), "_m").select("draft_id", F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
-    return drafts, passages
+    """Every document as a draft, and every benchmark item as evidence for all of them."""
+    drafts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("draft_id"), F.col("text").alias("draft_text"))
+    return drafts, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
 
 
 @query()
 def k20_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit_scores(audit.audit_sentences(*_drafts(spark, sf_dir)))
+    return audit.audit_scores(audit.audit_shared(*_drafts(spark, sf_dir)))
 
 
 @query()
 def k21_fabrications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.fabrications(*_drafts(spark, sf_dir))
+    return audit.fabrications_shared(*_drafts(spark, sf_dir))
 
 
 @query(oracle("SELECT d.draft_id, u.source_id, m.source_url FROM m_drafts d JOIN m_opportunities o ON d.opportunity_id = o.opportunity_id CROSS JOIN LATERAL (SELECT unnest(o.source_ids) AS source_id) u JOIN m_sources m ON u.source_id = m.source_id"))

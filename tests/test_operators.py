@@ -111,6 +111,23 @@ def test_audit(spark):
     assert (found.invented_numbers, len(found.invented_quotes), found.banned_phrases) == (["450"], 1, ["unlock"])
 
 
+def test_all_texts_are_audited_against_all_evidence(spark, sf_dir):
+    """The registered audits equal the operators on every document with every benchmark item."""
+    import __spark_entry__ as entry
+
+    drafts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("draft_id"), F.left("text", F.lit(1500)).alias("draft_text")).where("draft_id < 60")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
+    every = drafts.select("draft_id").crossJoin(items)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(audit.audit_shared(drafts, items)) == rows(audit.audit_sentences(drafts, every).select("draft_id", "at", "sentence", "status", "overlap", "best_passage"))
+    assert rows(audit.fabrications_shared(drafts, items)) == rows(audit.fabrications(drafts, every))
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
+    assert {r.draft_id for r in entry.queries()["k21_fabrications"](spark, sf_dir).collect()} == ids
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("draft_id"), F.col("text").alias("draft_text"))
+    want = {r.draft_id for r in audit._units(texts, True).where("size(tokens) > 0").select("draft_id").collect()}
+    assert want <= {r.draft_id for r in entry.queries()["k20_audit"](spark, sf_dir).collect()} <= ids
+
+
 def test_voice(spark):
     row = voice.analyse(spark.createDataFrame([(1, "Short hook here.\n\nWe met 12 owners. It is not luck but work that counts in the end.\n\nWhat do you think?")], "example_id long, text string")).first()
     assert (row.paragraph_count, row.sentence_count, row.question_count, row.number_count, row.uses_contrast, row.cta_present) == (3, 4, 1, 1, True, True)
