@@ -14,8 +14,8 @@ from .views import AS_OF, OWN_DOMAINS, oracle, view
 @query(oracle(r"""WITH h AS (SELECT source_id, trim(regexp_replace(regexp_replace(lower(cleaned_text), '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM m_sources WHERE regexp_full_match(cleaned_text, '[\x00-\x7f]*') AND NOT regexp_matches(cleaned_text, '(?i)(cookie policy|accept all cookies|privacy policy|terms of service|all rights reserved|subscribe to our newsletter|skip to (main )?content)')),
     k AS (SELECT source_id, min(source_id) OVER (PARTITION BY n) AS matched_id FROM h WHERE n <> '') SELECT source_id, matched_id, 'content_hash' AS method FROM k WHERE source_id <> matched_id"""))
 def e02_hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = view(spark, sf_dir, "m_sources").where(F.col("cleaned_text").rlike(r"^[\x00-\x7f]*$") & ~F.col("cleaned_text").rlike(dedupe.lists.BOILERPLATE))
-    return dedupe.hash_duplicates(plain, compose=False).select("source_id", "matched_id", "method")
+    # all texts; the SQL above holds the plain ones only, as it has no NFKC
+    return dedupe.hash_duplicates(view(spark, sf_dir, "m_sources")).select("source_id", "matched_id", "method")
 
 
 @query()

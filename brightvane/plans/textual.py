@@ -47,8 +47,8 @@ def b07_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*') AND NOT regexp_matches(text, '(?i)(cookie policy|accept all cookies|privacy policy|terms of service|all rights reserved|subscribe to our newsletter|skip to (main )?content)'))
     SELECT doc_id, (CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END)::INTEGER AS shingles FROM w""")
 def b08_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = _docs(spark, sf_dir).where(F.col("text").rlike(r"^[\x00-\x7f]*$") & ~F.col("text").rlike(text.lists.BOILERPLATE))
-    return plain.select("doc_id", F.size(text.shingles(F.col("text"), compose=False)).alias("shingles"))
+    # all texts; the SQL above holds the plain ones only, as it has no NFKC
+    return _docs(spark, sf_dir).select("doc_id", F.size(text.shingles(F.col("text"))).alias("shingles"))
 
 
 @query(oracle(r"SELECT source_id, regexp_replace(lower(regexp_replace(search_query || ' ' || source_type || '!', '[^\w\s-]', '', 'g')), '[\s_-]+', '-', 'g') AS slug FROM m_sources"))

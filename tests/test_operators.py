@@ -1,6 +1,8 @@
 """Operators on small tables: the properties that results must have."""
 
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +91,32 @@ def test_titles_are_found_as_by_brute_force(spark):
         assert got == want and (block == "domain" or {1, 7} <= set(got))
 
 
+def test_hashes_and_shingles_cover_all_texts(spark, sf_dir, tmp_path):
+    """Both registered queries against plain Python, over accented, boilerplate and compatibility forms too."""
+    import __spark_entry__ as entry
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    more = ["Él dijo “sí” — ya está", 'él dijo "sí" - ya está!', "ﬁne print here today", "fine print here today", "Our privacy policy is a b c d e f", "is a b c d e f our"]
+    extra = spark.createDataFrame([(top + 1 + i, x) for i, x in enumerate(more)], "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("src0").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    docs.unionByName(extra).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/pages.parquet").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def plain(x):
+        x = unicodedata.normalize("NFKC", x).translate(str.maketrans("’‘“”–—", "''\"\"--"))
+        return " ".join(re.sub(r"[^\w\s]", " ", re.sub(dedupe.lists.BOILERPLATE, " ", x).lower()).split())
+
+    texts = {r.doc_id: plain(r.text) for r in docs.select("doc_id", "text").union(extra.select("doc_id", "text")).collect()}
+    first, want, sizes = {}, set(), {}
+    for i in sorted(texts):
+        w = texts[i].split()
+        sizes[i] = len({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) if w else 0
+        if w and first.setdefault(texts[i], i) != i:
+            want.add((i, first[texts[i]]))
+    assert {(r.source_id, r.matched_id) for r in entry.queries()["e02_hash_duplicates"](spark, str(tmp_path)).collect()} == want and {(top + 2, top + 1), (top + 4, top + 3)} <= want
+    assert {r.doc_id: r.shingles for r in entry.queries()["b08_shingles"](spark, str(tmp_path)).collect()} == sizes
+
+
 def test_greedy_keeps_what_only_resembles_the_dropped(spark):
     pairs = spark.createDataFrame([(2, 1), (3, 2), (4, 3)], "source_id long, matched_id long")
     ids = spark.createDataFrame([(i,) for i in range(1, 6)], "source_id long")
