@@ -2,11 +2,10 @@
 
 The encoding of every prefix of a piece ends in one last token, and a token can
 follow another only if the pair encodes to itself. A transducer state is therefore
-the last token that was emitted and the bytes read since, with the last token of
-each of their prefixes; positions from which some token may still extend are live,
-and what is common to the encodings of all live positions is emitted. Lookahead is
-bounded by the longest token. States and transitions are made when first met and
-kept up to a limit, then made anew.
+the bytes read since the last token that was emitted; positions from which some
+token may still extend are live, and what is common to the encodings of all live
+positions is emitted. Lookahead is bounded by the longest token. States and moves
+are made when first met and kept up to a limit, then made anew.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .textkernel import SpanCache, blocks, mix, span_hashes
 
-#: Transducer states, pair checks, and pieces kept by a worker before it starts afresh.
-STATES, PAIRS, PIECES = 150_000, 500_000, 2_500_000
+#: Moves, pair checks, and pieces kept by a worker before it starts afresh.
+MOVES, PAIRS, PIECES = 1_000_000, 500_000, 2_500_000
+
+_BYTE = [bytes((b,)) for b in range(256)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,18 +44,14 @@ def merge(piece: bytes, ranks: dict[bytes, int], but: int = -1) -> list[int]:
     return [ranks[x] for x in parts]
 
 
-class _State:
-    """Bytes read since the last emitted token; the last token, and where it starts, of each of their prefixes; live places with their trie nodes."""
-
-    __slots__ = ("back", "last", "live", "next", "pending")
-
-    def __init__(self, pending: bytes, last: tuple[int, ...], back: tuple[int, ...], live: tuple[tuple[int, int], ...]):
-        self.pending, self.last, self.back, self.live = pending, last, back, live
-        self.next: dict[int, tuple[_State, tuple[int, ...]]] = {}
-
-
 class Transducer:
-    """Encodes pieces byte by byte."""
+    """Encodes pieces byte by byte.
+
+    A state is known by its pending bytes, those read since the last token emitted,
+    and by that token where another may still extend from its end: every other live
+    place is reached by the encoding of the pending bytes before it, whatever came
+    earlier. States are numbered in steps of 256, so that state + byte names a move.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -68,9 +64,13 @@ class Transducer:
         for token, rank in ranks.items():
             if len(token) == 1 or rank in self._halves:
                 self._add(token, rank)
-        self._bytes = {r: t for t, r in ranks.items()}
-        self._reset()
         self._pairs: dict[int, bool] = {}
+        # by state: pending bytes, and live places as (bytes before, trie node, last token, pending tokens up to it)
+        self._states: list[tuple[bytes, tuple[tuple[int, int, int, tuple[int, ...]], ...]]] = []
+        self._final: list[tuple[int, ...]] = []
+        self._number: dict[tuple[bytes, int], int] = {}
+        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._reset()
 
     def _add(self, token: bytes, rank: int) -> None:
         """Puts a token in the trie: children by (node, byte), and which nodes have any."""
@@ -87,8 +87,18 @@ class Transducer:
         self._token[node] = rank
 
     def _reset(self) -> None:
-        self._start = _State(b"", (-1,), (-1,), ((0, 0),))
-        self._states: dict[tuple[int, bytes], _State] = {(-1, b""): self._start}
+        for kept in (self._states, self._final, self._number, self._moves):
+            kept.clear()
+        self._state(b"", -1, ((0, 0, -1, ()),))
+
+    def _state(self, pending: bytes, last: int, live: tuple[tuple[int, int, int, tuple[int, ...]], ...]) -> int:
+        """The number of a state, made if new. The last live place is the end of what was read."""
+        found = self._number.get((pending, last))
+        if found is None:
+            found = self._number[pending, last] = len(self._states) << 8
+            self._states.append((pending, live))
+            self._final.append(live[-1][3])
+        return found
 
     def _follows(self, left: int, right: int) -> bool:
         got = self._pairs.get(left << 24 | right)
@@ -118,55 +128,51 @@ class Transducer:
             else:
                 limit, right = right + 1, two[0]
 
-    @staticmethod
-    def _path(last: list[int] | tuple[int, ...], back: list[int] | tuple[int, ...], at: int) -> list[int]:
-        out = []
-        while at > 0:
-            out.append(last[at])
-            at = back[at]
-        return out[::-1]
-
-    def _move(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         child_of, token_of, inner = self._child, self._token, self._inner
-        n = len(state.pending) + 1
-        last, token, start = state.last, -1, 0
+        pending, places = self._states[state >> 8]
+        if len(self._moves) >= MOVES:
+            self._reset()
+            state = self._state(pending, places[0][2] if places[0][0] == 0 else -2, places)
+        token, path = -1, ()
         live = []
         # only from live places can a token reach here, or one reach on
-        for j, node in state.live:
-            child = child_of.get(node << 8 | byte)
+        for place in places:
+            child = child_of.get(place[1] << 8 | byte)
             if child is not None:
                 if token < 0:
                     own = token_of[child]
-                    if own >= 0 and (last[j] < 0 or self._follows(last[j], own)):
-                        token, start = own, j
+                    if own >= 0 and (place[2] < 0 or self._follows(place[2], own)):
+                        token, path = own, (*place[3], own)
                 if inner[child]:
-                    live.append((j, child))
-        live.append((n, 0))
-        back = (*state.back, start)
-        last = (*last, token)
-        if len(live) == 1:
-            common = n
+                    live.append((place[0], child, place[2], place[3]))
+        if not live:
+            step = self._state(b"", token, ((0, 0, token, ()),)), path
         else:
-            meet = [j for j, _ in live]
-            while len(meet) > 1:
-                origin = back[meet.pop()]
-                if origin not in meet:
-                    insort(meet, origin)
-            common = meet[0]
-        data = state.pending + bytes((byte,))
-        emitted: tuple[int, ...] = ()
-        if common:
-            emitted = tuple(self._path(last, back, common))
-            data, last, back = data[common:], last[common:], tuple([b - common for b in back[common:]])
-            live = [(j - common, node) for j, node in live]
-        key = (last[0], data)
-        found = self._states.get(key)
-        if found is None:
-            if len(self._states) >= STATES:
-                self._reset()
-            found = self._states[key] = _State(data, last, back, tuple(live))
-        state.next[byte] = found, emitted
-        return found, emitted
+            pending += _BYTE[byte]
+            live.append((len(pending), 0, token, path))
+            first = live[0]
+            if first[0] == 0:
+                step = self._state(pending, first[2], tuple(live)), ()
+            else:
+                step = self._emit(pending, live)
+        self._moves[state | byte] = step
+        return step
+
+    def _emit(self, pending: bytes, live: list[tuple[int, int, int, tuple[int, ...]]]) -> tuple[int, tuple[int, ...]]:
+        """The state after the tokens that the encodings up to all live places begin with, and those tokens."""
+        paths = [place[3] for place in live]
+        least = min(paths, key=len)
+        common = len(least)
+        for path in paths:
+            while path[:common] != least[:common]:
+                common -= 1
+        if common == 0:
+            return self._state(pending, -2, tuple(live)), ()
+        emitted = least[:common]
+        cut = sum([len(self._bytes[t]) for t in emitted])
+        live = [(j - cut, node, last, path[common:]) for j, node, last, path in live]
+        return self._state(pending[cut:], live[0][2] if live[0][0] == 0 else -2, tuple(live)), emitted
 
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece; a piece that is a token is that token."""
@@ -174,30 +180,42 @@ class Transducer:
         if whole is not None:
             return [whole]
         out: list[int] = []
-        state = self._start
+        state, get = 0, self._moves.get
         for byte in piece:
-            step = state.next.get(byte)
-            state, emitted = step if step is not None else self._move(state, byte)
+            state, emitted = get(state | byte) or self._move(state, byte)
             if emitted:
                 out += emitted
-        return out + self._path(state.last, state.back, len(state.pending))
+        out += self._final[state >> 8]
+        return out
 
 
-def _utf8_need() -> np.ndarray:
-    """Continuation bytes after each lead byte; -1 for a continuation byte, 9 for bytes that never occur."""
-    need = np.zeros(256, dtype=np.int64)
-    need[0x80:0xC0] = -1
-    need[0xC0:0xC2] = 9
-    need[0xC2:0xE0], need[0xE0:0xF0], need[0xF0:0xF5] = 1, 2, 3
-    need[0xF5:] = 9
-    return need
+def _utf8_machine() -> list[list[int]]:
+    """Next state by state and byte: 0 between characters, 1 to 3 that many bytes short, 4 to 7 after E0, ED, F0, F4 (whose second byte has a narrower range), 8 after a byte that cannot stand there."""
+    start = [8] * 256
+    start[:0x80] = [0] * 0x80
+    start[0xC2:0xE0], start[0xE0:0xF0], start[0xF0:0xF5] = [1] * 30, [2] * 16, [3] * 5
+    start[0xE0], start[0xED], start[0xF0], start[0xF4] = 4, 5, 6, 7
+    table = [start]
+    for low, high, after in ((0x80, 0xC0, 0), (0x80, 0xC0, 1), (0x80, 0xC0, 2), (0xA0, 0xC0, 1), (0x80, 0xA0, 1), (0x90, 0xC0, 2), (0x80, 0x90, 2)):
+        table.append([after if low <= byte < high else 8 for byte in range(256)])
+    # what cannot go on stands for itself, and the byte that broke it is read as if it came first
+    for row in table[1:]:
+        row[:0x80], row[0xC0:] = start[:0x80], start[0xC0:]
+    return [*table, start]
 
 
-_NEED = _utf8_need()
+_UTF8 = _utf8_machine()
+#: More bytes than can be held.
+_SYNC = 4
 
 
 class StreamingDecoder:
-    """Decodes ids chunk by chunk; a character whose bytes are split over tokens is held until complete."""
+    """Decodes ids chunk by chunk; a character whose bytes are split over tokens is held until complete.
+
+    Carries the state of the UTF-8 machine and the bytes held. Any byte that is not
+    a continuation byte sets the state alone, so only the bytes from the last of
+    those on need to be stepped through.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         size = max(ranks.values()) + 1
@@ -207,29 +225,33 @@ class StreamingDecoder:
         self._length = np.array([len(p) for p in pieces], dtype=np.int64)
         self._start = np.cumsum(self._length) - self._length
         self._flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
-        self._held = b""
+        self._held, self._state = b"", 0
 
     def feed(self, ids: np.ndarray) -> bytes:
         """The bytes of all characters that are complete now."""
         length = self._length[ids]
         at = np.cumsum(length) - length
-        data = self._held + self._flat[np.arange(int(length.sum())) + np.repeat(self._start[ids] - at, length)].tobytes()
-        cut = len(data) - self._open(data)
-        self._held = data[cut:]
+        data = self._flat[np.arange(int(length.sum())) + np.repeat(self._start[ids] - at, length)].tobytes()
+        state, held = self._state, len(self._held)
+        first = max(0, len(data) - _SYNC)
+        while first < len(data) and 0x80 <= data[first] < 0xC0:
+            first += 1
+        if len(data) > _SYNC:
+            state, held = (0, 0) if first < len(data) else (8, 0)
+        else:
+            first = 0
+        for byte in data[first:]:
+            lead = byte < 0x80 or byte >= 0xC0
+            state = _UTF8[state][byte]
+            held = 0 if state in (0, 8) else 1 if lead else held + 1
+        data = self._held + data
+        cut = len(data) - held
+        self._held, self._state = data[cut:], state
         return data[:cut]
 
-    @staticmethod
-    def _open(data: bytes) -> int:
-        """Bytes at the end that begin a character still incomplete: the state of the UTF-8 machine, from its last lead byte."""
-        for back in range(1, min(3, len(data)) + 1):
-            need = int(_NEED[data[-back]])
-            if need >= 0:
-                return back if need != 9 and need >= back else 0
-        return 0
-
     def finish(self) -> bytes:
         """What was held; raises UnicodeDecodeError in text use, gives the bytes here."""
-        held, self._held = self._held, b""
+        held, self._held, self._state = self._held, b"", 0
         return held
 
 

@@ -1,6 +1,7 @@
 """The operators on documents, on a table of awkward rows, on an empty one, and against brute force."""
 
 import hashlib
+import random
 import math
 import re
 import zlib
@@ -86,6 +87,34 @@ def test_bpe_as_tiktoken(spark, docs, nothing):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
 
 
+def test_bpe_begins_afresh_within_a_piece(monkeypatch):
+    """One piece that makes more moves than are kept: its encoding is that of the definition."""
+    vocabularies = pytest.importorskip("public_tokenizers")
+    ranks = bpe_transducer.read_ranks(vocabularies.path("byte_bpe_multi_50k.tiktoken"))
+    machine = bpe_transducer.Transducer(ranks)
+    monkeypatch.setattr(bpe_transducer, "MOVES", 50)
+    draw = random.Random(3)
+    for _ in range(40):
+        piece = bytes(draw.choice(b"etaoinshrdlu") for _ in range(200))
+        assert machine.encode(piece) == bpe_transducer.merge(piece, ranks)
+
+
+def test_decoder_is_the_incremental_machine():
+    """Any bytes in any chunks: what is held is the end that begins a character without completing it."""
+    draw = random.Random(4)
+    begun = {chr(c).encode()[:k] for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 for k in range(1, len(chr(c).encode()))}
+    decoder = bpe_transducer.StreamingDecoder({bytes((b,)): b for b in range(256)})
+    odd = [0x41, 0x80, 0x9F, 0xA0, 0xBF, 0xC2, 0xE0, 0xE2, 0xED, 0xF0, 0xF4, 0xF5, 0xFF]
+    for _ in range(2000):
+        data, out, at = bytes(draw.choice(odd) for _ in range(draw.randrange(14))), b"", 0
+        while at < len(data):
+            part = data[at : at + draw.randrange(1, 7)]
+            at = min(at + len(part), len(data))
+            out += decoder.feed(np.frombuffer(part, dtype=np.uint8).astype(np.int64))
+            assert decoder._held == next((data[max(0, at - k) : at] for k in (3, 2, 1) if data[max(0, at - k) : at] in begun), b"")
+        assert out + decoder.finish() == data
+
+
 def test_decoder_holds_incomplete_characters():
     decoder = bpe_transducer.StreamingDecoder({bytes((b,)): b for b in range(256)})
     out = [decoder.feed(np.array([b])) for b in "é日🙂a".encode()]
