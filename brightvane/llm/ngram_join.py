@@ -13,8 +13,9 @@
    are scanned; light sets near the boundary enter those lists too. The boundary
    is the size at which the sum of both costs is least.
 4. Sets connected by keys are verified together by counting along inverted lists.
-   A connected set of candidates too large for one task is compared in pairs of
-   blocks. Only links that join components are written, never all pairs.
+   A connected group too large for one task is verified list by list, or in pairs of
+   blocks, whichever moves fewer codes; a list too large is cut into blocks as well.
+   Only links that join components are written, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import components, materialise, without
+from .storage import attach, components, materialise, without
 from .textkernel import blocks, mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -38,8 +39,8 @@ PERCENT = 80
 BUCKET_SHINGLES, BLOCK_SHINGLES, BLOCK_TEXTS = 1_500_000, 2_000_000, 60_000
 #: A code in more texts of a block than this is counted there and listed beside the count.
 LOCAL = 4
-#: Sets verified in one task; larger candidate groups are compared block by block.
-GROUP, HALF = 3000, 1500
+#: Codes verified together; larger candidate groups are taken apart, or compared block by block.
+TASK_CODES = 500_000
 #: Cost of a shuffled key in entries of a scanned list (a row moves in about 1 us, an entry in about 10 ns).
 KEY_COST = 100
 _AGGREGATED = 0xFFFF
@@ -216,34 +217,32 @@ def _survivors(percent: int):
 
 
 def _keys(percent: int, light_to: int, all_lists: bool = False):
-    """Sets to rows (key, fp, n, kind): kind 0 a heavy prefix shingle, kind 1 a 2-subset of a light set."""
+    """Sets to rows (key, fp, n): a prefix shingle of a heavy set, or a 2-subset of a light one."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp, size, kind = [], [], [], []
+            key, fp, size = [], [], []
             for f, n, alone, data in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("fp", "n", "alone", "codes")), strict=True):
                 code = np.frombuffer(data, dtype="<u8")
                 free = n - int(_need(np.int64(n), percent)) + 1 - alone
                 light = n <= light_to
                 if all_lists or not light or n * 100 >= percent * (light_to + 1):
                     key.append(mix(code[: max(free, 0)]))
-                    kind.append(np.zeros(len(key[-1]), dtype=np.int32))
                     fp.append(np.full(len(key[-1]), f))
                     size.append(np.full(len(key[-1]), n))
                 if light and not all_lists:
                     few = code[: max(free + 1, 0)]
                     a, b = np.triu_indices(len(few), 1)
                     key.append(mix(few[a] * np.uint64(0x9FB21C651E98DF25) + few[b]))
-                    kind.append(np.ones(len(a), dtype=np.int32))
                     fp.append(np.full(len(a), f))
                     size.append(np.full(len(a), n))
             if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(fp), pa.int64()), pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(kind), pa.int32())], ["key", "fp", "n", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(fp), pa.int64()), pa.array(np.concatenate(size), pa.int64())], ["key", "fp", "n"])
 
     return make
 
 
-_KEY = "key long, fp long, n long, kind int"
+_KEY = "key long, fp long, n long"
 
 
 def _boundary(sets: DataFrame, percent: int) -> int:
@@ -269,10 +268,10 @@ def _boundary(sets: DataFrame, percent: int) -> int:
 
 def _verify(percent: int):
     def check(table: pa.Table) -> pa.Table:
-        """Rows (fp, n, codes, team) to links (a, b) that span the true components within each team."""
+        """Rows (fp, n, codes, unit) to links (a, b) that span the true components within each unit."""
         a_out: list[int] = []
         b_out: list[int] = []
-        team = table.column("team").to_numpy()
+        _, team = np.unique(np.array(table.column("unit").to_pylist(), dtype=object), return_inverse=True)
         order = np.argsort(team, kind="stable")
         prints, sizes, data = table.column("fp").to_numpy(), table.column("n").to_numpy(), table.column("codes")
         cut = np.flatnonzero(np.append(True, team[order][1:] != team[order][:-1]))
@@ -361,16 +360,50 @@ def _links(docs: DataFrame, text_col: str, total: int, size: int, percent: int)
         return None
     light_to = _boundary(sets, percent)
     keys = materialise(sets.mapInArrow(_keys(percent, light_to), _KEY), "keys")
-    leaders = keys.groupBy("key", "kind").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("len")).where("len > 1")
-    stars = keys.join(leaders, ["key", "kind"]).where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
-    teams = materialise(components(stars), "teams")
-    sizes = teams.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    member = sets.join(teams, sets["fp"] == teams["node"]).join(sizes, "component").select("fp", "n", "codes", F.col("component").alias("team"), "members")
-    bins = max(1, count // 1000)
-    few = member.where(F.col("members") <= GROUP).withColumn("bin", F.pmod(F.xxhash64("team"), F.lit(bins)).cast("string"))
-    parts = F.ceil(F.col("members") / HALF).cast("int")
-    many = member.where(F.col("members") > GROUP).withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("_parts")).cast("int"))
-    many = many.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    many = many.withColumn("bin", F.concat_ws("/", F.col("team").cast("string"), F.least("_part", "_other").cast("string"), F.greatest("_part", "_other").cast("string")))
-    work = few.select("bin", "team", "fp", "n", "codes").union(many.select("bin", "team", "fp", "n", "codes"))
-    return work.groupBy("bin").applyInArrow(_verify(percent), "a long, b long")
+    leaders = keys.groupBy("key").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
+    stars = attach(keys, leaders, "key", keys.count()).where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
+    joined = components(stars)
+    narrow = sets.select("fp", (F.octet_length("codes") / 8).cast("long").alias("w")).join(joined, F.col("fp") == joined["node"]).select("fp", "w", F.col("component").alias("team"))
+    narrow = materialise(narrow, "teams")
+    weights = narrow.groupBy("team").agg(F.sum("w").alias("total"), F.count(F.lit(1)).alias("_count"))
+    held = narrow.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count(F.lit(1))).first()
+    member = attach(narrow, weights, "team", held[1])
+    work = _in_bins(member.where(F.col("total") <= TASK_CODES), held[0])
+    if weights.where(F.col("total") > TASK_CODES).limit(1).count():
+        work = work.union(_large_teams(member.where(F.col("total") > TASK_CODES), keys, held[0]))
+    return work.join(sets, "fp").select("bin", "unit", "fp", "n", "codes").groupBy("bin").applyInArrow(_verify(percent), "a long, b long")
+
+
+def _in_bins(member: DataFrame, codes: int) -> DataFrame:
+    """(bin, unit, fp) of (team, fp): teams that fit in one task, dealt to bins by hash."""
+    bins = max(1, 2 * codes // TASK_CODES)
+    return member.select(F.pmod(F.xxhash64("team"), F.lit(bins)).cast("string").alias("bin"), F.col("team").cast("string").alias("unit"), "fp")
+
+
+def _in_blocks(member: DataFrame) -> DataFrame:
+    """(bin, unit, fp) of (team, fp, total): every two blocks of a team meet in a bin."""
+    parts = F.ceil(F.col("total") * 2 / TASK_CODES).cast("int")
+    cut = member.withColumn("_parts", parts).withColumn("_part", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("_parts")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumn("unit", F.col("team").cast("string"))
+    return cut.select(F.concat_ws("/", "unit", F.least("_part", "_other").cast("string"), F.greatest("_part", "_other").cast("string")).alias("bin"), "unit", "fp")
+
+
+def _large_teams(member: DataFrame, keys: DataFrame, codes: int) -> DataFrame:
+    """(bin, unit, fp) of teams too large for a task, each the cheaper way.
+
+    A team of true near copies has many different lists that all hold most of it: it
+    is compared in pairs of blocks. A team that many small lists hold together is
+    taken apart again into its different lists, whose members alone are candidates.
+    """
+    member = materialise(member.select("fp", "w", "team", "total"), "large")
+    listed = keys.join(member, "fp").select("key", "fp", "w", "team", "total")
+    lists = listed.groupBy("team", "key").agg(F.count(F.lit(1)).alias("len"), F.bit_xor(F.xxhash64("fp")).alias("sign"), F.sum("w").alias("list"), F.max("total").alias("total")).where("len > 1")
+    # lists of the same members are one
+    lists = materialise(lists.groupBy("team", "len", "sign").agg(F.min("key").alias("key"), F.max("list").alias("list"), F.max("total").alias("total")), "lists")
+    cost = lists.groupBy("team").agg(F.sum("list").alias("lists"), F.max("total").alias("_total"), F.count(F.lit(1)).alias("_count"))
+    cost = cost.withColumn("by_list", F.col("lists") < F.col("_total") * F.ceil(F.col("_total") * 2 / TASK_CODES)).select("team", "by_list", "_count")
+    rows = member.count()
+    whole = attach(member, cost, "team", rows).where("not by_list")
+    apart = attach(lists, cost, "team", lists.count()).where("by_list").select("key", F.col("list").alias("_list"), F.col("len").alias("_count"))
+    parts = attach(listed.select("key", "fp"), apart, "key", keys.count()).select(F.col("key").alias("team"), "fp", F.col("_list").alias("total"))
+    return _in_blocks(whole).union(_in_bins(parts.where(F.col("total") <= TASK_CODES), codes)).union(_in_blocks(parts.where(F.col("total") > TASK_CODES)))

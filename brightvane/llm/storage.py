@@ -64,36 +64,52 @@ def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: i
     return joined
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: A key with more rows than this, and than HUB_SHARE of all, is joined by broadcast: there are at most 1 / HUB_SHARE of those.
+HUB, HUB_SHARE = 20_000, 0.002
+
+
+def attach(df: DataFrame, lookup: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join of df with lookup(key, columns, `_count`), one row for each key with its rows in df, without one task for a hot key.
+
+    `rows` is an upper bound of df's rows. Keys of more than HUB_SHARE of them, 500 at
+    most, are broadcast; all others are shuffled. `_count` is dropped, null keys go.
+    """
+    plain = [c for c in lookup.columns if c not in (key, "_count")]
+    bound = max(HUB, int(rows * HUB_SHARE))
+    if rows <= bound:
+        return df.join(lookup.drop("_count"), key)
+    hot = lookup.where(F.col("_count") > bound).drop("_count")
+    mark = hot.select(F.col(key).alias("_hot"))
+    marked = df.join(F.broadcast(mark), df[key] == mark["_hot"], "left")
+    cold = marked.where("_hot is null").drop("_hot").join(lookup.where(F.col("_count") <= bound).drop("_count"), key)
+    return df.join(F.broadcast(hot), key).select(key, *[c for c in df.columns if c != key], *plain).union(cold.select(key, *[c for c in df.columns if c != key], *plain))
+
+
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b): (node, component) with the smallest node reachable.
 
     Alternates large-star and small-star steps until the table no longer changes;
-    each step is a grouped minimum (combined on the map side) and an equi-join, so
-    a node with very many neighbours is never gathered. Only a count and a checksum
-    reach the driver. Null ends and self-links are ignored.
+    each step is a grouped minimum (combined on the map side) and an equi-join in
+    which hubs are broadcast (`attach`), so a node with very many neighbours is never
+    gathered. Each step that changes the table lowers some end, so the steps end. Only
+    a count and a checksum reach the driver. Null ends and self-links are ignored.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u is not null and v is not null and u <> v").distinct()
     edges = materialise(edges, "links")
-    nodes = edges
     state = _summary(edges)
-    for _ in range(rounds):
-        if state[0] == 0:
-            break
+    while state[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("_count"))
+        large = attach(both, low, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_count"))
+        small = attach(large, low, "u", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = materialise(small, "links")
         new = _summary(after)
-        if edges is not nodes:
-            discard(edges)
+        discard(edges)
         edges = after
         if new == state:
             break
         state = new
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     top = edges.groupBy("u").agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct().join(top, F.col("node") == top["u"], "left_anti").select("node", F.col("node").alias("component"))
     return top.select(F.col("u").alias("node"), "component").union(roots)

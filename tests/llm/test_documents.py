@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from brightvane.llm import bpe_transducer, ef_trie_lm, exact_dedup, language_id, ngram_join, packing, quality_fm, sharding
+from brightvane.llm import bpe_transducer, ef_trie_lm, exact_dedup, language_id, ngram_join, packing, quality_fm, sharding, storage
 
 # extra columns bear names that the operators use themselves
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n int, fp string, row string, score double, _text string, rank int"
@@ -191,10 +191,12 @@ def test_ngram_join_edges(docs, nothing):
             assert (r.n_shingles, r.component_id) == (sizes[r.doc_id], truth[r.doc_id])
 
 
-@pytest.mark.parametrize("group", [3000, 12])
-def test_ngram_join_against_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(ngram_join, "GROUP", group)
-    monkeypatch.setattr(ngram_join, "HALF", max(4, group // 2))
+@pytest.mark.parametrize(("codes", "bucket", "hub"), [(500_000, 1_500_000, 20_000), (600, 700, 5)])
+def test_ngram_join_against_brute_force(spark, monkeypatch, codes, bucket, hub):
+    """Once at the usual sizes, once with many buckets, groups that are taken apart or cut into blocks, and hubs."""
+    monkeypatch.setattr(ngram_join, "TASK_CODES", codes)
+    monkeypatch.setattr(ngram_join, "BUCKET_SHINGLES", bucket)
+    monkeypatch.setattr(storage, "HUB", hub)
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = {}
@@ -211,6 +213,28 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, group):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (sizes[i], truth[i]) for i in texts}
 
 
+def test_large_teams_are_compared_whole(spark, monkeypatch):
+    """Both ways of a team too large for a task: every two sets of a list meet in some unit of some bin."""
+    monkeypatch.setattr(ngram_join, "TASK_CODES", 40)
+    chain = [(k, f) for k in range(60) for f in (k, k + 1)]
+    dense = [(1000 + k, 500 + f) for k in range(9) for f in range(12) if f % 9 != k]
+    keys = spark.createDataFrame([(k, f, 9) for k, f in chain + dense], "key long, fp long, n long")
+    member = spark.createDataFrame([(f, 10, 0, 610) for f in range(61)] + [(500 + f, 10, 500, 120) for f in range(12)], "fp long, w long, team long, total long")
+    met, moved = set(), Counter()
+    units = defaultdict(set)
+    for r in ngram_join._large_teams(member, keys, 730).collect():
+        units[r.bin, r.unit].add(r.fp)
+        moved[r.fp >= 500] += 1
+    for held in units.values():
+        met |= {(a, b) for a in held for b in held}
+    for rows in (chain, dense):
+        lists = defaultdict(set)
+        for k, f in rows:
+            lists[k].add(f)
+        assert all((a, b) in met for held in lists.values() for a in held for b in held)
+    assert moved[False] == 120 and moved[True] <= 12 * 6
+
+
 def test_language_model_against_its_definition(docs, nothing):
     assert ef_trie_lm.score_texts(nothing).count() == 0
     rows = [(i, [*words(t), None]) for i, t, *_ in ROWS]

@@ -103,7 +103,9 @@ def test_zip_with_comment_and_compressed_member():
     assert struct.calcsize("<Q") == 8
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("hub", [20_000, 3])
+def test_components_of_chains_and_stars(spark, monkeypatch, hub):
+    monkeypatch.setattr(storage, "HUB", hub)
     pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in storage.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
