@@ -1,12 +1,16 @@
 """A bigram language model in Elias-Fano tries, for corpora of any size.
 
-Counts are gathered and answers given in two columnar shuffles. Blocks of texts
-send their distinct words and word pairs, with training counts, to buckets; hot
-first words are spread over all buckets. A bucket builds its part of the model: an
-n-gram trie whose levels (words, monotone pointers, successors within a context) are
-Elias-Fano coded and whose smoothed probabilities are quantised to a byte, laid out
-in a file that is memory-mapped. It answers each block's pairs by successor search
-within their context. Blocks then add up their texts' scores.
+Texts are tokenised once into a table of blocks in the shared folder. Counts are
+gathered and answers given in two columnar shuffles: blocks send their distinct words
+and word pairs, with training counts, to buckets; hot first words are spread over all
+buckets. A bucket builds its part of the model: an n-gram trie whose levels (words
+with their counts, monotone pointers, successors within a context) are Elias-Fano
+coded and whose smoothed probabilities are quantised to a byte, laid out in a file
+that is memory-mapped. It answers each block's words and pairs by successor search,
+for pairs within their context. Blocks then add up their texts' scores.
+
+The mapped file is a scratch file of the task that builds it, without a name; a task
+that is run again builds its own.
 
 The model is P(w|h) = (c(hw) + M P(w)) / (c(h) + M), with P(w) = (c(w) + a) / (N +
 a (V + 1)), a = 0.1: proper distributions over the vocabulary and one unknown word.
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,14 +135,16 @@ class EliasFano:
 
 
 class NgramTrie:
-    """Contexts, pointers and successors in Elias-Fano levels, and a byte of quantised log probability for each pair."""
-
-    def __init__(self, context: np.ndarray, successor: np.ndarray, log10: np.ndarray):
-        """Pairs ascending by (context hash, successor code), and their log10 probabilities within the context."""
-        names, first = np.unique(context, return_index=True)
-        pointers = np.append(first, len(context))
-        rank = np.repeat(np.arange(len(names), dtype=np.uint64), np.diff(pointers))
-        levels = [*EliasFano.build(names), *EliasFano.build(pointers), *EliasFano.build(rank << np.uint64(SUCCESSOR_BITS) | successor), quantise(log10)]
+    """Words with counts, pointers and successors in Elias-Fano levels, and a byte of quantised log probability for each pair."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, context: np.ndarray, successor: np.ndarray, log10: np.ndarray):
+        """Words ascending with their counts; pairs ascending by (context hash, successor code) with their log10 probabilities within the context. Contexts need not be among the words: a hot one has pairs in buckets other than its own."""
+        names = np.union1d(words, context)
+        total = np.zeros(len(names) + 1, dtype=np.uint64)
+        total[np.searchsorted(names, words) + 1] = counts
+        pointers = np.searchsorted(context, names)
+        rank = np.searchsorted(names, context).astype(np.uint64)
+        levels = [*EliasFano.build(names), *EliasFano.build(np.cumsum(total, dtype=np.uint64)), *EliasFano.build(np.append(pointers, len(context))), *EliasFano.build(rank << np.uint64(SUCCESSOR_BITS) | successor), quantise(log10)]
         with tempfile.TemporaryFile() as file:
             marks = []
             for array in levels:
@@ -148,7 +155,14 @@ class NgramTrie:
             self.size = file.tell()
             self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
         back = [np.frombuffer(self._map, dtype=d, count=n, offset=at) for at, d, n in marks]
-        self.contexts, self.pointers, self.successors, self.codes = EliasFano(back[0:4]), EliasFano(back[4:8]), EliasFano(back[8:12]), back[12]
+        self.contexts, self.totals, self.pointers, self.successors, self.codes = EliasFano(back[0:4]), EliasFano(back[4:8]), EliasFano(back[8:12]), EliasFano(back[12:16]), back[16]
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """The count of each word; 0 for words not in the trie."""
+        out = np.zeros(len(words), dtype="<u8")
+        at, known = self.contexts.successor(words)
+        out[known] = self.totals.access(at[known] + 1) - self.totals.access(at[known])
+        return out
 
     def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """The codes of pairs; 0 where the pair is not in the trie."""
@@ -224,11 +238,6 @@ def _dest(first: np.ndarray, follow: np.ndarray, home: np.ndarray, hot: np.ndarr
     return np.where(hot[first], (home[first] + home[follow]) % buckets, home[first])
 
 
-def _name(ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray) -> str:
-    """A block's name from its content: a block that is read again, or has a twin, gets the same answers."""
-    return "".join(f"{int(mix(x.astype(np.uint64) + np.arange(len(x), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)):016x}" for x in (ids, sizes, tokens))
-
-
 _ROW = "dest long, block string, kind int, data binary"
 
 
@@ -237,49 +246,83 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["dest", "block", "kind", "data"])
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training counts of the words that are frequent in a block, and all training tokens (word 0)."""
-    for _, _, held_out, sizes, tokens in _text_blocks(batches):
-        train = np.repeat(~held_out, sizes)
-        words, count = np.unique(tokens[train], return_counts=True)
-        keep = count >= max(2.0, LEAST_SHARE * count.sum() / 16)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(words[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(count[keep], count.sum()))], ["word", "n"])
+_BLOCK = "block string, data binary"
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to blocks: ids, which are null, which are held out, tokens of each, distinct words, and each token's word."""
+    task = TaskContext.get().partitionId()
+    for number, (ids, missing, held_out, sizes, tokens) in enumerate(_text_blocks(batches)):
+        words, place = np.unique(tokens, return_inverse=True)
+        data = _press(ids, missing.astype("u1"), held_out.astype("u1"), sizes.astype("<i8"), np.diff(words, prepend=np.uint64(0)), place.astype("<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"]), pa.array([data], pa.binary())], ["block", "data"])
+
+
+def _open(data: bytes) -> tuple[np.ndarray, ...]:
+    """ids, missing, held_out, sizes, words, place of a block."""
+    ids, missing, held_out, sizes, words, place = _unpress(data, "<i8", "u1", "u1", "<i8", "<u8", "<u4")
+    return ids, missing.astype(bool), held_out.astype(bool), sizes, np.cumsum(words, dtype=np.uint64), place
+
+
+def _word_counts(held_out: np.ndarray, sizes: np.ndarray, words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.bincount(place, weights=np.repeat(~held_out, sizes), minlength=len(words)).astype(np.int64)
+
+
+def _counted(hot_words: np.ndarray | None):
+    """Training counts of words by block: of those frequent in the block, with all tokens as word 0; or of `hot_words`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                _, _, held_out, sizes, words, place = _open(data.as_py())
+                count = _word_counts(held_out, sizes, words, place)
+                if hot_words is None:
+                    keep = count >= max(2.0, LEAST_SHARE * count.sum() / 16)
+                    word, n = np.append(words[keep], np.uint64(0)), np.append(count[keep], count.sum())
+                else:
+                    keep = np.isin(words, hot_words)
+                    word, n = words[keep], count[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    return run
 
 
 def _ask(buckets: int, hot_words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks to rows for buckets: kind 0 words and training counts, kind 1 pairs and training counts."""
-        for ids, _, held_out, sizes, tokens in _text_blocks(batches):
-            name = _name(ids, sizes, tokens)
-            words, place = np.unique(tokens, return_inverse=True)
-            train = np.repeat(~held_out, sizes)
-            home, hot = _homes(words, buckets), np.isin(words, hot_words)
-            count = np.bincount(place, weights=train, minlength=len(words)).astype("<u4")
-            second, first, follow, back = _pairs(place, sizes, len(words))
-            times = np.bincount(back, weights=train[second], minlength=len(first)).astype("<u4")
-            dest = _dest(first, follow, home, hot, buckets)
-            by_word, by_pair = np.argsort(home, kind="stable"), np.argsort(dest, kind="stable")
-            cut_word, cut_pair = np.searchsorted(home[by_word], np.arange(buckets + 1)), np.searchsorted(dest[by_pair], np.arange(buckets + 1))
-            code = words >> np.uint64(64 - SUCCESSOR_BITS)
-            for b in range(buckets):
-                rows = []
-                w, p = by_word[cut_word[b] : cut_word[b + 1]], by_pair[cut_pair[b] : cut_pair[b + 1]]
-                if len(w):
-                    rows.append((b, name, 0, _press(np.diff(words[w], prepend=np.uint64(0)), count[w])))
-                if len(p):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, _, held_out, sizes, words, place = _open(data.as_py())
+                home, hot = _homes(words, buckets), np.isin(words, hot_words)
+                count = _word_counts(held_out, sizes, words, place).astype("<u4")
+                second, first, follow, back = _pairs(place, sizes, len(words))
+                times = np.bincount(back, weights=np.repeat(~held_out, sizes)[second], minlength=len(first)).astype("<u4")
+                dest = _dest(first, follow, home, hot, buckets)
+                for b, w in _dealt(home):
+                    yield _batch([(b, name, 0, _press(np.diff(words[w], prepend=np.uint64(0)), count[w]))])
+                code = words >> np.uint64(64 - SUCCESSOR_BITS)
+                for b, p in _dealt(dest):
                     narrow = np.ascontiguousarray(code[follow[p]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SUCCESSOR_BITS // 8]).ravel()
-                    rows.append((b, name, 1, _press(np.diff(words[first[p]], prepend=np.uint64(0)), narrow, times[p])))
-                if rows:
-                    yield _batch(rows)
+                    yield _batch([(b, name, 1, _press(np.diff(words[first[p]], prepend=np.uint64(0)), narrow, times[p]))])
 
     return run
 
 
+def _dealt(dest: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that gets any, with the positions it gets, ascending."""
+    if len(dest) == 0:
+        return
+    order = np.argsort(dest, kind="stable")
+    cut = np.flatnonzero(np.append(True, dest[order][1:] != dest[order][:-1]))
+    for lo, hi in zip(cut.tolist(), np.append(cut[1:], len(dest)).tolist(), strict=True):
+        yield int(dest[order[lo]]), order[lo:hi]
+
+
 def _answer(hot: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
-        """A bucket's rows to answers in the rows' own order: kind 2 word counts, kind 3 pair codes; kind 4 the bucket's distinct words and tokens."""
-        names, kinds, data = table.column("block").to_pylist(), table.column("kind").to_pylist(), table.column("data")
-        rows: list[tuple] = []
+        """A bucket's rows to answers in the rows' own order: kind 2 word counts, kind 3 pair codes; in place of the bucket, kind 4 has its distinct words and kind 5 its tokens."""
+        names, kinds, dests, data = table.column("block").to_pylist(), table.column("kind").to_pylist(), table.column("dest").to_pylist(), table.column("data")
+        none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         asked: dict[int, tuple] = {}
         for i, kind in enumerate(kinds):
             if kind == 0:
@@ -290,48 +333,26 @@ def _answer(hot: dict[int, int]):
                 wide = np.zeros((len(count), 8), dtype=np.uint8)
                 wide[:, : SUCCESSOR_BITS // 8] = narrow.reshape(-1, SUCCESSOR_BITS // 8)
                 asked[i] = np.cumsum(delta, dtype=np.uint64), wide.ravel().view("<u8"), count
-        word_rows, pair_rows = [i for i in asked if kinds[i] == 0], [i for i in asked if kinds[i] == 1]
-        if word_rows:
-            words, back = np.unique(np.concatenate([asked[i][0] for i in word_rows]), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate([asked[i][1] for i in word_rows]), minlength=len(words)).astype(np.int64)
-            known = EliasFano(EliasFano.build(words[total > 0]))
-            counts = total[total > 0].astype("<u8")
-            for i in word_rows:
-                at, equal = known.successor(asked[i][0])
-                got = np.zeros(len(at), dtype="<u8")
-                got[equal] = counts[at[equal]]
-                rows.append((0, names[i], 2, int(table.column("dest")[i].as_py()), _press(got)))
-            rows.append((0, "", 4, 0, _press(np.array([len(counts), int(counts.sum())], dtype="<i8"))))
-        if pair_rows:
-            context, follow, count = (np.concatenate([asked[i][k] for i in pair_rows]) for k in range(3))
-            keep = count > 0
-            context, follow, count = context[keep], follow[keep], count[keep].astype(np.float64)
-            order = np.lexsort((follow, context))
-            context, follow, count = context[order], follow[order], count[order]
-            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (follow[1:] != follow[:-1]))) if len(order) else np.zeros(0, dtype=np.int64)
-            count = np.add.reduceat(count, first) if len(first) else count
+        words, back = np.unique(np.concatenate([none[0], *(x[0] for i, x in asked.items() if kinds[i] == 0)]), return_inverse=True)
+        counts = np.bincount(back, weights=np.concatenate([none[2], *(x[1] for i, x in asked.items() if kinds[i] == 0)]), minlength=len(words)).astype(np.int64)
+        words, counts = words[counts > 0], counts[counts > 0]
+        context, follow, count = (np.concatenate([none[k], *(x[k] for i, x in asked.items() if kinds[i] == 1)]) for k in range(3))
+        keep = count > 0
+        context, follow, count = context[keep], follow[keep], count[keep].astype(np.float64)
+        order = np.lexsort((follow, context))
+        context, follow, count = context[order], follow[order], count[order]
+        if len(context):
+            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (follow[1:] != follow[:-1])))
+            count = np.add.reduceat(count, first)
             context, follow = context[first], follow[first]
-            names_, start = np.unique(context, return_index=True)
-            total = np.add.reduceat(count, start) if len(start) else np.zeros(0)
-            spread = np.array([hot.get(int(x), 0) for x in names_], dtype=np.float64)
-            total = np.where(spread > 0, spread, total)
-            within = np.repeat(total, np.diff(np.append(start, len(context))))
-            trie = NgramTrie(context, follow, np.log10(count / (within + STRENGTH)))
-            for i in pair_rows:
-                rows.append((0, names[i], 3, int(table.column("dest")[i].as_py()), _press(trie.lookup(asked[i][0], asked[i][1]))))
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(columns[3], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[4], pa.binary())], names=["dest", "block", "kind", "data"])
-
-    return run
-
-
-def _index(buckets: int, hot_words: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks to kind 5: what a block needs, beside the answers, to score its texts."""
-        for ids, missing, held_out, sizes, tokens in _text_blocks(batches):
-            words, place = np.unique(tokens, return_inverse=True)
-            hot = np.isin(words, hot_words)
-            yield _batch([(0, _name(ids, sizes, tokens), 5, _press(ids, missing.astype("u1"), held_out.astype("u1"), sizes.astype("<i8"), place.astype("<u4"), _homes(words, buckets).astype("<u4"), hot.astype("u1")))])
+        names_, start, which = np.unique(context, return_index=True, return_inverse=True)
+        total = np.add.reduceat(count, start) if len(start) else np.zeros(0)
+        spread = np.array([hot.get(int(x), 0) for x in names_], dtype=np.float64)
+        within = np.where(spread > 0, spread, total)[which]
+        trie = NgramTrie(words, counts, context, follow, np.log10(count / (within + STRENGTH)))
+        rows = [(dests[i], names[i], 2, _press(trie.counts(x[0]))) if kinds[i] == 0 else (dests[i], names[i], 3, _press(trie.lookup(x[0], x[1]))) for i, x in asked.items()]
+        rows += [(len(words), "", 4, b""), (int(counts.sum()), "", 5, b"")]
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
@@ -339,38 +360,34 @@ def _index(buckets: int, hot_words: np.ndarray):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(buckets: int, distinct: int, training: int):
+def _score(buckets: int, hot_words: np.ndarray, distinct: int, training: int):
     def run(table: pa.Table) -> pa.Table:
+        """A block (kind -1) and the answers to it: the scores of its texts."""
         answers: dict[tuple[int, int], bytes] = {}
         texts: list[bytes] = []
         for dest, kind, data in zip(table.column("dest").to_pylist(), table.column("kind").to_pylist(), table.column("data"), strict=True):
-            if kind == 5:
+            if kind < 0:
                 texts.append(data.as_py())
             else:
                 answers[kind, dest] = data.as_py()
         out = []
         for text in texts:
-            ids, missing, held_out, sizes, place, home, hot = _unpress(text, "<i8", "u1", "u1", "<i8", "<u4", "<u4", "u1")
-            home = home.astype(np.int64)
-            count = np.zeros(len(home))
-            order = np.argsort(home, kind="stable")
-            cut = np.searchsorted(home[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                (count[order[cut[b] : cut[b + 1]]],) = _unpress(answers[2, b], "<u8")
-            second, first, follow, back = _pairs(place.astype(np.int64), sizes, len(home))
-            dest = _dest(first, follow, home, hot.astype(bool), buckets)
+            ids, missing, held_out, sizes, words, place = _open(text)
+            home, hot = _homes(words, buckets), np.isin(words, hot_words)
+            count = np.zeros(len(words))
+            for b, w in _dealt(home):
+                (count[w],) = _unpress(answers[2, b], "<u8")
+            second, first, follow, back = _pairs(place, sizes, len(words))
             codes = np.zeros(len(first), dtype=np.uint8)
-            order = np.argsort(dest, kind="stable")
-            cut = np.searchsorted(dest[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-                (codes[order[cut[b] : cut[b + 1]]],) = _unpress(answers[3, b], "u1")
+            for b, p in _dealt(_dest(first, follow, home, hot, buckets)):
+                (codes[p],) = _unpress(answers[3, b], "u1")
             single = (count + ADD) / (training + ADD * (distinct + 1))
             base = np.log10(single)[place]
             own = base.copy()
             pair = np.log10(_probabilities()[codes] + STRENGTH / (count[first] + STRENGTH) * single[follow])
             own[second] = pair[back]
             start = np.cumsum(sizes) - sizes
-            out.append((ids, missing.astype(bool), held_out.astype(bool), sizes, np.add.reduceat((count > 0)[place].astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(own, start)))
+            out.append((ids, missing, held_out, sizes, np.add.reduceat((count > 0)[place].astype(np.int64), start), np.add.reduceat(base, start), np.add.reduceat(own, start)))
         ids, missing, held_out, sizes, known, base, own = (np.concatenate(x) for x in zip(*out, strict=True)) if out else ([np.zeros(0)] * 7)
         return pa.table([pa.array(ids, pa.int64(), mask=missing.astype(bool)), pa.array(held_out.astype(bool)), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(ids), training, dtype=np.int64)), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -386,17 +403,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unknown. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(fold(id_col, parts) == 0, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))
-    counted = rows.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counted = materialise(counted, "frequent")
+    texts = materialise(rows.mapInArrow(_blocks_of, _BLOCK), "blocks")
+    counted = materialise(texts.mapInArrow(_counted(None), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     tokens = counted.where("word = 0").select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
     # at most 8 * buckets words, and at most 1 / LEAST_SHARE
     often = max(tokens / (8 * buckets), tokens * LEAST_SHARE)
-    hot = {r["word"] % (1 << 64): r["n"] for r in counted.where((F.col("word") != 0) & (F.col("n") >= often)).collect()}
-    hot_words = np.array(sorted(hot), dtype=np.uint64)
-    asked = rows.mapInArrow(_ask(buckets, hot_words), _ROW)
+    hot_words = np.array(sorted(r["word"] % (1 << 64) for r in counted.where((F.col("word") != 0) & (F.col("n") >= often)).collect()), dtype=np.uint64)
+    hot = {}
+    if len(hot_words):
+        # blocks name only words frequent in them; the few that are hot are counted in all
+        exact = texts.mapInArrow(_counted(hot_words), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        hot = {r["word"] % (1 << 64): r["n"] for r in exact.collect()}
+    asked = texts.mapInArrow(_ask(buckets, hot_words), _ROW)
     answers = materialise(asked.groupBy("dest").applyInArrow(_answer(hot), _ROW), "answers")
-    stats = [_unpress(bytes(r["data"]), "<i8")[0] for r in answers.where("kind = 4").select("data").collect()]
-    distinct, training = sum(int(s[0]) for s in stats), sum(int(s[1]) for s in stats)
-    both = answers.where("kind <> 4").unionByName(rows.mapInArrow(_index(buckets, hot_words), _ROW))
-    return both.groupBy("block").applyInArrow(_score(buckets, distinct, training), _SCORED)
+    sums = {r["kind"]: int(r["n"]) for r in answers.where("kind in (4, 5)").groupBy("kind").agg(F.sum("dest").alias("n")).collect()}
+    both = answers.where("kind < 4").unionByName(texts.select(F.lit(0).cast("long").alias("dest"), "block", F.lit(-1).alias("kind"), "data"))
+    return both.groupBy("block").applyInArrow(_score(buckets, hot_words, sums.get(4, 0), sums.get(5, 0)), _SCORED)

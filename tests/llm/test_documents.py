@@ -235,7 +235,11 @@ def test_large_teams_are_compared_whole(spark, monkeypatch):
     assert moved[False] == 120 and moved[True] <= 12 * 6
 
 
-def test_language_model_against_its_definition(docs, nothing):
+@pytest.mark.parametrize("bucket", [2_000_000, 2000])
+def test_language_model_against_its_definition(docs, nothing, monkeypatch, bucket):
+    """Once in one bucket and block; once in 15 buckets with hot words, of which some blocks hold one or none."""
+    monkeypatch.setattr(ef_trie_lm, "BUCKET_TOKENS", bucket)
+    docs = docs if bucket > 2000 else docs.repartition(7)
     assert ef_trie_lm.score_texts(nothing).count() == 0
     rows = [(i, [*words(t), None]) for i, t, *_ in ROWS]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
