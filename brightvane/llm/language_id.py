@@ -234,14 +234,17 @@ def identify(docs: DataFrame, net: ByteConvNet | None, id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet | None, minimum: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known: not `und`, and of a probability of `minimum` or more."""
+    """The rows of docs, with all their columns, whose language is known: not `und`, and of a probability of `minimum` or more.
+
+    Without a model no language can be judged, and all texts with a letter stay.
+    """
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs[text_col].rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     at_text = docs.columns.index(text_col)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, raw, at in blocks(batches, lambda b: b.column(0).field(at_text)):
             keep = np.asarray(block.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-            keep = keep & (net.score(raw, at)[1] >= minimum) if net is not None else keep & False
+            keep = keep & (net.score(raw, at)[1] >= minimum) if net is not None else keep
             yield pa.RecordBatch.from_arrays([block.column(0).filter(pa.array(keep))], ["row"])
 
     return rows.mapInArrow(choose, StructType([StructField("row", docs.schema)])).select("row.*")

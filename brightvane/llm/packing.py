@@ -10,6 +10,7 @@ pieces find their places by their rank, whatever their number.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .sampling import unit_hash
 from .storage import materialise, ranked
-from .textkernel import _SYMBOL, SpanCache, blocks, span_hashes, word_spans
+from .textkernel import _SYMBOL, SpanCache, blocks, mix, span_hashes, word_spans
 
 CAPACITY = 2048
 #: Entries kept by a worker's segment cache before it starts afresh.
@@ -34,6 +35,8 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
+# Fixed value: the split of the vocabulary for which segments are cut.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class SegmentTokenizer:
@@ -49,8 +52,20 @@ class SegmentTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self._check(path)
         self._tokenizer, self._cache = Tokenizer.from_file(path), SpanCache(most, np.uint16)
 
+    @staticmethod
+    def _check(path: str) -> None:
+        """Refuses vocabularies to which the cutting into segments does not apply."""
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        steps = [s.get("type") for s in (rules["normalizer"] or {}).get("normalizers", [])]
+        split = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        known = steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+        if not known or any(not t["content"].startswith("<|") for t in rules["added_tokens"]) or max([t["id"] for t in rules["added_tokens"]] + list(rules["model"]["vocab"].values())) > 0xFFFF:
+            raise ValueError(f"{path}: only vocabularies that drop white space, lower-case, split off marks and have ids under 65536 can be packed")
+
     @staticmethod
     def _segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and keys of segments, and segments before each text."""
@@ -77,7 +92,14 @@ class SegmentTokenizer:
         first, last = np.empty(len(starts) + extra[-1], dtype=np.int64), np.empty(len(starts) + extra[-1], dtype=np.int64)
         first[where], last[where] = starts, np.where(cut, tail, ends)
         first[where[cut] + 1], last[where[cut] + 1] = tail[cut], ends[cut]
-        return first, last, span_hashes(_SYMBOL[folded], first, last), before + extra[before]
+        keys = span_hashes(_SYMBOL[folded], first, last)
+        # special tokens are matched before letters are lower-cased
+        sign = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum((raw == ord("<")) & (np.append(raw[1:], 0) == ord("|")), out=sign[1:])
+        special = sign[last] > sign[first]
+        if special.any():
+            keys[special] = mix(span_hashes(_SYMBOL[raw], first[special], last[special]))
+        return first, last, keys, before + extra[before]
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and ids before each text."""

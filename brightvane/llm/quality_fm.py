@@ -116,21 +116,21 @@ class FactorisationMachine:
     def standard(self, stats: np.ndarray) -> np.ndarray:
         return np.clip((stats - self.mean) / self.spread, -4, 4)
 
-    def train(self, buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-4, seed: int = 9) -> None:
-        """Adagrad on the log loss; buckets: the hashed words of each text, repeats included."""
+    def train(self, buckets: list[tuple[np.ndarray, np.ndarray]], stats: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, decay: float = 1e-4, seed: int = 9) -> None:
+        """Adagrad on the log loss; buckets: the distinct hashed words of each text and their counts."""
         self.mean, self.spread = stats.mean(axis=0), stats.std(axis=0) + 1e-6
         x = self.standard(stats)
         rng = np.random.default_rng(seed)
         word_sum, dense_sum, bias_sum = np.full(len(self.word), 1e-3, dtype=np.float32), np.full(self.dense.shape, 1e-3), 1e-3
-        distinct = [np.unique(b, return_counts=True) for b in buckets]
+        sizes = np.array([b[1].sum() for b in buckets])
         for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(1, len(labels))))):
             order = rng.permutation(len(labels))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
-                ids = np.concatenate([distinct[i][0] for i in pick]) if len(pick) else np.zeros(0, dtype=np.int64)
-                count = np.concatenate([distinct[i][1] for i in pick]).astype(np.float64)
-                row = np.repeat(np.arange(len(pick)), [len(distinct[i][0]) for i in pick])
-                unit = _WORD_SCALE / np.maximum(1, np.array([len(buckets[i]) for i in pick]))
+                ids = np.concatenate([buckets[i][0] for i in pick]) if len(pick) else np.zeros(0, dtype=np.int64)
+                count = np.concatenate([buckets[i][1] for i in pick]).astype(np.float64)
+                row = np.repeat(np.arange(len(pick)), [len(buckets[i][0]) for i in pick])
+                unit = _WORD_SCALE / np.maximum(1, sizes[pick])
                 rows = self.word[ids].astype(np.float64)
                 first, square = np.zeros((len(pick), RANK + 1)), np.zeros(len(pick))
                 np.add.at(first, row, rows * (count * unit[row])[:, None])
@@ -183,11 +183,13 @@ def _lengths(column: pa.Array) -> np.ndarray:
 
 
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the sampled texts: a text of any length gives at most 2**BUCKET_BITS buckets with counts."""
     for block, raw, at in blocks(batches, "_text"):
         buckets, before = word_buckets(raw, at)
         stats = statistics(raw, at, _lengths(block.column(2)), buckets)
-        words = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(before[:-1], before[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(words, pa.binary()), pa.array(list(stats), pa.list_(pa.float64()))], ["id", "label", "words", "stats"])
+        distinct = [np.unique(buckets[a:b], return_counts=True) for a, b in zip(before[:-1], before[1:], strict=True)]
+        words, counts = (pa.array([x[k].astype("<i4").tobytes() for x in distinct], pa.binary()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), words, counts, pa.array(list(stats), pa.list_(pa.float64()))], ["id", "label", "words", "counts", "stats"])
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", label_col: str = "quality", held_out: int = 2, per_label: int = TEXTS_PER_LABEL) -> FactorisationMachine | None:
@@ -204,12 +206,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(length_col) if length_col in docs.columns else F.length(text_col)).cast("double").alias("_len"))
     # the sample is bounded by per_label
     sample = texts.join(F.broadcast(picked), texts["_id"] == picked["_lid"]).select("_id", "_label", "_len", "_text")
-    rows = sorted(sample.mapInArrow(_sample_rows, "id long, label int, words binary, stats array<double>").collect(), key=lambda r: (r["id"], r["words"]))
+    rows = sorted(sample.mapInArrow(_sample_rows, "id long, label int, words binary, counts binary, stats array<double>").collect(), key=lambda r: (r["id"], r["words"], r["counts"]))
     target = np.array([r["label"] for r in rows])
     if len(set(target.tolist())) < 2:
         return None
     machine = FactorisationMachine()
-    machine.train([np.frombuffer(r["words"], dtype="<i4").astype(np.int64) for r in rows], np.array([r["stats"] for r in rows]), target)
+    machine.train([(np.frombuffer(r["words"], dtype="<i4").astype(np.int64), np.frombuffer(r["counts"], dtype="<i4")) for r in rows], np.array([r["stats"] for r in rows]), target)
     there = target.mean()
     machine.bias += float(np.log(sizes[1] / sizes[0]) - np.log(there / (1 - there)))
     return machine
@@ -238,7 +240,7 @@ def score_quality(docs: DataFrame, machine: FactorisationMachine | None, id_col:
 
 
 def keep_good(docs: DataFrame, machine: FactorisationMachine | None, text_col: str = "text", length_col: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score `threshold` or more; all of them without a model."""
+    """The rows of docs, with all their columns, that score `threshold` or more. Without a model none can be judged, and all stay."""
     if machine is None:
         return docs
     length = docs[length_col] if length_col in docs.columns else F.length(docs[text_col])

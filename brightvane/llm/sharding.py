@@ -1,9 +1,11 @@
 """Shards of equal row counts whose source mixture matches the corpus.
 
 Rows are shuffled by a seeded hash and ranked within their source; a row of rank r
-of n gets the fractional rank (r + 1/2) / n. Sorting all rows by that interleaves
-the sources in proportion, and cutting the order into equal parts gives shards
-that each hold the same mixture, to within one row a source.
+of n gets the fractional rank (r + u) / n, where u in [0, 1) is the source's own
+phase, a seeded hash of it, so that small sources do not all fall on one place.
+Sorting all rows by that interleaves the sources in proportion, and cutting the order
+into equal parts gives shards that each hold the same mixture, to within one row a
+source.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def stratified_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_col:
     rows = base.count()
     ties = ["doc_id", "text_crc32", "size"]
     within = ranked(base, ["source"], "spot", ties, rows, "rank", total="of")
-    whole = within.withColumn("part", (F.col("rank") + F.lit(0.5)) / F.col("of"))
+    phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col("source")), 11).cast("double") / _UNIT
+    whole = within.withColumn("part", (F.col("rank") + phase) / F.col("of"))
     whole = materialise(whole.withColumn("one", F.lit(0)), "ranks")
     placed = ranked(whole, ["one"], "part", ["spot", *ties], rows, "place")
     exact = F.expr(f"cast(place * {shards} div {max(rows, 1)} as long)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -10,13 +11,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; if that is unset, one of our own (tests)."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a local session gets one of its own; a cluster, whose executors would not see it, gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
         if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus-"))
             folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
@@ -44,15 +47,16 @@ def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
     return docs.join(ids, docs[id_col] == ids["id to drop"], "left_anti")
 
 
-def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: int, out: str, total: str | None = None, per_bucket: int = 20_000) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: int, out: str, total: str | None = None, per_bucket: int | None = None) -> DataFrame:
     """Adds `out`, the position from 0 within `group` by (order, ties), without one task per group; `total` names a column for the group's size.
 
     `order` is a double in [0, 1) spread about evenly. Rows are cut into ranges of
     it, counted per (group, range), and only ranked inside a range; the ranges
     before it add an offset. A group that holds a third of all rows is therefore
-    dealt over a third of the ranges.
+    dealt over all ranges. There are about as many ranges as rows in one, so that
+    neither the rows of a range nor the ranges of a group are many for one task.
     """
-    pieces = max(1, -(-rows // per_bucket))
+    pieces = max(1, -(-rows // (per_bucket or max(1, math.isqrt(rows)))))
     cut = df.withColumn("_range", F.floor(F.col(order) * pieces).cast("long"))
     counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,30 +1,37 @@
 """WARC records in ZIP packages, read by range without extraction.
 
-A package is a ZIP file with stored (uncompressed) members: `archive/data.warc`,
-the records end to end, and `indexes/index.cdxj`, a line per record with its
-offset and length within the archive member. The reader finds the end record (and
+A package is a ZIP file with stored members: `archive/data.warc.gz`, the records end
+to end, each compressed for itself, and `indexes/index.cdxj`, a line per record with
+its offset and length within the archive member. The reader finds the end record (and
 the ZIP64 one), walks the central directory, resolves a stored member to a byte
 range of the file, and then reads single records by range.
 
-Sources of bytes only need `size` and `read(offset, length)`, so a package can be
-a file in any store with range reads, or bytes held in a table.
+Packages are files of the shared folder, read and written through Arrow's file
+systems (local, HDFS, object stores). A task writes under names of its own attempt;
+the table of packages, which Spark commits, lists only those of tasks that ended
+well, so what a lost task left behind is never read.
 """
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import json
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import materialise, shared_folder
 
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdxj"
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 4 << 20
 #: Payloads under so many bytes are never revisits.
 REVISIT_BYTES = 100
@@ -39,14 +46,25 @@ class BytesSource:
         return bytes(self._data[offset : offset + length])
 
 
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or plain path, and the path within it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        path = rest if scheme == "file" else uri
+        return fs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("/") else path
+    return fs.FileSystem.from_uri(uri)
+
+
 class FileSource:
-    def __init__(self, path: str):
-        self._file = open(path, "rb")  # noqa: SIM115
-        self.size = self._file.seek(0, 2)
+    """A file in any store that Arrow reads, by ranges."""
+
+    def __init__(self, uri: str):
+        where, path = store(uri)
+        self._file = where.open_input_file(path)
+        self.size = self._file.size()
 
     def read(self, offset: int, length: int) -> bytes:
-        self._file.seek(offset)
-        return self._file.read(length)
+        return self._file.read_at(length, offset)
 
     def close(self) -> None:
         self._file.close()
@@ -186,7 +204,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def package(records: list[tuple[int | None, bytes]]) -> bytes:
-    """A package of (page_id, record bytes)."""
+    """A package of (page_id, compressed record)."""
     at, lines = 0, []
     for page_id, data in records:
         lines.append(json.dumps({"id": page_id, "offset": at, "length": len(data)}))
@@ -195,14 +213,22 @@ def package(records: list[tuple[int | None, bytes]]) -> bytes:
 
 
 def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Every record of a package, each read by its own range."""
+    """Every record of a package, each read by its own range. Raises if the archive or its index does not have the directory's checksum."""
     reader = ZipReader(source)
-    base, size = reader.start(ARCHIVE), reader.members[ARCHIVE].size
-    for line in reader.read(INDEX).splitlines():
+    member, base = reader.members[ARCHIVE], reader.start(ARCHIVE)
+    index = reader.read(INDEX)
+    if zlib.crc32(index) != reader.members[INDEX].crc32:
+        raise ValueError("damaged index")
+    check = at = 0
+    for line in index.splitlines():
         entry = json.loads(line)
-        if entry["offset"] + entry["length"] > size:
-            raise ValueError("index points outside the archive")
-        yield parse_record(source.read(base + entry["offset"], entry["length"]))
+        if entry["offset"] != at or at + entry["length"] > member.size:
+            raise ValueError("the index does not cover the archive")
+        data = source.read(base + at, entry["length"])
+        check, at = zlib.crc32(data, check), at + len(data)
+        yield parse_record(gzip.decompress(data))
+    if at != member.size or check != member.crc32:
+        raise ValueError("damaged archive")
 
 
 def decide_revisits(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -217,12 +243,13 @@ def decide_revisits(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.withColumn("_salt", salt).join(groups, ["_d", "_salt"]).where("_id <> _first").select("_id", F.col("_first").alias("refers_to"))
 
 
-def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", most: int = PACKAGE_BYTES) -> DataFrame:
-    """Packages of all pages: rows of `package` binary.
+def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", most: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes all pages to packages in `folder`, a URI that all executors reach; gives a row (path, records, bytes) for each.
 
-    A null or empty payload is an empty record. A null id is kept (never a revisit,
-    never referred to). If ids are repeated, the copies other than the smallest id
-    are revisits. Columns other than the three are ignored.
+    To be evaluated once (`materialise` it): each evaluation writes packages of its
+    own. A null or empty payload is an empty record. A null id is kept (never a
+    revisit, never referred to). If ids are repeated, the copies other than the
+    smallest id are revisits. Columns other than the three are ignored.
     """
     again = decide_revisits(pages, id_col, text_col).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -230,28 +257,40 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     rows = rows.join(again, rows["page_id"] == again["_id"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = store(folder)
+        task = TaskContext.get()
+        stem = f"{path}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         held: list[tuple[int | None, bytes]] = []
-        size = 0
+        size = number = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size, number
+            name, data = f"{stem}-{number:04d}.wacz", package(held)
+            where.create_dir(path, recursive=True)
+            with where.open_output_stream(name) as out:
+                out.write(data)
+            done = pa.RecordBatch.from_arrays([pa.array([f"{folder}{name[len(path) :]}"]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "records", "bytes"])
+            held, size, number = [], 0, number + 1
+            return done
+
         for batch in batches:
             for page_id, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = warc_record(page_id, url, payload.encode(), digest, refers)
+                data = gzip.compress(warc_record(page_id, url, payload.encode(), digest, refers), 1, mtime=0)
                 held.append((page_id, data))
                 size += len(data)
                 if size >= most:
-                    yield pa.RecordBatch.from_arrays([pa.array([package(held)], pa.binary())], ["package"])
-                    held, size = [], 0
+                    yield flush()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([package(held)], pa.binary())], ["package"])
+            yield flush()
 
-    return rows.mapInArrow(build, "package binary")
+    return rows.mapInArrow(build, "path string, records long, bytes long")
 
 
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """The records of all packages; a response's payload is checked against its digest and length."""
-    import hashlib
+    """The records of the packages whose `path` is listed, read by ranges; a response's payload is checked against its digest and length."""
 
     def number(value: str | None) -> int | None:
         digits = (value or "").rpartition(":")[2].rstrip(">")
@@ -259,19 +298,25 @@ def read_packages(packages: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for path in batch.column(0).to_pylist():
+                source = FileSource(path)
                 rows: list[tuple] = []
-                for headers, body in records(BytesSource(data.as_buffer())):
+                for headers, body in records(source):
                     digest, length = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["warc-payload-length"])
                     if headers["warc-type"] == "response" and (len(body) != length or hashlib.sha256(body).hexdigest() != digest):
                         raise ValueError(f"damaged payload of {headers['warc-record-id']}")
                     rows.append((number(headers["warc-record-id"]), length, digest, headers["warc-type"], number(headers.get("warc-refers-to"))))
+                source.close()
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return packages.mapInArrow(scan, READ_SCHEMA)
+    return packages.select("path").mapInArrow(scan, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """Writes all pages to packages in the shared folder and reads the records back."""
-    return read_packages(materialise(write_packages(pages, id_col, url_col, text_col), "packages"))
+    spark = pages.sparkSession
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    written = materialise(write_packages(pages, folder, id_col, url_col, text_col), "packages")
+    # one row a package: dealt anew, or a few tasks would read all of them
+    return read_packages(written.repartition(max(1, min(written.count(), 4 * spark.sparkContext.defaultParallelism)), "path"))

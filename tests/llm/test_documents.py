@@ -1,8 +1,9 @@
 """The operators on documents, on a table of awkward rows, on an empty one, and against brute force."""
 
 import hashlib
-import random
+import json
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 
 from brightvane.llm import bpe_transducer, ef_trie_lm, exact_dedup, language_id, ngram_join, packing, quality_fm, sharding, storage
+from brute import jaccard_truth, words
 
 # extra columns bear names that the operators use themselves
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, n int, fp string, row string, score double, _text string, rank int"
@@ -32,10 +34,6 @@ def nothing(docs):
     return docs.limit(0)
 
 
-def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-
-
 def test_exact_groups(docs, nothing):
     got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, frequent=2).collect())
     groups = defaultdict(list)
@@ -157,32 +155,6 @@ def test_plan_uses_each_piece_once():
         assert used == counts
 
 
-def brute_components(pairs, ids):
-    root = {i: i for i in ids}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = top(a), top(b)
-        root[max(a, b)] = min(a, b)
-    return {i: top(i) for i in ids}
-
-
-def shingles(text):
-    w = words(text)
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-
-
-def jaccard_truth(texts):
-    sets = {i: shingles(t) for i, t in texts.items()}
-    ids = sorted(sets)
-    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
-    return {i: len(s) for i, s in sets.items()}, brute_components(pairs, ids)
-
-
 def test_ngram_join_edges(docs, nothing):
     assert ngram_join.jaccard_components(nothing).count() == 0
     sizes, truth = jaccard_truth({i: t for i, t, *_ in ROWS if i is not None})
@@ -309,6 +281,81 @@ def test_quality(spark, docs, nothing):
     assert quality_fm.keep_good(docs, machine).columns == docs.columns
 
 
+def test_statistics_against_plain_python():
+    texts = ["", "One two two.\nOne two two.\nA b!? 12 'x' | é", "x" * 40 + " z", "\n\n", LONG]
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    buckets, _ = quality_fm.word_buckets(raw, at)
+    got = quality_fm.statistics(raw, at, np.array([len(t) for t in texts], dtype=float), buckets)
+    for row, text in zip(got, texts, strict=True):
+        data, own = text.encode(), words(text)
+        plain = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        lines = [x for x in re.findall(rb"[^\n]*\n|[^\n]+", data)]
+        assert np.isclose(row[0], sum(b in b" \t\n\v\f\r" for b in data) / max(1, len(data)))
+        assert np.isclose(row[1], sum(48 <= b < 58 for b in data) / max(1, len(data)))
+        assert np.isclose(row[10], math.log1p(len(plain))) and np.isclose(row[11], sum(map(len, plain)) / max(1, len(plain)))
+        assert np.isclose(row[12], sum(len(w) > 16 for w in plain) / max(1, len(plain)))
+        assert np.isclose(row[17], (len(lines) - len(set(lines))) / max(1, len(lines))) and np.isclose(row[18], math.log1p(len(lines)))
+        assert np.isclose(row[19], sum(a == b for a, b in zip(own, own[1:], strict=False)) / max(1, len(own)))
+        assert np.isclose(row[20], math.log1p(len(text)))
+
+
+def test_language_score_weighs_windows_by_letters():
+    net = language_id.ByteConvNet(["a", "b", "c"])
+    texts = ["", "short", LONG[:1000] + "1" * 700, "é" * 500]
+    raw = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    best, score = net.score(raw, at)
+    for i, text in enumerate(texts):
+        data = text.encode()
+        parts = [data[k : k + language_id.WINDOW] for k in range(0, max(1, len(data)), language_id.WINDOW)]
+        windows = np.zeros((len(parts), language_id.WINDOW), dtype=np.int64)
+        for w, part in zip(windows, parts, strict=True):
+            w[: len(part)] = [language_id._CLASS[b] for b in part]
+        weight = np.array([sum(b >= 128 or chr(b).isalpha() for b in part) + 1e-9 for part in parts])
+        mean = (net.probabilities(windows) * weight[:, None]).sum(axis=0) / weight.sum()
+        assert best[i] == mean.argmax() and abs(score[i] - mean.max()) < 1e-5
+
+
+def test_many_sources_of_one_row_are_spread(spark):
+    """A third of the rows have one source, each other row has its own: places are spread, shares hold in every shard."""
+    many = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) as text", "case when id % 3 = 0 then 'hot' else concat('s', id) end as source")
+    rows = sharding.stratified_shards(many, shards=10).collect()
+    assert Counter(r.shard for r in rows) == {s: 300 for s in range(10)}
+    assert all(abs(sum(r.source == "hot" for r in rows if r.shard == s) - 100) <= 25 for s in range(10))
+
+
+def test_packing_of_special_strings_and_other_vocabularies(spark, tmp_path):
+    vocabularies, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = vocabularies.path("word_bpe_49k.json")
+    plain = tokenizers.Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "x<|endoftext|>y. <|Endoftext|>", "< |endoftext|>"] * 2
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in packing.pieces(table, path).collect():
+        ids = np.array([*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids))
+    rules = json.loads(open(path, encoding="utf-8").read())
+    rules["normalizer"] = {"type": "NFC"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(rules))
+    with pytest.raises(ValueError, match="can be packed"):
+        packing.SegmentTokenizer(str(other))
+
+
+def test_texts_longer_than_a_block(spark):
+    """Texts of more than one block of 2 MB: results as for short ones."""
+    unit = " ".join(f"w{i}" for i in range(3000)) + " "
+    texts = {1: unit * 180, 2: unit * 180 + "end", 3: "Ünï " * 700_000, 4: None}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(table).collect()}
+    assert rows == {1: (3000, 1), 2: (3001, 1), 3: (1, 3), 4: (0, 4)}
+    assert {r.doc_id: r.n_tokens for r in ef_trie_lm.score_texts(table).collect()} == {1: 540_001, 2: 540_002, 3: 700_001, 4: 1}
+    net = language_id.ByteConvNet(["a", "b"])
+    assert {r.doc_id: r.lang_pred == "und" for r in language_id.identify(table, net).collect()} == {1: False, 2: False, 3: False, 4: True}
+    assert {r.doc_id: r.group_size for r in exact_dedup.exact_groups(table).collect()} == {i: 1 for i in texts}
+    assert {r.doc_id: r.size for r in sharding.stratified_shards(table.withColumn("source", table.text)).collect()} == {i: len((t or "").encode()) + 16 for i, t in texts.items()}
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(2)
     machine = quality_fm.FactorisationMachine()
