@@ -1,7 +1,6 @@
 """A bigram language model in Elias-Fano tries, for corpora of any size.
 
-Texts are tokenised once into a table of blocks in the shared folder. Counts are
-gathered and answers given in two columnar shuffles: blocks send their distinct words
+Texts are tokenised once into blocks, files of the shared folder. Counts are gathered and answers given in two columnar shuffles: blocks send their distinct words
 and word pairs, with training counts, to buckets; hot first words are spread over all
 buckets. A bucket builds its part of the model: an n-gram trie whose levels (words
 with their counts, monotone pointers, successors within a context) are Elias-Fano
@@ -20,17 +19,17 @@ from __future__ import annotations
 
 import mmap
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import _press, _unpress
 from .sampling import fold
-from .storage import materialise
+from .storage import dealt, materialise, read_file, shared_folder, task_file, write_file
 from .textkernel import blocks, mix, word_hashes
 
 ADD, STRENGTH = 0.1, 24.0
@@ -246,21 +245,21 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.binary())], ["dest", "block", "kind", "data"])
 
 
-_BLOCK = "block string, data binary"
-
+def _blocks_to(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts to files of blocks: ids, which are null, which are held out, tokens of each, distinct words, and each token's word."""
+        for number, (ids, missing, held_out, sizes, tokens) in enumerate(_text_blocks(batches)):
+            words, place = np.unique(tokens, return_inverse=True)
+            name = task_file(folder, number, "block")
+            write_file(name, _press(ids, missing.astype("u1"), held_out.astype("u1"), sizes.astype("<i8"), np.diff(words, prepend=np.uint64(0)), place.astype("<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["block"])
 
-def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to blocks: ids, which are null, which are held out, tokens of each, distinct words, and each token's word."""
-    task = TaskContext.get().partitionId()
-    for number, (ids, missing, held_out, sizes, tokens) in enumerate(_text_blocks(batches)):
-        words, place = np.unique(tokens, return_inverse=True)
-        data = _press(ids, missing.astype("u1"), held_out.astype("u1"), sizes.astype("<i8"), np.diff(words, prepend=np.uint64(0)), place.astype("<u4"))
-        yield pa.RecordBatch.from_arrays([pa.array([f"{task}-{number}"]), pa.array([data], pa.binary())], ["block", "data"])
+    return run
 
 
-def _open(data: bytes) -> tuple[np.ndarray, ...]:
+def _open(block: str) -> tuple[np.ndarray, ...]:
     """ids, missing, held_out, sizes, words, place of a block."""
-    ids, missing, held_out, sizes, words, place = _unpress(data, "<i8", "u1", "u1", "<i8", "<u8", "<u4")
+    ids, missing, held_out, sizes, words, place = _unpress(read_file(block), "<i8", "u1", "u1", "<i8", "<u8", "<u4")
     return ids, missing.astype(bool), held_out.astype(bool), sizes, np.cumsum(words, dtype=np.uint64), place
 
 
@@ -273,8 +272,8 @@ def _counted(hot_words: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(1):
-                _, _, held_out, sizes, words, place = _open(data.as_py())
+            for name in batch.column(0).to_pylist():
+                _, _, held_out, sizes, words, place = _open(name)
                 count = _word_counts(held_out, sizes, words, place)
                 if hot_words is None:
                     keep = count >= max(2.0, LEAST_SHARE * count.sum() / 16)
@@ -291,8 +290,8 @@ def _ask(buckets: int, hot_words: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks to rows for buckets: kind 0 words and training counts, kind 1 pairs and training counts."""
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, held_out, sizes, words, place = _open(data.as_py())
+            for name in batch.column(0).to_pylist():
+                _, _, held_out, sizes, words, place = _open(name)
                 home, hot = _homes(words, buckets), np.isin(words, hot_words)
                 count = _word_counts(held_out, sizes, words, place).astype("<u4")
                 second, first, follow, back = _pairs(place, sizes, len(words))
@@ -362,17 +361,13 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _score(buckets: int, hot_words: np.ndarray, distinct: int, training: int):
     def run(table: pa.Table) -> pa.Table:
-        """A block (kind -1) and the answers to it: the scores of its texts."""
+        """A block's answers to the scores of its texts."""
         answers: dict[tuple[int, int], bytes] = {}
-        texts: list[bytes] = []
         for dest, kind, data in zip(table.column("dest").to_pylist(), table.column("kind").to_pylist(), table.column("data"), strict=True):
-            if kind < 0:
-                texts.append(data.as_py())
-            else:
-                answers[kind, dest] = data.as_py()
+            answers[kind, dest] = data.as_py()
         out = []
-        for text in texts:
-            ids, missing, held_out, sizes, words, place = _open(text)
+        for name in set(table.column("block").to_pylist()):
+            ids, missing, held_out, sizes, words, place = _open(name)
             home, hot = _homes(words, buckets), np.isin(words, hot_words)
             count = np.zeros(len(words))
             for b, w in _dealt(home):
@@ -403,7 +398,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unknown. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(fold(id_col, parts) == 0, F.lit(False)).alias("_held"), F.col(text_col).alias("_text"))
-    texts = materialise(rows.mapInArrow(_blocks_of, _BLOCK), "blocks")
+    folder = f"{shared_folder(docs.sparkSession)}/blocks-{uuid.uuid4().hex}"
+    texts = dealt(materialise(rows.mapInArrow(_blocks_to(folder), "block string"), "blocks"), "block")
     counted = materialise(texts.mapInArrow(_counted(None), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     tokens = counted.where("word = 0").select(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
@@ -418,5 +414,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = texts.mapInArrow(_ask(buckets, hot_words), _ROW)
     answers = materialise(asked.groupBy("dest").applyInArrow(_answer(hot), _ROW), "answers")
     sums = {r["kind"]: int(r["n"]) for r in answers.where("kind in (4, 5)").groupBy("kind").agg(F.sum("dest").alias("n")).collect()}
-    both = answers.where("kind < 4").unionByName(texts.select(F.lit(0).cast("long").alias("dest"), "block", F.lit(-1).alias("kind"), "data"))
-    return both.groupBy("block").applyInArrow(_score(buckets, hot_words, sums.get(4, 0), sums.get(5, 0)), _SCORED)
+    return answers.where("kind < 4").groupBy("block").applyInArrow(_score(buckets, hot_words, sums.get(4, 0), sums.get(5, 0)), _SCORED)

@@ -6,6 +6,8 @@ import math
 import tempfile
 import uuid
 
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or plain path, and the path within it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        path = rest if scheme == "file" else uri
+        return fs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("/") else path
+    return fs.FileSystem.from_uri(uri)
+
+
+def task_file(folder: str, number: int, kind: str) -> str:
+    """A file name no other task or attempt uses. List it in a table that Spark commits: files of lost attempts are then never read."""
+    task = TaskContext.get()
+    return f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}-{number:04d}.{kind}"
+
+
+def write_file(uri: str, data: bytes) -> None:
+    where, path = store(uri)
+    where.create_dir(path.rpartition("/")[0], recursive=True)
+    with where.open_output_stream(path) as out:
+        out.write(data)
+
+
+def read_file(uri: str) -> bytes:
+    where, path = store(uri)
+    with where.open_input_file(path) as file:
+        return file.read()
+
+
+def dealt(files: DataFrame, path: str) -> DataFrame:
+    """A table of a row a file, dealt over all tasks, or a few of them would read all the files."""
+    return files.repartition(max(1, min(files.count(), 4 * files.sparkSession.sparkContext.defaultParallelism)), path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     spark = df.sparkSession

@@ -24,12 +24,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise, shared_folder
+from .storage import dealt, materialise, shared_folder, store, task_file, write_file
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 4 << 20
@@ -46,15 +44,6 @@ class BytesSource:
         return bytes(self._data[offset : offset + length])
 
 
-def store(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI or plain path, and the path within it."""
-    scheme, colon, rest = uri.partition(":")
-    if not colon or "/" in scheme or scheme == "file":
-        path = rest if scheme == "file" else uri
-        return fs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("/") else path
-    return fs.FileSystem.from_uri(uri)
-
-
 class FileSource:
     """A file in any store that Arrow reads, by ranges."""
 
@@ -257,19 +246,14 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = rows.join(again, rows["page_id"] == again["_id"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = store(folder)
-        task = TaskContext.get()
-        stem = f"{path}/{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         held: list[tuple[int | None, bytes]] = []
         size = number = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, number
-            name, data = f"{stem}-{number:04d}.wacz", package(held)
-            where.create_dir(path, recursive=True)
-            with where.open_output_stream(name) as out:
-                out.write(data)
-            done = pa.RecordBatch.from_arrays([pa.array([f"{folder}{name[len(path) :]}"]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "records", "bytes"])
+            name, data = task_file(folder, number, "wacz"), package(held)
+            write_file(name, data)
+            done = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([len(data)], pa.int64())], ["path", "records", "bytes"])
             held, size, number = [], 0, number + 1
             return done
 
@@ -318,5 +302,4 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     written = materialise(write_packages(pages, folder, id_col, url_col, text_col), "packages")
-    # one row a package: dealt anew, or a few tasks would read all of them
-    return read_packages(written.repartition(max(1, min(written.count(), 4 * spark.sparkContext.defaultParallelism)), "path"))
+    return read_packages(dealt(written, "path"))

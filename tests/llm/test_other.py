@@ -101,7 +101,7 @@ def test_damage_is_found():
     hurt = data[:at] + bytes([data[at] ^ 1]) + data[at + 1 :]
     with pytest.raises(ValueError, match="damaged archive"):
         list(wacz.records(wacz.BytesSource(hurt)))
-    assert wacz.store("file:/a/b")[1] == wacz.store("file:///a/b")[1] == wacz.store("/a/b")[1] == "/a/b"
+    assert storage.store("file:/a/b")[1] == storage.store("file:///a/b")[1] == storage.store("/a/b")[1] == "/a/b"
 
 
 def test_a_long_page_is_one_record(spark):
