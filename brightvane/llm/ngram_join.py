@@ -40,7 +40,7 @@ BUCKET_SHINGLES, BLOCK_SHINGLES, BLOCK_TEXTS = 1_500_000, 2_000_000, 60_000
 #: A code in more texts of a block than this is counted there and listed beside the count.
 LOCAL = 4
 #: Codes verified together; larger candidate groups are taken apart, or compared block by block.
-TASK_CODES = 500_000
+TASK_CODES = 150_000
 #: Cost of a shuffled key in entries of a scanned list (a row moves in about 1 us, an entry in about 10 ns).
 KEY_COST = 100
 _AGGREGATED = 0xFFFF
