@@ -261,8 +261,8 @@ def extract_numerical_claims(c: Column, limit: int = 8, compose: bool = True) ->
         return F.transform(F.array_distinct(good), lambda v: F.struct(v.alias("value"), s.alias("context")))
 
     kept = _once(F.flatten(F.transform(prose, of)), lambda x: F.concat(x["value"], F.lit("|"), F.left(x["context"], F.lit(60))), limit)
-    sound = lambda plain: F.transform(kept, lambda x: F.struct(x["value"].alias("value"), x["context"].alias("context"), holds(plain, x["context"]).alias("verified_verbatim"), F.lit(True).alias("needs_verification")))
-    return let(loose(c, False), sound)
+    sound = lambda v: F.transform(v["kept"], lambda x: F.struct(x["value"].alias("value"), x["context"].alias("context"), holds(v["plain"], x["context"]).alias("verified_verbatim"), F.lit(True).alias("needs_verification")))
+    return let(F.struct(loose(c, False).alias("plain"), kept.alias("kept")), sound)
 
 
 def looks_promotional(c: Column) -> Column:
@@ -288,7 +288,8 @@ def select_evidence_passages(c: Column, keywords: list[str], limit: int = 5, min
 
     ordered = F.array_sort(F.filter(F.transform(sentences(c, False), scored), lambda x: x["keep"]))
     picked = _once(ordered, lambda x: F.left(loose(x["s"], compose=False), F.lit(80)), limit)
-    return let(loose(c, False), lambda plain: F.transform(picked, lambda x: F.struct(x["s"].alias("passage"), holds(plain, x["s"]).alias("verified_verbatim"))))
+    sound = lambda v: F.transform(v["picked"], lambda x: F.struct(x["s"].alias("passage"), holds(v["plain"], x["s"]).alias("verified_verbatim")))
+    return let(F.struct(loose(c, False).alias("plain"), picked.alias("picked")), sound)
 
 
 def to_utc(c: Column, zone: str = "UTC") -> Column:

@@ -122,10 +122,10 @@ def is_first_party(domain: Column, own: Iterable[str]) -> Column:
 
 
 def social_handle(c: Column) -> Column:
-    """C-10: the handle in a link to a profile or post, or null."""
-    got = F.regexp_extract(F.coalesce(c, F.lit("")), r"(?i)(?:linkedin\.com/(?:posts|in|pulse)/([A-Za-z0-9-]+?)(?:_|/|\?|$)|(?:^|[/.])(?:x|twitter)\.com/([A-Za-z0-9_]+)|reddit\.com/(?:u|user)/([A-Za-z0-9_-]+))", 0)
-    handle = F.regexp_extract(got, r"(?i)(?:posts|in|pulse|\.com|u|user)/([A-Za-z0-9_-]+?)(?:_|/|\?|$)", 1)
-    return F.when(handle != "", handle)
+    """C-10: who posted, read out of the link to a post; null for links of any other shape."""
+    u = F.coalesce(c, F.lit(""))
+    posted, status = F.regexp_extract(u, r"(?i)linkedin\.com/posts/([^/_?#]+)", 1), F.regexp_extract(u, r"(?i)(?:x|twitter)\.com/([^/?#]+)/status/", 1)
+    return F.when(posted != "", posted).when(~F.lower(status).isin("", "i", "home"), status)
 
 
 def platform(c: Column) -> Column:

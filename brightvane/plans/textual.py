@@ -34,46 +34,18 @@ def b04_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", text.truncate(F.col("text"), 100).alias("cut"))
 
 
-@query()
-def b05_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.size(text.sentences(F.col("text"))).alias("sentences"))
-
-
-@query()
-def b07_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
-
-
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') AS w FROM documents WHERE regexp_full_match(text, '[\x00-\x7f]*') AND NOT regexp_matches(text, '(?i)(cookie policy|accept all cookies|privacy policy|terms of service|all rights reserved|subscribe to our newsletter|skip to (main )?content)'))
-    SELECT doc_id, (CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')))) END)::INTEGER AS shingles FROM w""")
-def b08_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all texts; the SQL above holds the plain ones only, as it has no NFKC
-    return _docs(spark, sf_dir).select("doc_id", F.size(text.shingles(F.col("text"))).alias("shingles"))
-
-
 @query(oracle(r"SELECT source_id, regexp_replace(lower(regexp_replace(search_query || ' ' || source_type || '!', '[^\w\s-]', '', 'g')), '[\s_-]+', '-', 'g') AS slug FROM m_sources"))
 def b11_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = view(spark, sf_dir, "m_sources")
     return s.select("source_id", text.slugify(F.concat("search_query", F.lit(" "), "source_type", F.lit("!"))).alias("slug"))
 
 
-@query()
-def b15_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.size(text.extract_quotes(F.col("text"))).alias("quotes"))
-
-
 @query()
 def b16_numerical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("text", text.normalize_unicode(F.col("text")))
     return docs.select("doc_id", F.size(text.extract_numerical_claims(F.col("text"), compose=False)).alias("claims"))
 
 
-@query()
-def b19_evidence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("text", text.normalize_unicode(F.col("text")))
-    return docs.select("doc_id", F.size(text.select_evidence_passages(F.col("text"), ["the", "that"], priority=["with"], compose=False)).alias("passages"))
-
-
 @query(oracle(f"SELECT source_id, CASE WHEN published_at IS NULL THEN 'undated' WHEN a <= 14 THEN 'new' WHEN a <= 90 THEN 'recent' ELSE 'evergreen' END AS tier FROM (SELECT source_id, published_at, (epoch_us(make_timestamp({AS_OF}000000)) - epoch_us(published_at)) / 86400e6 AS a FROM m_sources)"))
 def b24_recency_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "m_sources").select("source_id", labels.recency_tier(F.col("published_at"), as_of()).alias("tier"))
