@@ -7,6 +7,14 @@ PROMOTIONAL = (
     "schedule a demo", "contact sales", "see pricing", "watch the demo",
 )
 
+# Tells of vendor marketing within a passage.
+MARKETING_TELLS = (
+    "awarded", "highlighted by", "named to", "recognized as", "recognised as",
+    "ranked #", "#1 ai", "our platform", "our ai employee", "we help businesses",
+    "join us", "we're looking for", "we are looking for", "you'll be", "the role",
+    "reply to get", "text us", "% off your",
+)
+
 # Phrases of page furniture.
 FURNITURE = (
     "watch a demo", "watch demo", "book a demo", "request a demo", "schedule a demo",

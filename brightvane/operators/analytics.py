@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import is_aggregator, is_first_party, platform
+from ..shared import settle
+from .briefs import no_conversation
 
 
-def dashboard_counters(sources: DataFrame, signals: DataFrame, themes: DataFrame, opportunities: DataFrame, drafts: DataFrame, watchlist: DataFrame, as_of: Column) -> DataFrame:
-    """J-01: one row of counts; a pass per table."""
+def dashboard_counters(sources: DataFrame, signals: DataFrame, themes: DataFrame, opportunities: DataFrame, drafts: DataFrame, watchlist: DataFrame, voice: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """J-01: one row of counts, with the id, start, stored rows and errors of the last run (null if there is none); a pass per table."""
     since = lambda hours: F.count_if(F.col("discovered_at") >= as_of - F.make_dt_interval(hours=F.lit(hours)))
     parts = [
         sources.agg(
@@ -23,6 +26,8 @@ def dashboard_counters(sources: DataFrame, signals: DataFrame, themes: DataFrame
         opportunities.agg(F.count(F.lit(1)).alias("opportunities")),
         drafts.agg(F.count_if(F.col("approval_status") == "pending_review").alias("drafts_pending"), F.count_if(F.col("approval_status") == "approved").alias("drafts_approved")),
         watchlist.agg(F.count_if(F.col("review_status") == "unreviewed").alias("watchlist_unreviewed")),
+        voice.agg(F.count_if("approved_for_voice_library").alias("voice_examples")),
+        runs.agg(F.max_by(F.struct("run_id", "started_at", "stored", F.size("errors").alias("errors")), F.struct("started_at", "run_id")).alias("_r")).select(*[F.col(f"_r.{c}").alias(f"last_run_{c}") for c in ("run_id", "started_at", "stored", "errors")]),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -173,20 +178,45 @@ def agent_activity(runs: DataFrame) -> DataFrame:
     return rows.select("run_id", "seconds", "stage", F.col("c.key").alias("connector"), F.col("c.value.candidates").alias("candidates"), F.col("c.value.errors").alias("errors")).orderBy("run_id", F.desc("candidates"), "connector")
 
 
-def social_stats(sources: DataFrame, signals: DataFrame) -> DataFrame:
-    """J-16: posts by platform, and how many are analysed."""
-    posts = sources.where(F.col("source_type") == "social_public").join(signals.select("source_id", F.lit(1).alias("_s")), "source_id", "left")
-    return posts.groupBy(platform(F.col("source_url")).alias("platform")).agg(F.count(F.lit(1)).alias("posts"), F.count("_s").alias("analysed"))
+def social_stats(sources: DataFrame, signals: DataFrame, own: Sequence[str] = ()) -> DataFrame:
+    """J-16: (measure, n): analysed posts, those of each platform, and those rejected as vendors' or as irrelevant."""
+    posts = sources.where(F.col("source_type").isin("social_public", "reddit")).join(signals.select("source_id", "market_relevance", "is_promotional"), "source_id")
+    where, reason = platform(F.col("source_url")), F.coalesce(no_conversation(own), F.lit(""))
+    flags = F.array(F.lit("analysed"), F.when(where != "other", F.concat(F.lit("on "), where)), F.when(F.contains(reason, F.lit("vendor")), "rejected_vendor").when(F.contains(reason, F.lit("relevance")), "rejected_relevance"))
+    return posts.select(F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("measure")).groupBy("measure").agg(F.count(F.lit(1)).alias("n"))
 
 
-def daily_brief(sources: DataFrame, signals: DataFrame, themes: DataFrame, as_of: Column, hours: int = 168, limit: int = 5, own: Sequence[str] = ()) -> DataFrame:
-    """J-17: (section, rank, title) of the brief: top signals of the window, then rising themes (or stable ones)."""
-    recent = sources.where(F.col("discovered_at") >= as_of - F.make_dt_interval(hours=F.lit(hours)))
-    best = top_signals(recent, signals, limit=limit, own=own, overfetch=3)
-    best = best.select(F.lit("signal").alias("section"), F.col("opportunity_score").alias("score"), F.coalesce("title", F.lit("(untitled)")).alias("title"))
-    hot = prefer(themes.where(F.col("trend_status").isin("rising", "stable")), F.col("trend_status") == "rising").orderBy(F.desc("source_count"), "slug").limit(3)
-    both = best.union(hot.select(F.lit("theme"), F.col("source_count").cast("double"), F.col("name")))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("score"), "title")))
+def daily_brief(sources: DataFrame, signals: DataFrame, themes: DataFrame, opportunities: DataFrame, drafts: DataFrame, watchlist: DataFrame, as_of: Column, hours: int = 48, limit: int = 5) -> DataFrame:
+    """J-17: (section, rank, item, text) of the brief.
+
+    Signals found within `hours`, without aggregators and spread over domains; rising
+    and emerging themes (stable ones where there are none); the best opportunities
+    not archived; unreviewed items of the watchlist and drafts that wait, newest
+    first; and at most 20 warnings about what these sections show.
+    """
+    row = lambda df, name, order, item, text: df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(F.lit(name).alias("section"), "rank", F.col(item).cast("string").alias("item"), text.alias("text"))
+    best = sources.where(F.col("discovered_at") >= as_of - F.make_dt_interval(hours=F.lit(hours))).select("source_id", "title", "source_domain").join(signals.select("source_id", "opportunity_score", "verification_notes"), "source_id")
+    order = [F.desc_nulls_last("opportunity_score"), F.col("source_id")]
+    best = settle(diversify(best.orderBy(*order).limit(3 * limit).where(~is_aggregator(F.col("source_domain"))), limit))
+    hot = prefer(themes.where(F.col("trend_status").isin("rising", "emerging", "stable")), F.col("trend_status") != "stable").orderBy(F.desc("source_count"), F.desc("average_market_relevance"), "slug").limit(3)
+    chosen = opportunities.where(F.col("status") != "archived").orderBy(F.desc_nulls_last("opportunity_score"), "opportunity_id").limit(limit)
+    watched = watchlist.where(F.col("review_status") == "unreviewed").orderBy(F.desc("discovered_at"), "item_id").limit(5)
+    pending = drafts.where(F.col("approval_status") == "pending_review").orderBy(F.desc("created_at"), "draft_id").limit(6)
+    # each section is a handful of rows from here on
+    sections = [
+        row(best, "signal", order, "source_id", F.coalesce("title", F.lit("(untitled)"))), row(hot, "theme", [F.desc("source_count"), F.desc("average_market_relevance"), "slug"], "slug", F.col("name")),
+        row(chosen, "opportunity", [F.desc_nulls_last("opportunity_score"), "opportunity_id"], "opportunity_id", F.col("title")), row(watched, "watchlist", [F.desc("discovered_at"), "item_id"], "item_id", F.col("priority")),
+        row(pending, "draft", [F.desc("created_at"), "draft_id"], "draft_id", F.concat(F.col("unsupported").cast("string"), F.lit(" unsupported"))),
+    ]
+    told = lambda kind, key, text: F.concat(F.lit(f"[{kind} #"), F.col(key).cast("string"), F.lit("] "), text)
+    noted = best.select(F.lit(1).alias("_part"), F.row_number().over(Window.orderBy(*order)).alias("_at"), "source_id", F.posexplode(F.slice("verification_notes", 1, 2)).alias("_k", "_note")).select("_part", "_at", "_k", F.col("source_id").cast("string").alias("item"), told("source", "source_id", F.col("_note")).alias("text"))
+    whole = lambda c: F.format_string("%.0f", F.bround(c))
+    risky = F.when(F.coalesce("risk_score", F.lit(0.0)) >= 50, told("opportunity", "opportunity_id", F.concat(F.lit("Risk score "), whole("risk_score"), F.lit("/100 — review risk notes before drafting."))))
+    thin = F.when(F.coalesce("confidence_score", F.lit(0.0)) < 45, told("opportunity", "opportunity_id", F.concat(F.lit("Confidence "), whole(F.coalesce("confidence_score", F.lit(0.0))), F.lit("/100 — evidence base is thin."))))
+    doubts = chosen.select(F.lit(2), F.row_number().over(Window.orderBy(F.desc_nulls_last("opportunity_score"), "opportunity_id")).alias("_at"), F.col("opportunity_id").cast("string").alias("item"), F.posexplode(F.array(risky, thin)).alias("_k", "text")).where("text is not null").select(F.lit(2), "_at", "_k", "item", "text")
+    loose = pending.where("unsupported > 0").select(F.lit(3), F.row_number().over(Window.orderBy(F.desc("created_at"), "draft_id")), F.lit(0), F.col("draft_id").cast("string"), told("draft", "draft_id", F.concat(F.col("unsupported").cast("string"), F.lit(" unsupported sentence(s) flagged."))))
+    warned = noted.union(doubts).union(loose).withColumn("rank", F.row_number().over(Window.orderBy("_part", "_at", "_k"))).where("rank <= 20").select(F.lit("warning").alias("section"), "rank", "item", "text")
+    return functools.reduce(DataFrame.union, [*sections, warned])
 
 
 def status_counts(rows: DataFrame, column: str, values: Sequence[str]) -> DataFrame:

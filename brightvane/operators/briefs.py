@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import hits, loose, word_count
-from ..functions.urls import is_first_party, under
+from ..functions.labels import count_label
+from ..functions.text import any_of, loose, truncate, word_count
+from ..functions.urls import is_first_party, normalize_url, under
 from . import scoring
+from .taxonomy import Phrases, Theme
 
 MIN_ENGAGEMENT, PROMOTABLE, LEAST_SCORE, MOST_BRIEFS = 6.0, ("rising", "emerging", "stable", "saturated", "declining"), 55.0, 12
 
@@ -29,15 +31,23 @@ def no_conversation(own: Sequence[str] = ()) -> Column:
     )
 
 
-def watchlist(sources: DataFrame, signals: DataFrame, rising: DataFrame, existing: DataFrame, as_of: Column, limit: int = 6, min_relevance: float = 4.0, recent_days: int = 120, own: Sequence[str] = ()) -> DataFrame:
-    """K-02: conversations worth joining. The limit comes before known URLs are skipped."""
-    rows = sources.select("source_id", "title", "author", "source_url", "source_domain", "published_at").join(signals.select("source_id", "primary_theme", "market_relevance", "opportunity_score", "is_promotional"), "source_id").where(F.col("market_relevance") >= min_relevance)
+def watchlist(sources: DataFrame, signals: DataFrame, rising: DataFrame, existing: DataFrame, as_of: Column, limit: int = 6, min_relevance: float = 4.0, recent_days: int = 45, own: Sequence[str] = ()) -> DataFrame:
+    """K-02: conversations worth joining. The limit comes before known URLs are skipped.
+
+    A source counts by its publication date or else by when it was found, and as
+    rising by its first theme or any other; `rising` has the names of such themes.
+    """
+    rows = sources.select("source_id", "title", "author", "source_url", "source_domain", "published_at", "discovered_at").join(signals.select("source_id", "primary_theme", "secondary_themes", "market_relevance", "opportunity_score", "is_promotional"), "source_id").where(F.col("market_relevance") >= min_relevance)
     pool = rows.orderBy(F.desc("market_relevance"), F.desc("opportunity_score"), "source_id").limit(max(30 * limit, 120))
-    pool = pool.where(F.col("published_at").isNull() | (F.col("published_at") >= as_of - F.make_dt_interval(F.lit(recent_days)))).where(no_conversation(own).isNull())
-    hot = rising.select(F.col("name").alias("primary_theme"), F.lit(1).alias("is_rising")).distinct()
-    ranked = pool.join(F.broadcast(hot), "primary_theme", "left").withColumn("is_rising", F.coalesce("is_rising", F.lit(0))).withColumn("named", F.coalesce((F.col("author") != "").cast("int"), F.lit(0)))
-    best = ranked.orderBy(F.desc("is_rising"), F.desc("named"), F.desc("market_relevance"), "source_id").limit(limit)
-    return best.join(existing.select("source_url"), "source_url", "left_anti").withColumn("priority", priority(F.col("is_rising") == 1, F.col("market_relevance")))
+    since = F.coalesce("published_at", "discovered_at")
+    pool = pool.where(since.isNull() | (since >= as_of - F.make_dt_interval(F.lit(recent_days)))).where(no_conversation(own).isNull())
+    # the pool is bounded, and so are the themes it names
+    named = pool.select("source_id", F.explode(F.array_union(F.array("primary_theme"), F.coalesce("secondary_themes", F.array().cast("array<string>")))).alias("name"))
+    hot = named.join(rising.select("name"), "name", "left_semi").select("source_id", F.lit(1).alias("is_rising")).distinct()
+    ranked = pool.join(hot, "source_id", "left").withColumn("is_rising", F.coalesce("is_rising", F.lit(0))).withColumn("named", F.coalesce((F.col("author") != "").cast("int"), F.lit(0)))
+    best = ranked.orderBy(F.desc("is_rising"), F.desc("named"), F.desc("market_relevance"), F.desc("opportunity_score"), "source_id").limit(limit)
+    known = existing.select(normalize_url(F.col("source_url")).alias("_url"))
+    return best.join(known, normalize_url(best["source_url"]) == known["_url"], "left_anti").withColumn("priority", priority(F.col("is_rising") == 1, F.col("market_relevance")))
 
 
 def priority(rising: Column, relevance: Column) -> Column:
@@ -46,14 +56,21 @@ def priority(rising: Column, relevance: Column) -> Column:
 
 
 def theme_evidence(signals: DataFrame, sources: DataFrame, themes: DataFrame, limit: int = 25) -> DataFrame:
-    """K-04: tall evidence (slug, kind, source_id, source_domain, text) of the best `limit` members of each theme; only what is verbatim."""
-    member = signals.withColumn("theme", F.explode(F.array_distinct(F.concat(F.array("primary_theme"), "secondary_themes")))).join(F.broadcast(themes.select(F.col("name").alias("theme"), "slug")), "theme")
+    """K-04: tall evidence (slug, kind, source_id, source_domain, is_promotional, text, detail, place) of the best `limit` members of each theme.
+
+    Passages and quotes only where verbatim; the detail is a quote's speaker or a
+    figure's value; the place is the order of members and within them.
+    """
+    member = signals.withColumn("theme", F.explode(F.array_distinct(F.concat(F.array("primary_theme"), "secondary_themes")))).join(themes.select(F.col("name").alias("theme"), "slug"), "theme")
     w = Window.partitionBy("slug").orderBy(F.desc_nulls_last("opportunity_score"), "source_id")
     member = member.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).join(sources.select("source_id", "source_domain"), "source_id")
-    true = lambda c, f: F.transform(F.filter(c, lambda x: x["verified_verbatim"]), lambda x: x[f])
-    kinds = {"passage": true("supporting_evidence", "passage"), "quote": true("notable_quotes", "quote"), "number": true("numerical_claims", "context"), "problem": F.filter(F.array("customer_problem"), lambda x: x.isNotNull()), "claim": F.filter(F.array("primary_claim"), lambda x: x.isNotNull())}
-    every = F.flatten(F.array(*[F.transform(a, lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("text"))) for k, a in kinds.items()]))
-    return member.select("slug", "source_id", "source_domain", "is_promotional", F.explode(every).alias("e")).select("slug", "source_id", "source_domain", "is_promotional", F.col("e.kind").alias("kind"), F.col("e.text").alias("text"))
+    part = lambda kind, text, detail=None: F.struct(F.lit(kind).alias("kind"), text.alias("text"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+    every = F.concat(
+        F.transform(F.filter("supporting_evidence", lambda x: x["verified_verbatim"] & (x["passage"] != "")), lambda x: part("passage", x["passage"])), F.transform(F.filter("notable_quotes", lambda x: x["verified_verbatim"] & (x["quote"] != "")), lambda x: part("quote", x["quote"], x["speaker"])),
+        F.transform(F.filter("numerical_claims", lambda x: x["value"] != ""), lambda x: part("number", F.coalesce(x["context"], F.lit("")), x["value"])), F.transform(F.filter(F.array("customer_problem"), lambda x: x != ""), lambda x: part("problem", x)), F.transform(F.filter(F.array("primary_claim"), lambda x: x != ""), lambda x: part("claim", x)),
+    )
+    rows = member.select("slug", "source_id", "source_domain", "is_promotional", "_rn", F.posexplode(every).alias("_at", "e"))
+    return rows.select("slug", "source_id", "source_domain", "is_promotional", "e.kind", "e.text", "e.detail", (F.col("_rn") * 10000 + F.col("_at")).alias("place"))
 
 
 def dominant_industries(members: DataFrame, top: int = 3) -> DataFrame:
@@ -65,33 +82,61 @@ def dominant_industries(members: DataFrame, top: int = 3) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("slug", "industry", "n", "rank")
 
 
-def passage_quality(text: Column, terms: Column, promotional: Column, marks: Sequence[str] = lists.PROMOTIONAL) -> Column:
-    """K-06: how well a passage supports a theme, given how many of the theme's terms it holds."""
+def passage_quality(text: Column, terms: Column, wrong: Column, promotional: Column) -> Column:
+    """K-06: how well a passage supports a theme, given how many of the theme's terms it holds and whether it holds one in the wrong sense."""
     n = word_count(text)
-    return F.when(terms == 0, -8.0).otherwise(F.least(terms, F.lit(3)) * 4.0) + F.when(promotional, 0.0).otherwise(3.0) - F.when(hits(F.lower(text), marks) > 0, 4.0).otherwise(0.0) + F.when(text.rlike(r"\d"), 1.5).otherwise(0.0) + F.when(n.between(12, 45), 1.0).otherwise(0.0)
+    score = (
+        F.when(terms == 0, -8.0).otherwise(F.least(terms, F.lit(3)) * 4.0) + F.when(promotional, 0.0).otherwise(3.0) - F.when(any_of(F.lower(text), lists.MARKETING_TELLS), 4.0).otherwise(0.0)
+        + F.when(text.rlike(r"\d"), 1.5).otherwise(0.0) + F.when(n.between(12, 45), 1.0).otherwise(0.0)
+    )
+    return F.when(wrong, -10.0).otherwise(score)
 
 
-def quote_quality(text: Column, terms: Column, promotional: Column, named: Column) -> Column:
+def quote_quality(text: Column, terms: Column, wrong: Column, promotional: Column, speaker: Column) -> Column:
     """K-07"""
     n = word_count(text)
-    return F.least(terms, F.lit(3)) * 2.0 + F.when(promotional, -1.0).otherwise(1.5) + F.when(named, 1.0).otherwise(0.0) + F.when(n.between(8, 40), 0.5).otherwise(-0.5)
+    score = (
+        F.when(terms == 0, -5.0).otherwise(0.0) + F.when(F.coalesce(speaker, F.lit("")) != "", 3.0).otherwise(0.0) + F.when(text.rlike(r"\d"), 2.0).otherwise(0.0) - F.when(any_of(F.lower(text), lists.MARKETING_TELLS), 5.0).otherwise(0.0)
+        + F.when(n < 8, -3.0).when(n.between(10, 45), 1.5).otherwise(0.0) + F.when(promotional, 0.0).otherwise(1.0)
+    )
+    return F.when(wrong, -10.0).otherwise(score)
 
 
-def rank_evidence(evidence: DataFrame, terms: Column) -> DataFrame:
-    """K-08: evidence in order by kind. Off-theme passages stay only where a theme has no others; other kinds must be on theme."""
-    scored = evidence.withColumn("terms", terms).withColumn("quality", F.when(F.col("kind") == "quote", quote_quality(F.col("text"), F.col("terms"), F.col("is_promotional"), F.lit(False))).otherwise(passage_quality(F.col("text"), F.col("terms"), F.col("is_promotional"))))
-    some = F.max((F.col("kind") == "passage") & (F.col("quality") > 0)).over(Window.partitionBy("slug"))
-    kept = scored.withColumn("_some", some).where(F.when(F.col("kind") == "passage", ~F.col("_some") | (F.col("quality") > 0)).when(F.col("kind") == "quote", F.lit(True)).otherwise(F.col("terms") > 0)).drop("_some")
-    w = Window.partitionBy("slug", "kind").orderBy(F.desc("quality"), "source_id", "text")
+def term_counts(text: Column, slug: Column, themes: Sequence[Theme]) -> tuple[Column, Column]:
+    """How many of its theme's terms (strong ones and keywords, each once) a text holds, and whether it holds one of the theme's negative words."""
+    p = Phrases(text)
+    terms, wrong = F.lit(0), F.lit(False)
+    for t in themes:
+        terms = F.when(slug == t.slug, p.number(tuple(dict.fromkeys((*t.strong, *t.keywords))))).otherwise(terms)
+        wrong = F.when(slug == t.slug, p.any(t.negative)).otherwise(wrong)
+    return terms, wrong
+
+
+def rank_evidence(evidence: DataFrame, terms: Column, wrong: Column) -> DataFrame:
+    """K-08: evidence of `theme_evidence` in order by kind, with its quality.
+
+    Passages by quality, those of none dropped where a theme has others; quotes by
+    quality; figures, problems and claims only on theme and in the right sense,
+    independent ones first, figures with the longest context first.
+    """
+    text, sold = F.col("text"), F.coalesce("is_promotional", F.lit(False))
+    scored = evidence.withColumn("terms", terms).withColumn("wrong", wrong)
+    scored = scored.withColumn("quality", F.when(F.col("kind") == "passage", passage_quality(text, F.col("terms"), F.col("wrong"), sold)).when(F.col("kind") == "quote", quote_quality(text, F.col("terms"), F.col("wrong"), sold, F.col("detail"))))
+    good = (F.col("kind") == "passage") & (F.col("quality") > 0)
+    # a theme's evidence is bounded by its members
+    kept = scored.withColumn("_some", F.max(good).over(Window.partitionBy("slug"))).where(F.when(F.col("kind") == "passage", good | ~F.col("_some")).when(F.col("kind") == "quote", F.lit(True)).otherwise((F.col("terms") > 0) & ~F.col("wrong"))).drop("_some")
+    longest = F.when(F.col("kind") == "number", -F.length("text")).otherwise(0)
+    w = Window.partitionBy("slug", "kind").orderBy(F.desc_nulls_last("quality"), F.when(F.col("quality").isNull(), sold), longest, "place")
     return kept.withColumn("rank", F.row_number().over(w))
 
 
-def supporting_points(evidence: DataFrame, target: int = 5, least: int = 3) -> DataFrame:
+def supporting_points(evidence: DataFrame, target: int = 5, least: int = 3, most: int = 250) -> DataFrame:
     """K-09: passages in rank order, one per source first, then sources again while there are under `least`; each passage once.
 
-    Greedy over two keys, so by theme in Arrow; `rank_evidence` bounds a theme's rows.
+    Greedy over two keys, so by theme in Arrow. Only the first `most` passages of a
+    theme are looked at: `theme_evidence` gives no more.
     """
-    ready = evidence.where("kind = 'passage'").select("slug", "source_id", "text", "rank", F.left(loose(F.col("text")), F.lit(120)).alias("_key"))
+    ready = evidence.where("kind = 'passage'").where(F.col("rank") <= most).select("slug", "source_id", "text", "rank", F.left(loose(F.col("text")), F.lit(120)).alias("_key"))
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         chosen, keys, sources = [], set(), set()
@@ -108,11 +153,24 @@ def supporting_points(evidence: DataFrame, target: int = 5, least: int = 3) -> D
 
 
 def hook(evidence: DataFrame) -> DataFrame:
-    """K-10: per theme the best opening: a quote of quality 2, a number, an independent problem, any problem."""
-    usable = F.when((F.col("kind") == "quote") & (F.col("quality") >= 2.0), 1).when(F.col("kind") == "number", 2).when((F.col("kind") == "problem") & ~F.col("is_promotional"), 3).when(F.col("kind") == "problem", 4)
+    """K-10: per theme the best opening (slug, hook, step) from ranked evidence: the first quote if of quality 2 or more, the first figure if independent or the only one, an independent problem, any problem."""
+    alone = F.count_if(F.col("kind") == "number").over(Window.partitionBy("slug")) == 1
+    sold, first = F.coalesce("is_promotional", F.lit(False)), F.col("rank") == 1
+    usable = (
+        F.when((F.col("kind") == "quote") & first & (F.col("quality") >= 2.0), 1).when((F.col("kind") == "number") & first & (~sold | alone), 2)
+        .when((F.col("kind") == "problem") & ~sold, 3).when((F.col("kind") == "problem") & first, 4)
+    )
+    cited = F.concat(F.lit("(source #"), F.col("source_id").cast("string"))
+    said = F.concat(F.lit("“"), truncate(F.col("text"), 180), F.lit("”"), F.when(F.coalesce("detail", F.lit("")) != "", F.concat(F.lit(" — "), F.col("detail"))).otherwise(""), F.lit(" "), cited, F.lit(")"))
+    figure = F.concat(F.col("detail"), F.lit(" — from “"), truncate(F.col("text"), 150), F.lit("” "), cited, F.lit("; verify before use)."))
     rows = evidence.withColumn("step", usable).where("step is not null")
     w = Window.partitionBy("slug").orderBy("step", "rank")
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("slug", F.col("text").alias("hook"), "step")
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("slug", F.when(F.col("step") == 1, said).when(F.col("step") == 2, figure).otherwise(truncate(F.col("text"), 190)).alias("hook"), "step")
+
+
+def hook_without_evidence(name: Column, sources: Column, domains: Column) -> Column:
+    """K-10: the opening of a theme for which `hook` has none."""
+    return F.concat(name, F.lit(": a pattern visible across "), count_label(sources, "public source"), F.lit(" from "), count_label(domains, "domain"), F.lit("."))
 
 
 def match_stored_passage(claims: DataFrame, passages: DataFrame, least: int = 40, window: int = 20) -> DataFrame:

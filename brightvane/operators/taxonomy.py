@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 PRIMARY_LEAST, SECONDARY_LEAST = 4.0, 3.0
 
 
@@ -67,20 +69,30 @@ class Phrases:
 
 
 def match_themes(text: Column, themes: Sequence[Theme], top: int = 4) -> Column:
-    """F-03: array of struct(name, score, keywords), best first. A keyword counts up to 4 times 1, a strong one 4 times 1.5 more, a negative one -3 each time."""
-    p, rows = Phrases(text), []
-    for at, theme in enumerate(themes):
-        score = F.lit(0.0)
-        for k in theme.keywords:
-            score = score + F.least(p.count(k), F.lit(4)) * 1.0
-        for k in theme.strong:
-            score = score + F.least(p.count(k), F.lit(4)) * 1.5
-        if theme.negative:
-            score = score - p.total(theme.negative) * 3.0
-        found = F.filter(F.array(*[F.when(p.has(k), F.lit(k)) for k in theme.keywords]), lambda x: x.isNotNull())
-        rows.append(F.struct((-score).alias("rank"), F.lit(at).alias("at"), F.lit(theme.name).alias("name"), score.alias("score"), found.alias("keywords")))
-    good = F.array_sort(F.filter(F.array(*rows), lambda x: x["score"] > 0))
-    return F.transform(F.slice(good, 1, top), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"), x["keywords"].alias("keywords")))
+    """F-03: array of struct(name, score, keywords), best first. A keyword counts up to 4 times 1, a strong one 4 times 1.5 more, a negative one -3 each time.
+
+    Each phrase is counted once, whatever the number of themes and lists that hold it.
+    """
+    p = Phrases(text)
+    place = {k: i for i, k in enumerate(dict.fromkeys(k for t in themes for k in (*t.keywords, *t.strong, *t.negative)))}
+
+    def judge(counts: Column) -> Column:
+        n = lambda k: F.get(counts, F.lit(place[k]))
+        rows = []
+        for at, theme in enumerate(themes):
+            score = F.lit(0.0)
+            for k in theme.keywords:
+                score = score + F.least(n(k), F.lit(4)) * 1.0
+            for k in theme.strong:
+                score = score + F.least(n(k), F.lit(4)) * 1.5
+            for k in theme.negative:
+                score = score - n(k) * 3.0
+            found = F.filter(F.array(*[F.when(n(k) > 0, F.lit(k)) for k in theme.keywords]), lambda x: x.isNotNull())
+            rows.append(F.struct((-score).alias("rank"), F.lit(at).alias("at"), F.lit(theme.name).alias("name"), score.alias("score"), found.alias("keywords")))
+        good = F.array_sort(F.filter(F.array(*rows), lambda x: x["score"] > 0))
+        return F.transform(F.slice(good, 1, top), lambda x: F.struct(x["name"].alias("name"), x["score"].alias("score"), x["keywords"].alias("keywords")))
+
+    return let(F.array(*[p.count(k) for k in place]), judge)
 
 
 def primary_theme(matches: Column) -> Column:

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import content_hash
 from ..operators import audit, briefs, dedupe, trends, voice
 from ..registry import query
+from .functions import _PLAIN, _shingles, _words
 from .ranking import THEMES, as_of
 from .views import AS_OF, OWN_DOMAINS, oracle, view
 
 
-@query(oracle(r"""WITH h AS (SELECT source_id, trim(regexp_replace(regexp_replace(lower(cleaned_text), '[^\pL\pM\pN_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS n FROM m_sources WHERE regexp_full_match(cleaned_text, '[\x00-\x7f]*') AND NOT regexp_matches(cleaned_text, '(?i)(cookie policy|accept all cookies|privacy policy|terms of service|all rights reserved|subscribe to our newsletter|skip to (main )?content)')),
-    k AS (SELECT source_id, min(source_id) OVER (PARTITION BY n) AS matched_id FROM h WHERE n <> '') SELECT source_id, matched_id, 'content_hash' AS method FROM k WHERE source_id <> matched_id"""))
+@query(oracle(rf"""WITH h AS (SELECT source_id, {_PLAIN.format('cleaned_text')} AS n FROM m_sources WHERE cleaned_text <> ''), k AS (SELECT source_id, min(source_id) OVER (PARTITION BY n) AS matched_id FROM h) SELECT source_id, matched_id, 'content_hash' AS method FROM k WHERE source_id <> matched_id"""))
 def e02_hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all texts; the SQL above holds the plain ones only, as it has no NFKC
     return dedupe.hash_duplicates(view(spark, sf_dir, "m_sources")).select("source_id", "matched_id", "method")
 
 
-@query()
+# the items' URLs are in their normal form but for what is added here
+@query(oracle("SELECT arrival AS source_id, m AS matched_id, 'canonical_url' AS method, 1e0 AS score FROM (SELECT arrival, min(arrival) OVER (PARTITION BY source_url) AS m FROM m_items) WHERE arrival <> m"))
 def e01_url_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.url_duplicates(view(spark, sf_dir, "m_items").withColumnRenamed("arrival", "source_id"))
+    items = view(spark, sf_dir, "m_items").withColumnRenamed("arrival", "source_id")
+    shape = F.when(F.col("source_id") % 3 == 0, F.concat(F.replace("source_url", F.lit("https://"), F.lit("HTTP://www.")), F.lit("/?utm_source=a#b"))).otherwise(F.col("source_url"))
+    return dedupe.url_duplicates(items.withColumn("source_url", shape))
 
 
 @query()
@@ -28,9 +31,20 @@ def e03_title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.title_duplicates(view(spark, sf_dir, "m_sources"))
 
 
-@query()
+@query(oracle(f"""WITH b AS (SELECT source_id, source_domain, {_words(_PLAIN.format('cleaned_text'))} AS w FROM m_sources WHERE len(regexp_extract_all(cleaned_text, '\\S+')) >= 120), s AS (SELECT source_id, source_domain, {_shingles('w')} AS s FROM b),
+    e AS (SELECT source_id, source_domain, len(s) AS n, unnest(s) AS k FROM s), p AS (SELECT a.source_id, c.source_id AS matched_id, any_value(a.n) AS n, any_value(c.n) AS m, count(*) AS shared FROM e a JOIN e c ON a.source_domain = c.source_domain AND a.k = c.k AND c.source_id < a.source_id GROUP BY a.source_id, c.source_id),
+    j AS (SELECT source_id, matched_id, shared / (n + m - shared)::DOUBLE AS score FROM p) SELECT source_id, matched_id, 'body' AS method, round(score, 9) AS score FROM j WHERE score >= 0.72 QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, matched_id) = 1"""))
 def e04_body_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedupe.body_duplicates(view(spark, sf_dir, "m_sources"))
+    return dedupe.body_duplicates(view(spark, sf_dir, "m_sources")).withColumn("score", F.round("score", 9))
+
+
+@query(oracle(f"""WITH h AS (SELECT source_id, {_PLAIN.format('left(cleaned_text, 20)')} AS n FROM m_sources), g AS (SELECT source_id, n, row_number() OVER (PARTITION BY n ORDER BY source_id) AS k FROM h)
+    SELECT source_id, k % 2 = 1 AS kept FROM g"""))
+def e08_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # chains: each text is paired with the one before it of the same beginning, so every second one stays
+    h = view(spark, sf_dir, "m_sources").select("source_id", content_hash(F.left("cleaned_text", F.lit(20))).alias("h"))
+    pairs = h.withColumn("matched_id", F.lag("source_id").over(Window.partitionBy("h").orderBy("source_id"))).where("matched_id is not null")
+    return dedupe.keep_greedily(pairs, h)
 
 
 @query()
@@ -85,13 +99,15 @@ def k01_engagement_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", briefs.no_conversation(OWN_DOMAINS).alias("reason"))
 
 
-@query(oracle(f"""WITH {THEMES}, p AS (SELECT o.*, s.primary_theme, s.market_relevance, s.opportunity_score, s.is_promotional FROM m_sources o JOIN m_signals s ON o.source_id = s.source_id WHERE s.market_relevance >= 4 ORDER BY s.market_relevance DESC, s.opportunity_score DESC, o.source_id LIMIT 180),
-    g AS (SELECT *, {_REASON} AS reason, coalesce((primary_theme IN (SELECT name FROM t WHERE trend_status IN ('rising', 'stable')))::INTEGER, 0) AS is_rising, (author IS NOT NULL)::INTEGER AS named FROM p WHERE published_at IS NULL OR published_at >= make_timestamp({AS_OF}000000) - INTERVAL 120 DAY)
-    SELECT source_id, is_rising, named, CASE WHEN is_rising = 1 AND market_relevance >= 7 THEN 'high' WHEN is_rising = 1 OR market_relevance >= 7 THEN 'medium' ELSE 'low' END AS priority FROM g WHERE reason IS NULL ORDER BY is_rising DESC, named DESC, market_relevance DESC, source_id LIMIT 6"""))
+@query(oracle(f"""WITH {THEMES}, p AS (SELECT o.*, s.primary_theme, s.secondary_themes, s.market_relevance, s.opportunity_score, s.is_promotional FROM m_sources o JOIN m_signals s ON o.source_id = s.source_id WHERE s.market_relevance >= 4 ORDER BY s.market_relevance DESC, s.opportunity_score DESC, o.source_id LIMIT 180),
+    g AS (SELECT *, {_REASON} AS reason, EXISTS (SELECT 1 FROM t WHERE trend_status IN ('rising', 'emerging') AND (name = primary_theme OR list_contains(secondary_themes, name)))::INTEGER AS is_rising, (author IS NOT NULL)::INTEGER AS named FROM p WHERE coalesce(published_at, discovered_at) >= make_timestamp({AS_OF}000000) - INTERVAL 45 DAY),
+    b AS (SELECT * FROM g WHERE reason IS NULL ORDER BY is_rising DESC, named DESC, market_relevance DESC, opportunity_score DESC, source_id LIMIT 6)
+    SELECT source_id, is_rising, named, CASE WHEN is_rising = 1 AND market_relevance >= 7 THEN 'high' WHEN is_rising = 1 OR market_relevance >= 7 THEN 'medium' ELSE 'low' END AS priority FROM b WHERE source_id % 5 <> 2"""))
 def k02_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, g = view(spark, sf_dir, "m_sources"), view(spark, sf_dir, "m_signals")
-    rising = trends.theme_trends(g, s, as_of(), fold=False).where(F.col("trend_status").isin("rising", "stable"))
-    return briefs.watchlist(s, g, rising, s.select("source_url").limit(0), as_of(), own=OWN_DOMAINS).select("source_id", "is_rising", "named", "priority")
+    rising = trends.theme_trends(g, s, as_of()).where(F.col("trend_status").isin("rising", "emerging"))
+    known = s.where("source_id % 5 = 2").select(F.concat("source_url", F.lit("?utm_source=x")).alias("source_url"))
+    return briefs.watchlist(s, g, rising, known, as_of(), own=OWN_DOMAINS).select("source_id", "is_rising", "named", "priority")
 
 
 @query(oracle("""WITH m AS (SELECT source_id, primary_theme AS slug, unnest(list_distinct(industries)) AS industry FROM m_signals WHERE primary_theme IS NOT NULL), n AS (SELECT slug, count(DISTINCT source_id) AS members FROM m GROUP BY slug), c AS (SELECT slug, industry, count(DISTINCT source_id) AS n FROM m GROUP BY slug, industry),
@@ -103,7 +119,7 @@ def k05_dominant_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle(f"""WITH {THEMES}, e AS (SELECT *, CASE WHEN trend_status NOT IN ('rising', 'emerging', 'stable', 'saturated', 'declining') THEN 'status' WHEN source_count % 7 = 0 THEN 'no evidence' WHEN average_market_relevance * 15 < 55 THEN 'score' END AS r FROM t),
     w AS (SELECT *, count(*) FILTER (WHERE r IS NULL) OVER (ORDER BY average_market_relevance DESC, source_count DESC, slug ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT slug, coalesce(r, CASE WHEN k > 3 THEN 'cap' END) AS skip_reason FROM w"""))
 def k15_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trends.theme_trends(view(spark, sf_dir, "m_signals"), view(spark, sf_dir, "m_sources"), as_of(), fold=False)
+    t = trends.theme_trends(view(spark, sf_dir, "m_signals"), view(spark, sf_dir, "m_sources"), as_of())
     scores = t.select("slug", (F.col("average_market_relevance") * 15).alias("opportunity_score"))
     evidence = t.select("slug", (F.col("source_count") % 7).alias("evidence"))
     return briefs.promote(t, scores, evidence, most=3).select("slug", "skip_reason")

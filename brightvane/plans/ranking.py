@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lists
 from ..operators import analytics, scoring, trends
 from ..registry import query
 from .views import AS_OF, OWN_DOMAINS, oracle, view
@@ -18,7 +19,7 @@ def as_of():
 
 
 def _themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trends.theme_trends(view(spark, sf_dir, "m_signals"), view(spark, sf_dir, "m_sources"), as_of(), fold=False)
+    return trends.theme_trends(view(spark, sf_dir, "m_signals"), view(spark, sf_dir, "m_sources"), as_of())
 
 
 THEMES = f"""t_rows AS (
@@ -113,10 +114,11 @@ def h04_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(oracle(f"""WITH {THEMES} SELECT count(*) AS total_sources, count(*) FILTER (WHERE discovered_at >= {_NOW} - INTERVAL 24 HOUR) AS sources_24h, count(*) FILTER (WHERE discovered_at >= {_NOW} - INTERVAL 168 HOUR) AS sources_7d,
     count(*) FILTER (WHERE status IN ('needs_review', 'error')) AS needs_review, count(*) FILTER (WHERE starts_with(status, 'skipped_')) AS policy_skipped, count(DISTINCT source_domain) AS distinct_domains,
     (SELECT count(*) FROM m_signals) AS extracted_signals, (SELECT count(*) FROM t) AS themes, (SELECT count(*) FROM t WHERE trend_status IN ('rising', 'emerging')) AS rising_themes, (SELECT count(*) FROM m_opportunities) AS opportunities,
-    (SELECT count(*) FROM m_drafts WHERE approval_status = 'pending_review') AS drafts_pending, (SELECT count(*) FROM m_drafts WHERE approval_status = 'approved') AS drafts_approved, (SELECT count(*) FROM m_watchlist WHERE review_status = 'unreviewed') AS watchlist_unreviewed FROM m_sources"""))
+    (SELECT count(*) FROM m_drafts WHERE approval_status = 'pending_review') AS drafts_pending, (SELECT count(*) FROM m_drafts WHERE approval_status = 'approved') AS drafts_approved, (SELECT count(*) FROM m_watchlist WHERE review_status = 'unreviewed') AS watchlist_unreviewed, (SELECT count(*) FROM m_voice WHERE approved_for_voice_library) AS voice_examples,
+    r.run_id AS last_run_run_id, r.started_at AS last_run_started_at, r.stored AS last_run_stored, len(r.errors)::INTEGER AS last_run_errors FROM m_sources, (SELECT * FROM m_runs ORDER BY started_at DESC, run_id DESC LIMIT 1) r GROUP BY ALL"""))
 def j01_dashboard_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda n: view(spark, sf_dir, n)
-    return analytics.dashboard_counters(v("m_sources"), v("m_signals"), _themes(spark, sf_dir), v("m_opportunities"), v("m_drafts"), v("m_watchlist"), as_of())
+    return analytics.dashboard_counters(v("m_sources"), v("m_signals"), _themes(spark, sf_dir), v("m_opportunities"), v("m_drafts"), v("m_watchlist"), v("m_voice"), v("m_runs"), as_of())
 
 
 @query(oracle(f"""SELECT o.source_id, o.status, o.source_domain, s.primary_theme, s.opportunity_score FROM m_sources o LEFT JOIN m_signals s ON o.source_id = s.source_id
@@ -173,14 +175,32 @@ def j14_discovery_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.discovery_queries(view(spark, sf_dir, "m_items"))
 
 
-@query(oracle("SELECT CASE WHEN contains(lower(source_url), 'linkedin.com') THEN 'linkedin' WHEN contains(lower(source_url), 'x.com') OR contains(lower(source_url), 'twitter.com') THEN 'x' WHEN contains(lower(source_url), 'reddit.com') THEN 'reddit' ELSE 'other' END AS platform, count(*) AS posts, count(s.source_id) AS analysed FROM m_sources o LEFT JOIN m_signals s ON o.source_id = s.source_id WHERE source_type = 'social_public' GROUP BY 1"))
-def j16_social_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.social_stats(view(spark, sf_dir, "m_sources"), view(spark, sf_dir, "m_signals"))
+_SOCIAL = "SELECT * REPLACE (CASE source_id % 4 WHEN 0 THEN 'https://www.linkedin.com/posts/a-' || source_id WHEN 1 THEN 'https://x.com/a/status/' || source_id ELSE source_url END AS source_url) FROM m_sources WHERE source_type IN ('social_public', 'reddit')"
 
 
-@query()
+@query(oracle(f"""WITH p AS ({_SOCIAL}), j AS (SELECT lower(p.source_url) AS u, p.source_domain AS d, p.author, p.published_at, s.* FROM p JOIN m_signals s ON p.source_id = s.source_id),
+    r AS (SELECT *, CASE WHEN {" OR ".join(f"d = '{x}' OR ends_with(d, '.{x}')" for x in OWN_DOMAINS)} THEN 'own' WHEN {" OR ".join(f"contains(u, '{x}')" for x in lists.NO_CONVERSATION_PATHS)} THEN 'path' WHEN is_promotional THEN 'vendor' WHEN market_relevance < 6 THEN 'relevance' END AS why FROM j)
+    SELECT measure, count(*) AS n FROM (SELECT unnest(['analysed', CASE WHEN contains(u, 'linkedin.com') THEN 'on linkedin' WHEN contains(u, 'x.com') OR contains(u, 'twitter.com') THEN 'on x' WHEN contains(u, 'reddit.com') THEN 'on reddit' END, CASE WHEN why IN ('vendor', 'relevance') THEN 'rejected_' || why END]) AS measure FROM r) WHERE measure IS NOT NULL GROUP BY measure"""))
+def j16_social_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("source_id") % 4
+    link = F.when(k == 0, F.concat(F.lit("https://www.linkedin.com/posts/a-"), "source_id")).when(k == 1, F.concat(F.lit("https://x.com/a/status/"), "source_id")).otherwise(F.col("source_url"))
+    return analytics.social_stats(view(spark, sf_dir, "m_sources").withColumn("source_url", link), view(spark, sf_dir, "m_signals"), OWN_DOMAINS)
+
+
+@query(oracle(f"""WITH {THEMES}, b AS (SELECT o.source_id, o.title, o.source_domain, s.opportunity_score, s.verification_notes FROM m_sources o JOIN m_signals s ON o.source_id = s.source_id WHERE o.discovered_at >= {_NOW} - INTERVAL 48 HOUR ORDER BY s.opportunity_score DESC, o.source_id LIMIT 15),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source_domain ORDER BY opportunity_score DESC, source_id) AS k FROM b), n AS (SELECT * FROM r WHERE k <= 2 OR (SELECT count(*) FROM r WHERE k <= 2) < 3 ORDER BY opportunity_score DESC, source_id LIMIT 5),
+    h AS (SELECT * FROM t WHERE trend_status IN ('rising', 'emerging') OR (trend_status = 'stable' AND NOT EXISTS (SELECT 1 FROM t WHERE trend_status IN ('rising', 'emerging'))) ORDER BY source_count DESC, average_market_relevance DESC, slug LIMIT 3),
+    o AS (SELECT * FROM m_opportunities WHERE status <> 'archived' ORDER BY opportunity_score DESC, opportunity_id LIMIT 5), w AS (SELECT * FROM m_watchlist WHERE review_status = 'unreviewed' ORDER BY discovered_at DESC, item_id LIMIT 5), d AS (SELECT * FROM m_drafts WHERE approval_status = 'pending_review' ORDER BY created_at DESC, draft_id LIMIT 6),
+    x AS (SELECT 1 AS part, row_number() OVER (ORDER BY opportunity_score DESC, source_id) AS place, unnest([0, 1]) AS k, source_id::VARCHAR AS item, '[source #' || source_id || '] ' || unnest(verification_notes[1:2]) AS text FROM n
+        UNION ALL SELECT 2, row_number() OVER (ORDER BY opportunity_score DESC, opportunity_id), unnest([0, 1]), opportunity_id::VARCHAR, '[opportunity #' || opportunity_id || '] ' || unnest([CASE WHEN risk_score >= 50 THEN 'Risk score ' || round_even(risk_score, 0)::INTEGER || '/100 — review risk notes before drafting.' END, CASE WHEN confidence_score < 45 THEN 'Confidence ' || round_even(confidence_score, 0)::INTEGER || '/100 — evidence base is thin.' END]) FROM o
+        UNION ALL SELECT 3, row_number() OVER (ORDER BY created_at DESC, draft_id), 0, draft_id::VARCHAR, '[draft #' || draft_id || '] ' || unsupported || ' unsupported sentence(s) flagged.' FROM d WHERE unsupported > 0)
+    SELECT 'signal' AS section, row_number() OVER (ORDER BY opportunity_score DESC, source_id)::INTEGER AS rank, source_id::VARCHAR AS item, coalesce(title, '(untitled)') AS text FROM n
+    UNION ALL SELECT 'theme', row_number() OVER (ORDER BY source_count DESC, average_market_relevance DESC, slug), slug, name FROM h UNION ALL SELECT 'opportunity', row_number() OVER (ORDER BY opportunity_score DESC, opportunity_id), opportunity_id::VARCHAR, title FROM o
+    UNION ALL SELECT 'watchlist', row_number() OVER (ORDER BY discovered_at DESC, item_id), item_id::VARCHAR, priority FROM w UNION ALL SELECT 'draft', row_number() OVER (ORDER BY created_at DESC, draft_id), draft_id::VARCHAR, unsupported || ' unsupported' FROM d
+    UNION ALL SELECT 'warning', rank, item, text FROM (SELECT row_number() OVER (ORDER BY part, place, k) AS rank, item, text FROM x WHERE text IS NOT NULL) WHERE rank <= 20"""))
 def j17_daily_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.daily_brief(view(spark, sf_dir, "m_sources"), view(spark, sf_dir, "m_signals"), _themes(spark, sf_dir), as_of(), own=OWN_DOMAINS)
+    v = lambda n: view(spark, sf_dir, n)
+    return analytics.daily_brief(v("m_sources"), v("m_signals"), _themes(spark, sf_dir), v("m_opportunities"), v("m_drafts"), v("m_watchlist"), as_of())
 
 
 _KANBAN = ("new", "ready_for_brief", "drafting", "review", "approved", "published", "archived")

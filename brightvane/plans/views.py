@@ -38,18 +38,20 @@ def _views(d: _Dialect) -> dict[str, str]:
             {d.array("'industry ' || (doc_id % 4)", "'industry ' || (doc_id % 6)")} AS industries,
             {score(7)} AS market_relevance, {score(11)} AS speaker_relevance, {score(17)} AS evidence_strength, {score(23)} AS freshness, {score(13)} AS novelty, {score(19)} AS business_impact,
             CAST(doc_id * 29 % 1001 AS DOUBLE) / 10e0 AS opportunity_score, CAST(doc_id * 31 % 101 AS DOUBLE) AS risk_score,
-            n_chars % 4 = 0 AS is_promotional, doc_id % 6 AS passages, doc_id % 4 AS quotes
+            n_chars % 4 = 0 AS is_promotional, {d.array("'note ' || (doc_id % 5)", "'check ' || source", "'third'")} AS verification_notes, doc_id % 6 AS passages, doc_id % 4 AS quotes
             FROM documents WHERE doc_id % 10 >= 3""",
         "m_opportunities": f"""SELECT doc_id AS opportunity_id, 'theme-' || (doc_id % 12) AS theme_slug, 'Opportunity ' || doc_id AS title,
             CASE doc_id % 7 WHEN 0 THEN 'archived' WHEN 1 THEN 'drafting' WHEN 2 THEN 'approved' WHEN 3 THEN 'review' ELSE 'ready_for_brief' END AS status,
             CAST(doc_id * 37 % 1001 AS DOUBLE) / 10e0 AS opportunity_score, CAST(doc_id * 41 % 1001 AS DOUBLE) / 10e0 AS confidence_score, CAST(doc_id * 43 % 101 AS DOUBLE) AS risk_score,
             doc_id % 6 AS points, {d.array("doc_id", "doc_id + 3", "doc_id + 7", "doc_id + 11")} AS source_ids
             FROM documents WHERE doc_id % 25 = 3""",
-        "m_drafts": """SELECT doc_id AS draft_id, doc_id - doc_id % 25 + 3 AS opportunity_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending_review' END AS approval_status, text AS draft_text
+        "m_drafts": f"""SELECT doc_id AS draft_id, doc_id - doc_id % 25 + 3 AS opportunity_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending_review' END AS approval_status, text AS draft_text, doc_id % 5 AS unsupported, {d.ts(f"{AS_OF} - (doc_id % 30) * 3600")} AS created_at
             FROM documents WHERE doc_id % 25 IN (4, 9) AND doc_id % 3 <> 0""",
-        "m_watchlist": """SELECT doc_id AS item_id, doc_id AS source_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority,
-            CASE doc_id % 4 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'dismissed' ELSE 'unreviewed' END AS review_status
+        "m_watchlist": f"""SELECT doc_id AS item_id, doc_id AS source_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority,
+            CASE doc_id % 4 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'dismissed' ELSE 'unreviewed' END AS review_status, {d.ts(f"{AS_OF} - (doc_id % 50) * 3600")} AS discovered_at
             FROM documents WHERE doc_id % 40 = 5""",
+        "m_voice": "SELECT conv_id AS example_id, turn, text, conv_id % 3 = 0 AS approved_for_voice_library FROM conversations",
+        "m_runs": f"""SELECT event_id AS run_id, ts AS started_at, event_id % 60 AS stored, {d.array("event_type", "'late'")} AS errors FROM events""",
         "m_items": """SELECT event_id AS arrival, CASE event_type WHEN 'purchase' THEN 'manual' WHEN 'error' THEN 'first_party' WHEN 'click' THEN 'rss' WHEN 'view' THEN 'web_search' ELSE 'zine' END AS source_type,
             CASE WHEN event_id % 9 = 0 THEN NULL ELSE ts END AS published_at, 'https://host' || (user_id % 50) || '.example.com/a' || (event_id % 700) AS source_url, 'query ' || (user_id % 23) AS search_query
             FROM events""",
@@ -59,7 +61,7 @@ def _views(d: _Dialect) -> dict[str, str]:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A model table on Spark."""
     text = _views(_Dialect(spark=True))[name]
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages", "events") if t in text}
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "pages", "events", "conversations") if t in text}
     for t in frames:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
     return spark.sql(text, **frames)
