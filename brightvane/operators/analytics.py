@@ -173,7 +173,7 @@ def discovery_queries(sources: DataFrame, limit: int = 12) -> DataFrame:
 def agent_activity(runs: DataFrame) -> DataFrame:
     """J-15: a row per connector of each run, from the JSON of its stages, most candidates first."""
     stages = F.from_json("stages", "map<string,struct<connectors:map<string,struct<candidates:long,errors:long>>>>")
-    rows = runs.select("run_id", (F.unix_micros("finished_at") - F.unix_micros("started_at")).alias("_us"), F.explode(F.map_entries(stages)).alias("stage"))
+    rows = runs.select("run_id", (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))).alias("_us"), F.explode(F.map_entries(stages)).alias("stage"))
     rows = rows.select("run_id", (F.col("_us") / 1e6).alias("seconds"), F.col("stage.key").alias("stage"), F.explode(F.map_entries("stage.value.connectors")).alias("c"))
     return rows.select("run_id", "seconds", "stage", F.col("c.key").alias("connector"), F.col("c.value.candidates").alias("candidates"), F.col("c.value.errors").alias("errors")).orderBy("run_id", F.desc("candidates"), "connector")
 

@@ -180,7 +180,7 @@ def match_stored_passage(claims: DataFrame, passages: DataFrame, least: int = 40
     only texts that share one are compared.
     """
     text = lambda c: loose(F.col(c))
-    starts = lambda c: F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - window + 1, F.lit(1))), lambda i: (i == 1) | (F.substr(c, i - 1, F.lit(1)) == " ")), lambda i: F.xxhash64(F.substr(c, i, F.lit(window)))))
+    starts = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?:^|(?<= ))(?=(.{{{window}}}))"), 1), lambda x: F.xxhash64(x)))
     a = claims.select("claim_id", text("claim").alias("_c")).where(F.length("_c") >= least)
     b = passages.select("passage_id", text("passage").alias("_p")).where(F.length("_p") >= least)
     pairs = a.select("claim_id", "_c", F.explode(starts(F.col("_c"))).alias("_k")).join(b.select("passage_id", "_p", F.explode(starts(F.col("_p"))).alias("_k")), "_k").where(F.contains("_c", F.col("_p")) | F.contains("_p", F.col("_c")))

@@ -194,14 +194,36 @@ def upsert_signals(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("source_id"), "source_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-RAW_SIGNAL = "struct<market_relevance:double,speaker_relevance:double,novelty:double,primary_theme:string,industries:array<string>,customer_problem:string>"
+FORMATS = ("linkedin_post", "short_form_video_outline", "long_form_essay_outline", "executive_talking_point", "podcast_talking_points", "customer_email", "engagement_comment", "internal_briefing_note")
+SCORES = ("market_relevance", "speaker_relevance", "novelty", "evidence_strength", "business_impact")
+RAW_SIGNAL = (
+    f"struct<{','.join(f'{k}:string' for k in SCORES)},primary_entity:string,secondary_entities:array<string>,industries:array<string>,customer_segment:string,primary_theme:string,secondary_themes:array<string>,customer_problem:string,primary_claim:string,"
+    "supporting_evidence:array<struct<passage:string,supports:string>>,notable_quotes:array<struct<quote:string,speaker:string>>,numerical_claims:array<struct<value:string,context:string>>,is_familiar:boolean,is_promotional:boolean,"
+    "content_opportunity:string,potential_angle:string,recommended_format:string,verification_notes:array<string>>"
+)
 
 
-def coerce_model_output(raw: Column, themes: Sequence[str]) -> Column:
-    """G-16: a language model's JSON made safe: fences stripped, scores clamped, placeholders to null, unknown themes dropped, three industries at most."""
+def coerce_model_output(raw: Column, themes: Sequence[str], domain: Column | None = None) -> Column:
+    """G-16: a language model's JSON made safe: fences stripped, scores clamped to 0..10, placeholders to null, unknown themes and formats dropped, lists cut.
+
+    Nothing counts as verbatim yet: `enforce_verbatim` proves it. JSON that cannot be
+    read gives the empty signal.
+    """
     body = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), RAW_SIGNAL)
-    clean = lambda c: F.when(~F.lower(F.trim(c)).isin("", "n/a", "none", "null", "unknown", "not specified"), F.trim(c))
+    text = lambda c: F.when(~c.isin("", "N/A", "n/a", "unknown", "TBD"), F.trim(c))
+    some = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != "")
+    known = lambda c: F.filter(some(c), lambda x: x.isin(*themes))
+    # a note on what a passage supports is a sentence; names of fields are none
+    note = lambda c: F.when((word_count(text(c)) >= 4) & ~text(c).rlike("^[a-z0-9_]+$"), text(c))
+    items = lambda c, need, make: F.transform(F.filter(F.coalesce(c, F.array()), lambda x: x[need] != ""), make)
+    industries, unproven = F.slice(some(body["industries"]), 1, 3), F.lit(False).alias("verified_verbatim")
     return F.struct(
-        *[scoring.clamp10(body[k]).alias(k) for k in ("market_relevance", "speaker_relevance", "novelty")], F.when(body["primary_theme"].isin(*themes), body["primary_theme"]).alias("primary_theme"),
-        F.slice(F.filter(F.coalesce(body["industries"], F.array().cast("array<string>")), lambda x: clean(x).isNotNull()), 1, 3).alias("industries"), clean(body["customer_problem"]).alias("customer_problem"),
+        *[scoring.clamp10(body[k].try_cast("double")).alias(k) for k in SCORES], F.coalesce(text(body["primary_entity"]), domain if domain is not None else F.lit(None)).alias("primary_entity"), F.slice(some(body["secondary_entities"]), 1, 10).alias("secondary_entities"),
+        F.when(F.size(industries) > 0, industries).otherwise(F.array(F.lit("Cross-industry"))).alias("industries"), text(body["customer_segment"]).alias("customer_segment"), F.when(text(body["primary_theme"]).isin(*themes), text(body["primary_theme"])).alias("primary_theme"),
+        F.slice(known(body["secondary_themes"]), 1, 3).alias("secondary_themes"), text(body["customer_problem"]).alias("customer_problem"), text(body["primary_claim"]).alias("primary_claim"),
+        items(body["supporting_evidence"], "passage", lambda x: F.struct(x["passage"].alias("passage"), note(x["supports"]).alias("supports"), unproven)).alias("supporting_evidence"),
+        items(body["notable_quotes"], "quote", lambda x: F.struct(x["quote"].alias("quote"), text(x["speaker"]).alias("speaker"), unproven)).alias("notable_quotes"),
+        items(body["numerical_claims"], "value", lambda x: F.struct(x["value"].alias("value"), F.coalesce(x["context"], F.lit("")).alias("context"), F.lit(True).alias("needs_verification"), unproven)).alias("numerical_claims"),
+        F.coalesce(body["is_familiar"], F.lit(False)).alias("is_familiar"), F.coalesce(body["is_promotional"], F.lit(False)).alias("is_promotional"), text(body["content_opportunity"]).alias("content_opportunity"), text(body["potential_angle"]).alias("potential_angle"),
+        F.when(text(body["recommended_format"]).isin(*FORMATS), text(body["recommended_format"])).otherwise("executive_talking_point").alias("recommended_format"), some(body["verification_notes"]).alias("verification_notes"),
     )

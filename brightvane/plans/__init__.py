@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import content, functions, ranking, relational, textual  # noqa: F401
+    from . import briefing, content, functions, ranking, relational, textual  # noqa: F401

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, clean_text, word_count
+from ..functions.text import any_of, clean_text, short_hash, word_count
 from ..functions.urls import domain_of, is_allowed, is_http_url, normalize_url, social_handle, under
+from ..shared import settle
 
 ITEM = "source_type string, source_url string, title string, author string, summary string, published_at timestamp, position int"
 REDDIT_LEAST_WORDS = 20
@@ -38,13 +40,19 @@ def feed_items(spark: SparkSession, path: str, as_of: Column, per_feed: int = 15
 
 
 def search_items(spark: SparkSession, path: str, blocked: Sequence[str] = (), per_query: int = 8) -> DataFrame:
-    """A-03: results of web searches landed as JSON lines {query, results:[{url,title,snippet,date}]}: each URL once, blocked domains dropped."""
-    schema = "query string, results array<struct<url:string,title:string,snippet:string,date:string>>"
-    raw = spark.read.schema(schema).json(path).select("query", F.posexplode("results").alias("rank", "r")).where(F.col("rank") < per_query)
+    """A-03: results of web searches landed as JSON lines {query, results:[{url,title,snippet,date}]}."""
+    return search_rows(spark.read.schema(SEARCH).json(path), blocked, per_query)
+
+
+SEARCH = "query string, results array<struct<url:string,title:string,snippet:string,date:string>>"
+
+
+def search_rows(found: DataFrame, blocked: Sequence[str] = (), per_query: int = 8) -> DataFrame:
+    """A-03 over rows of the schema SEARCH: each URL once, blocked domains dropped."""
+    raw = found.select("query", F.posexplode("results").alias("rank", "r")).where(F.col("rank") < per_query)
     rows = raw.select("query", "rank", F.col("r.url").alias("url"), F.col("r.title").alias("title"), F.col("r.snippet").alias("snippet"), _when(F.col("r.date")).alias("at"))
     rows = rows.where(is_http_url(F.col("url")) & ~under(domain_of(F.col("url")), blocked)).withColumn("_n", normalize_url(F.col("url")))
-    first = Window.partitionBy("_n").orderBy("query", "rank")
-    rows = rows.withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    rows = rows.groupBy("_n").agg(F.min_by(F.struct("query", "rank", "url", "title", "snippet", "at"), F.struct("query", "rank")).alias("_f")).select("_f.*")
     return _items(rows, "web_search", source_url=F.col("url"), title=F.col("title"), summary=F.col("snippet"), published_at=F.col("at"), position=F.col("rank"))
 
 
@@ -59,38 +67,62 @@ def social_reasons(items: DataFrame, as_of: Column, max_age_days: int = 120, hos
 
 
 def reddit_items(spark: SparkSession, path: str, as_of: Column, lookback_days: int = 45) -> DataFrame:
-    """A-05: posts landed as JSON lines {url,title,author,selftext,created_utc}; old ones and those of under 20 words dropped."""
-    raw = spark.read.schema("url string, title string, author string, selftext string, created_utc double").json(path)
+    """A-05: posts landed as JSON lines {url,title,author,selftext,created_utc}."""
+    return reddit_rows(spark.read.schema("url string, title string, author string, selftext string, created_utc double").json(path), as_of, lookback_days)
+
+
+def reddit_rows(posts: DataFrame, as_of: Column, lookback_days: int = 45) -> DataFrame:
+    """A-05 over rows: old posts and those of under 20 words dropped."""
     at = F.timestamp_seconds("created_utc")
-    rows = raw.where(at >= as_of - F.make_dt_interval(F.lit(lookback_days))).where(word_count(F.col("selftext")) >= REDDIT_LEAST_WORDS)
+    rows = posts.where(at >= as_of - F.make_dt_interval(F.lit(lookback_days))).where(word_count(F.col("selftext")) >= REDDIT_LEAST_WORDS)
     return _items(rows, "reddit", source_url=F.col("url"), title=F.col("title"), author=F.concat(F.lit("u/"), F.col("author")), summary=F.col("selftext"), published_at=at)
 
 
 def video_items(spark: SparkSession, path: str) -> DataFrame:
-    """A-06: videos landed as JSON lines {id,title,description,channel,published}; the body is title and description."""
-    raw = spark.read.schema("id string, title string, description string, channel string, published string").json(path).where("id is not null")
-    return _items(raw, "youtube", source_url=F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("id")), title=F.col("title"), author=F.col("channel"), summary=F.concat_ws("\n\n", "title", "description"), published_at=_when(F.col("published")))
-
-
-def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, allowed: Sequence[str], per_section: int = 12, min_words: int = 90, depth: int = 3) -> DataFrame:
-    """A-07: pages reached from seeds(section, url) over links(url, target), breadth first, per section at most `per_section` with enough words."""
-    reached = seeds.select("section", normalize_url(F.col("url")).alias("url"), F.lit(0).alias("depth"))
-    frontier = reached
-    for step in range(1, depth + 1):
-        after = frontier.join(links, "url").select("section", F.col("target").alias("url"), F.lit(step).alias("depth")).where(is_allowed(F.col("url"), allowed)).distinct()
-        frontier = after.join(reached.select("section", "url"), ["section", "url"], "left_anti")
-        reached = reached.union(frontier)
-    found = reached.join(pages, "url").where(word_count(F.col("text")) >= min_words)
+    """A-06: videos landed as JSON lines {id,title,description,channel,published}."""
+    return video_rows(spark.read.schema("id string, title string, description string, channel string, published string").json(path))
+
+
+def video_rows(videos: DataFrame) -> DataFrame:
+    """A-06 over rows: the body is title and description."""
+    rows = videos.where("id is not null")
+    return _items(rows, "youtube", source_url=F.concat(F.lit("https://www.youtube.com/watch?v="), F.col("id")), title=F.col("title"), author=F.col("channel"), summary=F.concat_ws("\n\n", "title", "description"), published_at=_when(F.col("published")))
+
+
+def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, allowed: Sequence[str], blocked: Sequence[str] = (), per_section: int = 12, min_words: int = 90) -> DataFrame:
+    """A-07: stored pages(url, text) reached from seeds(section, url) over links(url, target), breadth first: section, url, depth, text.
+
+    A section's first `per_section` pages that exist are looked at, of which those
+    with enough words are given. The search goes on until each section has that many
+    or no links are left; every round reaches a page more, so it ends.
+    """
+    url = lambda c: normalize_url(F.col(c)).alias(c)
+    stored = pages.select(url("url"), "text").groupBy("url").agg(F.first("text").alias("text"))
+    near = settle(links.select(url("url"), url("target")).where(is_allowed(F.col("target"), allowed, blocked)).distinct())
+    reached = frontier = settle(seeds.select("section", url("url"), F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while True:
+        there = reached.join(stored.select("url"), "url", "left_semi").groupBy("section").agg(F.count(F.lit(1)).alias("_n"))
+        short = reached.select("section").distinct().join(there.where(F.col("_n") >= per_section), "section", "left_anti")
+        depth += 1
+        after = frontier.join(short, "section", "left_semi").join(stored.select("url"), "url", "left_semi").join(near, "url").select("section", F.col("target").alias("url"), F.lit(depth).alias("depth")).distinct()
+        frontier = settle(after.join(reached.select("section", "url"), ["section", "url"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        reached = settle(reached.union(frontier))
+    found = reached.join(stored, "url")
     w = Window.partitionBy("section").orderBy("depth", "url")
-    return found.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= per_section).drop("_rn")
+    return found.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= per_section) & (word_count(F.col("text")) >= min_words)).select("section", "url", "depth", "text")
 
 
 def manual_items(entries: DataFrame) -> DataFrame:
-    """A-08: entries(kind, text, url): a URL is made from the text's hash where there is none; the title is the first line. Empty texts are dropped."""
-    text = F.trim(F.coalesce("text", F.lit("")))
-    made = F.concat(F.lit("manual://"), F.col("kind"), F.lit("/"), F.left(F.sha2(text, 256), F.lit(16)))
-    title = F.left(F.trim(F.regexp_extract(text, r"^([^\n]*)", 1)), F.lit(120))
-    return _items(entries.where(text != ""), "manual", source_url=F.coalesce(F.when(F.trim("url") != "", F.col("url")), made), title=title, summary=text)
+    """A-08: entries(kind, text, url): a URL is made from the text's hash where there is none; the title is the first line, cut at 120. Empty texts are dropped."""
+    text = clean_text(F.col("text"))
+    rows = entries.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("_clean", text).withColumn("_line", F.regexp_extract("_clean", r"^([^\n]*)", 1))
+    given = normalize_url(F.col("url"))
+    made = F.concat(F.lit("manual://"), F.col("kind"), F.lit("/"), short_hash(F.col("_clean"), 16))
+    title = F.when(F.length("_line") > 120, F.concat(F.left("_line", F.lit(120)), F.lit("…"))).otherwise(F.col("_line"))
+    return _items(rows, "manual", source_url=F.when(given != "", given).otherwise(made), title=title, summary=F.left("_clean", F.lit(400)))
 
 
 def fetch_outcome(status_code: Column, url: Column, body: Column, robots_allowed: Column, wait_seconds: Column, blocked: Sequence[str] = (), max_wait: float = 30.0, restricted: Sequence[str] = ("captcha", "enable javascript", "subscribe to continue", "access denied")) -> Column:
@@ -132,5 +164,19 @@ def read_table(spark: SparkSession, path: str | None = None, url: str | None = N
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """A-13: a table is replaced as a whole, by one commit."""
-    df.write.mode("overwrite").parquet(path)
+    """A-13: a table is replaced as a whole: written beside the old one, which df may read, then put in its place by renames. If the last rename fails the old one is put back."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    mark = uuid.uuid4().hex
+    new, old, here = (hadoop.Path(x) for x in (f"{path}.new-{mark}", f"{path}.old-{mark}", path))
+    df.write.parquet(new.toString())
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    had = store.exists(here)
+    if had and not store.rename(here, old):
+        raise OSError(f"{path} could not be set aside")
+    if not store.rename(new, here):
+        if had:
+            store.rename(old, here)
+        raise OSError(f"{path} could not be replaced")
+    if had:
+        store.delete(old, True)
