@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import briefs, dedupe, extraction, trends
+from .shared import settle
 
 STAGES = ("ingest", "extract", "trends", "opportunities", "engagement")
 
@@ -30,13 +31,18 @@ def may_write() -> bool:
     return os.environ.get("ENGINE_ADMIN", "").strip().lower() in ("1", "true", "yes", "on")
 
 
-def run(found: DataFrame, known: extraction.Dictionaries, as_of: Column, stages: Sequence[str] = STAGES, compose: bool = True) -> Run:
-    """O-01, O-02: runs the stages over found sources; one that fails is reported and the later ones still run."""
+def run(found: DataFrame, known: extraction.Dictionaries, as_of: Column, stages: Sequence[str] = STAGES, compose: bool = True, limit: int = 60, stored: DataFrame | None = None) -> Run:
+    """O-01, O-02: runs the stages over found sources; one that fails is reported and the later ones still run.
+
+    Each stage's table is computed once and kept in the checkpoint folder. At most
+    `limit` sources are stored; those `stored` before are what they may duplicate.
+    """
     out = Run()
 
     def ingest() -> DataFrame:
-        dups = dedupe.verdicts(dedupe.url_duplicates(found), dedupe.hash_duplicates(found, compose))
-        return found.join(dups.select("source_id"), "source_id", "left_anti")
+        tried = settle(dedupe.store(found, limit, stored, compose))
+        out.stages["ingest"] = {r["result"]: r["count"] for r in tried.groupBy("result").count().collect()}
+        return tried.where("result = 'stored'").select(*found.columns)
 
     def extract() -> DataFrame:
         return extraction.extract(out.tables.get("ingest", found), known, as_of, compose)
@@ -50,15 +56,15 @@ def run(found: DataFrame, known: extraction.Dictionaries, as_of: Column, stages:
         return briefs.promote(out.tables["trends"], briefs.score_brief(detail), members.groupBy("slug").agg(F.count(F.lit(1)).alias("evidence")))
 
     def engagement() -> DataFrame:
-        rising = out.tables["trends"].where(F.col("trend_status") == "rising")
+        rising = out.tables["trends"].where(F.col("trend_status").isin("rising", "emerging"))
         return briefs.watchlist(out.tables.get("ingest", found), out.tables["extract"], rising, found.select("source_url").limit(0), as_of)
 
     work: dict[str, Callable[[], DataFrame]] = {"ingest": ingest, "extract": extract, "trends": theme, "opportunities": opportunities, "engagement": engagement}
     for name in stages:
         began = time.time()
         try:
-            out.tables[name] = work[name]().persist()
-            out.stages[name] = {"rows": out.tables[name].count(), "seconds": round(time.time() - began, 3)}
+            out.tables[name] = settle(work[name]())
+            out.stages[name] = out.stages.get(name, {}) | {"rows": out.tables[name].count(), "seconds": round(time.time() - began, 3)}
         except Exception as error:  # noqa: BLE001  a stage that fails must not stop the others
             out.errors.append(f"{name}: {str(error)[:300]}")
             out.stages[name] = {"rows": 0, "error": type(error).__name__}

@@ -7,7 +7,8 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from brightvane.operators import analytics, audit, briefs, dedupe, scoring, taxonomy, trends, voice
+from brightvane.operators import analytics, audit, briefs, dedupe, extraction, scoring, taxonomy, trends, voice
+from brightvane.sources import landing
 
 NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
 
@@ -180,3 +181,63 @@ def test_status_change_is_checked(spark):
     assert sorted(r.status for r in ok.collect()) == ["a", "b"]
     with pytest.raises(Exception, match="unknown status"):
         analytics.set_status(rows, spark.createDataFrame([(1, "z")], "k int, value string"), "k", "status", ("a", "b")).collect()
+
+
+def _found(n):
+    """Items of ten sites with different bodies and titles; dated an hour apart."""
+    subjects = ("plumbing estimates", "dental reminders", "roofing quotes", "towing dispatch", "pharmacy refills", "florist orders", "garage bookings", "clinic triage", "bakery trays", "locksmith visits")
+    body = lambda i: f"Owners who handle {subjects[i % 10]} said that case {i} showed the gap. " + " ".join(f"w{i}x{j}" for j in range(130))
+    draw = random.Random(9)
+    title = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(50)) for _ in range(n)]
+    return [(i, "rss", f"https://site{i % 10}.example.com/story-{i}", f"Case {i} of {subjects[i % 10]}: {title[i]}", body(i), f"2024-01-{1 + i // 24:02d} {i % 24:02d}:00:00") for i in range(n)]
+
+
+_ITEMS = "source_id long, source_type string, source_url string, title string, cleaned_text string, published_at string"
+
+
+def test_store_stops_at_the_cap_and_finds_duplicates(spark):
+    items = _found(30)
+    again = [(100 + r[0], *r[1:]) for r in items[25:]]
+    found = spark.createDataFrame(items + again, _ITEMS).withColumn("published_at", F.to_timestamp("published_at"))
+    rows = {r.source_id: r for r in dedupe.store(found, limit=20).collect()}
+    results = [r.result for r in rows.values()]
+    assert len(rows) == 35 and results.count("stored") == 20 and results.count("duplicate") >= 1
+    assert all(rows[100 + i].result == "duplicate" and rows[100 + i].method == "canonical_url" and rows[100 + i].matched_id == rows[i].place for i in range(25, 30))
+    # newest first, and nothing stored past the cap
+    assert all(r.result != "stored" for r in rows.values() if r.place > max(x.place for x in rows.values() if x.result == "stored"))
+    assert dedupe.store(found.limit(0), limit=20).count() == 0
+
+
+def test_store_knows_what_was_stored_before(spark):
+    items = _found(6)
+    old = [(7, "rss", items[0][2] + "?utm_source=q", "other", "short", None), (8, "rss", "https://x.org/a", "t", items[1][4], None), (9, "rss", "https://site2.example.com/z", items[2][3] + " | Site", "b", None), (10, "rss", "https://site3.example.com/y", "t", items[3][4] + " end", None)]
+    frame = lambda rows: spark.createDataFrame(rows, _ITEMS).withColumn("published_at", F.to_timestamp("published_at"))
+    rows = {r.source_id: r for r in dedupe.store(frame(items), limit=20, stored=frame(old)).collect()}
+    assert {i: (r.result, r.method) for i, r in rows.items()} == {0: ("duplicate", "canonical_url"), 1: ("duplicate", "content_hash"), 2: ("duplicate", "title"), 3: ("duplicate", "body"), 4: ("stored", None), 5: ("stored", None)}
+    assert [rows[i].matched_id for i in range(4)] == [-8, -9, -10, -11]
+
+
+def test_greedy_store_of_long_chains(spark):
+    """First writer wins along a chain of 70: every second row stays. What a dropped row matches is no duplicate of it."""
+    pairs = spark.createDataFrame([(i, i - 1) for i in range(1, 70)], "source_id long, matched_id long")
+    kept = {r.source_id: r.kept for r in dedupe.keep_greedily(pairs, spark.range(70).withColumnRenamed("id", "source_id")).collect()}
+    assert kept == {i: i % 2 == 0 for i in range(70)}
+
+
+def test_replaced_table_may_read_itself(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    landing.replace_table(spark.range(3), path)
+    landing.replace_table(spark.read.parquet(path).where("id > 0"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_model_output_is_made_safe(spark):
+    raw = '''```json
+{"market_relevance": "12", "novelty": "high", "primary_entity": "TBD", "secondary_entities": ["A", "", "B"], "industries": ["x", "y", "z", "w"], "primary_theme": "Made up", "secondary_themes": ["Known", "Other"],
+ "supporting_evidence": [{"passage": "P one", "supports": "primary_claim"}, {"passage": ""}, {"passage": "P two", "supports": "it shows a clear rise"}], "recommended_format": "song", "is_promotional": true}
+```'''
+    o = spark.createDataFrame([(raw,), ("no json",)], "raw string").select(extraction.coerce_model_output(F.col("raw"), ("Known",), F.lit("d.org")).alias("o")).collect()
+    a, b = o[0].o, o[1].o
+    assert (a.market_relevance, a.novelty, a.primary_entity, a.primary_theme, a.secondary_themes, a.industries, a.secondary_entities) == (10.0, 0.0, "d.org", None, ["Known"], ["x", "y", "z"], ["A", "B"])
+    assert [(e.passage, e.supports, e.verified_verbatim) for e in a.supporting_evidence] == [("P one", None, False), ("P two", "it shows a clear rise", False)] and a.recommended_format == "executive_talking_point" and a.is_promotional
+    assert (b.industries, b.supporting_evidence, b.market_relevance) == (["Cross-industry"], [], 0.0)
