@@ -35,6 +35,14 @@ _MARK = np.zeros(256, dtype=bool)
 _MARK[[ord(c) for c in ".,;:!?"]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
+def _alphabet() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next one from 256."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_ALPHABET = _alphabet()
 # Fixed value: the split of the vocabulary for which segments are cut.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -45,7 +53,8 @@ class SegmentTokenizer:
     The tokenizer drops white space, so ids of a text are those of its words in
     turn. A word of plain letters (ASCII or Latin-1) with trailing marks is cut
     before the marks, where the tokenizer's own split falls; any other word is one
-    segment. Unseen segments go through the tokenizers library.
+    segment. Unseen segments go through the tokenizers library: plain letters to its
+    model, as the one word they are, others to the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = CACHE_SEGMENTS):
@@ -67,25 +76,24 @@ class SegmentTokenizer:
             raise ValueError(f"{path}: only vocabularies that drop white space, lower-case, split off marks and have ids under 65536 can be packed")
 
     @staticmethod
-    def _segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and keys of segments, and segments before each text."""
+    def _segments(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and keys of segments, segments before each text, which are plain letters, and the bytes in lower case."""
         starts, ends, before = word_spans(raw, at)
         n = len(raw)
+        folded = _FOLD[raw]
         if len(starts) == 0:
             none = np.zeros(0, dtype=np.int64)
-            return none, none, np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
-        after = np.zeros(n, dtype=bool)
-        after[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0xBF) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
-        lead = np.zeros(n, dtype=bool)
-        lead[:-1] = after[1:]
-        odd = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(~(_LETTER[raw] | after | lead), out=odd[1:])
-        folded = _FOLD[raw]
-        folded[after & (raw <= 0x9E)] += 0x20
-        solid = np.where(_MARK[raw], -1, np.arange(n))
-        np.maximum.accumulate(solid, out=solid)
-        tail = solid[ends - 1] + 1
-        cut = (tail > starts) & (tail < ends) & (odd[np.maximum(tail, starts)] == odd[starts])
+            return none, none, np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64), none.astype(bool), folded
+        letter = _LETTER[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        follow = raw[lead + 1]
+        lead = lead[(follow >= 0x80) & (follow <= 0xBF) & (follow != 0x97) & (follow != 0xB7)]
+        letter[lead] = letter[lead + 1] = True
+        folded[lead + 1] += np.where(raw[lead + 1] <= 0x9E, 0x20, 0).astype(np.uint8)
+        odd = np.zeros(n + 1, dtype=np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(~letter, out=odd[1:])
+        tail = _without_marks(raw, starts, ends)
+        cut = (tail > starts) & (tail < ends) & (odd[tail] == odd[starts])
         extra = np.zeros(len(starts) + 1, dtype=np.int64)
         np.cumsum(cut, out=extra[1:])
         where = np.arange(len(starts)) + extra[:-1]
@@ -94,28 +102,53 @@ class SegmentTokenizer:
         first[where[cut] + 1], last[where[cut] + 1] = tail[cut], ends[cut]
         keys = span_hashes(_SYMBOL[folded], first, last)
         # special tokens are matched before letters are lower-cased
-        sign = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum((raw == ord("<")) & (np.append(raw[1:], 0) == ord("|")), out=sign[1:])
-        special = sign[last] > sign[first]
-        if special.any():
+        signs = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        if len(signs):
+            special = np.searchsorted(signs, last) > np.searchsorted(signs, first)
             keys[special] = mix(span_hashes(_SYMBOL[raw], first[special], last[special]))
-        return first, last, keys, before + extra[before]
+        return first, last, keys, before + extra[before], odd[first] == odd[last], folded
+
+    def _ids(self, raw: bytes, folded: bytes, spans: Iterator[tuple[int, int, bool]]) -> list[list[int]]:
+        """Ids of segments: one of plain letters is one word of the model, the others go through the whole tokenizer."""
+        model, out, other = self._tokenizer.model, [], []
+        for a, b, plain in spans:
+            if plain:
+                word = folded[a:b].decode("latin-1")
+                out.append([x.id for x in model.tokenize(word if word.isascii() else word.translate(_ALPHABET))])
+            else:
+                other.append((len(out), raw[a:b].decode()))
+                out.append([])
+        for (at, _), x in zip(other, self._tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
+            out[at] = x.ids
+        return out
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and ids before each text."""
-        first, last, keys, before = self._segments(raw, at)
+        first, last, keys, before, plain, folded = self._segments(raw, at)
         if len(keys) == 0:
             return np.zeros(0, dtype=np.uint16), np.zeros(len(at), dtype=np.int64)
-        data = raw.tobytes()
-
-        def fetch(spans: np.ndarray) -> list[list[int]]:
-            words = [data[a:b].decode() for a, b in zip(first[spans].tolist(), last[spans].tolist(), strict=True)]
-            return [x.ids for x in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
+        data, low = raw.tobytes(), folded.tobytes()
+        fetch = lambda spans: self._ids(data, low, zip(first[spans].tolist(), last[spans].tolist(), plain[spans].tolist(), strict=True))
         ids, total = self._cache.lookup(keys, fetch)
         return ids, total[before]
 
 
+def _without_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The ends of words without the marks at their end: step by step, and for long runs of marks at once."""
+    tail = ends.copy()
+    open_ = np.flatnonzero(_MARK[raw[tail - 1]])
+    for _ in range(8):
+        tail[open_] -= 1
+        open_ = open_[tail[open_] > starts[open_]]
+        open_ = open_[_MARK[raw[tail[open_] - 1]]]
+        if len(open_) == 0:
+            return tail
+    solid = np.where(_MARK[raw], -1, np.arange(len(raw)))
+    np.maximum.accumulate(solid, out=solid)
+    tail[open_] = np.maximum(solid[tail[open_] - 1] + 1, starts[open_])
+    return tail
+
+
 _tokenizers: dict[str, SegmentTokenizer] = {}
 
 
