@@ -361,7 +361,7 @@ def _links(docs: DataFrame, text_col: str, total: int, size: int, percent: int)
     light_to = _boundary(sets, percent)
     keys = materialise(sets.mapInArrow(_keys(percent, light_to), _KEY), "keys")
     leaders = keys.groupBy("key").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("_count")).where("_count > 1")
-    stars = attach(keys, leaders, "key", keys.count()).where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
+    stars = attach(keys, leaders, "key", keys.count(), least=1000).where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b")).distinct()
     joined = components(stars)
     narrow = sets.select("fp", (F.octet_length("codes") / 8).cast("long").alias("w")).join(joined, F.col("fp") == joined["node"]).select("fp", "w", F.col("component").alias("team"))
     narrow = materialise(narrow, "teams")

@@ -107,14 +107,15 @@ def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: i
 HUB, HUB_SHARE = 20_000, 0.002
 
 
-def attach(df: DataFrame, lookup: DataFrame, key: str, rows: int) -> DataFrame:
+def attach(df: DataFrame, lookup: DataFrame, key: str, rows: int, least: int | None = None) -> DataFrame:
     """Inner join of df with lookup(key, columns, `_count`), one row for each key with its rows in df, without one task for a hot key.
 
-    `rows` is an upper bound of df's rows. Keys of more than HUB_SHARE of them, 500 at
-    most, are broadcast; all others are shuffled. `_count` is dropped, null keys go.
+    `rows` is an upper bound of df's rows. Keys of more than HUB_SHARE of them (and
+    than `least`), 500 at most, are broadcast; all others are shuffled. `_count` is
+    dropped, null keys go.
     """
     plain = [c for c in lookup.columns if c not in (key, "_count")]
-    bound = max(HUB, int(rows * HUB_SHARE))
+    bound = max(HUB if least is None else least, int(rows * HUB_SHARE))
     if rows <= bound:
         return df.join(lookup.drop("_count"), key)
     hot = lookup.where(F.col("_count") > bound).drop("_count")
