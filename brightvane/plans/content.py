@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lists
 from ..functions.text import content_hash
 from ..operators import audit, briefs, dedupe, trends, voice
 from ..registry import query
-from .functions import _PLAIN, _shingles, _words
+from .functions import _PLAIN, _SENTENCES, _list, _shingles, _words
 from .ranking import THEMES, as_of
 from .views import AS_OF, OWN_DOMAINS, oracle, view
 
@@ -142,14 +143,36 @@ def _drafts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return drafts, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
 
 
-@query()
+_META = lists.META_LINE.replace("'", "''")
+_UNITS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents), m AS (SELECT doc_id, line, trim(x) AS x FROM l WHERE trim(x) <> '' AND NOT regexp_matches(trim(x), '{_META}')),
+    b AS (SELECT doc_id, line, trim(regexp_replace(regexp_replace(x, '^\s*(?:[-—•*]|[0-9]+\.)\s*', ''), '^\*+|\*+$', '', 'g')) AS x FROM m), f AS (SELECT doc_id, line, x, {_SENTENCES.format('x')} AS s FROM b WHERE x <> ''),
+    u0 AS (SELECT doc_id, line, unnest(CASE WHEN len(s) > 0 THEN s ELSE [x] END) AS s, unnest(range(greatest(len(s), 1))) AS k FROM f), u1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) AS id, lower(trim(s)) AS low FROM u0),
+    u AS (SELECT *, left(regexp_replace(low, '^["“”'' ]+|["“”'' ]+$', '', 'g'), 60) AS head, list_filter(list_distinct(regexp_extract_all(low, '[a-z'']{{4,}}')), lambda t: NOT list_contains({_list(lists.AUDIT_STOPWORDS)}, t)) AS tokens FROM u1 WHERE len(regexp_extract_all(low, '\S+')) >= 4),
+    p AS (SELECT item_id, lower(text) AS p, list_distinct(regexp_extract_all(lower(text), '[a-z'']{{4,}}')) AS t FROM benchmark), c AS (SELECT string_agg(p, ' ' ORDER BY item_id) AS corpus FROM p),
+    h AS (SELECT doc_id, id, unnest(tokens) AS t FROM u), i AS (SELECT item_id, unnest(t) AS t FROM p), o AS (SELECT doc_id, id, max(n) AS best FROM (SELECT h.doc_id, h.id, i.item_id, count(*) AS n FROM h JOIN i ON h.t = i.t GROUP BY ALL) GROUP BY ALL), j AS (SELECT doc_id, id, count(*) AS n FROM h WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+    v AS (SELECT u.*, coalesce(o.best, 0) / greatest(len(u.tokens), 1)::DOUBLE AS overlap, coalesce(j.n, 0) / greatest(len(u.tokens), 1)::DOUBLE AS joint, c.corpus FROM u CROSS JOIN c LEFT JOIN o ON u.doc_id = o.doc_id AND u.id = o.id LEFT JOIN j ON u.doc_id = j.doc_id AND u.id = j.id),
+    w AS (SELECT *, CASE WHEN head <> '' AND contains(corpus, head) THEN 'supported' WHEN list_bool_or(list_transform({_list(lists.OPINION)}, lambda x: contains(low, x))) THEN 'opinion' WHEN list_bool_or(list_transform({_list(lists.FUTURE)}, lambda x: starts_with(low, x) OR contains(low, ' ' || x))) AND NOT contains(low, '?') THEN 'unverifiable'
+        WHEN len(tokens) = 0 THEN NULL WHEN overlap >= 0.6e0 THEN 'supported' WHEN overlap >= 0.35e0 THEN 'partially_supported' WHEN joint >= 0.75e0 THEN 'partially_supported' ELSE 'unsupported' END AS status FROM v)"""
+
+
+@query(f"""WITH {_UNITS}, n AS (SELECT doc_id AS draft_id, count(*) FILTER (WHERE status = 'supported') AS supported, count(*) FILTER (WHERE status = 'partially_supported') AS partially_supported, count(*) FILTER (WHERE status = 'unsupported') AS unsupported, count(*) FILTER (WHERE status = 'opinion') AS opinion, count(*) FILTER (WHERE status = 'unverifiable') AS unverifiable FROM w WHERE status IS NOT NULL GROUP BY doc_id)
+    SELECT *, CASE WHEN supported + partially_supported + unsupported > 0 THEN round((supported + 0.5e0 * partially_supported) / (supported + partially_supported + unsupported) * 100, 1) ELSE 0e0 END AS evidence_score FROM n""")
 def k20_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit_scores(audit.audit_shared(*_drafts(spark, sf_dir)))
 
 
-@query()
+_MADE = "text || CASE doc_id % 4 WHEN 0 THEN ' Sales grew 41% to 1,204 in 2019, or 7.' WHEN 1 THEN ' They call it a “' || left(text, 40) || '” and a game-changer.' ELSE '' END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, {_MADE} AS t FROM documents), c AS (SELECT string_agg(lower(text), ' ' ORDER BY item_id) AS corpus FROM benchmark), k AS (SELECT corpus, regexp_extract_all(corpus, '\b[0-9][0-9,.]*%?\b') AS known FROM c),
+    n AS (SELECT d.*, k.*, list_distinct(regexp_extract_all(t, '\b[0-9][0-9,.]*%?\b')) AS numbers, regexp_extract_all(t, '[“"]([^”"]{{20,}})[”"]', 1) AS quotes FROM d CROSS JOIN k)
+    SELECT doc_id AS draft_id, list_sort(list_filter(numbers, lambda x: NOT list_contains(known, x) AND NOT regexp_full_match(replace(x, ',', ''), '(19|20)[0-9]{{2}}') AND length(replace(x, '%', '')) > 1)) AS invented_numbers, list_filter(quotes, lambda q: NOT contains(corpus, left(lower(q), 60))) AS invented_quotes,
+    list_filter({_list(lists.BANNED)}, lambda b: contains(lower(t), b)) AS banned_phrases FROM n""")
 def k21_fabrications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.fabrications_shared(*_drafts(spark, sf_dir))
+    made, items = _drafts(spark, sf_dir)
+    k = F.col("draft_id") % 4
+    added = F.when(k == 0, " Sales grew 41% to 1,204 in 2019, or 7.").when(k == 1, F.concat(F.lit(" They call it a “"), F.left("draft_text", F.lit(40)), F.lit("” and a game-changer."))).otherwise("")
+    return audit.fabrications_shared(made.withColumn("draft_text", F.concat("draft_text", added)), items)
 
 
 @query(oracle("SELECT d.draft_id, u.source_id, m.source_url FROM m_drafts d JOIN m_opportunities o ON d.opportunity_id = o.opportunity_id CROSS JOIN LATERAL (SELECT unnest(o.source_ids) AS source_id) u JOIN m_sources m ON u.source_id = m.source_id"))
