@@ -223,6 +223,11 @@ def hits(low: Column, phrases: Iterable[str]) -> Column:
     return out
 
 
+def hits_in(low: Column, phrases: Column) -> Column:
+    """How many of an array's phrases lower-cased text holds as substrings; one that stands twice counts twice."""
+    return F.size(F.filter(phrases, lambda p: (p != "") & F.contains(low, F.lower(p))))
+
+
 def looks_like_prose(sentence: Column) -> Column:
     """B-18: a statement rather than page furniture. Cheap tests come first."""
 
@@ -271,22 +276,25 @@ def looks_promotional(c: Column) -> Column:
     return (n >= 2) | ((n >= 1) & (word_count(c) < 400))
 
 
-def select_evidence_passages(c: Column, keywords: list[str], limit: int = 5, min_words: int = 10, priority: list[str] | None = None, compose: bool = True) -> Column:
-    """B-19: the sentences that best support the keywords, best first: array of struct(passage, verified_verbatim)."""
+def select_evidence_passages(c: Column, keywords: list[str], limit: int = 5, min_words: int = 10, priority: list[str] | Column | None = None, compose: bool = True) -> Column:
+    """B-19: the sentences that best support the keywords, best first: array of struct(passage, verified_verbatim). Priority keywords may be an array column."""
     c = normalize_unicode(c, compose)
-    first, wide = [k.lower() for k in priority or [] if k], [k.lower() for k in keywords if k]
+    of_row = isinstance(priority, Column)
+    first, wide = [] if of_row else [k.lower() for k in priority or [] if k], [k.lower() for k in keywords if k]
 
-    def scored(s: Column, i: Column) -> Column:
+    def scored(s: Column, i: Column, mine: Column) -> Column:
         low, n = F.lower(s), word_count(s)
-        top, any_ = hits(low, first), hits(low, wide)
+        top, any_ = hits_in(low, mine) if of_row else hits(low, first), hits(low, wide)
         score = top * 4.0 + any_ * 1.0 - n / 120.0
-        if first:
-            score = score - F.when(top == 0, 2.0).otherwise(0.0)
+        if first or of_row:
+            score = score - F.when((top == 0) & (F.size(mine) > 0 if of_row else F.lit(True)), 2.0).otherwise(0.0)
         score = score + F.when(s.rlike(lists.NUMBER), 1.5).otherwise(0.0) - F.when(any_of(low, lists.PROMOTIONAL), 2.5).otherwise(0.0)
         keep = (n >= min_words) & (n <= 90) & ((top > 0) | (any_ > 0)) & (score > 0) & looks_like_prose(s)
         return F.struct((-score).alias("rank"), i.alias("at"), s.alias("s"), keep.alias("keep"))
 
-    ordered = F.array_sort(F.filter(F.transform(sentences(c, False), scored), lambda x: x["keep"]))
+    # the row's keywords are computed once, not for each sentence
+    rows = F.struct(sentences(c, False).alias("s"), (priority if of_row else F.array().cast("array<string>")).alias("mine"))
+    ordered = let(rows, lambda v: F.array_sort(F.filter(F.transform(v["s"], lambda s, i: scored(s, i, v["mine"])), lambda x: x["keep"])))
     picked = _once(ordered, lambda x: F.left(loose(x["s"], compose=False), F.lit(80)), limit)
     sound = lambda v: F.transform(v["picked"], lambda x: F.struct(x["s"].alias("passage"), holds(v["plain"], x["s"]).alias("verified_verbatim")))
     return let(F.struct(loose(c, False).alias("plain"), picked.alias("picked")), sound)

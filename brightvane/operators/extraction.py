@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, extract_numerical_claims, extract_quotes, hits, holds, let, looks_like_prose, loose, normalize_unicode, select_evidence_passages, sentences, word_count
+from ..functions.text import any_of, extract_numerical_claims, extract_quotes, hits, hits_in, holds, let, looks_like_prose, loose, normalize_unicode, select_evidence_passages, sentences, word_count
+from ..functions.urls import under
 from . import scoring
 from .taxonomy import Phrases, Theme, match_entities, match_industries, match_segment, match_themes, primary_theme, secondary_themes
 
@@ -28,17 +30,21 @@ class Dictionaries:
     speaker: Sequence[str] = ()
 
 
-def pick_sentence(text: Column, markers: Sequence[str], bonus: Sequence[str] = (), compose: bool = True) -> Column:
-    """G-02: the sentence of 8 to 70 words with the most markers, the first of equals; null if none has any."""
+def pick_sentence(text: Column, markers: Sequence[str], bonus: Sequence[str] | Column = (), compose: bool = True) -> Column:
+    """G-02: the sentence of 8 to 70 words with the most markers, the first of equals; null if none has any. The bonus words may be an array column."""
 
-    def scored(s: Column, i: Column) -> Column:
+    own = bonus if isinstance(bonus, Column) else F.array(*[F.lit(b) for b in bonus]).cast("array<string>")
+
+    def scored(s: Column, i: Column, words_: Column) -> Column:
         low, n = F.lower(s), word_count(s)
         found = hits(low, markers)
-        score = found * 1.5 + hits(low, [b.lower() for b in bonus]) * 0.5 - n / 100.0
+        score = found * 1.5 + hits_in(low, words_) * 0.5 - n / 100.0
         good = (n >= 8) & (n <= 70) & (found > 0) & (score > 0) & looks_like_prose(s)
         return F.when(good, F.struct(score.alias("score"), (-i).alias("at"), s.alias("s")))
 
-    return F.array_max(F.filter(F.transform(sentences(text, compose), scored), lambda x: x.isNotNull()))["s"]
+    # sentences and words are computed once, not for each sentence
+    best = lambda v: F.array_max(F.filter(F.transform(v["s"], lambda s, i: scored(s, i, v["w"])), lambda x: x.isNotNull()))["s"]
+    return let(F.struct(sentences(text, compose).alias("s"), own.alias("w")), best)
 
 
 def first_substantive(text: Column, compose: bool = True) -> Column:
@@ -53,14 +59,21 @@ def _score(c: Column) -> Column:
 def extract(sources: DataFrame, known: Dictionaries, as_of: Column, compose: bool = True) -> DataFrame:
     """G-01: sources (source_id, title, cleaned_text, source_type, source_domain, published_at) to signals.
 
+    Where sources have them, `is_promotional` and `first_party` mark vendors' own
+    texts beside the own domains, and `status` or `summary_only` mark summaries.
+
     In four layers of columns - features, facts, components, scores - so that each
     is computed once. No shuffle: a row depends on itself only.
     """
-    f = sources.select("source_id", "source_type", "source_domain", "published_at", F.coalesce("title", F.lit("")).alias("title"), normalize_unicode(F.col("cleaned_text"), compose).alias("text"))
+    mark = lambda *names: functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(n).cast("boolean"), F.lit(False)) for n in names if n in sources.columns], F.lit(False))
+    own = under(F.coalesce("source_domain", F.lit("")), known.own_domains) | (F.col("source_type") == "first_party") | mark("is_promotional", "first_party")
+    brief = mark("summary_only") | (F.coalesce("status", F.lit("")) == "summary_only" if "status" in sources.columns else F.lit(False))
+    f = sources.select(own.alias("is_promotional"), brief.alias("is_summary_only"), "source_id", "source_type", "source_domain", "published_at", F.coalesce("title", F.lit("")).alias("title"), normalize_unicode(F.col("cleaned_text"), compose).alias("text"))
     compose = False  # texts are composed from here on
     f = f.withColumn("hay", F.concat("title", F.lit("\n"), "text")).drop("title")
     hay = F.col("hay")
-    every = sorted({k for t in known.themes for k in t.keywords})
+    # the keywords of the themes that match a text, not of all: they are what makes a sentence one about it
+    every = F.flatten(F.transform("matches", lambda m: m["keywords"]))
     f = f.withColumns({
         "matches": match_themes(hay, known.themes), "own": match_entities(hay, known.own) if known.own else F.array().cast("array<string>"),
         "competitors": match_entities(hay, known.competitors) if known.competitors else F.array().cast("array<string>"), "vendors": match_entities(hay, known.vendors) if known.vendors else F.array().cast("array<string>"),
@@ -72,8 +85,6 @@ def extract(sources: DataFrame, known: Dictionaries, as_of: Column, compose: boo
         "primary_theme": primary_theme(F.col("matches")), "secondary_themes": secondary_themes(F.col("matches")),
         "customer_problem": pick_sentence(text, lists.PROBLEM_MARKERS, every, compose), "primary_claim": F.coalesce(pick_sentence(text, lists.CLAIM_MARKERS, every, compose), first_substantive(text, compose)),
         "supporting_evidence": select_evidence_passages(text, list(lists.EVIDENCE_WORDS), 5, priority=every, compose=compose), "notable_quotes": extract_quotes(text, 5), "numerical_claims": extract_numerical_claims(text, 6, compose),
-        "is_promotional": F.col("source_domain").isin(*known.own_domains) | F.coalesce(F.exists(F.array(*[F.lit("." + d) for d in known.own_domains]), lambda d: F.col("source_domain").endswith(d)), F.lit(False)) if known.own_domains else F.lit(False),
-        "is_summary_only": F.lit(False),
     })
     facts = enforce_verbatim(facts, compose)
     top = F.coalesce(F.get("matches", F.lit(0))["score"], F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
+from ..functions.text import extract_numerical_claims
 from ..operators import analytics, briefs, extraction, taxonomy, trends
 from ..operators.taxonomy import Theme
 from ..registry import query
@@ -13,7 +14,8 @@ from ..sources import landing
 from .functions import _CLEAN, _LOOSE, _PLAIN, _PROSE, _list
 from .ranking import THEMES as TREND_SQL
 from .ranking import as_of
-from .views import AS_OF, oracle, view
+from .textual import KNOWN, THEMES
+from .views import AS_OF, OWN_DOMAINS, oracle, view
 
 _NOW = f"make_timestamp({AS_OF}000000)"
 _TOKENS = r"string_split_regex(lower({0}), '[^\pL\pM\pN_]+')"
@@ -259,3 +261,69 @@ def k16_persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = view(spark, sf_dir, "m_opportunities").select("opportunity_id", "theme_slug", "status")
     new = spark.range(15).select((F.col("id") + 100000).alias("opportunity_id"), F.concat(F.lit("theme-"), "id").alias("theme_slug"), F.lit("ready_for_brief").alias("status"))
     return briefs.persist_opportunities(old, new).select("opportunity_id", "theme_slug", "status")
+
+
+# figures of prose: a mark before each place where one may begin stands for a look back, which RE2 has not
+_MARK = "chr(30)"
+_UNITS = "(?:%|percent|x|bn|billion|million|k\\b|hours?|minutes?|days?|seconds?|customers?|businesses?|dealerships?|locations?|leads?|calls?)?"
+_FIGURES = rf"""y0 AS (SELECT doc_id, place, s, unnest(regexp_extract_all(regexp_replace(s, '(^|[^\w.])(\$?[0-9])', '\1' || {_MARK} || '\2', 'g'), {_MARK} || '((?i)\$?[0-9][0-9,' || {_MARK} || ']*\.?[0-9]*\s?{_UNITS})', 1)) AS v FROM p WHERE prose AND regexp_matches(s, '[0-9]')),
+    y1 AS (SELECT doc_id, place, s, regexp_replace(trim(replace(v, {_MARK}, '')), '[.,;:]+$', '') AS v, row_number() OVER () AS ord FROM y0),
+    y2 AS (SELECT * FROM y1 WHERE regexp_matches(v, '[0-9]') AND NOT regexp_full_match(replace(replace(v, ',', ''), '$', ''), '(19|20)[0-9][0-9]') AND NOT regexp_full_match(v, '[0-9]{{1,2}}') AND (NOT contains(v, ',') OR regexp_matches(v, '^\$?[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\.[0-9]+)?\s?[^0-9]*$'))),
+    y3 AS (SELECT doc_id, v, s, min(place) AS place, min(ord) AS ord FROM y2 GROUP BY doc_id, v, s), y4 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, v, left(s, 60) ORDER BY place, ord) AS k FROM y3), y5 AS (SELECT doc_id, v AS value, s AS context, row_number() OVER (PARTITION BY doc_id ORDER BY place, ord) AS rank FROM y4 WHERE k = 1)"""
+
+
+@query(f"WITH {_PROSE}, {_FIGURES} SELECT doc_id, rank::INTEGER AS rank, value, context FROM y5 WHERE rank <= 8")
+def b16_numerical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(extract_numerical_claims(F.col("text"))).alias("i", "c"))
+    return rows.select("doc_id", (F.col("i") + 1).alias("rank"), "c.value", "c.context")
+
+
+def _has(phrase: str) -> str:
+    body = r"\s+".join(w.replace("-", "-+").replace("'", "''") for w in phrase.split())
+    return rf"regexp_matches(t, '[^{_W}]{body}s?[^{_W}]')"
+
+
+_W = r"\pL\pM\pN_"
+_any_of = lambda phrases: "(" + " OR ".join(map(_has, phrases)) + ")"
+_number_of = lambda phrases: "(" + " + ".join(f"{_has(x)}::INTEGER" for x in phrases) + ")"
+_held = lambda low, phrases: f"len(list_filter({_list(phrases)}, lambda f: contains({low}, f)))"
+_own_sql = " OR ".join(f"source_domain = '{d}' OR ends_with(source_domain, '.{d}')" for d in OWN_DOMAINS)
+
+
+def _theme(t: Theme) -> str:
+    n = lambda w: f"len(list_filter(w, lambda x: x IN ('{w}', '{w}s')))"
+    return " + ".join(f"least({n(k)}, 4)" for k in t.keywords) + "".join(f" + least({n(k)}, 4) * 15e-1" for k in t.strong) + "".join(f" - {n(k)} * 3e0" for k in t.negative)
+
+
+_KEYWORDS = ", ".join("list_filter([" + ", ".join(f"CASE WHEN list_has_any(w, {_once(k)}) THEN '{k}' END" for k in t.keywords) + "], lambda x: x IS NOT NULL)" for t in THEMES)
+# half a cent goes up, as for decimals
+_CLAMP = "round(greatest(0e0, least({0}, 1e1)) + 1e-9, 2)"
+_AGE = f"(epoch_us({_NOW}) - epoch_us(published_at)) / 86400e6"
+_EXTRACTED = rf"""{_PROSE}, {_FIGURES}, h0 AS (SELECT o.*, title || chr(10) || cleaned_text AS hay FROM m_sources o), h1 AS (SELECT *, {_TOKENS.format('hay')} AS w, ' ' || regexp_replace(lower(hay), '([^{_W}])', '\1\1', 'g') || ' ' AS t, len(regexp_extract_all(cleaned_text, '\S+')) AS words FROM h0),
+    h2 AS (SELECT *, unnest([{', '.join(_theme(t) for t in THEMES)}]) AS score, unnest([{_KEYWORDS}]) AS kw, unnest({[t.name for t in THEMES]}) AS name, unnest(range({len(THEMES)})) AS place FROM h1), h3 AS (SELECT source_id, list(kw ORDER BY score DESC, place) AS kws, max(score) AS top, count(*) AS matches, list(name ORDER BY score DESC, place)[1] AS best FROM h2 WHERE score > 0 GROUP BY source_id),
+    h AS (SELECT h1.*, coalesce(flatten(h3.kws), []) AS kws, coalesce(h3.top, 0e0) AS top, coalesce(h3.matches, 0) AS matches, CASE WHEN h3.top >= 4 THEN h3.best END AS primary_theme, len(list_filter(h1.w, lambda x: x IN ('the', 'thes'))) AS rn, len(list_filter(h1.w, lambda x: x IN ('und', 'unds', 'der', 'ders'))) AS an, list_contains(h1.w, 'that') AS competitor FROM h1 LEFT JOIN h3 ON h1.source_id = h3.source_id),
+    i AS (SELECT p.doc_id, p.place, p.s, p.n, p.prose, {_held('lower(p.s)', lists.PROBLEM_MARKERS)} AS pm, {_held('lower(p.s)', lists.CLAIM_MARKERS)} AS cm, {_held('lower(p.s)', lists.EVIDENCE_WORDS)} AS ev, len(list_filter(h.kws, lambda k: contains(lower(p.s), k))) AS mine, len(h.kws) AS held FROM p JOIN h ON p.doc_id = h.source_id),
+    j AS (SELECT *, pm * 15e-1 + mine * 5e-1 - n / 1e2 AS ps, cm * 15e-1 + mine * 5e-1 - n / 1e2 AS cs, mine * 4e0 + ev - n / 120e0 - CASE WHEN held > 0 AND mine = 0 THEN 2e0 ELSE 0e0 END + CASE WHEN regexp_matches(s, '(^|[^\w.])\$?[0-9]') THEN 15e-1 ELSE 0e0 END - CASE WHEN {_held('lower(s)', lists.PROMOTIONAL)} > 0 THEN 25e-1 ELSE 0e0 END AS es FROM i WHERE prose),
+    pr AS (SELECT doc_id, arg_max(s, struct_pack(a := ps, b := -place)) AS problem FROM j WHERE n BETWEEN 8 AND 70 AND pm > 0 AND ps > 0 GROUP BY doc_id), cl AS (SELECT doc_id, arg_max(s, struct_pack(a := cs, b := -place)) AS claim FROM j WHERE n BETWEEN 8 AND 70 AND cm > 0 AND cs > 0 GROUP BY doc_id), fi AS (SELECT doc_id, arg_min(s, place) AS first FROM j WHERE n BETWEEN 10 AND 60 GROUP BY doc_id),
+    ev AS (SELECT doc_id, least(count(DISTINCT left({_LOOSE.format('s')}, 80)), 5) AS passages FROM j WHERE n BETWEEN 10 AND 90 AND (mine > 0 OR ev > 0) AND es > 0 GROUP BY doc_id), nu AS (SELECT doc_id, least(count(*), 6) AS numbers FROM y5 GROUP BY doc_id),
+    qu AS (SELECT doc_id, least(count(DISTINCT {_LOOSE.format('v')}), 5) AS quotes FROM (SELECT doc_id, trim(unnest(regexp_extract_all(text, '["“]([^"”]{{25,400}})["”]', 1))) AS v FROM documents) WHERE len(regexp_extract_all(v, '\S+')) >= 6 GROUP BY doc_id),
+    a0 AS (SELECT h.*, pr.problem AS customer_problem, coalesce(cl.claim, fi.first) AS primary_claim, coalesce(ev.passages, 0) AS passages, coalesce(nu.numbers, 0) AS numbers, coalesce(qu.quotes, 0) AS quotes, ({_own_sql}) OR source_type = 'first_party' AS promo, status = 'summary_only' AS brief,
+        {_held('lower(hay)', lists.FAMILIAR)} > 0 OR (matches > 0 AND top < 3 AND matches >= 3) AS familiar, CASE WHEN published_at IS NULL THEN 4e0 WHEN {_AGE} <= 7 THEN 1e1 WHEN {_AGE} >= 120 THEN 0e0 ELSE round(greatest(1e1 * (1 - ({_AGE} - 7) / 113), 0), 2) END AS freshness
+        FROM h LEFT JOIN pr ON source_id = pr.doc_id LEFT JOIN cl ON source_id = cl.doc_id LEFT JOIN fi ON source_id = fi.doc_id LEFT JOIN ev ON source_id = ev.doc_id LEFT JOIN nu ON source_id = nu.doc_id LEFT JOIN qu ON source_id = qu.doc_id),
+    a1 AS (SELECT *, {_CLAMP.format(f"CASE WHEN {_any_of(lists.AGENT)} THEN 2e0 ELSE 0e0 END + CASE WHEN competitor THEN 8e-1 ELSE 0e0 END + CASE WHEN rn >= 2 OR an >= 2 THEN 2e0 ELSE 0e0 END + CASE WHEN {_any_of(lists.SMALL_BUSINESS)} THEN 15e-1 ELSE 0e0 END + least(top / 6e0, 2e0) + CASE WHEN {_any_of(lists.RESPONSE)} THEN 15e-1 ELSE 0e0 END")} AS market_relevance FROM a0),
+    a2 AS (SELECT *, {_CLAMP.format(f"market_relevance * 5e-1 + CASE WHEN {_any_of(lists.FOUNDER)} THEN 1 ELSE 0 END + least({_number_of(lists.OPERATOR)} * 6e-1, 3e0) - CASE WHEN {_any_of(lists.DEEP_TECH)} THEN 2 ELSE 0 END")} AS speaker_relevance,
+        {_CLAMP.format("2e0 + least(passages * 8e-1, 3e0) + least(quotes * 7e-1, 2e0) + least(numbers * 5e-1, 2e0) + CASE WHEN words > 800 THEN 1e0 WHEN words < 200 THEN -15e-1 ELSE 0e0 END - CASE WHEN promo THEN 25e-1 ELSE 0e0 END - CASE WHEN source_type = 'youtube' THEN 1 ELSE 0 END - CASE WHEN brief THEN 2 ELSE 0 END")} AS evidence_strength,
+        {_CLAMP.format(f"3e0 + least({_number_of(lists.MONEY)} * 8e-1, 35e-1) + least(numbers * 4e-1, 15e-1) + least({_number_of(lists.SCALE)} * 6e-1, 12e-1) + CASE WHEN {_any_of(lists.MISSED)} THEN 1 ELSE 0 END")} AS business_impact,
+        {_CLAMP.format("5e0 - CASE WHEN familiar THEN 25e-1 ELSE 0e0 END + least(numbers * 5e-1, 2e0) + CASE WHEN quotes > 0 THEN 1 ELSE 0 END - CASE WHEN promo THEN 15e-1 ELSE 0e0 END + CASE WHEN top >= 8 THEN 1 ELSE 0 END")} AS novelty FROM a1)"""
+
+
+@query(oracle(f"""WITH {_EXTRACTED} SELECT source_id, primary_theme, coalesce(CASE WHEN competitor THEN 'That Co' END, source_domain) AS primary_entity, customer_problem, primary_claim, passages::INTEGER AS passages, quotes::INTEGER AS quotes, numbers::INTEGER AS numbers, promo AS is_promotional, familiar AS is_familiar, market_relevance, speaker_relevance, evidence_strength, business_impact, novelty, freshness,
+    least(CASE WHEN evidence_strength < 4 THEN 18e0 ELSE 0e0 END + CASE WHEN numbers > 0 THEN 16 ELSE 0 END + CASE WHEN competitor THEN 14 ELSE 0 END + CASE WHEN promo THEN 10 ELSE 0 END + CASE WHEN familiar THEN 10 ELSE 0 END + CASE WHEN published_at IS NULL THEN 6 ELSE 0 END, 1e2) AS risk_score,
+    CASE WHEN quotes > 0 AND evidence_strength >= 6 THEN 'linkedin_post' WHEN numbers > 0 AND business_impact >= 6 THEN 'short_form_video_outline' WHEN evidence_strength >= 7 THEN 'long_form_essay_outline' WHEN promo THEN 'internal_briefing_note' ELSE 'executive_talking_point' END AS recommended_format FROM a2"""))
+def g01_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extraction.extract(view(spark, sf_dir, "m_sources"), KNOWN, as_of())
+    size = lambda c, name: F.size(c).alias(name)
+    return out.select(
+        "source_id", "primary_theme", "primary_entity", "customer_problem", "primary_claim", size("supporting_evidence", "passages"), size("notable_quotes", "quotes"), size("numerical_claims", "numbers"), "is_promotional", "is_familiar",
+        "market_relevance", "speaker_relevance", "evidence_strength", "business_impact", "novelty", "freshness", "risk_score", "recommended_format",
+    )

@@ -40,12 +40,6 @@ def b11_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("source_id", text.slugify(F.concat("search_query", F.lit(" "), "source_type", F.lit("!"))).alias("slug"))
 
 
-@query()
-def b16_numerical_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("text", text.normalize_unicode(F.col("text")))
-    return docs.select("doc_id", F.size(text.extract_numerical_claims(F.col("text"), compose=False)).alias("claims"))
-
-
 @query(oracle(f"SELECT source_id, CASE WHEN published_at IS NULL THEN 'undated' WHEN a <= 14 THEN 'new' WHEN a <= 90 THEN 'recent' ELSE 'evergreen' END AS tier FROM (SELECT source_id, published_at, (epoch_us(make_timestamp({AS_OF}000000)) - epoch_us(published_at)) / 86400e6 AS a FROM m_sources)"))
 def b24_recency_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "m_sources").select("source_id", labels.recency_tier(F.col("published_at"), as_of()).alias("tier"))
@@ -106,12 +100,6 @@ def f05_industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.array_join(taxonomy.match_industries(t, KNOWN.industries), ",").alias("industries"), taxonomy.match_segment(t, KNOWN.segments).alias("segment"))
 
 
-@query()
-def g01_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extraction.extract(view(spark, sf_dir, "m_sources"), KNOWN, as_of())
-    return out.select("source_id", "primary_theme", "market_relevance", "speaker_relevance", "evidence_strength", "business_impact", "novelty", "freshness", "opportunity_score", "risk_score", "recommended_format")
-
-
 @query(oracle("SELECT source_id FROM m_sources WHERE status IN ('fetched', 'summary_only', 'needs_review', 'extracted') AND source_id NOT IN (SELECT source_id FROM m_signals) ORDER BY discovered_at DESC, source_id LIMIT 25"))
 def g18_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.targets(view(spark, sf_dir, "m_sources"), view(spark, sf_dir, "m_signals"), 25).select("source_id")

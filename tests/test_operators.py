@@ -165,7 +165,7 @@ def test_voice(spark):
 def test_meeting_notes(spark):
     talk = spark.createDataFrame([(1, 0, "Ann: we will ship it on Monday then.\nBob: can you send me the full list today?\nno name here")], "conv_id long, turn long, text string")
     lines = voice.speaker_lines(talk)
-    assert [(r.speaker, r.kind) for r in voice.meeting_notes(lines).orderBy("kind").collect()] == [("Bob", "action"), ("Ann", "decision"), ("Bob", "question")]
+    assert [(r.speaker, r.kind) for r in voice.meeting_notes(lines).orderBy("kind").collect()] == [("Bob", "action"), ("Ann", "decision"), ("Bob", "question"), (None, "summary")]
     assert not voice.meeting_gate(lines).first().accepted
 
 
