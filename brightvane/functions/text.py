@@ -255,10 +255,15 @@ def _once(items: Column, key, limit: int) -> Column:
     return let(items, lambda a: let(F.struct(a.alias("items"), F.transform(a, key).alias("keys")), keep))
 
 
-def extract_numerical_claims(c: Column, limit: int = 8, compose: bool = True) -> Column:
-    """B-16: array of struct(value, context, verified_verbatim, needs_verification)."""
+def prose_sentences(c: Column, compose: bool = True) -> Column:
+    """The sentences that are prose (B-05, B-18), for callers that need them more than once."""
+    return F.filter(sentences(c, compose), looks_like_prose)
+
+
+def extract_numerical_claims(c: Column, limit: int = 8, compose: bool = True, prose: Column | None = None) -> Column:
+    """B-16: array of struct(value, context, verified_verbatim, needs_verification). `prose` may bring the text's `prose_sentences`."""
     c = normalize_unicode(c, compose)
-    prose = F.filter(sentences(c, False), looks_like_prose)
+    prose = prose_sentences(c, False) if prose is None else prose
 
     def of(s: Column) -> Column:
         values = F.transform(F.regexp_extract_all(s, F.lit(lists.NUMBER), 1), lambda v: F.regexp_replace(_strip(v), r"[.,;:]+$", ""))
@@ -276,8 +281,8 @@ def looks_promotional(c: Column) -> Column:
     return (n >= 2) | ((n >= 1) & (word_count(c) < 400))
 
 
-def select_evidence_passages(c: Column, keywords: list[str], limit: int = 5, min_words: int = 10, priority: list[str] | Column | None = None, compose: bool = True) -> Column:
-    """B-19: the sentences that best support the keywords, best first: array of struct(passage, verified_verbatim). Priority keywords may be an array column."""
+def select_evidence_passages(c: Column, keywords: list[str], limit: int = 5, min_words: int = 10, priority: list[str] | Column | None = None, compose: bool = True, prose: Column | None = None) -> Column:
+    """B-19: the sentences that best support the keywords, best first: array of struct(passage, verified_verbatim). Priority keywords may be an array column; `prose` may bring the text's `prose_sentences`."""
     c = normalize_unicode(c, compose)
     of_row = isinstance(priority, Column)
     first, wide = [] if of_row else [k.lower() for k in priority or [] if k], [k.lower() for k in keywords if k]
@@ -289,11 +294,12 @@ def select_evidence_passages(c: Column, keywords: list[str], limit: int = 5, min
         if first or of_row:
             score = score - F.when((top == 0) & (F.size(mine) > 0 if of_row else F.lit(True)), 2.0).otherwise(0.0)
         score = score + F.when(s.rlike(lists.NUMBER), 1.5).otherwise(0.0) - F.when(any_of(low, lists.PROMOTIONAL), 2.5).otherwise(0.0)
-        keep = (n >= min_words) & (n <= 90) & ((top > 0) | (any_ > 0)) & (score > 0) & looks_like_prose(s)
+        keep = (n >= min_words) & (n <= 90) & ((top > 0) | (any_ > 0)) & (score > 0)
+        keep = keep & looks_like_prose(s) if prose is None else keep
         return F.struct((-score).alias("rank"), i.alias("at"), s.alias("s"), keep.alias("keep"))
 
     # the row's keywords are computed once, not for each sentence
-    rows = F.struct(sentences(c, False).alias("s"), (priority if of_row else F.array().cast("array<string>")).alias("mine"))
+    rows = F.struct((sentences(c, False) if prose is None else prose).alias("s"), (priority if of_row else F.array().cast("array<string>")).alias("mine"))
     ordered = let(rows, lambda v: F.array_sort(F.filter(F.transform(v["s"], lambda s, i: scored(s, i, v["mine"])), lambda x: x["keep"])))
     picked = _once(ordered, lambda x: F.left(loose(x["s"], compose=False), F.lit(80)), limit)
     sound = lambda v: F.transform(v["picked"], lambda x: F.struct(x["s"].alias("passage"), holds(v["plain"], x["s"]).alias("verified_verbatim")))

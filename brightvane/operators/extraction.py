@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, extract_numerical_claims, extract_quotes, hits, hits_in, holds, let, looks_like_prose, loose, normalize_unicode, select_evidence_passages, sentences, word_count
+from ..functions.text import any_of, extract_numerical_claims, extract_quotes, hits, hits_in, holds, let, looks_like_prose, loose, normalize_unicode, prose_sentences, select_evidence_passages, sentences, word_count
 from ..functions.urls import under
 from . import scoring
 from .taxonomy import Phrases, Theme, match_entities, match_industries, match_segment, match_themes, primary_theme, secondary_themes
@@ -30,8 +30,8 @@ class Dictionaries:
     speaker: Sequence[str] = ()
 
 
-def pick_sentence(text: Column, markers: Sequence[str], bonus: Sequence[str] | Column = (), compose: bool = True) -> Column:
-    """G-02: the sentence of 8 to 70 words with the most markers, the first of equals; null if none has any. The bonus words may be an array column."""
+def pick_sentence(text: Column, markers: Sequence[str], bonus: Sequence[str] | Column = (), compose: bool = True, prose: Column | None = None) -> Column:
+    """G-02: the sentence of 8 to 70 words with the most markers, the first of equals; null if none has any. The bonus words may be an array column; `prose` may bring the text's `prose_sentences`."""
 
     own = bonus if isinstance(bonus, Column) else F.array(*[F.lit(b) for b in bonus]).cast("array<string>")
 
@@ -39,23 +39,30 @@ def pick_sentence(text: Column, markers: Sequence[str], bonus: Sequence[str] | C
         low, n = F.lower(s), word_count(s)
         found = hits(low, markers)
         score = found * 1.5 + hits_in(low, words_) * 0.5 - n / 100.0
-        good = (n >= 8) & (n <= 70) & (found > 0) & (score > 0) & looks_like_prose(s)
+        good = (n >= 8) & (n <= 70) & (found > 0) & (score > 0)
+        good = good & looks_like_prose(s) if prose is None else good
         return F.when(good, F.struct(score.alias("score"), (-i).alias("at"), s.alias("s")))
 
     # sentences and words are computed once, not for each sentence
     best = lambda v: F.array_max(F.filter(F.transform(v["s"], lambda s, i: scored(s, i, v["w"])), lambda x: x.isNotNull()))["s"]
-    return let(F.struct(sentences(text, compose).alias("s"), own.alias("w")), best)
+    return let(F.struct((sentences(text, compose) if prose is None else prose).alias("s"), own.alias("w")), best)
 
 
-def first_substantive(text: Column, compose: bool = True) -> Column:
+def first_substantive(text: Column, compose: bool = True, prose: Column | None = None) -> Column:
     """G-03"""
-    return F.get(F.filter(sentences(text, compose), lambda s: word_count(s).between(10, 60) & looks_like_prose(s)), F.lit(0))
+    found = F.filter(sentences(text, compose), lambda s: word_count(s).between(10, 60) & looks_like_prose(s)) if prose is None else F.filter(prose, lambda s: word_count(s).between(10, 60))
+    return F.get(found, F.lit(0))
 
 
 def _score(c: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(c, F.lit(10.0))), 2)
 
 
+def _layer(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """df with more columns, each computed once: the optimizer may copy a column of a plain projection into every place that uses it, but not one that comes out of a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def extract(sources: DataFrame, known: Dictionaries, as_of: Column, compose: bool = True) -> DataFrame:
     """G-01: sources (source_id, title, cleaned_text, source_type, source_domain, published_at) to signals.
 
@@ -74,17 +81,19 @@ def extract(sources: DataFrame, known: Dictionaries, as_of: Column, compose: boo
     hay = F.col("hay")
     # the keywords of the themes that match a text, not of all: they are what makes a sentence one about it
     every = F.flatten(F.transform("matches", lambda m: m["keywords"]))
-    f = f.withColumns({
+    f = _layer(f, {
         "matches": match_themes(hay, known.themes), "own": match_entities(hay, known.own) if known.own else F.array().cast("array<string>"),
         "competitors": match_entities(hay, known.competitors) if known.competitors else F.array().cast("array<string>"), "vendors": match_entities(hay, known.vendors) if known.vendors else F.array().cast("array<string>"),
         "industries": match_industries(hay, known.industries) if known.industries else F.array(F.lit("Cross-industry")),
         "customer_segment": match_segment(hay, known.segments) if known.segments else F.lit("Not specified in source"),
     })
-    text = F.col("text")
-    facts = f.withColumns({
+    text, said = F.col("text"), F.col("said")
+    facts = _layer(f.withColumn("notable_quotes", extract_quotes(text, 5)), {"said": prose_sentences(text, compose), "every": every, "plain": loose(text, compose)})
+    every = F.col("every")
+    facts = _layer(facts, {
         "primary_theme": primary_theme(F.col("matches")), "secondary_themes": secondary_themes(F.col("matches")),
-        "customer_problem": pick_sentence(text, lists.PROBLEM_MARKERS, every, compose), "primary_claim": F.coalesce(pick_sentence(text, lists.CLAIM_MARKERS, every, compose), first_substantive(text, compose)),
-        "supporting_evidence": select_evidence_passages(text, list(lists.EVIDENCE_WORDS), 5, priority=every, compose=compose), "notable_quotes": extract_quotes(text, 5), "numerical_claims": extract_numerical_claims(text, 6, compose),
+        "customer_problem": pick_sentence(text, lists.PROBLEM_MARKERS, every, compose, said), "primary_claim": F.coalesce(pick_sentence(text, lists.CLAIM_MARKERS, every, compose, said), first_substantive(text, compose, said)),
+        "supporting_evidence": select_evidence_passages(text, list(lists.EVIDENCE_WORDS), 5, priority=every, compose=compose, prose=said), "numerical_claims": extract_numerical_claims(text, 6, compose, said),
     })
     facts = enforce_verbatim(facts, compose)
     top = F.coalesce(F.get("matches", F.lit(0))["score"], F.lit(0.0))
@@ -118,7 +127,7 @@ def extract(sources: DataFrame, known: Dictionaries, as_of: Column, compose: boo
         "opportunity_score": score, "score_breakdown": breakdown, "risk_score": risk, "risk_band": band, "risk_factors": factors, "recommended_format": recommended_format(),
         "primary_entity": first, "secondary_entities": F.slice(F.filter(entities, lambda x: x != first), 1, 8), "potential_angle": angle(known.themes), "content_opportunity": content_opportunity(), "verification_notes": F.concat("verification_notes", notes()),
     })
-    return out.drop("text", "hay")
+    return out.drop("text", "hay", "said", "every", "plain")
 
 
 def enforce_verbatim(facts: DataFrame, compose: bool = True) -> DataFrame:
@@ -126,7 +135,7 @@ def enforce_verbatim(facts: DataFrame, compose: bool = True) -> DataFrame:
     text = F.col("text")
     told = []
     for column, part, what in (("notable_quotes", "quote", "quote(s)"), ("supporting_evidence", "passage", "evidence passage(s)"), ("numerical_claims", "context", "numerical claim(s)")):
-        kept = let(loose(text, compose), _holding(column, part))
+        kept = _holding(column, part)(F.col("plain")) if "plain" in facts.columns else let(loose(text, compose), _holding(column, part))
         lost = F.size(F.col(column)) - F.size(kept)
         told.append(F.when(lost > 0, F.concat(lost.cast("string"), F.lit(f" proposed {what} discarded: not in the source."))))
         facts = facts.withColumn(f"_{column}", kept)
