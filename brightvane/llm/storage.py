@@ -103,6 +103,30 @@ def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: i
     return joined
 
 
+#: Of a row's number by monotonically_increasing_id: the bits that count within a partition.
+_WITHIN = 33
+
+
+def running(df: DataFrame, order: list[str], out: str, weight: str | None = None) -> DataFrame:
+    """Adds `out`: how many rows (or how much `weight`) come before each row in `order`, nulls first, without one task.
+
+    Rows are dealt by sampled ranges of `order` and sorted inside each; the totals of
+    the ranges before, one row a range, are broadcast. Rows equal in all of `order`
+    share a range, so end `order` with a column that tells rows apart.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    cut = cut.withColumn("_range", F.shiftright("_at", _WITHIN))
+    inside = F.col("_at").bitwiseAND((1 << _WITHIN) - 1)
+    if weight is not None:
+        inside = F.coalesce(F.sum(weight).over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = cut.groupBy("_range").agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_sum"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    placed = cut.withColumn("_inside", inside).join(F.broadcast(offsets), F.col("_range") == F.col("_of"))
+    return placed.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(out))
+
+
 #: A key with more rows than this, and than HUB_SHARE of all, is joined by broadcast: there are at most 1 / HUB_SHARE of those.
 HUB, HUB_SHARE = 20_000, 0.002
 
