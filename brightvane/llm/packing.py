@@ -62,7 +62,7 @@ class SegmentTokenizer:
         from tokenizers import Tokenizer
 
         self._check(path)
-        self._tokenizer, self._cache = Tokenizer.from_file(path), SpanCache(most, np.uint16)
+        self.library, self._cache = Tokenizer.from_file(path), SpanCache(most, np.uint16)
 
     @staticmethod
     def _check(path: str) -> None:
@@ -110,7 +110,7 @@ class SegmentTokenizer:
 
     def _ids(self, raw: bytes, folded: bytes, spans: Iterator[tuple[int, int, bool]]) -> list[list[int]]:
         """Ids of segments: one of plain letters is one word of the model, the others go through the whole tokenizer."""
-        model, out, other = self._tokenizer.model, [], []
+        model, out, other = self.library.model, [], []
         for a, b, plain in spans:
             if plain:
                 word = folded[a:b].decode("latin-1")
@@ -118,7 +118,7 @@ class SegmentTokenizer:
             else:
                 other.append((len(out), raw[a:b].decode()))
                 out.append([])
-        for (at, _), x in zip(other, self._tokenizer.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
+        for (at, _), x in zip(other, self.library.encode_batch_fast([w for _, w in other], add_special_tokens=False), strict=True):
             out[at] = x.ids
         return out
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, ef_trie_lm, exact_dedup, language_id, lattice_hash, layout, merkle, ngram_join, packing, quality_fm, sharding, wacz
+from . import bpe_transducer, chunk_reuse, ef_trie_lm, exact_dedup, language_id, lattice_hash, layout, merkle, ngram_join, packing, quality_fm, sharding, wacz
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,14 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return chunk_reuse.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_lattice_dedup, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing, op10_ngram_join, op11_layout, op12_merkle)}
+    return {f.__name__: f for f in (op1_language_id, op2_lm_scoring, op3_lattice_dedup, op4_sharding, op5_exact_dedup, op6_bpe, op7_warc, op8_quality, op9_packing, op10_ngram_join, op11_layout, op12_merkle, op13_chunk_reuse)}
 
 
 OP5_SQL = r"""
