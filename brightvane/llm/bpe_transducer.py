@@ -255,6 +255,9 @@ class StreamingDecoder:
         return held
 
 
+# Fixed value: the split that `split_pieces` makes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _class: np.ndarray | None = None
 
 
@@ -273,10 +276,7 @@ def _classes() -> np.ndarray:
 
 
 def split_pieces(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends and hash of each piece, and pieces before each text, by the pattern
-
-    's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
-    """
+    """Byte starts and ends and hash of each piece, and pieces before each text, by PATTERN."""
     if len(raw) == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(0, dtype=np.uint64), np.zeros(len(at), dtype=np.int64)
@@ -330,13 +330,16 @@ class _Codec:
 _codecs: dict[str, _Codec] = {}
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65536) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 65536, pattern: str = PATTERN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row: its whole text encoded, then decoded in chunks.
 
     A null text is empty: no tokens, digests of no bytes. Strings of special tokens
-    are ordinary text. Repeated rows and null ids are rows like others; other
-    columns are ignored.
+    are ordinary text. Bytes that are not UTF-8 count as U+FFFD. A text longer than a
+    block is a block of its own. Repeated rows and null ids are rows like others;
+    other columns are ignored. `pattern` must be the split that is built in.
     """
+    if pattern != PATTERN:
+        raise ValueError(f"only the split {PATTERN} is built in")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codecs.get(vocabulary)
@@ -355,5 +358,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 decoded.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"make_valid_utf8(cast(`{text_col}` as string))").alias("_text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

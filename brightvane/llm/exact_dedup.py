@@ -52,6 +52,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns. The ids of the others decide; texts are moved at most once."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id")
-    return without(docs, id_col, gone)
+    """The rows of docs that stay, with all their columns; texts are moved at most once.
+
+    Rows go by id and digest together: where an id is repeated with another text, that
+    text is judged for itself, and a row without an id goes if its text has one
+    elsewhere. Rows alike in both stay together. Columns may bear any name.
+    """
+    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id", "text_sha256")
+    return without(docs, [docs[id_col].cast("long"), F.sha2(normalised(docs[text_col]), 256)], gone)

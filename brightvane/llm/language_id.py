@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .sampling import fold, stratified
+from .sampling import capped, fold, stratified
 from .textkernel import blocks
 
 WINDOW, EMBED, FILTERS, WIDTHS = 256, 8, 12, (2, 3, 4)
@@ -196,7 +196,7 @@ def train_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     picked, sizes = stratified(known, "_lang", "_id", per_language, 11)
     room = F.greatest(F.length("_text") - WINDOW * 3 // 4, F.lit(1))
     window = F.substring(F.col("_text"), (F.pmod(F.xxhash64(F.lit(3), "_id"), room) + 1).cast("int"), F.lit(WINDOW))
-    rows = picked.select("_id", "_lang", window.alias("_w")).orderBy("_id", "_w").collect()
+    rows = capped(picked.select("_id", "_lang", window.alias("_w")), "_lang", ["_id", "_w"], per_language).orderBy("_id", "_w").collect()
     languages = sorted(sizes)
     if not rows or not languages:
         return None

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import components, materialise
+from .storage import attach, components, materialise
 from .textkernel import mix
 
 TABLES, PROBES = 4, 6
@@ -90,11 +90,13 @@ class LatticeTables:
 
 
 def _units(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), dtype="<f4").reshape(len(data), -1).astype(np.float64)
+    x = np.frombuffer(b"".join(data), dtype="<f8").reshape(len(data), -1)
+    x = x / np.abs(x).max(axis=1)[:, None]  # so that no square is lost or too large
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
 
 
-_FLOATS = "transform({0}, x -> cast(x as float))"
+#: Adding zero makes one of both zeros, so that equal vectors have equal bits.
+_DOUBLES = "transform({0}, x -> cast(x as double) + 0D)"
 
 
 def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +114,7 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_dimension(vectors: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    size = np.array([len(v) // 4 for v in vectors], dtype=np.int64)
+    size = np.array([len(v) // 8 for v in vectors], dtype=np.int64)
     for dim in np.unique(size).tolist():
         yield dim, np.flatnonzero(size == dim)
 
@@ -199,7 +201,7 @@ def _meets_here_first(probe: np.ndarray, enter: np.ndarray, a: np.ndarray, b: np
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
-    Vectors are compared within a label and a dimension. A null label, and a vector
+    Vectors are compared within a label (of any type) and a dimension. A null label, and a vector
     that is null, empty, zero or holds a null or non-finite component, links with
     nothing. Equal vectors are linked and compared with others once. Rows with a
     null id link like others; a component without any id has a null one. An empty
@@ -207,10 +209,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """
     v = F.col(vector_col)
     sound = F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    floats = F.expr(_FLOATS.format(f"`{vector_col}`"))
+    doubles = F.expr(_DOUBLES.format(f"`{vector_col}`"))
+    # labels of any type, by the hash of their text
+    label = F.xxhash64(F.lit(3), F.col(label_col).cast("string"))
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.coalesce(sound, F.lit(False)).alias("sound"), F.col(label_col).cast("long").alias("label"), floats.alias("vector"),
-        F.xxhash64(F.lit(1), F.col(label_col).cast("long"), floats).alias("node"), F.xxhash64(F.lit(2), F.col(label_col).cast("long"), floats).alias("check"),
+        F.col(id_col).cast("long").alias("vec_id"), F.coalesce(sound, F.lit(False)).alias("sound"), label.alias("label"), doubles.alias("vector"),
+        F.xxhash64(F.lit(1), label, doubles).alias("node"), F.xxhash64(F.lit(2), label, doubles).alias("check"),
     )
     classes = rows.where("sound").groupBy("label", "node", "check").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
     pack = lambda batches: (_packed(b) for b in batches)
@@ -230,14 +234,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     sets = classes.select("node", "check", "first_id", "copies").join(links, "node", "left").join(joined, "node", "left").withColumn("team", F.coalesce("component", "node"))
-    lowest = sets.groupBy("team").agg(F.min("first_id").alias("component_id"))
-    sets = sets.join(lowest, "team").select(F.col("node").alias("_node"), F.col("check").alias("_check"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.col("component_id").alias("_component"))
+    sets = materialise(sets, "members")
+    lowest = sets.groupBy("team").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_count"))
+    sets = attach(sets, lowest, "team", sets.count()).select(F.col("node").alias("_node"), F.col("check").alias("_check"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"), F.col("component_id").alias("_component"))
     out = rows.select("vec_id", "sound", "node", "check").join(sets, F.col("sound") & (F.col("node") == F.col("_node")) & (F.col("check") == F.col("_check")), "left")
     component = F.when(F.col("sound"), F.col("_component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The last column's vectors as bytes of 32-bit floats."""
-    data = [np.array(x, dtype="<f4").tobytes() for x in batch.column(5).to_pylist()]
+    """The last column's vectors as bytes of 64-bit floats."""
+    data = [np.array(x, dtype="<f8").tobytes() for x in batch.column(5).to_pylist()]
     return pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(data, pa.binary())], batch.schema.names)

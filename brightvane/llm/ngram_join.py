@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import attach, components, materialise, without
@@ -47,14 +47,19 @@ _AGGREGATED = 0xFFFF
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, fp): the number of distinct shingles and the fingerprint of the set, for every row."""
+    """(doc_id, text_a, text_b, n, fp): keys of the text, the number of distinct shingles and the fingerprint of the set, for every row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, raw, at in blocks(batches, "_text"):
             values, before = shingle_hashes(*word_hashes(raw, at), size)
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(before), pa.int64()), pa.array(_fingerprints(values, before).view(np.int64))], ["doc_id", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([*block.columns[:3], pa.array(np.diff(before), pa.int64()), pa.array(_fingerprints(values, before).view(np.int64))], ["doc_id", "text_a", "text_b", "n", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).mapInArrow(sign, "doc_id long, n long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *_text_keys(F.col(text_col)), F.col(text_col).alias("_text")).mapInArrow(sign, "doc_id long, text_a long, text_b long, n long, fp long")
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """128 bits that tell texts apart."""
+    return [F.xxhash64(F.lit(seed), text).alias(name) for seed, name in ((1, "text_a"), (2, "text_b"))]
 
 
 def _fingerprints(values: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -315,7 +320,7 @@ def _spanning(codes: list[np.ndarray], sizes: np.ndarray, percent: int) -> list[
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
+    """doc_id, n_shingles, component_id for every row of docs, and text_a, text_b, which tell apart the texts of a repeated id.
 
     A null or empty text, or one of white space only, has no shingles and links with
     nothing. A text with fewer words than `size` is one shingle. Equal sets are
@@ -330,17 +335,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if links is not None:
         joined = components(links)
         sets = sets.join(joined, sets["fp"] == joined["node"], "left").select("fp", "n", "first_id", F.coalesce("component", "fp").alias("team"))
-        lowest = sets.groupBy("team").agg(F.min("first_id").alias("component_id"))
-        sets = sets.join(lowest, "team").select("fp", "n", "component_id")
+        sets = materialise(sets, "members")
+        lowest = sets.groupBy("team").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("_count"))
+        sets = attach(sets, lowest, "team", sets.count()).select("fp", "n", "component_id")
     else:
         sets = sets.withColumnRenamed("first_id", "component_id")
     sets = sets.withColumnRenamed("fp", "_fp").withColumnRenamed("n", "_n")
-    return signed.join(sets, (signed["fp"] == sets["_fp"]) & (signed["n"] == sets["_n"]), "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # texts without words share one fingerprint, and need no partner
+    some = signed.where("n > 0").join(sets, (F.col("fp") == F.col("_fp")) & (F.col("n") == F.col("_n"))).select("doc_id", "n", "component_id", "text_a", "text_b")
+    none = signed.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_a", "text_b")
+    return some.union(none).withColumnRenamed("n", "n_shingles")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that represent their near-duplicate group: those of its smallest id."""
-    return without(docs, id_col, jaccard_components(docs, id_col, text_col).where("doc_id <> component_id").select("doc_id"))
+    """The rows of docs, with all their columns, that represent their near-duplicate group: those of its smallest id.
+
+    Rows go by id and text together, so another text of a repeated id is judged for
+    itself; a row without an id goes if its group has one. Texts without words stay.
+    """
+    gone = jaccard_components(docs, id_col, text_col).where("n_shingles > 0 and not doc_id <=> component_id").select("doc_id", "text_a", "text_b")
+    return without(docs, [docs[id_col].cast("long"), *_text_keys(docs[text_col])], gone)
 
 
 def _links(docs: DataFrame, text_col: str, total: int, size: int, percent: int) -> DataFrame | None:

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sampling import unit_hash
-from .storage import materialise, ranked
+from .storage import discard, materialise, running
 from .textkernel import _SYMBOL, SpanCache, blocks, mix, span_hashes, word_spans
 
 CAPACITY = 2048
@@ -171,7 +170,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.expr(f"make_valid_utf8(cast(`{text_col}` as string))").alias("_text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -270,19 +269,28 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     A null or empty text is the end token alone. Texts of any length are cut into
     pieces of `capacity`. Repeated rows are packed each for itself; null ids are
-    kept. An empty table gives no rows; other columns are ignored.
+    kept. Bytes that are not UTF-8 count as U+FFFD. An empty table gives no rows;
+    other columns are ignored. Pieces of a length take their places in the order of id
+    and piece, and many alike ones are still dealt over many tasks.
     """
-    cut = materialise(pieces(docs, vocabulary, id_col, text_col, capacity).withColumn("spot", unit_hash("doc_id", 23)), "pieces")
+    cut = materialise(pieces(docs, vocabulary, id_col, text_col, capacity).withColumn("tie", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     table = places(plan(counts, capacity))
-    placed = ranked(cut, ["length"], "spot", ["doc_id", "piece", "ids_crc32"], sum(counts.values()), "rank")
+    placed = running(cut, ["length", "doc_id", "piece", "ids_crc32", "tie"], "at")
+    discard(cut)
+    longest, n_shorter = max(counts, default=0), 0
+    shorter = np.zeros(longest + 1, dtype=np.int64)  # pieces of any smaller length
+    for length in range(longest + 1):
+        shorter[length] = n_shorter
+        n_shorter += counts.get(length, 0)
     keys = table[:, 0] << 44 | table[:, 1]
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("length", "rank"))
+            length, at = (batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("length", "at"))
+            rank = at - shorter[length]
             row = table[np.searchsorted(keys, length << 44 | rank, side="right") - 1] if len(table) else np.zeros((0, 4), dtype=np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(put, schema)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at").mapInArrow(put, schema)

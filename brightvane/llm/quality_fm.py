@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .sampling import fold, stratified
+from .sampling import capped, fold, stratified
 from .textkernel import _SYMBOL, blocks, span_hashes, word_hashes, word_spans
 
 BUCKET_BITS, RANK = 16, 8
@@ -204,8 +204,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     if set(sizes) != {0, 1}:
         return None
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), (F.col(length_col) if length_col in docs.columns else F.length(text_col)).cast("double").alias("_len"))
-    # the sample is bounded by per_label
+    picked = capped(picked, "_label", ["_lid"], per_label)
     sample = texts.join(F.broadcast(picked), texts["_id"] == picked["_lid"]).select("_id", "_label", "_len", "_text")
+    sample = capped(sample, "_label", ["_id", "_text"], per_label)
     rows = sorted(sample.mapInArrow(_sample_rows, "id long, label int, words binary, counts binary, stats array<double>").collect(), key=lambda r: (r["id"], r["words"], r["counts"]))
     target = np.array([r["label"] for r in rows])
     if len(set(target.tolist())) < 2:

@@ -1,14 +1,14 @@
-"""Shared-folder materialisation, ranking without a global sort, and components of link tables."""
+"""Shared-folder materialisation, numbering by ranges, and components of link tables."""
 
 from __future__ import annotations
 
-import math
+import functools
 import tempfile
 import uuid
 
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,31 +76,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is not in the first column of gone. Rows with a null id stay."""
-    ids = gone.select(gone[gone.columns[0]].alias("id to drop")).distinct().hint("shuffle_hash")
-    return docs.join(ids, docs[id_col] == ids["id to drop"], "left_anti")
-
-
-def ranked(df: DataFrame, group: list[str], order: str, ties: list[str], rows: int, out: str, total: str | None = None, per_bucket: int | None = None) -> DataFrame:
-    """Adds `out`, the position from 0 within `group` by (order, ties), without one task per group; `total` names a column for the group's size.
-
-    `order` is a double in [0, 1) spread about evenly. Rows are cut into ranges of
-    it, counted per (group, range), and only ranked inside a range; the ranges
-    before it add an offset. A group that holds a third of all rows is therefore
-    dealt over all ranges. There are about as many ranges as rows in one, so that
-    neither the rows of a range nor the ranges of a group are many for one task.
-    """
-    pieces = max(1, -(-rows // (per_bucket or max(1, math.isqrt(rows)))))
-    cut = df.withColumn("_range", F.floor(F.col(order) * pieces).cast("long"))
-    counts = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*group)).alias("_total"))
-    inside = Window.partitionBy(*group, "_range").orderBy(order, *ties)
-    placed = cut.withColumn("_row", F.row_number().over(inside))
-    on = [placed[c].eqNullSafe(counts[c]) for c in [*group, "_range"]]
-    joined = placed.join(counts, on, "inner").select(*[placed[c] for c in df.columns], (counts["_before"] + placed["_row"] - 1).cast("long").alias(out), *([counts["_total"].alias(total)] if total else []))
-    return joined
+def without(docs: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose keys (an id and a digest of the text, say) are not those of a row of gone. Nulls equal nulls."""
+    marks = [f"key to drop {k}" for k in range(len(keys))]
+    found = gone.toDF(*marks).distinct().hint("shuffle_hash")
+    same = [key.eqNullSafe(F.col(f"`{mark}`")) for key, mark in zip(keys, marks, strict=True)]
+    return docs.join(found, functools.reduce(lambda x, y: x & y, same), "left_anti")
 
 
 #: Of a row's number by monotonically_increasing_id: the bits that count within a partition.

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import dealt, materialise, shared_folder, store, task_file, write_file
@@ -220,16 +220,20 @@ def records(source) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("damaged archive")
 
 
+def _payload(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(bytearray()))
+
+
 def decide_revisits(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, refers_to) of the pages that revisit another: equal payloads of REVISIT_BYTES or more, smallest id first."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    narrow = pages.select(F.col(id_col).alias("_id"), F.octet_length(text).alias("_n"), F.unhex(F.sha2(text, 256)).alias("_d")).where(F.col("_n") >= REVISIT_BYTES)
+    """(id, digest, refers_to) of the pages that revisit another: equal payloads of REVISIT_BYTES or more, smallest id first."""
+    payload = _payload(text_col)
+    narrow = pages.select(F.col(id_col).cast("long").alias("_id"), F.octet_length(payload).alias("_n"), F.unhex(F.sha2(payload, 256)).alias("_d")).where(F.col("_n") >= REVISIT_BYTES)
     narrow = materialise(narrow.select("_id", "_d"), "payloads")
     salts = 32
     salt = F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")
     groups = narrow.groupBy("_d").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_d", "_first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     # the digest of a very common payload is dealt over `salts` keys
-    return narrow.withColumn("_salt", salt).join(groups, ["_d", "_salt"]).where("_id <> _first").select("_id", F.col("_first").alias("refers_to"))
+    return narrow.withColumn("_salt", salt).join(groups, ["_d", "_salt"]).where("_id <> _first").select("_id", F.lower(F.hex("_d")).alias("_digest"), F.col("_first").alias("refers_to"))
 
 
 def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", most: int = PACKAGE_BYTES) -> DataFrame:
@@ -237,13 +241,14 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     To be evaluated once (`materialise` it): each evaluation writes packages of its
     own. A null or empty payload is an empty record. A null id is kept (never a
-    revisit, never referred to). If ids are repeated, the copies other than the
-    smallest id are revisits. Columns other than the three are ignored.
+    revisit, never referred to). Where an id is repeated, its payloads are told apart by
+    digest, so none is lost; copies under the smallest id are all responses. Bytes that
+    are not UTF-8 are kept as they are. Columns other than the three are ignored.
     """
     again = decide_revisits(pages, id_col, text_col).distinct()
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text.alias("payload"), F.sha2(text, 256).alias("digest"))
-    rows = rows.join(again, rows["page_id"] == again["_id"], "left").select("page_id", "url", "payload", "digest", "refers_to")
+    url = F.expr(f"make_valid_utf8(cast(`{url_col}` as string))")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), _payload(text_col).alias("payload"), F.sha2(_payload(text_col), 256).alias("digest"))
+    rows = rows.join(again, (rows["page_id"] == again["_id"]) & (rows["digest"] == again["_digest"]), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, bytes]] = []
@@ -259,7 +264,7 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
         for batch in batches:
             for page_id, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = gzip.compress(warc_record(page_id, url, payload.encode(), digest, refers), 1, mtime=0)
+                data = gzip.compress(warc_record(page_id, url, bytes(payload), digest, refers), 1, mtime=0)
                 held.append((page_id, data))
                 size += len(data)
                 if size >= most:

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from brightvane.llm import bpe_transducer, ef_trie_lm, exact_dedup, language_id, ngram_join, packing, quality_fm, sharding, storage
+from brightvane.llm import bpe_transducer, ef_trie_lm, exact_dedup, language_id, ngram_join, packing, quality_fm, sampling, sharding, storage
 from brute import jaccard_truth, words
 
 # extra columns bear names that the operators use themselves
@@ -45,8 +45,8 @@ def test_exact_groups(docs, nothing):
     assert exact_dedup.exact_groups(nothing).count() == 0
     kept = exact_dedup.drop_exact_duplicates(docs)
     ids = Counter(r.doc_id for r in kept.collect())
-    # the group of "same": id 12 twice, and a null id, which is in no list of ids to drop
-    assert kept.columns == docs.columns and ids == {1: 1, 3: 1, 4: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1, 12: 2, None: 1}
+    # the group of "same": id 12 twice, and a null id, which goes
+    assert kept.columns == docs.columns and ids == {1: 1, 3: 1, 4: 1, 6: 1, 7: 1, 8: 1, 9: 1, 10: 1, 11: 1, 12: 2}
 
 
 def test_digest_is_of_normalised_text(docs):
@@ -366,3 +366,53 @@ def test_sum_of_squares_identity():
     v = machine.word[buckets].astype(float)
     logit = v[:, 0].sum() * unit + sum(v[i, 1:] @ v[j, 1:] for i in range(4) for j in range(i)) * unit**2
     assert abs(machine.score(buckets, np.array([0, 4]), stats)[0] - 1 / (1 + math.exp(-logit))) < 1e-5
+
+
+def not_text(spark):
+    return spark.sql("select 1L doc_id, cast(X'61FF2062' as string) text, 's' source, 'en' lang, 4L n_chars")
+
+
+def test_bytes_that_are_not_text(spark):
+    """They count as U+FFFD where ids are made, and as themselves elsewhere."""
+    tokenizers, tiktoken = pytest.importorskip("tokenizers"), pytest.importorskip("tiktoken")
+    import public_tokenizers as P
+
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_transducer.read_ranks(ranks), special_tokens={})
+    row = bpe_transducer.encode_decode(not_text(spark), ranks, pattern=P.PATTERN).first()
+    assert row.ids_sha256 == hashlib.sha256(np.array(plain.encode_ordinary("a\ufffd b"), dtype="<u4").tobytes()).hexdigest()
+    with pytest.raises(ValueError):
+        bpe_transducer.encode_decode(not_text(spark), ranks, pattern=r"\S+")
+    words = P.path("word_bpe_49k.json")
+    ids = [*tokenizers.Tokenizer.from_file(words).encode("a\ufffd b", add_special_tokens=False).ids, 0]
+    row = packing.pack(not_text(spark), words).first()
+    assert (row.length, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+    assert sharding.stratified_shards(not_text(spark)).first().text_crc32 == zlib.crc32(b"a\xff b")
+    assert exact_dedup.exact_groups(not_text(spark)).first().kept and ngram_join.jaccard_components(not_text(spark)).first().n_shingles == 1
+
+
+def test_rows_alike_take_places_of_their_own(spark):
+    """Ten thousand rows without an id and with one text, and the pieces of one long text."""
+    pytest.importorskip("tokenizers")
+    import public_tokenizers as P
+
+    table = spark.range(10_000).selectExpr("cast(null as long) doc_id", "'same text' text", "'s' source")
+    rows = sharding.stratified_shards(table, shards=7).collect()
+    shards = Counter(r.shard for r in rows)
+    assert sorted(shards) == list(range(7)) and max(shards.values()) - min(shards.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(n)) for s, n in shards.items())
+    pieces = packing.pack(table.union(spark.createDataFrame([(1, "word and more " * 40_000, "s")], table.schema)), P.path("word_bpe_49k.json")).collect()
+    held = defaultdict(list)
+    for r in pieces:
+        held[r.sequence_id].append((r.offset, r.length))
+    for places in held.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(pieces) == 10_000 + -(-120_001 // 2048)
+
+
+def test_samples_are_bounded(spark):
+    rows = spark.range(5000).selectExpr("1L id", "'a' kind", "cast(id as string) text").union(spark.range(50).selectExpr("id", "'b'", "'t'"))
+    picked, sizes = sampling.stratified(rows, "kind", "id", 5001, 3)
+    assert sizes == {"a": 5000, "b": 50} and sampling.capped(picked, "kind", ["id", "text"], 100).groupBy("kind").count().count() == 2
+    assert {r[0]: r[1] for r in sampling.capped(picked, "kind", ["id", "text"], 100).groupBy("kind").count().collect()} == {"a": 200, "b": 50}
