@@ -11,13 +11,14 @@
    both chunks become part of the window and it is encoded again, up to the whole
    text. A chunk with hardly any white space is part of a window from the start.
 4. Blocks put their texts together: the reused ids of chunks without what windows
-   cover, which must equal the windows' sides id for id, and the windows' own.
+   cover, which must be the windows' sides by length and checksum, and the windows' own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -145,16 +146,44 @@ def _tokenizer(path: str) -> SegmentTokenizer:
     return _tokenizers[path]
 
 
-def _packed(*parts) -> bytes:
-    return zstandard.compress(pickle.dumps(parts, protocol=5), 1)
+def _packed(*parts, level: int = 3) -> bytes:
+    return zstandard.compress(pickle.dumps(parts, protocol=5), level)
 
 
 def _unpacked(data: bytes) -> tuple:
     return pickle.loads(zstandard.decompress(data))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([len(x) for x in lists], dtype=np.int32), np.array([i for x in lists for i in x], dtype=np.uint16)
+def pack_ids(ids: np.ndarray) -> tuple[bytes, int, bytes, bytes]:
+    """Ids by their rank of frequency among these: one byte for frequent ones, and a second, kept apart, for the others. The first bytes then compress to about their entropy."""
+    times = np.bincount(ids, minlength=1)
+    by = np.argsort(-times, kind="stable")[: np.count_nonzero(times)].astype(np.uint16)
+    rank = np.zeros(len(times), dtype=np.int64)
+    rank[by] = np.arange(len(by))
+    frequent = 255 - (max(len(by) - 1, 0) >> 8)
+    mine = rank[ids]
+    far = mine >= frequent
+    first = np.where(far, frequent + (mine - frequent >> 8), mine)
+    return by.tobytes(), frequent, first.astype(np.uint8).tobytes(), (mine[far] - frequent & 255).astype(np.uint8).tobytes()
+
+
+def unpack_ids(by: bytes, frequent: int, first: bytes, second: bytes) -> np.ndarray:
+    mine = np.frombuffer(first, dtype=np.uint8).astype(np.int64)
+    far = mine >= frequent
+    mine[far] = frequent + (mine[far] - frequent << 8) + np.frombuffer(second, dtype=np.uint8)
+    return np.frombuffer(by, dtype=np.uint16)[mine] if len(mine) else np.zeros(0, dtype=np.uint16)
+
+
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.array([i for x in lists for i in x], dtype=np.uint16)
+
+
+def _sizes(lists: list) -> np.ndarray:
+    return np.array([len(x) for x in lists], dtype=np.int32)
+
+
+def _mark(ids) -> int:
+    return zlib.crc32(np.asarray(ids, dtype=np.uint16).tobytes())
 
 
 _SENT = "block binary, bucket int, data binary"
@@ -192,9 +221,11 @@ def _cut(vocabulary: str, buckets: int):
                         place[key] = bucket, len(mine)
                         mine.append(chunk)
                     used.append(place[key])
-            windows = [w for _, ws in outline for w in ws]
-            own = _packed(doc_ids, np.array([len(chunks) for chunks, _ in outline]), np.array(used, dtype=np.int64).reshape(-1, 2), *[_flat([w[k] for w in windows]) for k in range(3)])
-            rows = [(name, bucket, _packed(np.array([len(c) for c in mine]), b"".join(mine))) for bucket, mine in sent.items()]
+            whole, left, right = ([w[k] for _, ws in outline for w in ws] for k in range(3))
+            # of the windows' sides only lengths and checksums go on
+            sides = [(_sizes(x), np.array([_mark(i) if i else 0 for i in x], dtype=np.uint32)) for x in (left, right)]
+            own = _packed(doc_ids, _sizes([chunks for chunks, _ in outline]), np.array(used, dtype=np.int32).reshape(-1, 2), _sizes(whole), pack_ids(_flat(whole)), *sides)
+            rows = [(name, bucket, _packed(_sizes(mine), b"".join(mine), level=5)) for bucket, mine in sent.items()]
             yield _rows([*rows, (name, int.from_bytes(name[4:8], "little") % buckets | _OUTLINE, own)])
 
     return run
@@ -222,7 +253,7 @@ def _encode(vocabulary: str):
                     for (k, _), a, b in zip(fresh, before[:-1].tolist(), before[1:].tolist(), strict=True):
                         known[k] = ids[a:b].copy()
                 mine = [known[k] for k in keys]
-                out.append((block, bucket, _packed(np.array([len(x) for x in mine], dtype=np.int32), np.concatenate(mine).astype(np.uint16))))
+                out.append((block, bucket, _packed(_sizes(mine), pack_ids(np.concatenate(mine)), level=1)))
             if out:
                 yield _rows(out)
 
@@ -244,11 +275,13 @@ def _assemble(vocabulary: str):
                 outline = _unpacked(data)
             else:
                 sizes, ids = _unpacked(data)
-                chunks[bucket] = ids, np.concatenate([[0], np.cumsum(sizes)])
+                chunks[bucket] = unpack_ids(*ids), np.concatenate([[0], np.cumsum(sizes)])
         if outline is None:
             raise ValueError("chunks of a block without its outline: the input changed while it was read again")
-        doc_ids, counts, used, *sides = outline
-        whole, left, right = ([ids[b - n : b] for b, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)] for sizes, ids in sides)
+        doc_ids, counts, used, sizes, ids, left, right = outline
+        ids = unpack_ids(*ids)
+        whole = [ids[b - n : b] for b, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)]
+        left, right = ([x.tolist() for x in side] for side in (left, right))
         w = c = 0
         rows = []
         for doc_id, n in zip(doc_ids, counts.tolist(), strict=True):
@@ -256,11 +289,10 @@ def _assemble(vocabulary: str):
             for k in range(n):
                 ids, at = chunks[used[c + k][0]]
                 mine = ids[at[used[c + k][1]] : at[used[c + k][1] + 1]]
-                before, after = right[w + k], left[w + k + 1]
-                end = len(mine) - len(after)
-                if end < len(before) or not (np.array_equal(mine[: len(before)], before) and np.array_equal(mine[end:], after)):
+                begin, end = right[0][w + k], len(mine) - left[0][w + k + 1]
+                if end < begin or begin and _mark(mine[:begin]) != right[1][w + k] or end < len(mine) and _mark(mine[end:]) != left[1][w + k + 1]:
                     raise ValueError(f"a chunk of document {doc_id} does not agree with the windows at its ends")
-                parts += [mine[len(before) : end], whole[w + k + 1]]
+                parts += [mine[begin:end], whole[w + k + 1]]
             w, c = w + n + 1, c + n
             ids = np.concatenate(parts).tolist()
             rows.append((doc_id, len(ids), hashlib.sha256(b" ".join([decimal[i] for i in ids])).hexdigest(), hashlib.sha256(b" ".join([words[i] for i in ids])).hexdigest()))

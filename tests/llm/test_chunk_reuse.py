@@ -113,3 +113,10 @@ def test_cuts_depend_on_content_only():
     assert len(set(chunks[0]) & set(chunks[1])) >= len(chunks[0]) - 4 and len(set(chunks[0]) & set(chunks[2])) >= len(chunks[2]) - 1
     alone = chunk_reuse.cut_points(raw[at[1] : at[2]], np.array([0, at[2] - at[1]]))[0]
     assert [e + at[1] for e in alone] == ends[1]
+
+
+def test_ids_pack_and_unpack():
+    rng = np.random.default_rng(3)
+    for ids in (np.zeros(0, dtype=np.uint16), np.array([49407], dtype=np.uint16), rng.integers(0, 49408, 200_000).astype(np.uint16), rng.zipf(1.4, 5000).astype(np.uint64) % 3000, np.arange(257)):
+        ids = ids.astype(np.uint16)
+        assert np.array_equal(chunk_reuse.unpack_ids(*chunk_reuse.pack_ids(ids)), ids)
