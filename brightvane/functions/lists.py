@@ -180,3 +180,7 @@ DROPPED_TAGS = ("script", "style", "noscript", "nav", "header", "footer", "form"
 DROPPED_CLASSES = ("cookie-banner", "newsletter-signup", "breadcrumbs")
 BLOCK_TAGS = ("h1", "h2", "h3", "p", "li", "blockquote", "td")
 ARTICLE_TYPES = ("Article", "NewsArticle", "BlogPosting", "Report", "WebPage", "TechArticle")
+
+# Errors of a model's provider that trying again cannot mend, and those of a spent allowance
+PERMANENT_ERRORS = ("api key", "authentication", "invalid_api_key", "incorrect api key", "insufficient_quota", "exceeded your current quota", "billing", "account is not active", "permission")
+SPENT_ALLOWANCE = ("requests per day", "rpd", "requests per min", "rpm", "tokens per min", "tpm", "rate limit reached", "rate_limit_exceeded")

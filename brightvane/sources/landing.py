@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +11,7 @@ from ..functions import lists
 from ..functions.text import any_of, clean_text, short_hash, word_count
 from ..functions.urls import domain_of, is_allowed, is_http_url, normalize_url, social_handle, under
 from ..shared import settle
+from .snapshots import commit_snapshot, read_snapshot
 
 ITEM = "source_type string, source_url string, title string, author string, summary string, published_at timestamp, position int"
 REDDIT_LEAST_WORDS = 20
@@ -159,24 +159,13 @@ def json_summary(rows: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str | None = None, url: str | None = None, table: str | None = None) -> DataFrame:
-    """A-12: a stored table: Parquet by path, or a database's by JDBC."""
-    return spark.read.parquet(path) if path else spark.read.format("jdbc").option("url", url).option("dbtable", table).load()
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """A-13: a table is replaced as a whole: written beside the old one, which df may read, then put in its place by renames. If the last rename fails the old one is put back."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    mark = uuid.uuid4().hex
-    new, old, here = (hadoop.Path(x) for x in (f"{path}.new-{mark}", f"{path}.old-{mark}", path))
-    df.write.parquet(new.toString())
-    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    had = store.exists(here)
-    if had and not store.rename(here, old):
-        raise OSError(f"{path} could not be set aside")
-    if not store.rename(new, here):
-        if had:
-            store.rename(old, here)
-        raise OSError(f"{path} could not be replaced")
-    if had:
-        store.delete(old, True)
+    """A-12: a stored table: by path the last snapshot of `replace_table`, or plain Parquet; or a database's by JDBC."""
+    if path is None:
+        return spark.read.format("jdbc").option("url", url).option("dbtable", table).load()
+    current = read_snapshot(spark, path)
+    return spark.read.parquet(path) if current is None else current
+
+
+def replace_table(df: DataFrame, path: str) -> int:
+    """A-13: a table is replaced as a whole; df may read it. Readers by `read_table` see the old rows or the new ones, at any moment."""
+    return commit_snapshot(df, path)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.urls import normalize_url
 
@@ -18,7 +16,7 @@ def new_files(spark: SparkSession, path: str, schema: str, files_per_trigger: in
 
 
 def first_seen_stream(items: DataFrame, time: str, delay: str = "45 days", key: Column | None = None) -> DataFrame:
-    """L-02, L-06: the first item of each URL; state is dropped, and later items with it, past the watermark."""
+    """L-06: the first item of each URL, without an index (`seen.SeenStore` has all layers); state is dropped, and later items with it, past the watermark."""
     keyed = items.withColumn("_key", normalize_url(F.col("source_url")) if key is None else key)
     return keyed.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
@@ -28,35 +26,11 @@ def period_counts(items: DataFrame, time: str, key: str, period: str = "21 days"
     return items.withWatermark(time, delay).groupBy(F.window(time, period), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("window.start").alias("start"), "n")
 
 
-SLOTS = "host string, item string, at double, granted boolean, wait double"
-
-
-def reserve_slots(requests: DataFrame, delay: float = 1.0, max_wait: float = 30.0) -> DataFrame:
-    """L-04, A-11: polite slots per host for requests(host, item, at): each gets the next free slot if it need not wait longer than `max_wait`; a refused one uses none."""
-
-    def serve(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (free,) = state.get if state.exists else (0.0,)
-        for rows in batches:
-            out = []
-            for r in rows.sort_values(["at", "item"]).itertuples():
-                wait = max(0.0, free - r.at)
-                granted = wait <= max_wait
-                if granted:
-                    free = max(free, r.at) + delay
-                out.append((key[0], r.item, r.at, granted, wait))
-            yield pd.DataFrame(out, columns=["host", "item", "at", "granted", "wait"])
-        state.update((free,))
-
-    return requests.groupBy("host").applyInPandasWithState(serve, SLOTS, "free double", "append", GroupStateTimeout.NoTimeout)
-
-
 def breaker(calls: DataFrame, limit: int = 3) -> DataFrame:
-    """L-05: calls(client, at, ok, recoverable) with whether the client is disabled by then: `limit` unrecoverable failures in a row open the breaker for good."""
-    from pyspark.sql import Window
-
+    """L-05 over stored calls(client, at, ok, recoverable): whether the client is disabled by then. `limit` unrecoverable failures in a row open the breaker for good; a recoverable one ends the run, a success leaves it."""
     order = Window.partitionBy("client").orderBy("at")
     hard = ~F.col("ok") & ~F.col("recoverable")
-    runs = calls.withColumn("_run", F.sum((~hard).cast("int")).over(order))
+    runs = calls.withColumn("_run", F.sum((~F.col("ok") & F.col("recoverable")).cast("int")).over(order))
     streak = runs.withColumn("_streak", F.when(hard, F.sum(hard.cast("int")).over(Window.partitionBy("client", "_run").orderBy("at"))).otherwise(0))
     return streak.withColumn("disabled", F.max(F.col("_streak") >= limit).over(order)).drop("_run", "_streak")
 
