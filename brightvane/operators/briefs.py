@@ -12,7 +12,7 @@ from ..functions import lists
 from ..functions.labels import count_label
 from ..functions.text import any_of, loose, truncate, word_count
 from ..functions.urls import is_first_party, normalize_url, under
-from . import scoring
+from . import scoring, templates
 from .taxonomy import Phrases, Theme
 
 MIN_ENGAGEMENT, PROMOTABLE, LEAST_SCORE, MOST_BRIEFS = 6.0, ("rising", "emerging", "stable", "saturated", "declining"), 55.0, 12
@@ -37,7 +37,7 @@ def watchlist(sources: DataFrame, signals: DataFrame, rising: DataFrame, existin
     A source counts by its publication date or else by when it was found, and as
     rising by its first theme or any other; `rising` has the names of such themes.
     """
-    rows = sources.select("source_id", "title", "author", "source_url", "source_domain", "published_at", "discovered_at").join(signals.select("source_id", "primary_theme", "secondary_themes", "market_relevance", "opportunity_score", "is_promotional"), "source_id").where(F.col("market_relevance") >= min_relevance)
+    rows = sources.select("source_id", "title", "author", "source_url", "source_domain", "published_at", "discovered_at").join(signals.select("source_id", "primary_theme", "secondary_themes", "market_relevance", "speaker_relevance", "freshness", "opportunity_score", "is_promotional", *[c for c in ("industries", "customer_problem", "primary_claim") if c in signals.columns]), "source_id").where(F.col("market_relevance") >= min_relevance)
     pool = rows.orderBy(F.desc("market_relevance"), F.desc("opportunity_score"), "source_id").limit(max(30 * limit, 120))
     since = F.coalesce("published_at", "discovered_at")
     pool = pool.where(since.isNull() | (since >= as_of - F.make_dt_interval(F.lit(recent_days)))).where(no_conversation(own).isNull())
@@ -47,12 +47,28 @@ def watchlist(sources: DataFrame, signals: DataFrame, rising: DataFrame, existin
     ranked = pool.join(hot, "source_id", "left").withColumn("is_rising", F.coalesce("is_rising", F.lit(0))).withColumn("named", F.coalesce((F.col("author") != "").cast("int"), F.lit(0)))
     best = ranked.orderBy(F.desc("is_rising"), F.desc("named"), F.desc("market_relevance"), F.desc("opportunity_score"), "source_id").limit(limit)
     known = existing.select(normalize_url(F.col("source_url")).alias("_url"))
-    return best.join(known, normalize_url(best["source_url"]) == known["_url"], "left_anti").withColumn("priority", priority(F.col("is_rising") == 1, F.col("market_relevance")))
+    return best.join(known, normalize_url(best["source_url"]) == known["_url"], "left_anti").withColumn("priority", priority(F.col("is_rising") == 1))
 
 
-def priority(rising: Column, relevance: Column) -> Column:
-    """K-03"""
-    return F.when(rising & (relevance >= 7), "high").when(rising | (relevance >= 7), "medium").otherwise("low")
+def priority(rising: Column) -> Column:
+    """K-03: high for a rising theme's source that is relevant to market and speaker (14 of 20) and fresh; medium from 11 on."""
+    score = F.coalesce("market_relevance", F.lit(0.0)) + F.coalesce("speaker_relevance", F.lit(0.0))
+    return F.when(rising & (score >= 14) & (F.coalesce("freshness", F.lit(0.0)) >= 6), "high").when(score >= 11, "medium").otherwise("low")
+
+
+def connection(industries: Column, relevance: Column) -> Column:
+    """K-03: how a source bears on the company: by its served industries, named in order, by its category, or by theme only."""
+    served = F.array_sort(F.array_intersect(F.coalesce(industries, F.array().cast("array<string>")), F.array(*map(F.lit, lists.CORE_INDUSTRIES))))
+    text = templates.CONNECTION_INDUSTRY.split("{industries}")
+    named = F.concat(F.lit(text[0]), F.array_join(served, ", "), F.lit(text[1]))
+    return F.when(F.size(served) > 0, named).when(F.coalesce(relevance, F.lit(0.0)) >= 7, templates.CONNECTION_CATEGORY).otherwise(templates.CONNECTION_THEME)
+
+
+def angle(problem: Column, claim: Column) -> Column:
+    """K-03: what to say: about the source's problem, or else its claim, or only if there is something specific."""
+    said = F.coalesce(F.nullif(F.trim(problem), F.lit("")), F.nullif(F.trim(claim), F.lit("")))
+    text = templates.ANGLE_CLAIM.split("{claim}")
+    return F.when(said.isNotNull(), F.concat(F.lit(text[0]), truncate(said, 160), F.lit(text[1]))).otherwise(templates.ANGLE_NONE)
 
 
 def theme_evidence(signals: DataFrame, sources: DataFrame, themes: DataFrame, limit: int = 25) -> DataFrame:

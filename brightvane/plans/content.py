@@ -100,10 +100,10 @@ def k01_engagement_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", briefs.no_conversation(OWN_DOMAINS).alias("reason"))
 
 
-@query(oracle(f"""WITH {THEMES}, p AS (SELECT o.*, s.primary_theme, s.secondary_themes, s.market_relevance, s.opportunity_score, s.is_promotional FROM m_sources o JOIN m_signals s ON o.source_id = s.source_id WHERE s.market_relevance >= 4 ORDER BY s.market_relevance DESC, s.opportunity_score DESC, o.source_id LIMIT 180),
+@query(oracle(f"""WITH {THEMES}, p AS (SELECT o.*, s.primary_theme, s.secondary_themes, s.market_relevance, s.speaker_relevance, s.freshness, s.opportunity_score, s.is_promotional FROM m_sources o JOIN m_signals s ON o.source_id = s.source_id WHERE s.market_relevance >= 4 ORDER BY s.market_relevance DESC, s.opportunity_score DESC, o.source_id LIMIT 180),
     g AS (SELECT *, {_REASON} AS reason, EXISTS (SELECT 1 FROM t WHERE trend_status IN ('rising', 'emerging') AND (name = primary_theme OR list_contains(secondary_themes, name)))::INTEGER AS is_rising, (author IS NOT NULL)::INTEGER AS named FROM p WHERE coalesce(published_at, discovered_at) >= make_timestamp({AS_OF}000000) - INTERVAL 45 DAY),
     b AS (SELECT * FROM g WHERE reason IS NULL ORDER BY is_rising DESC, named DESC, market_relevance DESC, opportunity_score DESC, source_id LIMIT 6)
-    SELECT source_id, is_rising, named, CASE WHEN is_rising = 1 AND market_relevance >= 7 THEN 'high' WHEN is_rising = 1 OR market_relevance >= 7 THEN 'medium' ELSE 'low' END AS priority FROM b WHERE source_id % 5 <> 2"""))
+    SELECT source_id, is_rising, named, CASE WHEN is_rising = 1 AND market_relevance + speaker_relevance >= 14 AND freshness >= 6 THEN 'high' WHEN market_relevance + speaker_relevance >= 11 THEN 'medium' ELSE 'low' END AS priority FROM b WHERE source_id % 5 <> 2"""))
 def k02_watchlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, g = view(spark, sf_dir, "m_sources"), view(spark, sf_dir, "m_signals")
     rising = trends.theme_trends(g, s, as_of()).where(F.col("trend_status").isin("rising", "emerging"))

@@ -19,6 +19,12 @@ class _Dialect:
     def array(self, *items: str) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 
+    def struct(self, **fields: str) -> str:
+        return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})" if self.spark else "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def first(self, items: str, n: str) -> str:
+        return f"slice({items}, 1, CAST({n} AS INT))" if self.spark else f"({items})[1:{n}]"
+
 
 def _views(d: _Dialect) -> dict[str, str]:
     score = lambda k: f"CAST(doc_id * {k} % 101 AS DOUBLE) / 10e0"
@@ -50,6 +56,22 @@ def _views(d: _Dialect) -> dict[str, str]:
         "m_watchlist": f"""SELECT doc_id AS item_id, doc_id AS source_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority,
             CASE doc_id % 4 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'dismissed' ELSE 'unreviewed' END AS review_status, {d.ts(f"{AS_OF} - (doc_id % 50) * 3600")} AS discovered_at
             FROM documents WHERE doc_id % 40 = 5""",
+        # each document as a theme's facts, and as a brief
+        "m_facts": f"""SELECT doc_id, 'Theme ' || (doc_id % 12) AS name, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'local shops lose calls. And more.' ELSE text END AS description, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rising' ELSE 'stable' END AS trend_status,
+            doc_id % 9 AS current_period_count, doc_id % 4 AS previous_period_count, CAST(doc_id % 7 AS DOUBLE) / 4e0 - 1e0 AS growth_rate, CAST(doc_id % 100 AS DOUBLE) / 10e0 AS average_market_relevance, doc_id % 8 + 1 AS sources, doc_id % 5 AS domains, doc_id % 3 AS promotional, doc_id % 2 AS own,
+            CASE WHEN doc_id % 5 = 0 THEN NULL ELSE {d.struct(title="text", domain="source || '.org'", day="'2024-01-' || (doc_id % 18 + 10)")} END AS newest, doc_id % 6 AS passages,
+            {d.first(d.array(*[d.struct(rank=f"{k}", value=f"'{k}' || (doc_id % 90) || '%'", source_id=f"doc_id + {k}") for k in range(1, 5)]), "doc_id % 5")} AS numbers, {d.first(d.array(*[d.struct(rank=f"{k}", quote="text", source_id=f"doc_id + {k}") for k in range(1, 4)]), "doc_id % 4")} AS quotes,
+            {d.first(d.array(d.struct(rank="1", problem="text", source_id="doc_id")), "doc_id % 2")} AS problems, {d.first(d.array("'Home services'", "'Cross-industry'", "'Retail'", "source"), "doc_id % 5")} AS industries FROM documents""",
+        "m_briefs": f"""SELECT doc_id AS draft_id, doc_id % 50 AS opportunity_id, 'Title ' || left(text, 50) || '.' AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Hook ' || doc_id END AS hook, '[Inference — x] ' || text || ' Said most concretely: “y”' AS core_insight, '[Inference — z] ' || text AS founder_point_of_view, text AS why_now,
+            'Ask the reader to ' || text AS suggested_call_to_action, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Fair.' END AS confidence_note, {d.first(d.array(*[d.struct(objection=f"'Objection {k} ' || source", response="left(text, 90)") for k in range(1, 5)]), "doc_id % 5")} AS potential_objections,
+            {d.first(d.array(*[d.struct(item=f"'Item {k}'", why="left(text, 70)") for k in range(1, 9)]), "doc_id % 9")} AS verification_checklist, {d.array(d.struct(source_id="doc_id", passage="text"), d.struct(source_id="doc_id + 1", passage="'about 7 of them'"))} AS evidence,
+            {d.first(d.array(
+                d.struct(point="left(text, 120)", evidence_source_ids=d.array("doc_id", "doc_id + 1"), evidence_passage="left(text, 300)", evidence_url="'https://e.org/1'", evidence_domain="'e.org'"),
+                d.struct(point="'A summary of what they say..'", evidence_source_ids=d.array("doc_id + 2"), evidence_passage="text", evidence_url="''", evidence_domain="NULL"),
+                d.struct(point="''", evidence_source_ids=d.array("doc_id"), evidence_passage="left(text, 80)", evidence_url="'https://e.org/1'", evidence_domain="source"),
+                d.struct(point="text", evidence_source_ids=d.array("doc_id", "doc_id"), evidence_passage="'another passage'", evidence_url="'https://e.org/2'", evidence_domain="'e.org'"),
+                d.struct(point="text", evidence_source_ids=d.array("doc_id + 5"), evidence_passage="text", evidence_url="'https://e.org/3'", evidence_domain="'f.org'"),
+            ), "doc_id % 6")} AS points FROM documents""",
         "m_voice": "SELECT conv_id AS example_id, turn, text, conv_id % 3 = 0 AS approved_for_voice_library FROM conversations",
         "m_runs": f"""SELECT event_id AS run_id, ts AS started_at, event_id % 60 AS stored, {d.array("event_type", "'late'")} AS errors FROM events""",
         "m_items": """SELECT event_id AS arrival, CASE event_type WHEN 'purchase' THEN 'manual' WHEN 'error' THEN 'first_party' WHEN 'click' THEN 'rss' WHEN 'view' THEN 'web_search' ELSE 'zine' END AS source_type,
