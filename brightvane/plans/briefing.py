@@ -57,10 +57,10 @@ def a05_reddit_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.reddit_rows(posts, as_of()).select("source_url", "author", "published_at")
 
 
-@query(oracle("SELECT 'https://www.youtube.com/watch?v=v' || source_id AS source_url, author, sha256(title || chr(10) || chr(10) || left(cleaned_text, 200)) AS summary, published_at FROM m_sources WHERE source_id % 6 <> 0"))
+@query(oracle("SELECT 'https://www.youtube.com/watch?v=v' || source_id AS source_url, author, sha256(title || chr(10) || chr(10) || cleaned_text) AS summary, published_at FROM m_sources WHERE source_id % 6 <> 0"))
 def a06_video_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = view(spark, sf_dir, "m_sources")
-    videos = s.select(F.when(F.col("source_id") % 6 != 0, F.concat(F.lit("v"), "source_id")).alias("id"), "title", F.left("cleaned_text", F.lit(200)).alias("description"), F.col("author").alias("channel"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("published"))
+    videos = s.select(F.when(F.col("source_id") % 6 != 0, F.concat(F.lit("v"), "source_id")).alias("id"), "title", F.col("cleaned_text").alias("description"), F.col("author").alias("channel"), F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("published"))
     return landing.video_rows(videos).select("source_url", "author", F.sha2("summary", 256).alias("summary"), "published_at")
 
 
@@ -158,9 +158,9 @@ def g16_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "o.market_relevance", "o.primary_theme", "o.customer_problem", "o.industries")
 
 
-@query(oracle(r"""SELECT source_id, n >= CASE WHEN source_type = 'social_public' THEN 12 ELSE 25 END AS extractable FROM (SELECT source_id, source_type, len(regexp_extract_all(left(cleaned_text, 30 + (source_id * 7 % 200)::INTEGER), '\S+')) AS n FROM m_sources)"""))
+@query(oracle(r"""SELECT source_id, n >= CASE WHEN source_type = 'social_public' THEN 12 ELSE 25 END AS extractable FROM (SELECT source_id, source_type, len(regexp_extract_all(cleaned_text, '\S+')) AS n FROM m_sources)"""))
 def g19_extractable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = view(spark, sf_dir, "m_sources").withColumn("cleaned_text", F.left("cleaned_text", (30 + F.col("source_id") * 7 % 200).cast("int")))
+    s = view(spark, sf_dir, "m_sources")
     return s.select("source_id", extraction.extractable(s).alias("extractable"))
 
 

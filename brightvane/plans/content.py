@@ -39,11 +39,11 @@ def e04_body_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.body_duplicates(view(spark, sf_dir, "m_sources")).withColumn("score", F.round("score", 9))
 
 
-@query(oracle(f"""WITH h AS (SELECT source_id, {_PLAIN.format('left(cleaned_text, 20)')} AS n FROM m_sources), g AS (SELECT source_id, n, row_number() OVER (PARTITION BY n ORDER BY source_id) AS k FROM h)
+@query(oracle(f"""WITH h AS (SELECT source_id, {_PLAIN.format('cleaned_text')} AS n FROM m_sources), g AS (SELECT source_id, n, row_number() OVER (PARTITION BY n ORDER BY source_id) AS k FROM h)
     SELECT source_id, k % 2 = 1 AS kept FROM g"""))
 def e08_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # chains: each text is paired with the one before it of the same beginning, so every second one stays
-    h = view(spark, sf_dir, "m_sources").select("source_id", content_hash(F.left("cleaned_text", F.lit(20))).alias("h"))
+    # chains: each text is paired with the one before it that is equal, so every second one stays
+    h = view(spark, sf_dir, "m_sources").select("source_id", content_hash(F.col("cleaned_text")).alias("h"))
     pairs = h.withColumn("matched_id", F.lag("source_id").over(Window.partitionBy("h").orderBy("source_id"))).where("matched_id is not null")
     return dedupe.keep_greedily(pairs, h)
 

@@ -24,10 +24,10 @@ def n02_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(o, c["c_custkey"] == o["o_custkey"], "left").groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), F.count("o_orderkey").alias("orders"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)")
 def n03_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
-    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey")
+    p, l = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    return p.join(l, p["p_partkey"] == l["l_partkey"], "left_anti").select("p_partkey")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45)")

@@ -45,17 +45,17 @@ def _views(d: _Dialect) -> dict[str, str]:
             {score(7)} AS market_relevance, {score(11)} AS speaker_relevance, {score(17)} AS evidence_strength, {score(23)} AS freshness, {score(13)} AS novelty, {score(19)} AS business_impact,
             CAST(doc_id * 29 % 1001 AS DOUBLE) / 10e0 AS opportunity_score, CAST(doc_id * 31 % 101 AS DOUBLE) AS risk_score,
             n_chars % 4 = 0 AS is_promotional, {d.array("'note ' || (doc_id % 5)", "'check ' || source", "'third'")} AS verification_notes, doc_id % 6 AS passages, doc_id % 4 AS quotes
-            FROM documents WHERE doc_id % 10 >= 3""",
+            FROM documents WHERE n_chars >= 200""",
         "m_opportunities": f"""SELECT doc_id AS opportunity_id, 'theme-' || (doc_id % 12) AS theme_slug, 'Opportunity ' || doc_id AS title,
             CASE doc_id % 7 WHEN 0 THEN 'archived' WHEN 1 THEN 'drafting' WHEN 2 THEN 'approved' WHEN 3 THEN 'review' ELSE 'ready_for_brief' END AS status,
             CAST(doc_id * 37 % 1001 AS DOUBLE) / 10e0 AS opportunity_score, CAST(doc_id * 41 % 1001 AS DOUBLE) / 10e0 AS confidence_score, CAST(doc_id * 43 % 101 AS DOUBLE) AS risk_score,
             doc_id % 6 AS points, {d.array("doc_id", "doc_id + 3", "doc_id + 7", "doc_id + 11")} AS source_ids
-            FROM documents WHERE doc_id % 25 = 3""",
+            FROM documents""",
         "m_drafts": f"""SELECT doc_id AS draft_id, doc_id - doc_id % 25 + 3 AS opportunity_id, CASE doc_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending_review' END AS approval_status, text AS draft_text, doc_id % 5 AS unsupported, {d.ts(f"{AS_OF} - (doc_id % 30) * 3600")} AS created_at
-            FROM documents WHERE doc_id % 25 IN (4, 9) AND doc_id % 3 <> 0""",
+            FROM documents""",
         "m_watchlist": f"""SELECT doc_id AS item_id, doc_id AS source_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS priority,
             CASE doc_id % 4 WHEN 0 THEN 'unreviewed' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'dismissed' ELSE 'unreviewed' END AS review_status, {d.ts(f"{AS_OF} - (doc_id % 50) * 3600")} AS discovered_at
-            FROM documents WHERE doc_id % 40 = 5""",
+            FROM documents""",
         # each document as a theme's facts, and as a brief
         "m_facts": f"""SELECT doc_id, 'Theme ' || (doc_id % 12) AS name, CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'local shops lose calls. And more.' ELSE text END AS description, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'rising' ELSE 'stable' END AS trend_status,
             doc_id % 9 AS current_period_count, doc_id % 4 AS previous_period_count, CAST(doc_id % 7 AS DOUBLE) / 4e0 - 1e0 AS growth_rate, CAST(doc_id % 100 AS DOUBLE) / 10e0 AS average_market_relevance, doc_id % 8 + 1 AS sources, doc_id % 5 AS domains, doc_id % 3 AS promotional, doc_id % 2 AS own,
