@@ -8,11 +8,12 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import briefs, dedupe, extraction, trends
 from .shared import settle
+from .sources import landing
 
 STAGES = ("ingest", "extract", "trends", "opportunities", "engagement")
 
@@ -24,6 +25,23 @@ class Run:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     stages: dict[str, dict] = field(default_factory=dict)
     errors: list[str] = field(default_factory=list)
+    notes: list[str] = field(default_factory=list)
+
+
+#: What each stage counts besides its rows, while its table is computed: a column and the values that are told apart.
+COUNTED = {
+    "ingest": ("result", ("stored", "duplicate", "left")), "extract": ("is_promotional", (True, False)), "trends": ("trend_status", ("rising", "emerging", "stable", "saturated", "declining", "low_confidence")),
+    "opportunities": ("skip_reason", ("status", "no evidence", "score", "cap")), "engagement": ("priority", ("high", "medium", "low")),
+}
+_ERROR, _ERRORS, _NOTES = 300, 50, 5
+
+
+def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
+    """O-04: df whose rows, and rows by the value that the stage counts, are gathered while it is computed: no second pass reads it."""
+    watch = Observation(f"stage {stage}")
+    column, values = COUNTED[stage]
+    counts = [F.count_if(F.col(column) == v).alias(str(v).lower() if isinstance(v, str) else f"{column} {str(v).lower()}") for v in values] if column in df.columns else []
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *counts), watch
 
 
 def may_write() -> bool:
@@ -31,18 +49,17 @@ def may_write() -> bool:
     return os.environ.get("ENGINE_ADMIN", "").strip().lower() in ("1", "true", "yes", "on")
 
 
-def run(found: DataFrame, known: extraction.Dictionaries, as_of: Column, stages: Sequence[str] = STAGES, compose: bool = True, limit: int = 60, stored: DataFrame | None = None) -> Run:
+def run(found: DataFrame, known: extraction.Dictionaries, as_of: Column, stages: Sequence[str] = STAGES, compose: bool = True, limit: int = 60, stored: DataFrame | None = None, notes: Sequence[str] = ()) -> Run:
     """O-01, O-02: runs the stages over found sources; one that fails is reported and the later ones still run.
 
     Each stage's table is computed once and kept in the checkpoint folder. At most
     `limit` sources are stored; those `stored` before are what they may duplicate.
+    `notes` are what connectors said about their settings.
     """
-    out = Run()
+    out = Run(notes=list(notes))
 
     def ingest() -> DataFrame:
-        tried = settle(dedupe.store(found, limit, stored, compose))
-        out.stages["ingest"] = {r["result"]: r["count"] for r in tried.groupBy("result").count().collect()}
-        return tried.where("result = 'stored'").select(*found.columns)
+        return dedupe.store(found, limit, stored, compose)
 
     def extract() -> DataFrame:
         return extraction.extract(out.tables.get("ingest", found), known, as_of, compose)
@@ -63,19 +80,36 @@ def run(found: DataFrame, known: extraction.Dictionaries, as_of: Column, stages:
     for name in stages:
         began = time.time()
         try:
-            out.tables[name] = settle(work[name]())
-            out.stages[name] = out.stages.get(name, {}) | {"rows": out.tables[name].count(), "seconds": round(time.time() - began, 3)}
+            table, watch = observed(work[name](), name)
+            table = settle(table)
+            out.stages[name] = {**watch.get, "seconds": round(time.time() - began, 3)}
+            out.tables[name] = table.where("result = 'stored'").select(*found.columns) if name == "ingest" else table
         except Exception as error:  # noqa: BLE001  a stage that fails must not stop the others
-            out.errors.append(f"{name}: {str(error)[:300]}")
+            out.errors.append(f"{name}: {type(error).__name__}: {str(error)[:_ERROR]}")
             out.stages[name] = {"rows": 0, "error": type(error).__name__}
     return out
 
 
+LOG = "at timestamp, trigger string, stages string, discovered long, stored long, duplicates long, signals long, themes long, opportunities long, errors array<string>, notes string"
+
+
 def run_log(spark: SparkSession, done: Run, trigger: str = "manual") -> DataFrame:
-    """O-03, O-04: one row for the log: counts, stages as JSON, at most 50 errors."""
-    rows = {k: v.get("rows", 0) for k, v in done.stages.items()}
-    row = (trigger, json.dumps(done.stages, sort_keys=True), rows.get("ingest", 0), rows.get("extract", 0), rows.get("trends", 0), rows.get("opportunities", 0), done.errors[:50])
-    return spark.createDataFrame([row], "trigger string, stages string, sources long, signals long, themes long, opportunities long, errors array<string>")
+    """O-03, O-04: one row for the log: counts, stages as JSON, at most 50 errors, the first 5 notes."""
+    of = lambda stage, name="rows": int(done.stages.get(stage, {}).get(name) or 0)
+    written = of("opportunities") - sum(of("opportunities", r) for r in COUNTED["opportunities"][1])
+    row = (trigger, json.dumps(done.stages, sort_keys=True), of("ingest"), of("ingest", "stored"), of("ingest", "duplicate"), of("extract"), of("trends"), written, done.errors[:_ERRORS], "; ".join(done.notes[:_NOTES]))
+    return spark.createDataFrame([row], LOG.partition(", ")[2]).select(F.current_timestamp().alias("at"), "*")
+
+
+def save(done: Run, folder: str, trigger: str = "manual") -> bool:
+    """O-03, O-05: each table of a run replaced as a whole and a row appended to the log, where writing is allowed; says whether it is."""
+    if not may_write():
+        return False
+    for name, table in done.tables.items():
+        landing.replace_table(table, f"{folder}/{name}")
+    spark = SparkSession.active()
+    run_log(spark, done, trigger).write.mode("append").parquet(f"{folder}/run_log")
+    return True
 
 
 def integrations(spark: SparkSession, configured: dict[str, bool]) -> DataFrame:
