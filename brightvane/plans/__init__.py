@@ -5,4 +5,4 @@ from __future__ import annotations
 
 def load() -> None:
     """Imports every module that registers queries."""
-    from . import briefing, connectors, content, functions, ranking, relational, textual, writing  # noqa: F401
+    from . import briefing, connectors, content, functions, ranking, relational, streams, textual, writing  # noqa: F401

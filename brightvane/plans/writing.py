@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..operators import briefs, drafts, whitelist
+from ..operators import audit, briefs, drafts, extraction, voice, whitelist
 from ..operators import templates as T
+from ..operators.taxonomy import Theme
 from ..registry import query
-from .functions import _SENTENCES, _list
+from .functions import _LOOSE, _SENTENCES, _list
 from .views import oracle, view
 
 
@@ -165,3 +166,48 @@ def k26_whitelisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = items.select("slug", F.col("item_id").alias("place"), F.col("item_id").alias("source_id"), F.col("text").alias("passage"), F.concat(F.lit("https://e.org/"), "item_id").alias("url"), F.lit("e.org").alias("domain"))
     out = whitelist.whitelist_points(docs.select(F.col("doc_id").alias("brief_id"), "slug", answer.alias("response")), members, passages)
     return out.select("brief_id", "at", "point", F.array_join("evidence_source_ids", ",").alias("evidence_source_ids"), F.sha2("evidence_passage", 256).alias("evidence_passage"), "evidence_url")
+
+
+_COMPONENTS = tuple(lists.WEIGHTS)
+
+
+@query(oracle(f"""WITH m AS (SELECT s.primary_theme AS slug, o.source_domain, o.published_at, s.* FROM m_signals s JOIN m_sources o ON o.source_id = s.source_id WHERE s.primary_theme IS NOT NULL), a AS (SELECT slug, {', '.join(f'avg({c}) AS {c}' for c in _COMPONENTS)}, count(DISTINCT source_domain) AS domains, count(DISTINCT source_id) AS sources, sum(passages)::BIGINT AS passages, count(published_at) AS dated FROM m GROUP BY slug)
+    SELECT slug, round({' + '.join(f'least({c}, 1e1) * {w} * 1e1' for c, w in lists.WEIGHTS.items())}, 1) AS opportunity_score, round(least((least(domains / 3e0, 1e0) * 30 + least(passages / 4e0, 1e0) * 25 + evidence_strength / 1e1 * 30 + least(sources / 5e0, 1e0) * 15) * CASE WHEN domains <= 1 THEN 0.65e0 ELSE 1e0 END * CASE WHEN dated > 0 THEN 1e0 ELSE 0.9e0 END, 1e2), 1) AS confidence_score FROM a"""))
+def k14_brief_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "m_signals").where("primary_theme is not null").withColumnRenamed("primary_theme", "slug")
+    return briefs.score_brief(rows.join(view(spark, sf_dir, "m_sources").select("source_id", "source_domain", "published_at"), "source_id"))
+
+
+_GUIDE = {"approved_example_count": 4, "median_sentence_words": 10, "median_paragraph_sentences": 3, "number_share": 60, "recurring_themes": ["That other thing", "Und so"], "coverage_warning": "few examples"}
+_MEDIAN = "list_sort({0})[len({0}) // 2 + 1]"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, lower(text) AS low, list_transform({_SENTENCES.format('text')}, lambda s: len(regexp_extract_all(s, '\\S+'))) AS lengths, list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p) <> '') AS blocks FROM documents),
+    d AS (SELECT doc_id, {_MEDIAN.format('list(d)')} AS depth FROM (SELECT doc_id, greatest(len({_SENTENCES.format('b')}), 1) AS d FROM (SELECT doc_id, unnest(blocks) AS b FROM s)) GROUP BY doc_id),
+    g AS (SELECT s.*, abs({_MEDIAN.format('lengths')} - 10) AS gap, abs(depth - 3) AS deep FROM s LEFT JOIN d ON d.doc_id = s.doc_id)
+    SELECT doc_id, round(greatest(0e0, 1e2 - CASE WHEN gap > 8 THEN 20 WHEN gap > 4 THEN 8 ELSE 0 END - CASE WHEN deep > 2 THEN 12 ELSE 0 END - CASE WHEN list_bool_or(list_transform({_list(lists.BANNED)}, lambda b: contains(low, b))) THEN 25 ELSE 0 END
+        - CASE WHEN regexp_matches(regexp_replace(text, '[^\\x00-\\x7f]', 'x', 'g'), '\\b[0-9]') THEN 0 ELSE 10 END - CASE WHEN contains(low, 'that') OR contains(low, 'und') THEN 0 ELSE 5 END) * 0.8e0, 1) AS score FROM g""")
+def k22_voice_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", audit.voice_alignment(F.col("text"), _GUIDE).alias("score"))
+
+
+_ASKED = f"regexp_replace({_LOOSE.format('quote')}, '^[\"''.,;: ]+|[\"''.,;: ]+$', '', 'g')"
+
+
+@query(f"""WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), q AS (SELECT conv_id, CASE turn % 3 WHEN 0 THEN substr(text, 5, 40) WHEN 1 THEN 'nobody ever said ' || text ELSE left(text, 6) END AS quote FROM conversations)
+    SELECT q.conv_id, count(*) FILTER (WHERE NOT (length({_ASKED}) >= 12 AND contains({_LOOSE.format('t')}, {_ASKED}))) AS dropped FROM q JOIN t ON t.conv_id = q.conv_id GROUP BY q.conv_id""")
+def m10_dropped_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    whole = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    turn = F.col("turn") % 3
+    quotes = lines.select("conv_id", F.when(turn == 0, F.substring("text", 5, 40)).when(turn == 1, F.concat(F.lit("nobody ever said "), "text")).otherwise(F.left("text", F.lit(6))).alias("quote"))
+    return voice.drop_unverifiable(quotes, whole)
+
+
+@query(oracle("""SELECT source_id, CASE WHEN primary_theme = 'Theme 1' THEN '[Inference] The first. Seen in ' || array_to_string(industries, ', ') || '.' WHEN primary_theme = 'Theme 2' THEN '[Inference] The second. Seen in ' || array_to_string(industries, ', ') || '.' ELSE '[Inference] No strong theme; review by hand.' END AS angle,
+    '[Inference] Evidence for a point of view on ' || lower(coalesce(primary_theme, 'this topic')) || CASE WHEN industries[1] <> 'Cross-industry' THEN ' in ' || lower(industries[1]) ELSE '' END || '.' AS opportunity FROM m_signals"""))
+def g13_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    themes = (Theme("t1", "Theme 1", (), description="The first."), Theme("t2", "Theme 2", (), description="The second."))
+    rows = view(spark, sf_dir, "m_signals").withColumn("matches", F.array(F.struct(F.col("primary_theme").alias("name"))))
+    return rows.select("source_id", extraction.angle(themes).alias("angle"), extraction.content_opportunity().alias("opportunity"))
