@@ -184,3 +184,7 @@ ARTICLE_TYPES = ("Article", "NewsArticle", "BlogPosting", "Report", "WebPage", "
 # Errors of a model's provider that trying again cannot mend, and those of a spent allowance
 PERMANENT_ERRORS = ("api key", "authentication", "invalid_api_key", "incorrect api key", "insufficient_quota", "exceeded your current quota", "billing", "account is not active", "permission")
 SPENT_ALLOWANCE = ("requests per day", "rpd", "requests per min", "rpm", "tokens per min", "tpm", "rate limit reached", "rate_limit_exceeded")
+
+# The figures and the quoted passages of a draft that its evidence must hold
+AUDIT_NUMBER = r"(\b\d[\d,.]*%?\b)"
+AUDIT_QUOTE = r"[“\"]([^”\"]{20,})[”\"]"

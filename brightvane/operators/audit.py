@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.text import any_of, hits, normalize_unicode, sentences, words
+from ..shared import settle
+
+
+_WORD = re.compile(r"[a-z']{4,}")
 
 
 def auditable_units(text: Column, compose: bool = True) -> Column:
@@ -20,7 +29,7 @@ def auditable_units(text: Column, compose: bool = True) -> Column:
 
 
 def _tokens(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z']{4,})"), 1))
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(f"({_WORD.pattern})"), 1))
 
 
 def _units(drafts: DataFrame, compose: bool) -> DataFrame:
@@ -62,36 +71,86 @@ def audit_sentences(drafts: DataFrame, passages: DataFrame, compose: bool = True
     return _judged(rows, F.contains(F.coalesce("corpus", F.lit("")), F.col("head")), joint)
 
 
-def audit_shared(drafts: DataFrame, items: DataFrame, compose: bool = True) -> DataFrame:
-    """K-20 where every draft has all passages of items(passage_id, passage) as evidence.
+#: Characters of evidence in a block, bytes of it in a range, and claims held against a block at once.
+BLOCK_CHARS, RANGE_BYTES, CLAIMS = 1_000_000, 64_000_000, 20_000
+#: What a claim is looked up by; no more of a text beyond a block's end is needed.
+HEAD = 60
+
+
+def evidence_blocks(items: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, ids, texts, beyond) of items(passage_id, passage): runs of passages in order of about `chars` characters, and how the text goes on after each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        ids, texts, size, number = [], [], 0, 0
+        for batch in batches:
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(text)
+                size += len(text or "")
+                if size >= chars:
+                    yield pa.RecordBatch.from_pydict({"block": [part << 32 | number], "ids": [ids], "texts": [texts]}, schema=_BLOCK)
+                    ids, texts, size, number = [], [], 0, number + 1
+        if ids:
+            yield pa.RecordBatch.from_pydict({"block": [part << 32 | number], "ids": [ids], "texts": [texts]}, schema=_BLOCK)
+
+    low = items.select(F.col("passage_id").cast("long").alias("passage_id"), F.lower("passage").alias("p"))
+    ranges = 1 + (low.agg(F.sum(F.octet_length("p"))).first()[0] or 0) // RANGE_BYTES
+    blocks = settle(low.repartitionByRange(ranges, "passage_id").sortWithinPartitions("passage_id").mapInArrow(cut, "block long, ids array<long>, texts array<string>"))
+    begins = blocks.select("block", F.left(F.array_join("texts", " "), F.lit(HEAD)).alias("begin"))
+    # a narrow row a block: only the last of a range can be short, so the next few always suffice
+    after = Window.orderBy("block").rowsBetween(1, 3)
+    return blocks.join(begins.select("block", F.left(F.array_join(F.collect_list("begin").over(after), " "), F.lit(HEAD)).alias("beyond")), "block")
+
 
-    The rows of audit_sentences with each passage given to each draft. The passages
-    are few and go to the workers whole, as an index from content word to passages.
+_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
+
+
+def _held_against(claims: DataFrame, blocks: DataFrame) -> DataFrame:
+    """claims(draft_id, at, head, tokens) with `found`, the best `overlap` and its `best_passage`, and the tokens found anywhere (`hits`), over all blocks.
+
+    Claims are dealt into groups, and each group meets each block in a task, which makes
+    the block's index from word to passages.
     """
-    proof = items.select("passage_id", F.lower("passage").alias("p"), _tokens(F.col("passage")).alias("pt")).orderBy("passage_id").collect()
-    ids, corpus = [r["passage_id"] for r in proof], " ".join(r["p"] for r in proof if r["p"] is not None)
-    index: dict[str, list[int]] = {}
-    for i, r in enumerate(proof):
-        for w in r["pt"] or ():
-            index.setdefault(w, []).append(i)
-    places = {w: np.array(x) for w, x in index.items()}
-
-    @F.pandas_udf("found boolean, overlap double, best_passage long, joint double")
-    def against(tokens: pd.Series, head: pd.Series) -> pd.DataFrame:
-        rows = []
-        for words_, h in zip(tokens, head, strict=True):
-            n, hit = np.zeros(len(ids), dtype=np.int32), 0
-            for w in words_:
-                at = places.get(w)
-                if at is not None:
-                    n[at] += 1
-                    hit += 1
-            size, best = max(len(words_), 1), int(n.argmax()) if ids else 0
-            rows.append((h in corpus, n[best] / size if ids else 0.0, ids[best] if ids else None, hit / size))
-        return pd.DataFrame(rows, columns=["found", "overlap", "best_passage", "joint"])
-
-    rows = _units(drafts, compose).withColumn("_e", against("tokens", "head")).withColumns({"overlap": F.col("_e.overlap"), "best_passage": F.col("_e.best_passage")})
-    return _judged(rows, F.col("_e.found"), F.col("_e.joint"))
+    names = blocks.select("block").collect()  # a number a block
+    groups = max(1, -(-claims.count() // CLAIMS))
+    asked = claims.withColumn("block", F.explode(F.array(*[F.lit(r["block"]) for r in names]))).withColumn("group", F.pmod(F.xxhash64("draft_id", "at"), F.lit(groups)).cast("int"))
+    dealt = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def against(rows: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame([], columns=["draft_id", "at", "found", "overlap", "best_passage", "hits"])
+        ids, texts, beyond = evidence.iloc[0][["ids", "texts", "beyond"]]
+        corpus = " ".join([*(t for t in texts if t is not None), beyond])
+        index: dict[str, list[int]] = {}
+        for i, text in enumerate(texts):
+            for w in dict.fromkeys(_WORD.findall(text or "")):
+                index.setdefault(w, []).append(i)
+        places = {w: np.array(x) for w, x in index.items()}
+        out = []
+        for draft, at, head, tokens in zip(rows["draft_id"], rows["at"], rows["head"], rows["tokens"], strict=True):
+            n, hits = np.zeros(len(ids), dtype=np.int32), []
+            for k, w in enumerate(tokens):
+                where = places.get(w)
+                if where is not None:
+                    n[where] += 1
+                    hits.append(k)
+            best = int(n.argmax())
+            out.append((draft, at, head in corpus, n[best] / max(len(tokens), 1), int(ids[best]), hits))
+        return pd.DataFrame(out, columns=["draft_id", "at", "found", "overlap", "best_passage", "hits"])
+
+    met = asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(against, "draft_id long, at int, found boolean, overlap double, best_passage long, hits array<int>")
+    best = F.max(F.struct("overlap", (-F.col("best_passage")).alias("other")))
+    whole = met.groupBy("draft_id", "at").agg(F.max("found").alias("found"), best.alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+    return whole.select("draft_id", "at", "found", F.col("best.overlap").alias("overlap"), (-F.col("best.other")).alias("best_passage"), "hits")
+
+
+def audit_shared(drafts: DataFrame, items: DataFrame, compose: bool = True, chars: int = BLOCK_CHARS) -> DataFrame:
+    """K-20 where every draft has all passages of items(passage_id, passage) as evidence: the rows of audit_sentences with each passage given to each draft. Neither side is held as a whole anywhere."""
+    units = settle(_units(drafts, compose))
+    found = _held_against(units.select("draft_id", "at", "head", "tokens"), evidence_blocks(items, chars))
+    rows = units.join(found, ["draft_id", "at"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0.0)))
+    return _judged(rows, F.coalesce("found", F.lit(False)), F.coalesce("hits", F.lit(0)) / F.greatest(F.size("tokens"), F.lit(1)))
 
 
 def audit_scores(audited: DataFrame) -> DataFrame:
@@ -103,31 +162,36 @@ def audit_scores(audited: DataFrame) -> DataFrame:
 
 
 def _numbers(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(\b\d[\d,.]*%?\b)"), 1)
-
+    return F.regexp_extract_all(c, F.lit(lists.AUDIT_NUMBER))
 
-def _joined() -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", F.lower("passage").alias("p")))), lambda x: x["p"]), " ").alias("corpus")
 
-
-def _fabricated(rows: DataFrame, known: Column) -> DataFrame:
-    new = F.filter(F.array_except(_numbers(F.col("draft_text")), known), lambda x: ~F.replace(x, F.lit(",")).rlike(r"^(19|20)\d{2}$") & (F.length(F.replace(x, F.lit("%"))) > 1))
-    quotes = F.filter(F.regexp_extract_all("draft_text", F.lit(r"[“\"]([^”\"]{20,})[”\"]"), 1), lambda q: ~F.contains(F.col("corpus"), F.left(F.lower(q), F.lit(60))))
+def _claimed(drafts: DataFrame) -> DataFrame:
+    """(draft_id, numbers, quotes, banned_phrases): what a draft states that evidence should hold; years and single digits need none."""
+    numbers = F.filter(F.array_distinct(_numbers(F.col("draft_text"))), lambda x: ~F.replace(x, F.lit(",")).rlike(r"^(19|20)\d{2}$") & (F.length(F.replace(x, F.lit("%"))) > 1))
     banned = F.filter(F.array(*[F.when(F.contains(F.lower("draft_text"), F.lit(p)), F.lit(p)) for p in lists.BANNED]), lambda x: x.isNotNull())
-    return rows.select("draft_id", F.array_sort(new).alias("invented_numbers"), quotes.alias("invented_quotes"), banned.alias("banned_phrases"))
+    return drafts.select("draft_id", numbers.alias("numbers"), F.regexp_extract_all("draft_text", F.lit(lists.AUDIT_QUOTE)).alias("quotes"), banned.alias("banned_phrases"))
 
 
 def fabrications(drafts: DataFrame, passages: DataFrame) -> DataFrame:
     """K-21: per draft the numbers and quotes that its evidence lacks, and banned phrases."""
-    corpus = passages.groupBy("draft_id").agg(_joined())
-    rows = drafts.select("draft_id", "draft_text").join(corpus, "draft_id", "left").withColumn("corpus", F.coalesce("corpus", F.lit("")))
-    return _fabricated(rows, _numbers(F.col("corpus")))
-
-
-def fabrications_shared(drafts: DataFrame, items: DataFrame) -> DataFrame:
-    """K-21 where every draft has all passages of items(passage_id, passage) as evidence; they are joined once, to a single row."""
-    corpus = items.agg(_joined()).select("corpus", _numbers(F.col("corpus")).alias("known"))
-    return _fabricated(drafts.select("draft_id", "draft_text").crossJoin(F.broadcast(corpus)), F.col("known"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("passage_id", F.lower("passage").alias("p")))), lambda x: x["p"]), " ")
+    rows = _claimed(drafts).join(passages.groupBy("draft_id").agg(joined.alias("corpus")), "draft_id", "left").withColumn("corpus", F.coalesce("corpus", F.lit("")))
+    new = F.array_except("numbers", _numbers(F.col("corpus")))
+    quotes = F.filter("quotes", lambda q: ~F.contains(F.col("corpus"), F.left(F.lower(q), F.lit(HEAD))))
+    return rows.select("draft_id", F.array_sort(new).alias("invented_numbers"), quotes.alias("invented_quotes"), "banned_phrases")
+
+
+def fabrications_shared(drafts: DataFrame, items: DataFrame, chars: int = BLOCK_CHARS) -> DataFrame:
+    """K-21 where every draft has all passages of items(passage_id, passage) as evidence: numbers are joined with those of the passages, quotes are held against blocks of them."""
+    claimed = settle(_claimed(drafts))
+    known = items.select(F.explode(F.array_distinct(_numbers(F.lower("passage")))).alias("number")).distinct()
+    new = claimed.select("draft_id", F.explode("numbers").alias("number")).join(known, "number", "left_anti").groupBy("draft_id").agg(F.array_sort(F.collect_list("number")).alias("invented_numbers"))
+    said = claimed.select("draft_id", F.posexplode("quotes").alias("at", "quote"))
+    found = _held_against(said.select("draft_id", "at", F.left(F.lower("quote"), F.lit(HEAD)).alias("head"), F.array().cast("array<string>").alias("tokens")), evidence_blocks(items, chars)).where("found")
+    made = said.join(found.select("draft_id", "at"), ["draft_id", "at"], "left_anti").groupBy("draft_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "quote"))), lambda x: x["quote"]).alias("invented_quotes"))
+    none = F.array().cast("array<string>")
+    rows = claimed.select("draft_id", "banned_phrases").join(new, "draft_id", "left").join(made, "draft_id", "left")
+    return rows.select("draft_id", F.coalesce("invented_numbers", none).alias("invented_numbers"), F.coalesce("invented_quotes", none).alias("invented_quotes"), "banned_phrases")
 
 
 def upper_median(values: Column) -> Column:

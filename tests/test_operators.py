@@ -150,6 +150,11 @@ def test_all_texts_are_audited_against_all_evidence(spark, sf_dir):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(audit.audit_shared(drafts, items)) == rows(audit.audit_sentences(drafts, every).select("draft_id", "at", "sentence", "status", "overlap", "best_passage"))
     assert rows(audit.fabrications_shared(drafts, items)) == rows(audit.fabrications(drafts, every))
+    # in many blocks, over whose borders texts are found as well
+    over = items.agg(F.lower(F.concat(F.right(F.max_by("passage", -F.col("passage_id")), F.lit(30)), F.lit(" "), F.left(F.max_by("passage", F.when(F.col("passage_id") == 1, 1)), F.lit(30)))).alias("draft_text"))
+    more = drafts.union(over.select(F.lit(-1).cast("long"), F.concat("draft_text", F.lit(' "'), "draft_text", F.lit('"'))))
+    assert rows(audit.audit_shared(more, items, chars=2000)) == rows(audit.audit_shared(more, items)) and audit.evidence_blocks(items, 2000).count() > 3
+    assert rows(audit.fabrications_shared(more, items, chars=2000)) == rows(audit.fabrications_shared(more, items))
     ids = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()}
     assert {r.draft_id for r in entry.queries()["k21_fabrications"](spark, sf_dir).collect()} == ids
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("draft_id"), F.col("text").alias("draft_text"))
