@@ -88,7 +88,8 @@ def top_signals(sources: DataFrame, signals: DataFrame, limit: int = 10, min_rel
     s = sources.select("source_id", "title", "source_url", "source_domain", "published_at")
     g = signals.select("source_id", "primary_theme", "opportunity_score", "risk_score", "market_relevance", "evidence_strength", "is_promotional")
     rows = prefer(s.join(g, "source_id"), F.col("market_relevance") >= min_relevance)
-    rows = rows.orderBy(F.desc_nulls_last("opportunity_score"), "source_id").limit(limit * overfetch)
+    # a few rows from here on, which are read several times
+    rows = settle(rows.orderBy(F.desc_nulls_last("opportunity_score"), "source_id").limit(limit * overfetch))
     rows = prefer(rows, ~is_aggregator(F.col("source_domain")))
     rows = prefer(rows, ~is_first_party(F.col("source_domain"), own))
     return diversify(rows, limit, per_domain)

@@ -114,7 +114,7 @@ def _held_against(claims: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     names = blocks.select("block").collect()  # a number a block
     groups = max(1, -(-claims.count() // CLAIMS))
-    asked = claims.withColumn("block", F.explode(F.array(*[F.lit(r["block"]) for r in names]))).withColumn("group", F.pmod(F.xxhash64("draft_id", "at"), F.lit(groups)).cast("int"))
+    asked = claims.withColumn("block", F.explode(F.array(*[F.lit(r["block"]).cast("long") for r in names]))).withColumn("group", F.pmod(F.xxhash64("draft_id", "at"), F.lit(groups)).cast("int"))
     dealt = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def against(rows: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
