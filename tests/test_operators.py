@@ -124,6 +124,13 @@ def test_greedy_keeps_what_only_resembles_the_dropped(spark):
     assert {r.source_id for r in dedupe.keep_greedily(pairs, ids).collect() if r.kept} == {1, 3, 5}
 
 
+def test_hot_keys_give_the_same_pairs(spark, monkeypatch):
+    rows = spark.range(60).selectExpr("id source_id", "concat('https://a.com/', if(id % 2 = 0, 0, id % 7)) source_url", "if(id % 3 = 0, 'same text', concat('text ', id % 10)) cleaned_text")
+    want = [sorted(map(tuple, f(rows).collect())) for f in (dedupe.url_duplicates, dedupe.hash_duplicates)]
+    monkeypatch.setattr(dedupe, "HOT_ROWS", 5)
+    assert [sorted(map(tuple, f(rows).collect())) for f in (dedupe.url_duplicates, dedupe.hash_duplicates)] == want and len(want[0]) == 53
+
+
 def test_phrases_keep_to_words(spark):
     df = spark.createDataFrame([("A spa, two spas; space spark é spaé",)], "t string")
     p = taxonomy.Phrases(F.col("t"))
