@@ -239,8 +239,8 @@ def test_greedy_store_of_long_chains(spark):
 def test_replaced_table_may_read_itself(spark, tmp_path):
     path = f"{tmp_path}/t"
     landing.replace_table(spark.range(3), path)
-    landing.replace_table(spark.read.parquet(path).where("id > 0"), path)
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
+    landing.replace_table(landing.read_table(spark, path).where("id > 0"), path)
+    assert sorted(r.id for r in landing.read_table(spark, path).collect()) == [1, 2] and [p.name for p in tmp_path.iterdir()] == ["t"]
 
 
 def test_model_output_is_made_safe(spark):
