@@ -117,6 +117,7 @@ def clustered(docs: DataFrame, parts: int = PARTS, per_file: int = PER_FILE, rea
     ats = [f"at_{c}" for c in COLUMNS]
     keyed = _coordinates(rows, n, parts).select("doc_id", "tie", *ats).withColumn("z", _interleaved(parts))
     placed = running(keyed, ["z", "doc_id", "tie"], "position").withColumn("file", F.expr(f"position div {per_file}"))
+    discard(rows)
     ends = [f(f"at_{c}").alias(f"{end}_{c}") for c in COLUMNS for end, f in (("low", F.min), ("high", F.max))]
     files = materialise(placed.groupBy("file").agg(*ends), "files")
     cells = materialise(placed.groupBy("z", *ats).agg(F.min("file").alias("first_file"), F.max("file").alias("last_file"), F.count(F.lit(1)).alias("_count")), "cells")
@@ -127,6 +128,7 @@ def clustered(docs: DataFrame, parts: int = PARTS, per_file: int = PER_FILE, rea
     touched = corners.groupBy("a", "b").cogroup(asking.groupBy("a", "b")).applyInPandas(_touched(reach), "z long, files long").groupBy("z").agg(F.sum("files").alias("files_touched"))
     matching = cells.groupBy("at_source", "at_lang").applyInPandas(_matching(reach), "z long, files_matching long")
     answers = materialise(cells.select("z", "_count").join(touched, "z").join(matching, "z"), "answers")
+    discard(cells)
     bounds = files.select("file", F.concat_ws(",", *_BOUNDS).alias("file_bounds"))
     out = attach(placed.select("z", "doc_id", "position", "file"), answers, "z", n).join(bounds, "file")
     return out.select("doc_id", "z", "position", "file", "files_touched", "files_matching", "file_bounds")
