@@ -236,6 +236,23 @@ def test_greedy_store_of_long_chains(spark):
     assert kept == {i: i % 2 == 0 for i in range(70)}
 
 
+def test_greedy_store_takes_as_many_rounds_as_blocks(spark, monkeypatch):
+    """A chain of 900 in one block is one round, not 900; blocks of a few edges give what one pass over all rows gives."""
+    calls = []
+    monkeypatch.setattr(dedupe, "settle", lambda df, real=dedupe.settle: calls.append(1) or real(df))
+    pairs = spark.range(1, 900).select(F.col("id").alias("source_id"), (F.col("id") - 1).alias("matched_id"))
+    kept = {r.source_id: r.kept for r in dedupe.keep_greedily(pairs, spark.range(900).withColumnRenamed("id", "source_id")).collect()}
+    assert kept == {i: i % 2 == 0 for i in range(900)} and len(calls) < 10
+    draw = random.Random(4)
+    edges = [(i, draw.randrange(i)) for i in range(1, 120) for _ in range(draw.randrange(3))] + [(5, 9), (7, 7), (3, 500)]
+    want: dict[int, bool] = {}
+    for i in range(120):
+        want[i] = not any(want.get(b) for a, b in edges if a == i and b < i)
+    ids = spark.createDataFrame([(i,) for i in range(120)] + [(4,), (None,)], "source_id long")
+    got = dedupe.keep_greedily(spark.createDataFrame(edges, "source_id long, matched_id long"), ids, block=20).collect()
+    assert sorted((r.source_id, r.kept) for r in got if r.source_id is not None) == sorted([*want.items(), (4, want[4])]) and [r.kept for r in got if r.source_id is None] == [True]
+
+
 def test_replaced_table_may_read_itself(spark, tmp_path):
     path = f"{tmp_path}/t"
     landing.replace_table(spark.range(3), path)
