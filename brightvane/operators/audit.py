@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, hits, normalize_unicode, sentences, words
+from ..functions.text import any_of, hits, normalize_unicode, rounded, sentences, words
 from ..shared import settle
 
 
@@ -49,7 +49,7 @@ def _judged(rows: DataFrame, found: Column, joint: Column) -> DataFrame:
         F.when((F.col("head") != "") & found, "supported").when(any_of(F.col("low"), lists.OPINION), "opinion").when(future & ~F.contains("low", F.lit("?")), "unverifiable")
         .when(F.size("tokens") == 0, F.lit(None)).when(F.col("overlap") >= 0.6, "supported").when(F.col("overlap") >= 0.35, "partially_supported").when(joint >= 0.75, "partially_supported").otherwise("unsupported")
     )
-    return rows.select("draft_id", "at", "sentence", status.alias("status"), F.round("overlap", 2).alias("overlap"), "best_passage").where("status is not null")
+    return rows.select("draft_id", "at", "sentence", status.alias("status"), rounded(F.col("overlap"), 2).alias("overlap"), "best_passage").where("status is not null")
 
 
 def audit_sentences(drafts: DataFrame, passages: DataFrame, compose: bool = True) -> DataFrame:
@@ -158,7 +158,7 @@ def audit_scores(audited: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     out = audited.groupBy("draft_id").agg(*[n(s) for s in ("supported", "partially_supported", "unsupported", "opinion", "unverifiable")])
     facts = F.col("supported") + F.col("partially_supported") + F.col("unsupported")
-    return out.withColumn("evidence_score", F.when(facts > 0, F.round((F.col("supported") + 0.5 * F.col("partially_supported")) / facts * 100, 1)).otherwise(0.0))
+    return out.withColumn("evidence_score", F.when(facts > 0, rounded((F.col("supported") + 0.5 * F.col("partially_supported")) / facts * 100, 1)).otherwise(0.0))
 
 
 def _numbers(c: Column) -> Column:
@@ -217,7 +217,7 @@ def voice_alignment(text: Column, guide: dict, compose: bool = True) -> Column:
         score = score - F.when(any_of(low, [t.lower().split()[0] for t in guide["recurring_themes"]]), 0.0).otherwise(5.0)
     if guide.get("coverage_warning"):
         score = score * 0.8
-    return F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(100.0))), 1)
+    return rounded(F.greatest(F.lit(0.0), F.least(score, F.lit(100.0))), 1)
 
 
 def source_links(drafts: DataFrame, opportunities: DataFrame, sources: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, extract_numerical_claims, extract_quotes, hits, hits_in, holds, let, looks_like_prose, loose, normalize_unicode, prose_sentences, select_evidence_passages, sentences, word_count
+from ..functions.text import any_of, extract_numerical_claims, extract_quotes, hits, hits_in, holds, let, looks_like_prose, loose, normalize_unicode, prose_sentences, rounded, select_evidence_passages, sentences, word_count
 from ..functions.urls import under
 from . import scoring
 from .taxonomy import Phrases, Theme, match_entities, match_industries, match_segment, match_themes, primary_theme, secondary_themes
@@ -55,7 +55,8 @@ def first_substantive(text: Column, compose: bool = True, prose: Column | None =
 
 
 def _score(c: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(c, F.lit(10.0))), 2)
+    # half a cent goes up, as for decimals, also where a sum comes out a little less
+    return rounded(F.greatest(F.lit(0.0), F.least(c, F.lit(10.0))) + 1e-9, 2)
 
 
 def _layer(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:

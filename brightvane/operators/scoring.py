@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.labels import age_days, risk_band, score_band
+from ..functions.text import rounded
 
 FULL_DAYS, ZERO_DAYS, UNKNOWN_DATE = 7, 120, 4.0
 
@@ -19,7 +20,7 @@ def clamp10(c: Column) -> Column:
 def freshness(published: Column, as_of: Column, full: int = FULL_DAYS, zero: int = ZERO_DAYS, unknown: float = UNKNOWN_DATE) -> Column:
     """H-01: 10 up to `full` days, 0 from `zero` days, linear between; undated gets `unknown`, the future 10."""
     age = age_days(published, as_of)
-    between = F.round(F.greatest(10.0 * (1.0 - (age - full) / max(zero - full, 1)), F.lit(0.0)), 2)
+    between = rounded(F.greatest(10.0 * (1.0 - (age - full) / max(zero - full, 1)), F.lit(0.0)), 2)
     return F.when(published.isNull(), F.lit(float(unknown))).when(age <= full, F.lit(10.0)).when(age >= zero, F.lit(0.0)).otherwise(between)
 
 
@@ -44,7 +45,7 @@ def opportunity(components: dict[str, Column], weights: dict[str, float] | None
         points = raw * share * 10.0
         score = score + points
         rows.append(F.struct(F.lit(name).alias("component"), F.round(raw, 2).alias("raw_0_10"), F.lit(round(share, 4)).alias("weight"), F.round(points, 2).alias("points"), F.lit(round(share * 100, 2)).alias("max_points")))
-    return F.round(F.least(score, F.lit(100.0)), 1), F.array(*rows)
+    return rounded(F.least(score, F.lit(100.0)), 1), F.array(*rows)
 
 
 def risk(factors: dict[str, Column], points: dict[str, float] | None = None) -> tuple[Column, Column, Column]:
@@ -72,7 +73,7 @@ def confidence(domains: Column, passages: Column, strength: Column, sources: Col
         + clamp10(strength) / 10.0 * 30 + F.least(sources / F.lit(5.0), F.lit(1.0)) * 15
     )
     parts = parts * F.when(domains <= 1, 0.65).otherwise(1.0) * F.when(dated, 1.0).otherwise(0.9)
-    return F.round(F.least(parts, F.lit(100.0)), 1)
+    return rounded(F.least(parts, F.lit(100.0)), 1)
 
 
 __all__ = ["clamp10", "confidence", "freshness", "freshness_reason", "opportunity", "risk", "risk_band", "score_band"]

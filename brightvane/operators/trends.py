@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import age_days
-from ..functions.text import slugify
+from ..functions.text import rounded, slugify
 
 METRICS = ("market_relevance", "speaker_relevance", "evidence_strength", "business_impact", "novelty")
 
@@ -40,14 +40,14 @@ def theme_trends(signals: DataFrame, sources: DataFrame, as_of: Column, current_
         F.countDistinct(F.when(F.col("source_domain") != "", F.col("source_domain"))).alias("distinct_domain_count"),
         F.min("at").alias("first_seen"), F.max("at").alias("last_seen"),
         F.count_if(F.col("at") >= start).alias("current_period_count"), F.count_if((F.col("at") < start) & (F.col("at") >= before)).alias("previous_period_count"),
-        *[F.round(F.round(F.avg(F.coalesce(F.col(m), F.lit(0.0)) * weight), 6), 2).alias(f"average_{m}") for m in METRICS],
+        *[rounded(rounded(F.avg(F.coalesce(F.col(m), F.lit(0.0)) * weight), 6), 2).alias(f"average_{m}") for m in METRICS],
     )
     # a theme's industries are counted from pairs, so that none is gathered with all its rows
     named = rows.select("slug", F.explode("industries").alias("industry")).distinct().groupBy("slug").agg(F.count(F.lit(1)).cast("int").alias("distinct_industry_count"))
     grouped = grouped.join(named, "slug", "left").withColumn("distinct_industry_count", F.coalesce("distinct_industry_count", F.lit(0)))
     now, past = F.col("current_period_count"), F.col("previous_period_count")
-    growth = F.when(past == 0, now.cast("double")).otherwise(F.round((now - past) / past, 3))
-    out = grouped.withColumn("growth_rate", growth).withColumn("recency_days", F.round(age_days(F.col("last_seen"), as_of), 1))
+    growth = F.when(past == 0, now.cast("double")).otherwise(rounded((now - past) / past, 3))
+    out = grouped.withColumn("growth_rate", growth).withColumn("recency_days", rounded(age_days(F.col("last_seen"), as_of), 1))
     return out.withColumn("trend_status", classify(F.col("source_count"), F.col("distinct_domain_count"), now, past, F.col("growth_rate"), F.col("average_novelty"), F.col("first_seen"), start, min_sources, min_domains))
 
 

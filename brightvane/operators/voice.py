@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, is_verbatim, normalize_unicode, sentences, word_count, words
+from ..functions.text import any_of, is_verbatim, normalize_unicode, rounded, sentences, word_count, words
 from .taxonomy import Theme, match_themes
 
 
@@ -42,14 +42,14 @@ def analyse(examples: DataFrame, themes: Sequence[Theme] = (), compose: bool = T
     figures = F.regexp_count("text", F.lit(lists.FIGURE))
     return rows.select(
         "example_id", F.size("_w").alias("word_count"), F.size("_s").alias("sentence_count"), F.size("_p").alias("paragraph_count"),
-        F.round(median(F.col("_n")), 1).alias("median_sentence_words"), F.round(F.aggregate("_n", F.lit(0), lambda a, x: a + x) / F.size("_n"), 1).alias("mean_sentence_words"), F.array_max("_n").alias("max_sentence_words"),
-        F.round(median(F.col("_d")), 1).alias("median_paragraph_sentences"), F.round(share(F.col("_n"), lambda n: n <= 12), 2).alias("short_sentence_share"), F.exists("_n", lambda n: n <= 5).alias("uses_fragments"),
+        rounded(median(F.col("_n")), 1).alias("median_sentence_words"), rounded(F.aggregate("_n", F.lit(0), lambda a, x: a + x) / F.size("_n"), 1).alias("mean_sentence_words"), F.array_max("_n").alias("max_sentence_words"),
+        rounded(median(F.col("_d")), 1).alias("median_paragraph_sentences"), rounded(share(F.col("_n"), lambda n: n <= 12), 2).alias("short_sentence_share"), F.exists("_n", lambda n: n <= 5).alias("uses_fragments"),
         "hook", word_count(F.col("hook")).alias("hook_words"), F.trim("hook").endswith("?").alias("hook_is_question"), F.col("hook").rlike(lists.FIGURE).alias("hook_has_number"),
-        figures.alias("number_count"), F.round(figures / F.greatest(F.size("_w"), F.lit(1)) * 100, 2).alias("numbers_per_100_words"), _any_pattern(F.col("_low"), lists.CONTRAST).alias("uses_contrast"),
+        figures.alias("number_count"), rounded(figures / F.greatest(F.size("_w"), F.lit(1)) * 100, 2).alias("numbers_per_100_words"), _any_pattern(F.col("_low"), lists.CONTRAST).alias("uses_contrast"),
         F.slice(F.filter("_s", lambda s: _any_pattern(F.lower(s), lists.CONTRAST)), 1, 2).alias("contrast_examples"), any_of(F.col("_low"), lists.STORIES).alias("uses_customer_story"), F.col("_low").rlike(r"(?U)\b(i|we|our|my)\b").alias("uses_first_person"),
         F.filter(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in lists.HYPE]), lambda x: x.isNotNull()).alias("hype_terms"), _any_pattern(F.col("_low"), lists.CALLS).alias("cta_present"),
         F.slice(F.filter("_s", lambda s: _any_pattern(F.lower(s), lists.CALLS)), 1, 2).alias("cta_sentences"), F.size(F.filter("_s", lambda s: F.trim(s).endswith("?"))).alias("question_count"),
-        F.round(share(F.col("_w"), lambda w: F.length(F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "")) >= 9), 3).alias("long_word_share"),
+        rounded(share(F.col("_w"), lambda w: F.length(F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "")) >= 9), 3).alias("long_word_share"),
         (F.transform(match_themes(F.col("text"), themes, 5), lambda m: m["name"]) if themes else F.array().cast("array<string>")).alias("themes"), F.coalesce(F.try_element_at("_s", F.lit(-1)), F.lit("")).alias("closing_sentence"),
     )
 
@@ -72,7 +72,7 @@ def voice_guide(analysed: DataFrame, kinds: DataFrame | None = None) -> DataFram
     """
     rows = analysed.withColumn("content_type", F.lit(None).cast("string")) if kinds is None else analysed.join(kinds.select("example_id", "content_type"), "example_id", "left")
     share = lambda cond, name: F.avg(cond.cast("int")).alias(name)
-    middle = lambda c, name=None: F.round(F.percentile(c, 0.5), 1).alias(name or c)
+    middle = lambda c, name=None: rounded(F.percentile(c, 0.5), 1).alias(name or c)
     first = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("example_id", F.col(c).alias("v")))), lambda x: x["v"]), 1, n)
     totals = rows.agg(
         F.count(F.lit(1)).alias("approved_example_count"), middle("median_sentence_words"), middle("median_paragraph_sentences"), middle("word_count", "median_word_count"), middle("short_sentence_share"), middle("hook_words", "median_hook_words"),
@@ -102,7 +102,7 @@ def voice_guide(analysed: DataFrame, kinds: DataFrame | None = None) -> DataFram
     return one.select(
         "approved_example_count", "founder_example_count", (n - personal).alias("company_example_count"), F.when(n == 0, "empty").otherwise("derived").alias("status"), "content_types", "median_sentence_words", "median_paragraph_sentences", "median_word_count", "short_sentence_share", "uses_fragments",
         "median_hook_words", "example_hooks", F.when(F.size(patterns) > 0, patterns).otherwise(F.array(F.lit("No single dominant hook pattern across the approved examples"))).alias("hook_patterns"), "recurring_themes", "typical_calls_to_action", "hype_terms_found",
-        F.round(F.col("numbers") * 100, 0).alias("number_share"), F.concat(_percent(F.col("numbers")), F.lit(" of examples contain at least one figure (median "), F.col("median_numbers").cast("string"), F.lit(" per 100 words).")).alias("use_of_numbers"),
+        rounded(F.col("numbers") * 100, 0).alias("number_share"), F.concat(_percent(F.col("numbers")), F.lit(" of examples contain at least one figure (median "), F.col("median_numbers").cast("string"), F.lit(" per 100 words).")).alias("use_of_numbers"),
         F.concat(_percent(F.col("stories")), F.lit(" of examples reference a customer situation.")).alias("use_of_customer_stories"), F.concat(_percent(F.col("contrast")), F.lit(" of examples use an explicit contrast construction.")).alias("use_of_contrast"),
         F.concat(_percent(F.col("person")), F.lit(" of examples are written in the first person.")).alias("use_of_founder_experience"), F.concat(_percent(F.col("calls")), F.lit(" of examples end with an invitation to respond.")).alias("cta_share"),
         F.concat(tone, F.lit(" (derived from "), n.cast("string"), F.lit(" example(s))")).alias("tone"), F.concat(level, F.lit(" (mean long-word share "), _percent(F.col("mean_long_words"), 1), F.lit(" across the approved examples)")).alias("technical_detail_level"),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightvane.functions import html, labels, text, urls
+from brightvane.operators import extraction
 
 
 def values(spark, rows, *columns):
@@ -99,3 +100,12 @@ def test_html(spark):
     assert (a.title, a.author, a.published, a.lang, a.body) == ("Right title", "A B", "2024-01-02", "en", "A heading of four words\n\nThe body stands here in full.")
     assert links == ["https://e.com/next"]
     assert [str(r[0])[:10] for r in values(spark, ["2024-01-02", "Tue, 02 Jan 2024 10:00:00 GMT", "1990-01-01", "x"], html.parse_date(X, 2025))] == ["2024-01-02", "2024-01-02", "None", "None"]
+
+
+def test_doubles_are_rounded_as_in_sql(spark):
+    """h04, m06, g01: a double a little under or over a tie goes where SQL engines put it; scores of extraction always go up."""
+    x = F.col("x")
+    rows = spark.createDataFrame([(0.575, 61.349999999999994), (0.125, 61.35), (-0.125, 0.25), (None, None)], "x double, y double")
+    assert [tuple(r) for r in rows.select(text.rounded(x, 2), text.rounded(F.col("y"), 1)).collect()] == [(0.57, 61.4), (0.13, 61.4), (-0.13, 0.3), (None, None)]
+    one = spark.range(1).select(F.lit(1.1499999999999999 + 0.365).alias("s"), F.lit(1.5149999999999997).alias("t"))
+    assert tuple(one.select(extraction._score(F.col("s")), extraction._score(F.col("t"))).first()) == (1.52, 1.52)
