@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import words
+from .text import capital, words
 from .urls import is_first_party
 
 
@@ -29,7 +29,7 @@ def industry_phrase(industries: Column, limit: int = 2) -> Column:
 def humanize_label(c: Column) -> Column:
     """`long_form` as `Long form`; usual abbreviations in capitals."""
     text = F.trim(F.translate(F.coalesce(c, F.lit("")), "_-", "  "))
-    text = F.concat(F.upper(F.left(text, F.lit(1))), F.substr(text, F.lit(2)))
+    text = F.concat(capital(text), F.substr(text, F.lit(2)))
     for low, proper in (("ai", "AI"), ("saas", "SaaS"), ("roi", "ROI"), ("hvac", "HVAC"), ("smb", "SMB"), ("cx", "CX")):
         text = F.regexp_replace(text, rf"(?i)(?<=^|\s){low}(?=\s|$)", proper)
     return F.when(text == "", "—").otherwise(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import count_label, industry_phrase, truncate_words
-from ..functions.text import sentences, truncate, word_count
+from ..functions.text import capital, sentences, truncate, word_count
 from . import audit
 from . import templates as T
 
@@ -69,7 +69,7 @@ def brief_fields(facts: DataFrame) -> DataFrame:
     given = {"domains": domains, "sources": sources, "promotional": n("promotional").cast("string"), "promotional_label": count_label(n("promotional"), "marketing source")}
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     return facts.withColumns({
-        "title": F.when(cut != "", F.concat(F.upper(F.left(cut, F.lit(1))), F.substr(cut, F.lit(2)))).otherwise(name),
+        "title": F.when(cut != "", F.concat(capital(cut), F.substr(cut, F.lit(2)))).otherwise(name),
         "core_insight": F.concat(
             _fill(T.INSIGHT, about=F.when(description != "", F.concat(_bare(description), F.lit(". "))).otherwise(""), sources=sources, domains=domains, scope=within(three), passages=passages, independent=n("sources") - n("promotional")),
             F.when(problem.isNotNull(), _fill(T.INSIGHT_PROBLEM, problem=truncate(problem["problem"], 260), problem_source=problem["source_id"])).otherwise(""),
@@ -141,7 +141,7 @@ def draft_text(kind: str) -> Column:
         mine = F.array_join(F.slice(sentences(view, False), 1, 2), " ")
         own = F.when(mine != "", F.concat(F.lit("My view: "), truncate(mine, 300), F.lit("\n\n"))).otherwise("")
         bare = F.regexp_replace(ask, "^Ask the reader to ", "")
-        call = truncate(F.concat(F.upper(F.left(bare, F.lit(1))), F.substr(bare, F.lit(2))), 200)
+        call = truncate(F.concat(capital(bare), F.substr(bare, F.lit(2))), 200)
         return F.trim(_fill(T.POST, hook=hook, insight=truncate(F.trim(F.substring_index(insight, T.INSIGHT_PROBLEM.split("“")[0], 1)), 320), points=lines(told), view=own, ask=call, links=lines(links)))
     if kind == "short_form_video_outline":
         said = lambda p: F.when(_verbatim(p), _fill(T.VIDEO_SAID, domain=domain(p), body=_body(p, 160))).otherwise(F.concat(_body(p, 160), F.lit(".")))

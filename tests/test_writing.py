@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from brightvane.functions import text
 from brightvane.operators import briefs, drafts, templates, whitelist
 
 PASSAGE = "a passage that is long enough to be recognised in another text by its words"
@@ -44,6 +45,14 @@ def test_drafts_and_items_of_a_model(spark):
     assert [tuple(r) for r in whitelist.whitelist_items(answer, spark.createDataFrame([(1, 1), (2, 4)], "run_id long, source_id long")).collect()] == [(1, 1, None, "b", None)]
 
 
+def test_a_capital_is_one_character(spark):
+    """As in SQL: ß becomes ẞ, not SS, which has one letter too many."""
+    facts = facts_of(spark).withColumn("description", F.lit("ßheit fehlt. Mehr."))
+    assert drafts.brief_fields(facts).first().title == "ẞheit fehlt"
+    got = spark.createDataFrame([("ßa",), ("éa",), ("1a",), ("ŉa",), ("",)], "t string").select(text.capital(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["ẞ", "É", "1", "ŉ", ""]
+
+
 def facts_of(spark):
     evidence = [("s", 1, "e.org", False, "passage", "Calls go unanswered at 40 shops.", None, 1), ("s", 2, "f.org", True, "passage", "More text.", None, 2), ("s", 1, "e.org", False, "number", "context", "41%", 1), ("s", 2, "f.org", True, "quote", "We lost calls", "Ann", 1), ("s", 1, "e.org", False, "problem", "nobody answers", None, 1)]
     ranked = spark.createDataFrame(evidence, "slug string, source_id long, source_domain string, is_promotional boolean, kind string, text string, detail string, rank int")
