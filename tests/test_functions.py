@@ -1,5 +1,7 @@
 """Golden values of the text, URL, label and HTML functions."""
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +111,15 @@ def test_doubles_are_rounded_as_in_sql(spark):
     assert [tuple(r) for r in rows.select(text.rounded(x, 2), text.rounded(F.col("y"), 1)).collect()] == [(0.57, 61.4), (0.13, 61.4), (-0.13, 0.3), (None, None)]
     one = spark.range(1).select(F.lit(1.1499999999999999 + 0.365).alias("s"), F.lit(1.5149999999999997).alias("t"))
     assert tuple(one.select(extraction._score(F.col("s")), extraction._score(F.col("t"))).first()) == (1.52, 1.52)
+
+
+def test_only_what_composition_changes_goes_to_python(spark, monkeypatch):
+    """b01, b07: NFKC of texts of many scripts equals Python's, and of usual accented text nothing reaches Python."""
+    rows = ["é ß ’ Ю 中 한", "été", "ﬁ①Ａ", "a b…", "́x", "한ᆨ 각", "q̣̇ q̣̇", "x²\n½\U0001d400\U0001f600y", "がｶﾞ", "e" + "̣́" * 3000 + "z", "", None, "ǆ ſt à"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "x string").select(text.nfkc(X)).collect()]
+    assert got == [unicodedata.normalize("NFKC", r or "") for r in rows]
+    for block in (range(0, 0x3400), range(0xA640, 0xABFF), range(0xF900, 0x10000), range(0x1D400, 0x1D800)):
+        chars = [f"a{chr(c)}o" for c in block if not 0xD800 <= c < 0xE000]
+        assert [r[0] for r in spark.createDataFrame([(r,) for r in chars], "x string").select(text.nfkc(X)).collect()] == [unicodedata.normalize("NFKC", r) for r in chars]
+    asked = spark.createDataFrame([("Größe, naïve “Élan” – Ñandú",)], "x string").select(X.rlike(text._UNSTABLE)).first()
+    assert not asked[0]
