@@ -36,12 +36,13 @@ def pick_sentence(text: Column, markers: Sequence[str], bonus: Sequence[str] | C
     own = bonus if isinstance(bonus, Column) else F.array(*[F.lit(b) for b in bonus]).cast("array<string>")
 
     def scored(s: Column, i: Column, words_: Column) -> Column:
-        low, n = F.lower(s), word_count(s)
-        found = hits(low, markers)
-        score = found * 1.5 + hits_in(low, words_) * 0.5 - n / 100.0
-        good = (n >= 8) & (n <= 70) & (found > 0) & (score > 0)
-        good = good & looks_like_prose(s) if prose is None else good
-        return F.when(good, F.struct(score.alias("score"), (-i).alias("at"), s.alias("s")))
+        def rated(x: Column) -> Column:
+            score = x["found"] * 1.5 + hits_in(x["low"], words_) * 0.5 - x["n"] / 100.0
+            return F.when(x["found"] > 0, let(score, lambda v: F.when((v > 0) & (looks_like_prose(s) if prose is None else F.lit(True)), F.struct(v.alias("score"), (-i).alias("at"), s.alias("s")))))
+
+        # each is computed once, and only for a sentence of the right length
+        with_low = lambda n: let(F.lower(s), lambda low: let(F.struct(low.alias("low"), hits(low, markers).alias("found"), n.alias("n")), rated))
+        return let(word_count(s), lambda n: F.when((n >= 8) & (n <= 70), with_low(n)))
 
     # sentences and words are computed once, not for each sentence
     best = lambda v: F.array_max(F.filter(F.transform(v["s"], lambda s, i: scored(s, i, v["w"])), lambda x: x.isNotNull()))["s"]

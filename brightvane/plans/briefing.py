@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import extract_numerical_claims
+from ..functions.text import extract_numerical_claims, prose_sentences
 from ..operators import analytics, briefs, extraction, taxonomy, trends
 from ..operators.taxonomy import Theme
 from ..registry import query
@@ -142,7 +142,9 @@ def f07_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT d.doc_id, pick.picked, lead.first FROM documents d LEFT JOIN pick ON d.doc_id = pick.doc_id LEFT JOIN lead ON d.doc_id = lead.doc_id""")
 def g02_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", extraction.pick_sentence(t, ("the", "und", "les"), ("ion",)).alias("picked"), extraction.first_substantive(t).alias("first"))
+    # cut and judged once for both
+    said, docs = F.col("said"), _docs(spark, sf_dir).withColumn("said", prose_sentences(t))
+    return docs.select("doc_id", extraction.pick_sentence(t, ("the", "und", "les"), ("ion",), prose=said).alias("picked"), extraction.first_substantive(t, prose=said).alias("first"))
 
 
 @query("""SELECT doc_id, least(greatest((doc_id % 30 - 8)::DOUBLE, 0e0), 1e1) AS market_relevance, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Theme ' || (doc_id % 4) END AS primary_theme, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'missed calls' ELSE source END AS customer_problem,

@@ -122,7 +122,10 @@ _PROSE = rf"""x AS ({_ALL}), y AS (SELECT *, regexp_extract_all(s, '\S+') AS w F
 @query(f"WITH {_PROSE} SELECT doc_id, place::INTEGER AS place, gibberish, prose FROM p")
 def b18_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("place", "s"))
-    return s.select("doc_id", "place", text.looks_like_gibberish(F.col("s")).alias("gibberish"), text.looks_like_prose(F.col("s")).alias("prose"))
+    # words are cut once for both, and one is a part of the other
+    s = s.withColumn("w", text.words(F.col("s")))
+    s = s.withColumn("gibberish", text.looks_like_gibberish(F.col("s"), F.col("w")))
+    return s.select("doc_id", "place", "gibberish", text.looks_like_prose(F.col("s"), F.col("w"), F.col("gibberish")).alias("prose"))
 
 
 @query(f"""WITH {_PROSE}, c AS (SELECT doc_id, place, s, (contains(lower(s), 'with'))::INTEGER AS top, contains(lower(s), 'the')::INTEGER + contains(lower(s), 'that')::INTEGER AS wide, n, prose FROM p),
