@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, hits, normalize_unicode, rounded, sentences, words
+from ..functions.text import any_of, hits, let, normalize_unicode, rounded, sentences, words
 from ..shared import settle
 
 
@@ -24,7 +24,7 @@ def auditable_units(text: Column, compose: bool = True) -> Column:
     """K-19: claims of a draft: per line, without meta lines and list marks, then by sentence."""
     lines = F.filter(F.transform(F.split(normalize_unicode(text, compose), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(lists.META_LINE))
     bare = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:[-—•*]|\d+\.)\s*", ""), r"^\*+|\*+$", ""))), lambda x: x != "")
-    parts = lambda x: F.when(F.size(sentences(x, False)) > 0, sentences(x, False)).otherwise(F.array(x))
+    parts = lambda x: let(sentences(x, False), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(x)))
     return F.flatten(F.transform(bare, parts))
 
 
@@ -196,7 +196,7 @@ def fabrications_shared(drafts: DataFrame, items: DataFrame, chars: int = BLOCK_
 
 def upper_median(values: Column) -> Column:
     """The middle value, the upper of two."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+    return let(values, lambda v: F.get(F.array_sort(v), F.floor(F.size(v) / 2).cast("int")))
 
 
 def voice_alignment(text: Column, guide: dict, compose: bool = True) -> Column:
@@ -208,8 +208,8 @@ def voice_alignment(text: Column, guide: dict, compose: bool = True) -> Column:
     gap = F.abs(upper_median(lengths) - F.lit(float(guide.get("median_sentence_words") or 16)))
     blocks = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.trim(p) != "")
     depth = upper_median(F.transform(blocks, lambda p: F.greatest(F.size(sentences(p, False)), F.lit(1))))
-    hype = hits(low, lists.BANNED) > 0
-    score = F.lit(100.0) - F.when(gap > 8, 20.0).when(gap > 4, 8.0).otherwise(0.0) - F.when(F.abs(depth - F.lit(float(guide.get("median_paragraph_sentences") or 2))) > 2, 12.0).otherwise(0.0)
+    hype = any_of(low, lists.BANNED)
+    score = F.lit(100.0) - let(gap, lambda g: F.when(g > 8, 20.0).when(g > 4, 8.0).otherwise(0.0)) - F.when(F.abs(depth - F.lit(float(guide.get("median_paragraph_sentences") or 2))) > 2, 12.0).otherwise(0.0)
     score = score - F.when(hype, 10.0 if guide.get("hype_terms_found") else 25.0).otherwise(0.0)
     if (guide.get("number_share") or 0) >= 50:
         score = score - F.when(text.rlike(r"\b\d"), 0.0).otherwise(10.0)
