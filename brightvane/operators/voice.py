@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..functions.text import any_of, is_verbatim, normalize_unicode, rounded, sentences, word_count, words
+from ..shared import settle
 from .taxonomy import Theme, match_themes
 
 
@@ -63,6 +64,13 @@ def _percent(share: Column, digits: int = 0) -> Column:
     return F.concat(F.format_string(f"%.{digits}f", F.bround(share * 100, digits)), F.lit("%"))
 
 
+#: The measures that a guide is made of.
+_GUIDING = (
+    "median_sentence_words", "median_paragraph_sentences", "word_count", "short_sentence_share", "hook", "hook_words", "hook_is_question", "hook_has_number", "uses_fragments", "numbers_per_100_words", "long_word_share", "number_count",
+    "uses_contrast", "uses_first_person", "uses_customer_story", "cta_present", "cta_sentences", "hype_terms", "themes",
+)
+
+
 def voice_guide(analysed: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
     """M-04: one row over all analysed examples, and what it may claim; kinds(example_id, content_type) tells where they come from.
 
@@ -71,6 +79,8 @@ def voice_guide(analysed: DataFrame, kinds: DataFrame | None = None) -> DataFram
     warnings of few examples, of a single type and of provenance.
     """
     rows = analysed.withColumn("content_type", F.lit(None).cast("string")) if kinds is None else analysed.join(kinds.select("example_id", "content_type"), "example_id", "left")
+    # measured once, as four passes read the measures: without it each pass cuts the texts again
+    rows = settle(rows.select("example_id", "content_type", *_GUIDING))
     share = lambda cond, name: F.avg(cond.cast("int")).alias(name)
     middle = lambda c, name=None: rounded(F.percentile(c, 0.5), 1).alias(name or c)
     first = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("example_id", F.col(c).alias("v")))), lambda x: x["v"]), 1, n)

@@ -218,7 +218,9 @@ def m01_voice_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     list_filter([CASE WHEN ms <= 20 THEN 'Direct' END, CASE WHEN ml <= 0.22 THEN 'Clear' END, CASE WHEN mp <= 3 THEN 'Uses short paragraphs' END, CASE WHEN len(hype) = 0 THEN 'Avoids generic AI hype' END, CASE WHEN num >= 0.5 THEN 'Prefers measurable impact' END], lambda x: x IS NOT NULL) AS confirmed_assumptions, NULL::VARCHAR AS coverage_warning, NULL::VARCHAR AS provenance_warning FROM g""")
 def m04_voice_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = _voice(spark, sf_dir)
-    kinds = measured.select("example_id", F.when(F.col("example_id") % 3 == 0, "blog_post").when(F.col("example_id") % 3 == 1, "interview").otherwise("other").alias("content_type"))
+    # of the ids alone, so that no text is read for it
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("example_id"))
+    kinds = ids.select("example_id", F.when(F.col("example_id") % 3 == 0, "blog_post").when(F.col("example_id") % 3 == 1, "interview").otherwise("other").alias("content_type"))
     return voice.voice_guide(measured, kinds).select(
         "approved_example_count", "founder_example_count", "company_example_count", "status", "median_sentence_words", "median_paragraph_sentences", "median_word_count", "uses_fragments", "hype_terms_found", "example_hooks", "hook_patterns", "use_of_contrast", "tone", "technical_detail_level", "confirmed_assumptions",
         "coverage_warning", "provenance_warning",

@@ -270,3 +270,23 @@ def test_model_output_is_made_safe(spark):
     assert (a.market_relevance, a.novelty, a.primary_entity, a.primary_theme, a.secondary_themes, a.industries, a.secondary_entities) == (10.0, 0.0, "d.org", None, ["Known"], ["x", "y", "z"], ["A", "B"])
     assert [(e.passage, e.supports, e.verified_verbatim) for e in a.supporting_evidence] == [("P one", None, False), ("P two", "it shows a clear rise", False)] and a.recommended_format == "executive_talking_point" and a.is_promotional
     assert (b.industries, b.supporting_evidence, b.market_relevance) == (["Cross-industry"], [], 0.0)
+
+
+def test_voice_guide_measures_each_text_once(spark):
+    """M-04: what four passes read is measured before them."""
+    rows = spark.createDataFrame([(i, f"What do you say of the {i} calls we had? Let me know. And so it is.\n\nThe end of it.") for i in range(6)], "example_id long, text string")
+    guide = voice.voice_guide(voice.analyse(rows))
+    assert "_nfkc" not in guide._jdf.queryExecution().optimizedPlan().toString()
+    got = guide.select("approved_example_count", "hook_patterns", "typical_calls_to_action", "median_sentence_words").first()
+    assert got == (6, ["6/6 open with a figure"], got[2], 4.0) and len(got[2]) == 5
+
+
+def test_claims_of_a_line_and_gaps_are_worked_out_once(spark):
+    """K-19, K-22: a line's sentences, and the gap of lengths, stand once in the plan."""
+    x = spark.createDataFrame([("First one here. Second one here.\n- ok it\nhm",), ("",), (None,)], "x string")
+    units = x.select(audit.auditable_units(F.col("x"), False).alias("u"))
+    assert [r["u"] for r in units.collect()] == [["First one here.", "Second one here.", "ok it", "hm"], [], []]
+    assert units._jdf.queryExecution().optimizedPlan().toString().split(" AS u")[0].count("(?<=[.!?]") == 1
+    score = x.select(audit.voice_alignment(F.col("x"), {"approved_example_count": 2, "median_sentence_words": 3}, False).alias("s"))
+    assert [r["s"] for r in score.collect()] == [100.0, 100.0, 100.0]
+    assert score._jdf.queryExecution().optimizedPlan().toString().split(" AS s")[0].count("(?<=[.!?]") == 2
