@@ -62,11 +62,12 @@ def whitelist_points(responses: DataFrame, members: DataFrame, passages: DataFra
     ids = ids.join(members.select("slug", "source_id").distinct(), ["slug", "source_id"], "left_semi")
     cited = ids.groupBy("brief_id", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct("spot", "source_id"))), lambda x: x["source_id"]).alias("evidence_source_ids"))
     # a theme's passages are bounded by its members, so a point meets few
-    held = passages.select("slug", "place", F.col("source_id").alias("_source"), "passage", "url", "domain").where("passage <> ''")
-    met = points.join(cited, ["brief_id", "at"]).join(held, "slug")
+    held = passages.select("slug", "place", F.col("source_id").alias("_source"), "passage", "url", "domain", _loose(F.col("passage")).alias("_stored")).where("passage <> ''")
+    # both sides are brought into form before they meet, not once a pair
+    met = points.join(cited, ["brief_id", "at"]).withColumn("_needle", _loose(F.col("asked"))).join(held, "slug")
     if cited_only:
         met = met.where(F.array_contains("evidence_source_ids", F.col("_source")))
-    needle, stored = _loose(F.col("asked")), _loose(F.col("passage"))
+    needle, stored = F.col("_needle"), F.col("_stored")
     close = (F.length(needle) >= OVERLAP) & (F.contains(stored, needle) | ((F.length(stored) >= OVERLAP) & F.contains(needle, stored)))
     # of equal passages the last is the one that an exact text names, as in an index by text
     rank = F.when(F.col("asked") == F.col("passage"), F.struct(F.lit(0).alias("k"), (-F.col("place")).alias("v"))).when(close, F.struct(F.lit(1).alias("k"), F.col("place").alias("v")))
