@@ -290,3 +290,16 @@ def test_claims_of_a_line_and_gaps_are_worked_out_once(spark):
     score = x.select(audit.voice_alignment(F.col("x"), {"approved_example_count": 2, "median_sentence_words": 3}, False).alias("s"))
     assert [r["s"] for r in score.collect()] == [100.0, 100.0, 100.0]
     assert score._jdf.queryExecution().optimizedPlan().toString().split(" AS s")[0].count("(?<=[.!?]") == 2
+
+
+def test_contained_titles_need_no_score(spark):
+    """E-03: a title with an earlier one of the same words or more is settled without Python; others are scored."""
+    titles = ["alpha beta gamma delta", "alpha beta gamma delta epsilon", "alpha beta gamma deltb epsilon", "delta gamma beta alpha", "epsilon alpha beta gamma deltb zeta"]
+    rows = spark.createDataFrame([(i, "https://e.org/a", t) for i, t in enumerate(titles)], "source_id long, source_url string, title string")
+    got = {r["source_id"]: (r["matched_id"], r["score"]) for r in dedupe.title_duplicates(rows).collect()}
+    want = {}
+    for i, t in enumerate(titles):
+        near = [(-dedupe.token_set_ratio(t, o), k) for k, o in enumerate(titles[:i]) if dedupe.token_set_ratio(t, o) >= 92]
+        if near:
+            want[i] = (min(near)[1], -min(near)[0] / 100)
+    assert got == want and got[1] == (0, 1.0) and got[3] == (0, 1.0)
