@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, is_verbatim, normalize_unicode, rounded, sentences, word_count, words
+from ..functions.text import _BLANKS, any_of, cut_sentences, is_verbatim, let, normalize_unicode, one_line, rounded, sentences, word_count, words
 from ..shared import settle
 from .taxonomy import Theme, match_themes
 
@@ -27,30 +29,66 @@ def median(values: Column) -> Column:
     return (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
 
 
-def _any_pattern(c: Column, patterns: Sequence[str]) -> Column:
-    return c.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+def _begun(pattern: str, first: str) -> str:
+    """A pattern that begins with a border, begun with what is behind it: that is found faster than borders."""
+    return f"{first}(?<=\\b{first})" + pattern.removeprefix("\\b" + first)
+
+
+def _spelled(pattern: str) -> list[str]:
+    """The phrases that a pattern of alternatives stands for."""
+    parts = re.split(r"\((.*?)\)", pattern.replace("\\?", "?"))
+    return ["".join(x) for x in itertools.product(*[p.split("|") if i % 2 else [p] for i, p in enumerate(parts)])]
+
+
+_FIGURE, _PERSON = _begun(lists.FIGURE, r"\d"), "(?U)" + _begun(r"\b[imow](?:(?<=i)|(?<=w)e|(?<=o)ur|(?<=m)y)\b", "[imow]")
+_CALLS = tuple(phrase for p in lists.CALLS for phrase in _spelled(p))
+#: Each of them holds one of these.
+_CALL_WORDS = ("you", "know", "curious", "agree?", "tell", "drop", "reply", "thoughts")
+#: Each contrast, and the letters of the two words that it is made of.
+_CONTRAST = tuple(zip([_begun(p, p[2]) for p in lists.CONTRAST], (("isn", "it"), ("not", "but"), ("less", "more"), ("don", "do")), strict=True))
+#: A word of nine characters or more between the signs at its ends.
+_LONG_WORD = r"(?U)[^\s.,!?;:]\S{7,}[^\s.,!?;:]"
+
+
+def _contrasts(low: Column, patterns: bool = True) -> Column:
+    """Whether lower-cased text argues by contrast; the words are looked for before the patterns, or alone."""
+    out = F.lit(False)
+    for pattern, (first, second) in _CONTRAST:
+        both = F.contains(low, F.lit(first)) & F.contains(low, F.lit(second))
+        out = out | (both & low.rlike("(?U)" + pattern) if patterns else both)
+    return out
+
+
+def _paragraph_sentences(p: Column) -> Column:
+    """How many sentences a paragraph has; of one that is a single line they are its parts of three characters or more."""
+    parts = F.filter(F.split(p, lists.SENTENCE_BREAK), lambda x: (F.length(x) > 20) | (F.length(F.btrim(x, F.lit(_BLANKS))) > 2))
+    return F.when(F.contains(p, F.lit("\n")), F.size(sentences(p, False))).otherwise(F.size(parts))
 
 
 def analyse(examples: DataFrame, themes: Sequence[Theme] = (), compose: bool = True) -> DataFrame:
     """M-01: 28 measures of each example(example_id, text)."""
     text = F.trim(normalize_unicode(F.col("text"), compose))
-    rows = examples.withColumn("text", text).where(F.col("text") != "")
-    rows = rows.withColumns({"_s": sentences(F.col("text"), False), "_p": split_paragraphs(F.col("text")), "_w": words(F.col("text")), "_low": F.lower("text")})
-    rows = rows.withColumns({"_n": F.when(F.size("_s") > 0, F.transform("_s", word_count)).otherwise(F.array(F.lit(0))), "_d": F.transform("_p", lambda p: F.greatest(F.size(sentences(p, False)), F.lit(1)))})
+    # asked of the text as it came: a condition on the composed one would compose it twice
+    some = F.col("text").rlike("[^ \\u00a0\\u2000-\\u200a\\u202f\\u205f\\u3000]" if compose else "[^ \\u00a0]")
+    rows = examples.where(some).withColumn("text", text)
+    rows = rows.withColumns({"_line": one_line(F.col("text"), False), "_p": split_paragraphs(F.col("text")), "_w": words(F.col("text")), "_low": F.lower("text")})
+    rows = rows.withColumns({"_s": cut_sentences(F.col("_line")), "_contrast": _contrasts(F.col("_low"), False), "_call": any_of(F.col("_low"), _CALL_WORDS), "_figures": F.regexp_count("text", F.lit(_FIGURE))})
+    rows = rows.withColumns({"_n": F.when(F.size("_s") > 0, F.transform("_s", word_count)).otherwise(F.array(F.lit(0))), "_d": F.when(F.size("_p") == 1, F.array(F.greatest(F.size("_s"), F.lit(1)))).otherwise(F.transform("_p", lambda p: F.greatest(_paragraph_sentences(p), F.lit(1))))})
     line = F.substring_index(F.coalesce(F.get("_p", F.lit(0)), F.lit("")), "\n", 1)
     rows = rows.withColumn("hook", F.when(word_count(line) <= 30, line).otherwise(F.coalesce(F.get("_s", F.lit(0)), F.lit(""))))
     share = lambda a, cond: F.size(F.filter(a, cond)) / F.greatest(F.size(a), F.lit(1))
-    figures = F.regexp_count("text", F.lit(lists.FIGURE))
+    # sentences are looked through only where their text holds what is looked for
+    picked = lambda some, cond: F.slice(F.when(some, F.filter("_s", cond)).otherwise(F.array().cast("array<string>")), 1, 2)
     return rows.select(
         "example_id", F.size("_w").alias("word_count"), F.size("_s").alias("sentence_count"), F.size("_p").alias("paragraph_count"),
         rounded(median(F.col("_n")), 1).alias("median_sentence_words"), rounded(F.aggregate("_n", F.lit(0), lambda a, x: a + x) / F.size("_n"), 1).alias("mean_sentence_words"), F.array_max("_n").alias("max_sentence_words"),
         rounded(median(F.col("_d")), 1).alias("median_paragraph_sentences"), rounded(share(F.col("_n"), lambda n: n <= 12), 2).alias("short_sentence_share"), F.exists("_n", lambda n: n <= 5).alias("uses_fragments"),
-        "hook", word_count(F.col("hook")).alias("hook_words"), F.trim("hook").endswith("?").alias("hook_is_question"), F.col("hook").rlike(lists.FIGURE).alias("hook_has_number"),
-        figures.alias("number_count"), rounded(figures / F.greatest(F.size("_w"), F.lit(1)) * 100, 2).alias("numbers_per_100_words"), _any_pattern(F.col("_low"), lists.CONTRAST).alias("uses_contrast"),
-        F.slice(F.filter("_s", lambda s: _any_pattern(F.lower(s), lists.CONTRAST)), 1, 2).alias("contrast_examples"), any_of(F.col("_low"), lists.STORIES).alias("uses_customer_story"), F.col("_low").rlike(r"(?U)\b(i|we|our|my)\b").alias("uses_first_person"),
-        F.filter(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in lists.HYPE]), lambda x: x.isNotNull()).alias("hype_terms"), _any_pattern(F.col("_low"), lists.CALLS).alias("cta_present"),
-        F.slice(F.filter("_s", lambda s: _any_pattern(F.lower(s), lists.CALLS)), 1, 2).alias("cta_sentences"), F.size(F.filter("_s", lambda s: F.trim(s).endswith("?"))).alias("question_count"),
-        rounded(share(F.col("_w"), lambda w: F.length(F.regexp_replace(w, r"^[.,!?;:]+|[.,!?;:]+$", "")) >= 9), 3).alias("long_word_share"),
+        "hook", word_count(F.col("hook")).alias("hook_words"), F.trim("hook").endswith("?").alias("hook_is_question"), F.col("hook").rlike(_FIGURE).alias("hook_has_number"),
+        F.col("_figures").alias("number_count"), rounded(F.col("_figures") / F.greatest(F.size("_w"), F.lit(1)) * 100, 2).alias("numbers_per_100_words"), (F.col("_contrast") & _contrasts(F.col("_low"))).alias("uses_contrast"),
+        picked(F.col("_contrast"), lambda s: let(F.lower(s), lambda low: _contrasts(low))).alias("contrast_examples"), any_of(F.col("_low"), lists.STORIES).alias("uses_customer_story"), F.col("_low").rlike(_PERSON).alias("uses_first_person"),
+        F.filter(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in lists.HYPE]), lambda x: x.isNotNull()).alias("hype_terms"), (F.col("_call") & any_of(F.col("_low"), _CALLS)).alias("cta_present"),
+        picked(F.col("_call"), lambda s: let(F.lower(s), lambda low: any_of(low, _CALLS))).alias("cta_sentences"), F.when(F.contains("_line", F.lit("?")), F.size(F.filter("_s", lambda s: s.endswith("?")))).otherwise(0).alias("question_count"),
+        rounded(share(F.col("_w"), lambda w: (F.length(w) >= 9) & w.rlike(_LONG_WORD)), 3).alias("long_word_share"),
         (F.transform(match_themes(F.col("text"), themes, 5), lambda m: m["name"]) if themes else F.array().cast("array<string>")).alias("themes"), F.coalesce(F.try_element_at("_s", F.lit(-1)), F.lit("")).alias("closing_sentence"),
     )
 

@@ -303,3 +303,19 @@ def test_contained_titles_need_no_score(spark):
         if near:
             want[i] = (min(near)[1], -min(near)[0] / 100)
     assert got == want and got[1] == (0, 1.0) and got[3] == (0, 1.0)
+
+
+def test_voice_measures_compose_a_text_once(spark):
+    """A condition on the composed text composed every text twice; blanks of all kinds are still no example."""
+    rows = spark.createDataFrame([(1, "We like it.\n\nWould you agree? It is not\tluck, but work: 12 extraordinary, days."), (2, "  　 "), (3, None), (4, "\n")], "example_id long, text string")
+    found = voice.analyse(rows)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    first, second = found.orderBy("example_id").collect()
+    assert (first.word_count, first.sentence_count, first.paragraph_count, first.question_count, first.number_count) == (15, 3, 2, 1, 1)
+    assert first.uses_contrast and first.uses_first_person and first.cta_present and first.cta_sentences == ["Would you agree?"] and first.long_word_share == round(1 / 15, 3)
+    assert (second.example_id, second.word_count, second.sentence_count) == (4, 0, 0)
+
+
+def test_phrases_of_calls_and_contrasts_are_those_of_the_lists():
+    assert all(any(w in p for w in voice._CALL_WORDS) for p in voice._CALLS) and len(voice._CALLS) == 12
+    assert {"what are you", "curious how", "agree?"} <= set(voice._CALLS)
