@@ -12,6 +12,7 @@ from ..functions import lists
 from ..functions.labels import count_label
 from ..functions.text import any_of, loose, truncate, word_count
 from ..functions.urls import is_first_party, normalize_url, under
+from ..shared import settle
 from . import scoring, templates
 from .taxonomy import Phrases, Theme
 
@@ -193,13 +194,17 @@ def match_stored_passage(claims: DataFrame, passages: DataFrame, least: int = 40
     """K-13: claims joined to the first passage that contains them or that they contain, at `least` characters or more.
 
     Both sides are keyed by their character windows' hashes at word starts, so that
-    only texts that share one are compared.
+    only texts that share one are compared. Keys meet without the texts, which are
+    fetched for what met: else each text is copied once for each of its words.
     """
-    text = lambda c: loose(F.col(c))
     starts = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(f"(?:^|(?<= ))(?=(.{{{window}}}))"), 1), lambda x: F.xxhash64(x)))
-    a = claims.select("claim_id", text("claim").alias("_c")).where(F.length("_c") >= least)
-    b = passages.select("passage_id", text("passage").alias("_p")).where(F.length("_p") >= least)
-    pairs = a.select("claim_id", "_c", F.explode(starts(F.col("_c"))).alias("_k")).join(b.select("passage_id", "_p", F.explode(starts(F.col("_p"))).alias("_k")), "_k").where(F.contains("_c", F.col("_p")) | F.contains("_p", F.col("_c")))
+    keys = lambda df, of, c: df.select(of, F.explode(starts(loose(F.col(c)))).alias("_k"))
+    met = keys(claims, "claim_id", "claim").join(keys(passages, "passage_id", "passage"), "_k").select("claim_id", "passage_id").distinct()
+    met = settle(met)
+    a = claims.join(met.select("claim_id").distinct(), "claim_id", "left_semi").select("claim_id", loose(F.col("claim")).alias("_c"))
+    b = passages.select("passage_id", loose(F.col("passage")).alias("_p"))
+    long = (F.length("_c") >= least) & (F.length("_p") >= least)
+    pairs = a.join(met, "claim_id").join(b, "passage_id").where(long & (F.contains("_c", F.col("_p")) | F.contains("_p", F.col("_c"))))
     return pairs.groupBy("claim_id").agg(F.min("passage_id").alias("passage_id"))
 
 

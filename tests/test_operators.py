@@ -319,3 +319,18 @@ def test_voice_measures_compose_a_text_once(spark):
 def test_phrases_of_calls_and_contrasts_are_those_of_the_lists():
     assert all(any(w in p for w in voice._CALL_WORDS) for p in voice._CALLS) and len(voice._CALLS) == 12
     assert {"what are you", "curious how", "agree?"} <= set(voice._CALLS)
+
+
+def test_stored_passages_meet_by_keys_without_the_texts(spark):
+    """Texts were copied once for each of their words."""
+    long = "Every shop that answers its calls within a minute keeps its customers"
+    claims = spark.createDataFrame([(1, f"They say “so”:  {long.upper()} for years."), (2, "nothing of the kind is said in this one, which is long enough"), (3, None), (4, "too short")], "claim_id long, claim string")
+    passages = spark.createDataFrame([(7, long), (8, f"{long} for years."), (9, "too short")], "passage_id long, passage string")
+    plans = []
+    settle, briefs.settle = briefs.settle, lambda df: plans.append(df) or df
+    try:
+        assert [tuple(r) for r in briefs.match_stored_passage(claims, passages).collect()] == [(1, 7)]
+    finally:
+        briefs.settle = settle
+    made = [x for x in plans[0]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x]
+    assert made and not any("_c#" in x for x in made) and len(plans[0].columns) == 2
