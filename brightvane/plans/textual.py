@@ -72,8 +72,8 @@ def c06_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d01_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", html.parse_html(F.col("html")).alias("a"))
-    return pages.select("page_id", "a.title", "a.lang", "a.canonical", "a.author", "a.published", "a.site", "a.excerpt", "a.promotional", "a.body", html.page_links(F.col("a.links"), F.col("url")).alias("links"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", html.parse_html(F.col("html"), F.col("url")).alias("a"))
+    return pages.select("page_id", "a.title", "a.lang", "a.canonical", "a.author", "a.published", "a.site", "a.excerpt", "a.promotional", "a.body", html.page_links(F.col("a.links"), F.col("url"), absolute=True).alias("links"))
 
 
 def _hit(words: tuple[str, ...], weight: str, cap: bool = True) -> str:

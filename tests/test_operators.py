@@ -334,3 +334,14 @@ def test_stored_passages_meet_by_keys_without_the_texts(spark):
         briefs.settle = settle
     made = [x for x in plans[0]._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x]
     assert made and not any("_c#" in x for x in made) and len(plans[0].columns) == 2
+
+
+def test_articles_take_one_python_process_a_task(spark, sf_dir):
+    from brightvane.functions import html
+    from brightvane.plans import textual
+
+    assert textual.d01_articles(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = spark.createDataFrame([("https://e.com/p/", '<a href="q?utm_source=x">a</a><a href="#top">b</a><a href="mailto:x@e.com">c</a><a href="//e.com/r">d</a><a href="http://[">e</a>'), (None, '<a href="https://e.com/a">a</a>'), ("https://e.com", None)], "url string, html string")
+    two = html.page_links(html.parse_html(F.col("html"))["links"], F.col("url"))
+    one = html.page_links(html.parse_html(F.col("html"), F.col("url"))["links"], F.col("url"), absolute=True)
+    assert all(a == b for a, b in rows.select(two, one).collect())
