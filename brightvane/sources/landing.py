@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..functions.text import any_of, clean_text, short_hash, word_count
+from ..functions.text import any_of, clean_text, content_hash, word_count
 from ..functions.urls import domain_of, is_allowed, is_http_url, normalize_url, social_handle, under
 from ..shared import settle
 from .snapshots import commit_snapshot, read_snapshot
@@ -120,7 +120,8 @@ def manual_items(entries: DataFrame) -> DataFrame:
     text = clean_text(F.col("text"))
     rows = entries.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("_clean", text).withColumn("_line", F.regexp_extract("_clean", r"^([^\n]*)", 1))
     given = normalize_url(F.col("url"))
-    made = F.concat(F.lit("manual://"), F.col("kind"), F.lit("/"), short_hash(F.col("_clean"), 16))
+    # the clean text is composed already; to compose it again may leave a Python function unplanned
+    made = F.concat(F.lit("manual://"), F.col("kind"), F.lit("/"), F.left(content_hash(F.col("_clean"), compose=False), F.lit(16)))
     title = F.when(F.length("_line") > 120, F.concat(F.left("_line", F.lit(120)), F.lit("…"))).otherwise(F.col("_line"))
     return _items(rows, "manual", source_url=F.when(given != "", given).otherwise(made), title=title, summary=F.left("_clean", F.lit(400)))
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from brightvane import pipeline
+from brightvane.functions.text import short_hash
 from brightvane.plans import textual
 from brightvane.plans.views import view
 from brightvane.sources import landing
@@ -36,6 +37,13 @@ def test_manual_and_outcome(spark):
     assert [r[0] for r in df.select(landing.fetch_outcome(*[F.col(x) for x in "cubrw"])).collect()] == ["fetched", "skipped_access_restricted", "skipped_robots", "skipped_crawl_delay_deferred", "error"]
 
 
+def test_manual_items_more_than_once_a_session(spark):
+    entries = spark.createDataFrame([("note", "First ﬁ line\nrest", None)], "kind string, text string, url string")
+    urls = {landing.manual_items(entries).first().source_url for _ in range(3)}
+    plain = entries.select(short_hash(F.lit("First fi line\nrest"), 16)).first()[0]
+    assert urls == {f"manual://note/{plain}"}
+
+
 def test_stream_sees_each_url_once(spark, tmp_path):
     rows = [("https://a.com/1", "2024-01-01 00:00:00"), ("http://www.a.com/1/?utm_source=x", "2024-01-01 01:00:00"), ("https://a.com/2", "2024-01-01 02:00:00")]
     spark.createDataFrame(rows, "source_url string, t string").select("source_url", F.col("t").cast("timestamp").alias("t")).write.parquet(str(tmp_path / "in"))
