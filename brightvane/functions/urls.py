@@ -9,18 +9,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lists
+from .text import let
 
 
-def _with_scheme(c: Column) -> Column:
-    u = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(u, "^(?=//)", "https:"), "^(?!.*://)", "https://")
+def _with_scheme(trimmed: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(trimmed, "^(?=//)", "https:"), "^(?!.*://)", "https://")
+
+
+def _authority(u: Column) -> Column:
+    """Host and port of a URL with a scheme, without user."""
+    return F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]*://([^/?#]*)", 1), r"^.*@", "")
+
+
+def _bare_host(authority: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_replace(authority, r":\d*$", "")), r"^www\.", "")
 
 
 def _host(u: Column) -> Column:
     """The host of a URL with a scheme: without user, port and `www.`, in lower case."""
-    authority = F.regexp_extract(u, r"^[^:/?#]*://([^/?#]*)", 1)
-    host = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
-    return F.regexp_replace(host, r"^www\.", "")
+    return _bare_host(_authority(u))
 
 
 def domain_of(c: Column) -> Column:
@@ -37,24 +44,34 @@ def _unquoted(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), c)
 
 
-def normalize_url(c: Column) -> Column:
-    """C-01: a comparable form. Schemes other than http and https pass unchanged."""
-    trimmed = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    u = _with_scheme(c)
-    scheme = F.lower(F.regexp_extract(u, r"^([^:/?#]*)://", 1))
-    authority = F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]*://([^/?#]*)", 1), r"^.*@", "")
-    port = F.regexp_extract(authority, r":(\d+)$", 1)
-    port = F.regexp_replace(F.concat(scheme, F.lit(":"), port), r"^(?:http:80|https:443|\w*:)$|^\w*(?=:)", "")
-    path = F.regexp_extract(u, r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
-    index = "|".join(re.escape(x.lstrip("/")) for x in lists.INDEX_FILES)
-    path = F.regexp_replace(F.regexp_replace(path, f"(?i)/(?:{index})$", "/"), "/+$", "")
-    path = F.regexp_replace(path, "^$", "/")
+def _query(u: Column) -> Column:
+    """The query of a URL in its comparable form: sorted, without what only tracks, and with its question mark."""
     query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
     pairs = F.transform(F.split(query, "&"), lambda p: F.struct(_unquoted(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), _unquoted(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
     pairs = F.array_sort(F.filter(pairs, lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin(*lists.TRACKING)))
     text = F.array_join(F.transform(pairs, lambda p: F.concat(_quoted(p["k"]), F.lit("="), _quoted(p["v"]))), "&")
-    whole = F.concat(F.lit("https://"), _host(u), port, path, F.regexp_replace(text, "^(?=.)", "?"))
-    return F.when(trimmed == "", "").when(scheme.isin("", "http", "https"), whole).otherwise(trimmed)
+    return F.regexp_replace(text, "^(?=.)", "?")
+
+
+def normalize_url(c: Column) -> Column:
+    """C-01: a comparable form. Schemes other than http and https pass unchanged."""
+    index = "|".join(re.escape(x.lstrip("/")) for x in lists.INDEX_FILES)
+
+    def whole(v: Column) -> Column:
+        port = F.regexp_extract(v["authority"], r":(\d+)$", 1)
+        port = F.regexp_replace(F.concat(v["scheme"], F.lit(":"), port), r"^(?:http:80|https:443|\w*:)$|^\w*(?=:)", "")
+        path = F.regexp_extract(v["u"], r"^[^:/?#]*://[^/?#]*([^?#]*)", 1)
+        path = F.regexp_replace(F.regexp_replace(path, f"(?i)/(?:{index})$", "/"), "/+$", "")
+        path = F.regexp_replace(path, "^$", "/")
+        query = F.when(F.contains(v["u"], F.lit("?")), _query(v["u"])).otherwise("")
+        form = F.concat(F.lit("https://"), _bare_host(v["authority"]), port, path, query)
+        return F.when(v["trimmed"] == "", "").when(v["scheme"].isin("", "http", "https"), form).otherwise(v["trimmed"])
+
+    # each step has a value of its own, or else all before it would be done once for every use
+    trimmed = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    given = let(trimmed, lambda t: F.struct(t.alias("trimmed"), _with_scheme(t).alias("u")))
+    scheme = lambda u: F.lower(F.regexp_extract(u, r"^([^:/?#]*)://", 1))
+    return let(let(given, lambda g: F.struct(g["trimmed"].alias("trimmed"), g["u"].alias("u"), scheme(g["u"]).alias("scheme"), _authority(g["u"]).alias("authority"))), whole)
 
 
 def canonicalize(url: Column, declared: Column) -> Column:

@@ -68,6 +68,26 @@ def test_mixed_feeds(spark):
     assert report == {"f0": (5, 2, True, None), "f1": (0, 0, False, "not fetched"), "f2": (0, 0, False, "no entries in feed")}
 
 
+def test_entries_are_cut_at_their_first_end(spark):
+    plain = re.compile(r"(<((?:\w+:)?(?:item|entry))(?:\s[^>]*)?>.*?</\2>)", re.DOTALL)
+    bodies = [
+        "<item>a</item><item>b", "<item a='1'\n>x</entry></item>y<entry></entry>", "<a:item>1</item></a:item><item></item >", "<item><item>1</item></item><entry>2</entry>", "<items>x</items><item/><item>z</item>",
+        "<entry>< </entr></entry", "<item><![CDATA[</entry>]]></item><item>\n<</item>", "<item>" + "<b/>" * 100_000 + "</item>", "<item>" + "x<" * 1000, "",
+    ]
+    got = {r.feed_name: r.entries for r in feeds.feed_report(feed_table(spark, *bodies), NOW).collect()}
+    assert got == {f"f{i}": len(plain.findall(b)) for i, b in enumerate(bodies)}
+
+
+def test_only_kept_entries_are_read_and_each_step_is_done_once(spark):
+    item = "<item><title>{0}</title><link> https://www.e.com/{0}?utm_source=x </link><pubDate>{1}</pubDate><description>&lt;p&gt; a &lt;b&gt;word&lt;/b&gt; {0}&lt;/p&gt;</description></item>"
+    body = "".join(item.format(i, d) for i, d in enumerate(["Tue, 30 Jan 2024 10:00:00 GMT", "Sun, 01 Jan 2023 10:00:00 GMT", "Mon, 29 Jan 2024 10:00:00 GMT", "soon"]))
+    items = feeds.feed_items(feed_table(spark, body), NOW, per_feed=2)
+    assert [(r.position, r.source_url, r.title, r.summary) for r in items.orderBy("position").collect()] == [(1, "https://e.com/0", "0", "a word 0"), (2, "https://e.com/2", "2", "a word 2")]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    # to take out marks and to trim a link, once an item
+    assert plan.count("<[^>]*>") == 1 and plan.count(r"(?U)^\s+|\s+$") == 1
+
+
 def test_feeds_from_files(spark, tmp_path):
     (tmp_path / "one.xml").write_text(FEED)
     got = feeds.read_feeds(spark, str(tmp_path)).collect()

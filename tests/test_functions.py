@@ -60,6 +60,13 @@ def test_prose(spark):
     assert values(spark, rows, text.looks_like_prose(X)) == [(True,), (False,), (False,), (False,)]
 
 
+def test_ends_are_stripped_of_any_blank(spark):
+    raw = ["\u3000\u2003 a b c \x85\t", " \u200a ", "\n\x0b\x0c one\u2028\n two\u1680 \n", "€ x €", "ab ", "", " "]
+    lines = [[x.strip() for x in t.split("\n")] for t in raw]
+    want = ["\n".join(x for x in t if x == "" or len(x) > 2).strip() for t in lines]
+    assert values(spark, raw, text.clean_text(X, False)) == [(t,) for t in want]
+
+
 def test_promotional_and_evidence(spark):
     assert values(spark, ["Request a demo now", "nothing"], text.looks_promotional(X)) == [(True,), (False,)]
     body = "The front desk missed every third call in the week that we looked at it. Nothing of note was said about the weather on that day, they told us."
