@@ -345,3 +345,45 @@ def test_articles_take_one_python_process_a_task(spark, sf_dir):
     two = html.page_links(html.parse_html(F.col("html"))["links"], F.col("url"))
     one = html.page_links(html.parse_html(F.col("html"), F.col("url"))["links"], F.col("url"), absolute=True)
     assert all(a == b for a, b in rows.select(two, one).collect())
+
+
+def _best_titles(titles, least=92):
+    want = {}
+    for i, t in enumerate(titles):
+        near = [(-dedupe.token_set_ratio(t, o), k) for k, o in enumerate(titles[:i]) if dedupe.token_set_ratio(t, o) >= least]
+        if near:
+            want[i] = (min(near)[1], -min(near)[0] / 100)
+    return want
+
+
+def test_title_pairs_are_never_listed(spark, monkeypatch):
+    """E-03: all of these are alike, and their pairs were kept; now no table has more than some rows a title."""
+    titles = ["alpha bravo charlie delta echo foxtrot golf"] + [f"alpha bravo charlie delta echo foxtrot golf {a}{b}" for a in "klmnopqrst" for b in "uvwxyz"]
+    kept, settle = [], dedupe.settle
+    monkeypatch.setattr(dedupe, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    rows = spark.createDataFrame([(i, "https://e.org/a", t) for i, t in enumerate(titles)], "source_id long, source_url string, title string")
+    got = {r["source_id"]: (r["matched_id"], r["score"]) for r in dedupe.title_duplicates(rows).collect()}
+    assert got == _best_titles(titles) and len(got) == len(titles) - 1
+    assert sum(df.count() for df in kept) <= 4 * len(titles)
+
+
+def test_titles_of_a_large_domain_meet_chunk_against_chunk(spark, monkeypatch):
+    draw = random.Random(11)
+    stems = [" ".join("".join(draw.choices("etaoinsr", k=draw.randint(3, 9))) for _ in range(6)) for _ in range(12)]
+    titles = [t[:k] + draw.choice("xyz") + t[k + 1 :] for _ in range(9) for t in stems for k in [draw.randrange(len(t))]]
+    titles = [t for t in titles if len(t.split()) >= 4]
+    monkeypatch.setattr(dedupe, "CHUNK", 10)
+    monkeypatch.setattr(dedupe, "CHUNK_MOST", 16)
+    rows = spark.createDataFrame([(i, "https://e.org/a", t) for i, t in enumerate(titles)], "source_id long, source_url string, title string")
+    for least in (92.0, 60.0):
+        got = {r["source_id"]: (r["matched_id"], r["score"]) for r in dedupe.title_duplicates(rows, least=least).collect()}
+        assert got == _best_titles(titles, least)
+
+
+def test_titles_are_cut_before_sources_meet_their_pages(spark, sf_dir):
+    """The whole text went through the join."""
+    from brightvane.plans.views import view
+
+    lines = view(spark, sf_dir, "m_sources").select("source_id", "source_url", "title")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, x in enumerate(lines) if "Join " in x)
+    assert not any("substring(text" in x for x in lines[:join]) and any("substring(text" in x for x in lines[join:])
