@@ -387,3 +387,42 @@ def test_titles_are_cut_before_sources_meet_their_pages(spark, sf_dir):
     lines = view(spark, sf_dir, "m_sources").select("source_id", "source_url", "title")._jdf.queryExecution().optimizedPlan().toString().split("\n")
     join = next(i for i, x in enumerate(lines) if "Join " in x)
     assert not any("substring(text" in x for x in lines[:join]) and any("substring(text" in x for x in lines[join:])
+
+
+def _shingles(text):
+    w = re.sub(r"[\W_]+", " ", text.lower()).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_bodies_are_found_as_by_brute_force(spark, monkeypatch):
+    """E-04: copies, near copies, texts of other domains, of few words and of none, in one bucket and in many; only some keys of each set are kept, where all sets were."""
+    draw = random.Random(5)
+    vocabulary = ["".join(draw.choices("etaoinshr", k=draw.randint(2, 9))) for _ in range(400)]
+    passage = draw.choices(vocabulary, k=40)
+    texts = ["!? " * 20, "!? " * 20, "one two three", "One, two three!", "one two three four five six", "five words are one shingle"]
+    for _ in range(14):
+        one = draw.choices(vocabulary, k=draw.randint(60, 240)) + passage
+        texts += [" ".join(one), " ".join(one).upper(), " ".join(draw.choice(vocabulary) if draw.random() < 0.03 else w for w in one), " ".join(one[: len(one) * 4 // 5]), " ".join(draw.choices(vocabulary, k=200))]
+    draw.shuffle(texts)
+    rows = [(i * 7 - 100, f"https://{'ab'[i % 5 == 0]}.com/{i}", x) for i, x in enumerate(texts)]
+    df = spark.createDataFrame(rows, "source_id long, source_url string, cleaned_text string").repartition(3)
+    sets = {i: _shingles(x) for i, _, x in rows}
+    kept, settle = [], dedupe.settle
+    monkeypatch.setattr(dedupe, "settle", lambda x: kept.append(settle(x)) or kept[-1])
+    for block, few, bucket in (("domain", 1 << 20, 1 << 20), ("none", 0, 50)):
+        monkeypatch.setattr(dedupe, "_FEW", few)
+        monkeypatch.setattr(dedupe, "_BUCKET", bucket)
+        monkeypatch.setattr(dedupe, "_CELL", 4 * bucket)
+        want = {}
+        for i, u, _ in rows:
+            near = [(-len(sets[i] & sets[j]) / len(sets[i] | sets[j]), j) for j, v, _ in rows if j < i and sets[i] and sets[j] and (block == "none" or u[8] == v[8])]
+            if near and -min(near)[0] >= 0.72:
+                want[i] = (min(near)[1], -min(near)[0])
+        got = dedupe.body_duplicates(df, min_words=3, block=block).collect()
+        assert {r.source_id: (r.matched_id, r.score) for r in got} == want and len(got) == len(want) > 20
+    # all texts' sets were kept, now only their keys
+    lone = spark.createDataFrame([(i, "https://a.com/", " ".join(draw.choices(vocabulary, k=200))) for i in range(20)], "source_id long, source_url string, cleaned_text string")
+    kept.clear()
+    assert dedupe.body_duplicates(lone).count() == 0
+    held = [x.select(*[F.size(c) * 8 if t.startswith("array") else F.length(c) for c, t in x.dtypes if t.startswith(("array", "binary"))]) for x in kept]
+    assert sum(sum(r) for x in held if x.columns for r in x.collect()) < 20 * 196 * 8 * 0.3
