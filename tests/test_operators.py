@@ -426,3 +426,15 @@ def test_bodies_are_found_as_by_brute_force(spark, monkeypatch):
     assert dedupe.body_duplicates(lone).count() == 0
     held = [x.select(*[F.size(c) * 8 if t.startswith("array") else F.length(c) for c, t in x.dtypes if t.startswith(("array", "binary"))]) for x in kept]
     assert sum(sum(r) for x in held if x.columns for r in x.collect()) < 20 * 196 * 8 * 0.3
+
+
+def test_hashes_are_made_before_sources_meet_their_pages(spark, sf_dir):
+    """E-02, E-05: the whole text went through the join of each layer."""
+    from brightvane.plans import content
+
+    rows = content._hashed(spark, sf_dir)
+    plan = rows.select("source_id", "source_url", "title", "content_hash")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, x in enumerate(plan) if "Join " in x)
+    assert not any("sha2(" in x for x in plan[:join]) and any("sha2(" in x for x in plan[join:])
+    own = dedupe.hash_duplicates(rows.drop("content_hash"))
+    assert sorted(map(tuple, dedupe.hash_duplicates(rows).collect())) == sorted(map(tuple, own.collect()))
